@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import packing, pii, quality, simhash
+from . import fingerprint, license, packing, pii, quality, simhash
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_quality": quality.query,
     "op3_simhash": simhash.query,
+    "op4_fingerprints": fingerprint.query,
     "op5_pii": pii.query,
+    "op10_license": license.query,
+}
+ORACLES: dict[str, str] = {
+    "op4_fingerprints": fingerprint.ORACLE,
+    "op10_license": license.ORACLE,
 }
-ORACLES: dict[str, str] = {}

@@ -78,7 +78,7 @@ def folded(data: np.ndarray) -> np.ndarray:
     if len(data) > 1:
         lead = np.flatnonzero(data[:-1] == 0xC3) + 1
         if len(lead):
-            up = lead[(data[lead] & 0xE0) == 0x80]
+            up = lead[(data[lead] >= 0x80) & (data[lead] < 0x9F)]
             f[up] |= 0x20
     return f
 
