@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, license, packing, pii, quality, simhash
+from . import bpe, fingerprint, license, packing, pii, quality, simhash, wavelet
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_simhash": simhash.query,
     "op4_fingerprints": fingerprint.query,
     "op5_pii": pii.query,
+    "op7_wavelet": wavelet.query,
+    "op8_bpe": bpe.query,
     "op10_license": license.query,
 }
 ORACLES: dict[str, str] = {
