@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, license, packing, pii, quality, simhash, wavelet
+from . import bpe, embeddings, fingerprint, license, lm, packing, pii, quality, simhash, wavelet
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -10,8 +10,10 @@ QUERIES = {
     "op3_simhash": simhash.query,
     "op4_fingerprints": fingerprint.query,
     "op5_pii": pii.query,
+    "op6_embeddings": embeddings.query,
     "op7_wavelet": wavelet.query,
     "op8_bpe": bpe.query,
+    "op9_lm": lm.query,
     "op10_license": license.query,
 }
 ORACLES: dict[str, str] = {
