@@ -45,8 +45,9 @@ class Params:
     pair_rounds: int = 40
     leaves: int = 3
     lexicon: int = 256
-    lexicon_min_docs: int = 8
-    lexicon_min_odds: float = 4.0
+    lexicon_min_docs: int = 4
+    lexicon_min_share: float = 0.01
+    lexicon_min_odds: float = 8.0
     clean_loss: float = 0.002
     seed: int = 7
 
@@ -56,6 +57,9 @@ FEATURES = (
     "distinct_words", "short_words", "stops", "non_ascii", "capitalised", "glued", "longest_word", "toxic_rate", "toxic_hits",
 )
 
+#: what the toxic head sees: toxicity lies in the words, not in the form
+TOXIC = [FEATURES.index(f) for f in ("toxic_rate", "toxic_hits", "words")]
+
 _CLASS = np.zeros((8, 256), np.uint8)
 for _b in range(256):
     _c = chr(_b)
@@ -255,15 +259,16 @@ def fit(x: np.ndarray, y: np.ndarray, p: Params) -> Additive:
 
 
 def fit_head(x: np.ndarray, good: np.ndarray, clean: np.ndarray, p: Params) -> Additive | None:
-    """A model of ``good`` whose threshold, set on a held-out fifth, loses few ``clean`` rows."""
+    """A model of ``good`` whose threshold, set on held-out thirds, loses few ``clean`` rows."""
     if len(x) < 20 or good.all() or not good.any():
         return None
-    held = np.random.default_rng(p.seed).random(len(x)) < 0.2
-    model = fit(x[~held], good[~held].astype(float), p)
-    q = np.sort(model.logit(x[held])[clean[held]])
-    model.threshold = min(0.0, float(q[int(p.clean_loss * len(q))]) - 1e-9) if len(q) else 0.0
+    fold = np.random.default_rng(p.seed).permutation(len(x)) % 3
+    held = np.zeros(len(x))
+    for k in range(3):
+        held[fold == k] = fit(x[fold != k], good[fold != k].astype(float), p).logit(x[fold == k])
     final = fit(x, good.astype(float), p)
-    final.threshold = max(model.threshold, -3.0)
+    q = np.sort(held[clean])
+    final.threshold = max(-3.0, min(0.0, float(q[int(p.clean_loss * len(q))]) - 1e-9)) if len(q) else 0.0
     return final
 
 
@@ -278,7 +283,7 @@ class Model:
         x = features(column, self.lexicon)
         none = blank(column)
         q = self.quality.logit(x) if self.quality else np.full(len(x), 40.0)
-        t = self.toxic.logit(x) if self.toxic else np.full(len(x), 40.0)
+        t = self.toxic.logit(x[:, TOXIC]) if self.toxic else np.full(len(x), 40.0)
         keep = ~none & (q >= (self.quality.threshold if self.quality else 0)) & (t >= (self.toxic.threshold if self.toxic else 0))
         sig = lambda s: 1 / (1 + np.exp(-np.clip(s, -40, 40)))
         return sig(q), 1 - sig(t), keep, none
@@ -331,7 +336,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     bad, all_ = np.bincount(inv, t[doc] == 1, len(u)), np.bincount(inv, minlength=len(u))
     n1, n0 = max((t == 1).sum(), 1), max((t != 1).sum(), 1)
     odds = np.log((bad + 0.5) / n1) - np.log((all_ - bad + 0.5) / n0)
-    picked = np.flatnonzero((bad >= p.lexicon_min_docs) & (odds >= np.log(p.lexicon_min_odds)))
+    picked = np.flatnonzero((bad >= max(p.lexicon_min_docs, p.lexicon_min_share * n1)) & (odds >= np.log(p.lexicon_min_odds)))
     picked = picked[np.argsort(-odds[picked] * np.sqrt(bad[picked]), kind="stable")][: p.lexicon]
     lexicon = np.sort(u[picked])
     if len(lexicon):
@@ -340,7 +345,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
         x[:, FEATURES.index("toxic_hits")] = hit
         x[:, FEATURES.index("toxic_rate")] = hit / np.maximum(x[:, FEATURES.index("words")], 1)
     clean = (q == 1) & (t == 0)
-    return Model(lexicon, fit_head(x, q == 1, clean, p), fit_head(x, t == 0, clean, p), rows)
+    return Model(lexicon, fit_head(x, q == 1, clean, p), fit_head(x[:, TOXIC], t == 0, clean, p), rows)
 
 
 SCORES = T.StructType([T.StructField("quality_score", T.DoubleType()), T.StructField("toxic_score", T.DoubleType()), T.StructField("keep", T.BooleanType())])
