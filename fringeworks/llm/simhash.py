@@ -3,11 +3,13 @@
 A fingerprint has four segments of 23 bits, voted by the document's distinct
 words.  Each segment decodes to one or six codeword indices (``golay``), so two
 segments at distance 2 or less always share an index; the keys are the index
-pairs of all six pairs of segments.  Thus, by the pigeonhole principle, every
+pairs of all six pairs of segments.  (Rows are sent once for each index of a
+pair's first segment; the second's are decoded again where they meet.)  Thus, by the pigeonhole principle, every
 pair of fingerprints in which two segments differ by at most 2 bits meets, as do
 all pairs at distance 8 or less and most at up to ``hamming``.  Pairs that meet
-are compared on the whole fingerprint and then verified by the Jaccard index of
-their word pairs, from bottom-k sketches that are exact for short texts.  Groups
+are compared on the whole fingerprint and on 36 one-bit minima of their word
+pairs, and then verified by the Jaccard index of their word pairs, from bottom-k
+sketches that are exact for short texts.  Groups
 are the connected components; each keeps its least ``doc_id``.
 
 Texts that are byte for byte equal are collapsed first, so their keys are made
@@ -31,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from . import golay
 from . import text as X
@@ -40,6 +43,9 @@ from .workspace import Workspace, documents
 SEGMENTS = 4
 BITS = SEGMENTS * golay.BITS
 SKETCH = 96
+MINIMA = 36
+HALF = 2 * golay.BITS
+LOW = (1 << HALF) - 1
 
 
 @dataclass(frozen=True)
@@ -47,6 +53,7 @@ class Params:
     """``broadcast_rows`` is the greatest number of dropped ids (8 bytes each) that is broadcast."""
 
     hamming: int = 20
+    minima: int = 24
     jaccard: float = 0.5
     broadcast_rows: int = 2_000_000
 
@@ -84,8 +91,8 @@ def fingerprints(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(h: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """The least SKETCH distinct hashes of word pairs, 32 bits each, per document."""
+def sketches(h: np.ndarray, first: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The least SKETCH distinct hashes of word pairs, 32 bits each, and one bit of the least in each of MINIMA bins."""
     s, at = X.shingles(h, first, 2)
     n = len(at) - 1
     key = np.sort((np.repeat(np.arange(n, dtype=np.uint64), np.diff(at)) << np.uint64(32)) | (s >> np.uint64(32)))
@@ -94,7 +101,19 @@ def sketches(h: np.ndarray, first: np.ndarray) -> list[bytes]:
     key = key[fresh]
     at = np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << np.uint64(32))
     low = key.astype(np.uint32)
-    return [low[at[i] : min(at[i + 1], at[i] + SKETCH)].tobytes() for i in range(n)]
+    cell = (key >> np.uint64(32)).astype(np.int64) * MINIMA + (low.astype(np.int64) * MINIMA >> 32)
+    lead = np.ones(len(cell), bool)
+    lead[1:] = cell[1:] != cell[:-1]
+    bits = np.zeros(n * MINIMA, bool)
+    bits[cell[lead]] = X.mixed(key[lead] & np.uint64(2**32 - 1)) & np.uint64(1)
+    return [low[at[i] : min(at[i + 1], at[i] + SKETCH)].tobytes() for i in range(n)], bits.reshape(n, MINIMA)
+
+
+def packed(fp: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two words per document: two segments and half of the minima each."""
+    w = 1 << np.arange(MINIMA // 2)
+    f = fp.astype(np.int64)
+    return f[:, 0] | f[:, 1] << 23 | (bits[:, : MINIMA // 2] @ w) << HALF, f[:, 2] | f[:, 3] << 23 | (bits[:, MINIMA // 2 :] @ w) << HALF
 
 
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,10 +122,11 @@ def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         f = X.folded(data)
         starts, ends, first = X.spans(f, offsets)
         h = X.hashes(f, starts, ends)
-        fp = fingerprints(h, first)
+        sketch, bits = sketches(h, first)
+        lo, hi = packed(fingerprints(h, first), bits)
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(2), b.column(3), pa.array(np.diff(first).astype(np.int32)), *(pa.array(fp[:, s]) for s in range(SEGMENTS)), pa.array(sketches(h, first), pa.binary())],
-            ["doc_id", "h1", "h2", "n_words", "f0", "f1", "f2", "f3", "sketch"],
+            [b.column(0), b.column(2), b.column(3), pa.array(np.diff(first).astype(np.int32)), pa.array(lo), pa.array(hi), pa.array(sketch, pa.binary())],
+            ["doc_id", "h1", "h2", "n_words", "lo", "hi", "sketch"],
         )
 
 
@@ -114,33 +134,41 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     """Exact hashes, fingerprint and sketch of each document that can be a copy."""
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null and text <> ''")
     src = src.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
-    return src.mapInArrow(_fingerprint_rows, "doc_id bigint, h1 bigint, h2 bigint, n_words int, f0 int, f1 int, f2 int, f3 int, sketch binary")
+    return src.mapInArrow(_fingerprint_rows, "doc_id bigint, h1 bigint, h2 bigint, n_words int, lo bigint, hi bigint, sketch binary")
 
 
 _PAIRS = list(combinations(range(SEGMENTS), 2))
 
 
+def segment(lo: np.ndarray, hi: np.ndarray, s: int) -> np.ndarray:
+    return (lo if s < 2 else hi) >> (golay.BITS * (s % 2)) & ((1 << golay.BITS) - 1)
+
+
 def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each key of each document: pair of segments and an index of either."""
+    """A row for each pair of segments and each index of its first one."""
     for batch in batches:
-        for b in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-            ids = b.column(0).to_numpy()
-            f = np.stack([b.column(1 + s).to_numpy() for s in range(SEGMENTS)], 1).astype(np.int64)
-            lists = [golay.indices(f[:, s]) for s in range(SEGMENTS)]
+        for b in (batch.slice(i, 4000) for i in range(0, batch.num_rows, 4000)):
+            ids, lo, hi = (b.column(i).to_numpy() for i in range(3))
+            lists = [golay.indices(segment(lo, hi, s)) for s in range(SEGMENTS - 1)]
             keys, rows = [], []
-            for c, (i, j) in enumerate(_PAIRS):
-                (ki, ni), (kj, nj) = lists[i], lists[j]
-                live = (np.arange(6)[None, :, None] < ni[:, None, None]) & (np.arange(6)[None, None, :] < nj[:, None, None])
-                row, a, z = np.nonzero(live)
-                keys.append((c << 24 | ki[row, a] << 12 | kj[row, z]).astype(np.int32))
+            for c, (i, _) in enumerate(_PAIRS):
+                index, count = lists[i]
+                row, slot = np.nonzero(np.arange(6) < count[:, None])
+                keys.append((c << 12 | index[row, slot]).astype(np.int32))
                 rows.append(row)
             row = np.concatenate(rows)
-            lo, hi = f[:, 0] | f[:, 1] << 23, f[:, 2] | f[:, 3] << 23
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids[row]), pa.array(lo[row]), pa.array(hi[row])], ["k", "id", "lo", "hi"])
 
 
-def bucket_edges(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Breadth-first edges that connect all fingerprints within ``limit`` of each other, directly or not."""
+def alike(lo: np.ndarray, hi: np.ndarray, a, b, p: Params) -> np.ndarray:
+    """Fingerprints within ``hamming`` of each other that agree in ``minima`` minima."""
+    x, y = lo[a] ^ lo[b], hi[a] ^ hi[b]
+    near = np.bitwise_count(x & LOW) + np.bitwise_count(y & LOW) <= p.hamming
+    return near & (np.bitwise_count((x >> HALF) & ((1 << MINIMA // 2) - 1)) + np.bitwise_count((y >> HALF) & ((1 << MINIMA // 2) - 1)) <= MINIMA - p.minima)
+
+
+def bucket_edges(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, p: Params) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Breadth-first edges that connect all documents alike, directly or not; from the least id on."""
     order = np.argsort(ids, kind="stable")
     ids, lo, hi = ids[order], lo[order], hi[order]
     rest = np.arange(len(ids))
@@ -149,7 +177,7 @@ def bucket_edges(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, limit: int) ->
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             at = queue.pop(0)
-            near = np.bitwise_count(lo[rest] ^ lo[at]) + np.bitwise_count(hi[rest] ^ hi[at]) <= limit
+            near = alike(lo, hi, rest, at, p)
             if near.any():
                 got = rest[near]
                 out.append((np.full(len(got), ids[at]), ids[got]))
@@ -158,45 +186,81 @@ def bucket_edges(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, limit: int) ->
     return out
 
 
-def _edge_rows(limit: int):
+SLICE_ROWS = 200_000
+
+
+def _edge_rows(p: Params):
+    """Edges of a stream of rows sorted by ``k``: decodes each second segment and compares within buckets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[list[np.ndarray]] = []
         found: list[np.ndarray] = []
 
-        def flush(cols: list[np.ndarray]) -> None:
-            k, ids, lo, hi = cols
-            cut = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
+        def compare(key: np.ndarray, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
             size = np.diff(cut)
             two = cut[:-1][size == 2]
-            near = np.bitwise_count(lo[two] ^ lo[two + 1]) + np.bitwise_count(hi[two] ^ hi[two + 1]) <= limit
-            pair = np.stack([ids[two[near]], ids[two[near] + 1]], 1)
-            if len(pair):
-                found.append(np.sort(pair, axis=1))
-            for a, s in zip(cut[:-1][size > 2], size[size > 2], strict=True):
-                for u, v in bucket_edges(ids[a : a + s], lo[a : a + s], hi[a : a + s], limit):
-                    found.append(np.stack([u, v], 1))
-
-        def packed() -> np.ndarray:
+            a, b = order[two], order[two + 1]
+            near = alike(lo, hi, a, b, p)
+            if near.any():
+                found.append(np.sort(np.stack([ids[a[near]], ids[b[near]]], 1), axis=1))
+            for n in np.unique(size[size > 2]).tolist():
+                begin = cut[:-1][size == n]
+                if n <= 48:  # most buckets are chance: look at all pairs of all buckets of a size at once
+                    i, j = np.triu_indices(n, 1)
+                    step = max(1, 500_000 // len(i))
+                    some = [begin[k : k + step][alike(lo, hi, order[begin[k : k + step, None] + i], order[begin[k : k + step, None] + j], p).any(1)] for k in range(0, len(begin), step)]
+                    begin = np.concatenate(some)
+                for c in begin:
+                    at = order[c : c + n]
+                    for u, v in bucket_edges(ids[at], lo[at], hi[at], p):
+                        found.append(np.stack([u, v], 1))
+
+        def flush(cols: list[np.ndarray]) -> None:
+            """Whole groups of ``k``; wide ones are taken in several passes over the second index."""
+            k, ids, lo, hi = cols
+            if not len(k):
+                return
+            second = np.array([j for _, j in _PAIRS])[k >> 12]
+            word = np.zeros(len(k), np.int64)
+            for j in range(1, SEGMENTS):
+                m = second == j
+                word[m] = segment(lo[m], hi[m], j)
+            index, count = golay.indices(word)
+            row, slot = np.nonzero(np.arange(6) < count[:, None])
+            value = index[row, slot].astype(np.int64)
+            passes = -(-len(k) // (4 * SLICE_ROWS))
+            for n in range(passes):
+                m = slice(None) if passes == 1 else value % passes == n
+                r = row[m]
+                compare(k[r].astype(np.int64) << 12 | value[m], ids[r], lo[r], hi[r])
+
+        def distinct() -> np.ndarray:
             e = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
             e = e[e[:, 0] != e[:, 1]]
             return np.unique(e, axis=0) if len(e) else e
 
+        rows = 0
         for b in batches:
             cols = [b.column(i).to_numpy() for i in range(4)]
             if not len(cols[0]):
                 continue
             held.append(cols)
-            if held[0][0][0] == cols[0][-1]:
-                continue  # one key so far: a bucket may span batches
+            rows += len(cols[0])
+            if rows < SLICE_ROWS or held[0][0][0] == cols[0][-1]:
+                continue
             cat = [np.concatenate([h[i] for h in held]) for i in range(4)]
             end = int(np.searchsorted(cat[0], cat[0][-1], side="left"))
             flush([c[:end] for c in cat])
             held = [[c[end:] for c in cat]]
+            rows = len(held[0][0])
             if len(found) > 20_000:
-                found = [packed()]
+                found = [distinct()]
         if held:
             flush([np.concatenate([h[i] for h in held]) for i in range(4)])
-        e = packed()
+        e = distinct()
         for i in range(0, len(e), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(e[i : i + 100_000, 0]), pa.array(e[i : i + 100_000, 1])], ["u", "v"])
 
@@ -218,7 +282,7 @@ def _verified(least: float):
         for b in batches:
             x, y = b.column(2).to_pylist(), b.column(3).to_pylist()
             ok = [jaccard(np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)) >= least for p, q in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["u", "v", "ok"])
 
     return run
 
@@ -226,16 +290,26 @@ def _verified(least: float):
 def groups(ws: Workspace, docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
     """The fingerprint table, and ``u, v``: copy u of the group whose least doc_id is v (u > v)."""
     table = ws.write(fingerprinted(docs), "fingerprints")
-    slim = table.select("doc_id", "h1", "h2", "n_words", "f0", "f1", "f2", "f3")
-    reps = ws.write(slim.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_words", "f0", "f1", "f2", "f3")).alias("r"), F.count("*").alias("n")), "texts")
+    slim = table.select("doc_id", "h1", "h2", "n_words", "lo", "hi")
+    reps = ws.write(slim.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_words", "lo", "hi")).alias("r"), F.count("*").alias("n")), "texts")
     same = slim.select("doc_id", "h1", "h2").join(reps.where("n > 1").select("h1", "h2", F.col("r.doc_id").alias("v")), ["h1", "h2"]).select(F.col("doc_id").alias("u"), "v").where("u <> v")
-    keys = reps.where("r.n_words > 0").select("r.doc_id", "r.f0", "r.f1", "r.f2", "r.f3").mapInArrow(_key_rows, "k int, id bigint, lo bigint, hi bigint")
-    near = keys.repartition("k").sortWithinPartitions("k").mapInArrow(_edge_rows(p.hamming), "u bigint, v bigint")
+    keys = reps.where("r.n_words > 0").select("r.doc_id", "r.lo", "r.hi").mapInArrow(_key_rows, "k int, id bigint, lo bigint, hi bigint")
+    near = keys.repartition("k").sortWithinPartitions("k").mapInArrow(_edge_rows(p), "u bigint, v bigint")
     near = ws.write(near.distinct(), "candidates")
-    sk = table.select("doc_id", "sketch").join(near.select(F.col("u").alias("doc_id")).union(near.select("v")).distinct(), "doc_id").groupBy("doc_id").agg(F.first("sketch").alias("sketch"))
+    # most copies are alike their component's least document: verify that edge first, and all edges only of the others
+    stars = ws.write(verified(table, components(ws, near), p), "stars")
+    apart = stars.where("not ok").select(F.col("u").alias("x")).distinct()
+    rest = near.join(apart, near.u == apart.x, "left_semi").union(near.join(apart, near.v == apart.x, "left_semi")).distinct()
+    edges = stars.where("ok").select("u", "v").union(verified(table, rest, p).where("ok").select("u", "v"))
+    return table, components(ws, edges.union(same))
+
+
+def verified(table: DataFrame, edges: DataFrame, p: Params) -> DataFrame:
+    """``u, v, ok``: whether the sketches of an edge's documents are alike enough."""
+    ids = edges.select(F.col("u").alias("doc_id")).union(edges.select("v")).distinct()
+    sk = table.select("doc_id", "sketch").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.first("sketch").alias("sketch"))
     a, b = sk.select(F.col("doc_id").alias("u"), F.col("sketch").alias("a")), sk.select(F.col("doc_id").alias("v"), F.col("sketch").alias("b"))
-    edges = near.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_verified(p.jaccard), "u bigint, v bigint")
-    return table, components(ws, edges.unionByName(same))
+    return edges.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_verified(p.jaccard), "u bigint, v bigint, ok boolean")
 
 
 def grouped(docs: DataFrame, p: Params = Params()) -> DataFrame:
@@ -256,19 +330,14 @@ def kept(docs: DataFrame, p: Params = Params()) -> DataFrame:
     if repeated.isEmpty():
         return out
     again = out.join(repeated, out["doc_id"] == repeated["_rep"], "left_semi")
-    sortable = [out[c] for c in out.columns if not isinstance(out.schema[c].dataType, (_map_type(),))] if len(set(out.columns)) == len(out.columns) else [out["text"]]
+    sortable = [F.col(f"`{f.name}`") for f in out.schema.fields if not isinstance(f.dataType, MapType)]
     w = Window.partitionBy("doc_id").orderBy(F.col("text").isNull(), F.col("text") == "", F.col("text"), *sortable)
-    first = again.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    rn = X.free_name(out, "_rn")
+    first = again.withColumn(rn, F.row_number().over(w)).where(F.col(rn) == 1).drop(rn)
     rest = out.join(repeated, out["doc_id"] == repeated["_rep"], "left_anti")
     return rest.unionByName(first)
 
 
-def _map_type():
-    from pyspark.sql.types import MapType
-
-    return MapType
-
-
 def without(docs: DataFrame, gone: DataFrame, most: int) -> DataFrame:
     """Rows whose doc_id isn't in ``gone``; the ids are broadcast only while they are few."""
     few = gone.limit(most + 1).count() <= most
