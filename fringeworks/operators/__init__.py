@@ -1 +1 @@
-"""See the package README section."""
+"""Relational and array operators over the data model of `schema`."""

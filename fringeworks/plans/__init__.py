@@ -1 +1 @@
-"""See the package README section."""
+"""Registered queries and whole-dataflow plans."""

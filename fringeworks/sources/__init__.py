@@ -1 +1 @@
-"""See the package README section."""
+"""Readers and writers: Parquet, CSV and JSON."""

@@ -1 +1 @@
-"""See the package README section."""
+"""Incremental imaging with Structured Streaming."""
