@@ -29,7 +29,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .workspace import Workspace, documents
@@ -51,27 +51,53 @@ def pieces(docs: DataFrame, p: Params) -> DataFrame:
     return cut.select("doc_id", "h", "piece", start.alias("start"), F.least(F.lit(c).cast("bigint"), F.col("n") - start).cast("int").alias("length"))
 
 
-def _classes(df: DataFrame) -> DataFrame:
-    """Events with ``at``, their class's exclusive net depth above it, and ``r``, their rank in the class.
+def _placed(events: DataFrame) -> DataFrame:
+    """Events with ``at``, their class's exclusive net depth above it, ``above``, the pieces larger, and ``r``, their rank in the class.
 
     An event is a gap (kind 0) or a piece (kind 1) of a ``size``; the sweep goes down the sizes, gaps first.
     """
-    counts = df.groupBy("size", "kind").agg(F.count("*").alias("n"))
+    counts = events.groupBy("size", "kind").agg(F.count("*").alias("n"))
     order = Window.orderBy(F.col("size").desc(), "kind").rowsBetween(Window.unboundedPreceding, -1)
     net = F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))
-    place = counts.select("size", "kind", F.coalesce(F.sum(net).over(order), F.lit(0)).alias("at"))
+    pieces_ = F.when(F.col("kind") == 1, F.col("n")).otherwise(0)
+    place = counts.select("size", "kind", F.coalesce(F.sum(net).over(order), F.lit(0)).alias("at"), F.coalesce(F.sum(pieces_).over(order), F.lit(0)).alias("above"))
     rank = F.row_number().over(Window.partitionBy("size", "kind").orderBy("id"))
-    return df.withColumn("r", rank).join(F.broadcast(place), ["size", "kind"])  # at most 2 x capacity rows
+    return events.withColumn("r", rank).join(F.broadcast(place), ["size", "kind"])  # at most 2 x capacity rows
 
 
-def match(events: DataFrame) -> DataFrame:
-    """``item, size, bin, space``: pieces and the gaps they take, from ``size, kind, id`` (id is unique per kind)."""
-    placed = _classes(events)
-    # a gap raises the depth to its level, a piece lowers it from its level
+_ROW = "struct<kind:int,id:bigint,size:int,bin:bigint,off:int>"
+
+
+def _row(kind, id_, size, bin_, off):
+    return F.struct(F.lit(kind).alias("kind"), id_.alias("id"), size.alias("size"), bin_.alias("bin"), off.alias("off")).cast(_ROW)
+
+
+def _same():
+    return F.struct("kind", "id", "size", F.lit(None).alias("bin"), F.lit(None).alias("off")).cast(_ROW)
+
+
+def sweep(events: DataFrame, c: int) -> DataFrame:
+    """One round: placements (kind 2), gaps as they are left (0) and pieces that still wait (1)."""
+    # a gap raises the depth to its level, a piece lowers it from its level: at a level they alternate
     level = F.when(F.col("kind") == 0, F.col("at") + F.col("r")).otherwise(F.col("at") - F.col("r") + 1)
     w = Window.partitionBy("level").orderBy(F.col("size").desc(), "kind")
-    seen = placed.select("size", "kind", "id", level.alias("level")).withColumn("before", F.lag(F.struct("kind", "id", "size")).over(w))
-    return seen.where("kind = 1 and before.kind = 0").select(F.col("id").alias("item"), "size", F.col("before.id").alias("bin"), F.col("before.size").alias("space"))
+    seen = _placed(events).select("size", "kind", "id", level.alias("level"))
+    seen = seen.withColumn("before", F.lag(F.struct("kind", "id", "size")).over(w)).withColumn("after", F.lead("kind").over(w))
+    gap, piece, none = F.col("kind") == 0, F.col("kind") == 1, F.lit(None)
+    got = F.array(
+        _row(2, F.col("id"), F.col("size"), F.col("before.id"), c - F.col("before.size")),
+        _row(0, F.col("before.id"), F.col("before.size") - F.col("size"), none, none),
+    )
+    rows = F.when(piece & (F.col("before.kind") == 0), got).when(gap & (F.col("after") == 1), F.array().cast(f"array<{_ROW}>")).otherwise(F.array(_same()))
+    return seen.select(F.explode(rows).alias("e")).select("e.*").where("size > 0")
+
+
+def opening(events: DataFrame, want: int, c: int) -> DataFrame:
+    """New sequences for all pieces over half the capacity, and for the ``want`` largest (by size, then id)."""
+    first = (F.col("kind") == 1) & ((F.col("size") > c // 2) | (F.col("above") + F.col("r") <= want))
+    none = F.lit(None)
+    got = F.array(_row(2, F.col("id"), F.col("size"), F.col("id"), F.lit(0)), _row(0, F.col("id"), c - F.col("size"), none, none))
+    return _placed(events).select(F.explode(F.when(first, got).otherwise(F.array(_same()))).alias("e")).select("e.*").where("size > 0")
 
 
 def _joined(ws: Workspace, small: DataFrame, limit: int) -> DataFrame:
@@ -90,62 +116,44 @@ def _joined(ws: Workspace, small: DataFrame, limit: int) -> DataFrame:
     return out.select("run", "id", "length", F.coalesce(F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
 
 
+def _state(ws: Workspace, df: DataFrame, name: str) -> tuple[DataFrame, tuple[int, int, int, int]]:
+    """Write a round's table; pieces waiting, their length, the least of them, and the gaps' room, from the same job."""
+    seen = Observation()
+    piece = F.col("kind") == 1
+    zero = F.lit(0)
+    df = df.observe(
+        seen,
+        F.coalesce(F.sum(F.when(piece, 1).otherwise(0)), zero).alias("n"), F.coalesce(F.sum(F.when(piece, F.col("size"))), zero).alias("length"),
+        F.coalesce(F.min(F.when(piece, F.col("size"))), zero).alias("least"), F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("size"))), zero).alias("room"),
+    )
+    table = ws.write(df, name)
+    got = seen.get
+    return table, (int(got["n"]), int(got["length"]), int(got["least"]), int(got["room"]))
+
+
 def assigned(ws: Workspace, items: DataFrame, p: Params) -> DataFrame:
-    """``id, bin, off`` for ``id, length`` (id unique, 0 < length < capacity)."""
+    """``id, bin, off`` for ``id, length`` (id unique, 0 < length < capacity); one job a round."""
     c = p.capacity
-    waiting = ws.write(items.select("id", F.col("length").cast("int").alias("size")), "waiting")
-    gaps: DataFrame | None = None
+    none = F.lit(None)
+    state, (count, length, least, room) = _state(ws, items.select(F.lit(1).alias("kind"), "id", F.col("length").cast("int").alias("size"), none.cast("bigint").alias("bin"), none.cast("int").alias("off")), "start")
     done: list[DataFrame] = []
-    count, length, least = _sums(waiting, "size")
     while count:
-        found = 0
-        if gaps is not None:
-            events = gaps.select(F.col("space").alias("size"), F.lit(0).alias("kind"), F.col("bin").alias("id")).unionByName(waiting.select("size", F.lit(1).alias("kind"), "id"))
-            step = ws.write(match(events), "matched")
-            done.append(step.select(F.col("item").alias("id"), "bin", (c - F.col("space")).alias("off")))
-            waiting, old = ws.write(waiting.join(step.select(F.col("item").alias("id")), "id", "left_anti"), "waiting"), waiting
-            ws.drop(old)
-            before = count
-            count, length, least = _sums(waiting, "size")
-            found = before - count
-            if not count:
-                break
-            taken = step.select(F.col("bin").alias("_b"), F.col("size").alias("taken"))
-            changed = gaps.join(taken, F.col("bin") == F.col("_b"), "left").select("bin", (F.col("space") - F.coalesce("taken", F.lit(0))).cast("int").alias("space"))
-            gaps, old = ws.write(changed.where(F.col("space") >= least), "gaps"), gaps
-            ws.drop(old)
-        room = _sums(gaps, "space")[1] if gaps is not None else 0
-        want = max(-(-(length - room) // c), 0 if found else 1)
-        if want > 0:
-            # new sequences for the largest pieces; at the start also for all that fill over half of one
-            opened = ws.write(_largest(waiting, want, c), "opened")
-            done.append(opened.select("id", F.col("id").alias("bin"), F.lit(0).alias("off")))
-            fresh = opened.select(F.col("id").alias("bin"), (c - F.col("size")).cast("int").alias("space"))
-            waiting, old = ws.write(waiting.join(opened.select("id"), "id", "left_anti"), "waiting"), waiting
-            ws.drop(old)
-            gaps, old = ws.write((fresh if gaps is None else gaps.unionByName(fresh)).where("space > 0"), "gaps"), gaps
-            ws.drop(old)
-            count, length, least = _sums(waiting, "size")
+        before = count
+        events = state.where((F.col("kind") == 1) | (F.col("kind") == 0) & (F.col("size") >= least)).select("kind", "id", "size")
+        if room:
+            state, (count, length, least, room) = _state(ws, sweep(events, c), "round")
+            done.append(state.where("kind = 2").select("id", "bin", "off"))
+            events = state.where((F.col("kind") == 1) | (F.col("kind") == 0) & (F.col("size") >= least)).select("kind", "id", "size")
+        want = max(-(-(length - room) // c), 1 if count == before else 0)
+        if count and want > 0:
+            state, (count, length, least, room) = _state(ws, opening(events, want, c), "opened")
+            done.append(state.where("kind = 2").select("id", "bin", "off"))
     out = done[0] if done else items.select("id", F.col("id").alias("bin"), F.lit(0).alias("off")).limit(0)
     for d in done[1:]:
         out = out.unionByName(d)
     return out
 
 
-def _sums(df: DataFrame, column: str) -> tuple[int, int, int]:
-    r = df.agg(F.count("*"), F.coalesce(F.sum(column), F.lit(0)), F.coalesce(F.min(column), F.lit(0))).first()
-    return int(r[0]), int(r[1]), int(r[2])
-
-
-def _largest(left: DataFrame, want: int, c: int) -> DataFrame:
-    """All pieces over half the capacity, else the ``want`` largest (by size, then id), without sorting all in one task."""
-    counts = left.groupBy("size").agg(F.count("*").alias("n"))
-    above = F.coalesce(F.sum("n").over(Window.orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = counts.select("size", "n", above.alias("above")).where((F.col("above") < want) | (F.col("size") > c // 2))
-    ranked = left.join(F.broadcast(edge), "size").withColumn("r", F.row_number().over(Window.partitionBy("size").orderBy("id")))
-    return ranked.where((F.col("size") > c // 2) | (F.col("above") + F.col("r") <= want)).select("id", "size")
-
-
 def packed(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """``doc_id, piece, start, length, bin_id, bin_offset`` for every piece of every document."""
     ws = Workspace(docs.sparkSession, "packing")
