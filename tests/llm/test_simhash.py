@@ -88,3 +88,9 @@ def test_bucket_components_equal_brute_force():
     want = roots([(int(ids[a]), int(ids[b])) for a, b in itertools.combinations(range(150), 2) if bin(int(lo[a] ^ lo[b])).count("1") <= 4])
     same = lambda x: {tuple(i for i in range(150) if x[i] == r) for r in set(x)}
     assert same(got) == same(want)
+
+
+def test_split_keys_give_the_same_groups(spark):
+    docs = documents(spark, BIG)
+    want = sorted(map(tuple, S.grouped(docs).collect()))
+    assert sorted(map(tuple, S.grouped(docs, S.Params(split=5)).collect())) == want
