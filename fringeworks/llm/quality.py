@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text as X
-from .workspace import documents
+from .workspace import Workspace, documents
 
 
 @dataclass(frozen=True)
@@ -300,52 +300,54 @@ def _sample(docs: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
     return rows.join(F.broadcast(chosen), F.col("_d_id") == F.col("_l_id")).select("_d_text", "_l_q", "_l_t", "_d_id")
 
 
-def _base_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Features without the lexicon, labels, and the hashes of the document's distinct words."""
-    none = np.zeros(0, np.uint64)
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many documents, and how many toxic ones, each word occurs; summed per slice."""
     for b in X.slices(batches, "_d_text"):
         data, offsets, _ = X.utf8(b.column(0))
         f = X.folded(data)
         starts, ends, first = X.spans(f, offsets)
         h = X.hashes(f, starts, ends)
-        x = features(b.column(0), none)
-        words = [np.unique(h[first[i] : first[i + 1]], return_counts=True) for i in range(len(first) - 1)]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(1).cast(pa.int32()), b.column(2).cast(pa.int32()), pa.array(list(x), pa.list_(pa.float64())),
-             pa.array([w.view(np.int64) for w, _ in words], pa.list_(pa.int64())), pa.array([c.astype(np.int32) for _, c in words], pa.list_(pa.int32()))],
-            ["q", "t", "x", "h", "c"],
-        )
+        bad = b.column(1).to_numpy() == 1
+        words = [np.unique(h[first[i] : first[i + 1]]) for i in range(len(first) - 1)]
+        u, inv = np.unique(np.concatenate(words), return_inverse=True)
+        toxic = np.repeat(bad, [len(w) for w in words])
+        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(np.bincount(inv, minlength=len(u))), pa.array(np.bincount(inv, toxic, len(u)).astype(np.int64))], ["h", "n", "bad"])
+
+
+def lexicon(sample: DataFrame, p: Params) -> np.ndarray:
+    """Hashes of words much likelier in toxic documents, sorted; at most ``Params.lexicon`` of them."""
+    toxic, total = sample.agg(F.coalesce(F.sum((F.col("_l_t") == 1).cast("int")), F.lit(0)), F.count("*")).first()
+    n1, n0 = max(toxic, 1), max(total - toxic, 1)
+    rows = sample.select("_d_text", "_l_t").mapInArrow(_word_rows, "h bigint, n bigint, bad bigint").groupBy("h").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    odds = F.log((F.col("bad") + 0.5) / n1) - F.log((F.col("n") - F.col("bad") + 0.5) / n0)
+    likely = rows.where(F.col("bad") >= max(p.lexicon_min_docs, p.lexicon_min_share * n1)).withColumn("o", odds).where(F.col("o") >= float(np.log(p.lexicon_min_odds)))
+    top = likely.orderBy(F.desc(F.col("o") * F.sqrt("bad")), "h").limit(p.lexicon).select("h").toArrow()
+    return np.sort(top.column("h").to_numpy().view(np.uint64))
+
+
+def _feature_rows(words: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in X.slices(batches, "_d_text"):
+            yield pa.RecordBatch.from_arrays([b.column(1).cast(pa.int32()), b.column(2).cast(pa.int32()), pa.array(list(features(b.column(0), words)), pa.list_(pa.float64()))], ["q", "t", "x"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
-    """Fit both heads on the bounded sample; the lexicon keeps words much likelier in toxic documents."""
-    table = _sample(docs, labels, p).mapInArrow(_base_rows, "q int, t int, x array<double>, h array<bigint>, c array<int>").toArrow()
-    rows = table.num_rows
-    if not rows:
-        return Model(np.zeros(0, np.uint64), None, None, 0)
+    """Fit both heads on the bounded sample, which is written once and read for the lexicon and the features."""
+    ws = Workspace(docs.sparkSession, "quality")
+    sample = ws.write(_sample(docs, labels, p), "sample")
+    words = lexicon(sample, p)
+    table = sample.select("_d_text", "_l_q", "_l_t").mapInArrow(_feature_rows(words), "q int, t int, x array<double>").toArrow()
+    ws.drop(sample)
+    if not table.num_rows:
+        return Model(words, None, None, 0)
     q, t = table.column("q").to_numpy(), table.column("t").to_numpy()
-    x = np.stack(table.column("x").to_pylist()).astype(float)
-    hs = table.column("h").combine_chunks()
-    cs = table.column("c").combine_chunks()
-    if isinstance(hs, pa.ChunkedArray):
-        hs, cs = pa.concat_arrays(hs.chunks), pa.concat_arrays(cs.chunks)
-    h, c = hs.flatten().to_numpy().view(np.uint64), cs.flatten().to_numpy()
-    per = np.diff(hs.offsets.to_numpy())
-    doc = np.repeat(np.arange(rows), per)
-    u, inv = np.unique(h, return_inverse=True)
-    bad, all_ = np.bincount(inv, t[doc] == 1, len(u)), np.bincount(inv, minlength=len(u))
-    n1, n0 = max((t == 1).sum(), 1), max((t != 1).sum(), 1)
-    odds = np.log((bad + 0.5) / n1) - np.log((all_ - bad + 0.5) / n0)
-    picked = np.flatnonzero((bad >= max(p.lexicon_min_docs, p.lexicon_min_share * n1)) & (odds >= np.log(p.lexicon_min_odds)))
-    picked = picked[np.argsort(-odds[picked] * np.sqrt(bad[picked]), kind="stable")][: p.lexicon]
-    lexicon = np.sort(u[picked])
-    if len(lexicon):
-        inside = np.isin(inv, picked)
-        hit = np.bincount(doc[inside], c[inside], rows)
-        x[:, FEATURES.index("toxic_hits")] = hit
-        x[:, FEATURES.index("toxic_rate")] = hit / np.maximum(x[:, FEATURES.index("words")], 1)
+    x = table.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
+    order = np.lexsort((*x.T, t, q))  # the same whatever order the rows came in
+    q, t, x = q[order], t[order], x[order]
     clean = (q == 1) & (t == 0)
-    return Model(lexicon, fit_head(x, q == 1, clean, p), fit_head(x[:, TOXIC], t == 0, clean, p), rows)
+    return Model(words, fit_head(x, q == 1, clean, p), fit_head(x[:, TOXIC], t == 0, clean, p), len(q))
 
 
 SCORES = T.StructType([T.StructField("quality_score", T.DoubleType()), T.StructField("toxic_score", T.DoubleType()), T.StructField("keep", T.BooleanType())])
