@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 
@@ -9,20 +11,39 @@ from fringeworks.llm import wavelet as W
 def test_access_count_occurrences(n, top):
     r = np.random.default_rng(n)
     x = r.integers(0, top, n)
-    bits = max(1, (top - 1).bit_length())
-    m = W.WaveletMatrix.frombytes(W.WaveletMatrix.build(x, np.array([7]), np.array([0, n]), np.zeros(1, np.uint8), bits).tobytes())
+    m = W.WaveletMatrix.frombytes(W.WaveletMatrix.build(x, np.array([7]), np.array([0, n]), np.zeros(1, np.uint8)).tobytes())
     assert m.access(np.arange(n)).tolist() == x.tolist()
     for t in {*x[:5].tolist(), 0, top - 1, top + 5}:
         assert m.occurrences(t).tolist() == np.flatnonzero(x == t).tolist()
         assert m.count(t) == (x == t).sum() and m.count(t, n // 3, n // 2) == (x[n // 3 : n // 2] == t).sum()
 
 
+def test_skewed_tokens_take_less_than_plain_ones():
+    x = np.random.default_rng(1).zipf(1.3, 200_000) % 50257
+    raw = W.WaveletMatrix.build(x, np.array([7]), np.array([0, len(x)]), np.zeros(1, np.uint8)).tobytes()
+    m = W.WaveletMatrix.frombytes(raw)
+    assert len(raw) < 0.9 * 2 * len(x) and {p.form for p in m.planes} >= {2, 3}
+    i = np.random.default_rng(2).integers(0, len(x), 2000)
+    assert (m.access(i) == x[i]).all()
+    for t in (1, 2, 17, int(x[5]), 50256):
+        assert m.occurrences(t).tolist() == np.flatnonzero(x == t).tolist()
+
+
+def test_block_code_is_a_bijection():
+    r = np.random.default_rng(3)
+    words = np.concatenate([r.integers(0, 2**63, 500, dtype=np.uint64), np.array([0, 2**63 - 1], np.uint64), np.uint64(1) << np.arange(63, dtype=np.uint64)])
+    ones = np.bitwise_count(words)
+    index = W._index(words, ones)
+    assert (W._word(index, ones) == words).all() and all(int(i) < 2 ** int(W.WIDTH[k]) or W.WIDTH[k] == 0 for i, k in zip(index, ones))
+
+
 def test_plane_rank_select():
     r = np.random.default_rng(0)
-    for density in (0.0, 0.1, 0.9, 1.0):
-        bits = r.random(3000) < density
+    for density, n in itertools.product((0.0, 0.005, 0.05, 0.2, 0.5, 0.9, 0.997, 1.0), (1, 63, 64, 1008, 3000)):
+        bits = r.random(n) < density
         p = W.Plane.of(bits)
-        assert p.rank(np.arange(3001)).tolist() == np.concatenate([[0], np.cumsum(bits)]).tolist()
+        assert (p.get(np.arange(n)) == bits).all()
+        assert p.rank(np.arange(n + 1)).tolist() == np.concatenate([[0], np.cumsum(bits)]).tolist()
         for one in (True, False):
             at = np.flatnonzero(bits == one)
             assert p.select(np.arange(len(at)), one).tolist() == at.tolist()
