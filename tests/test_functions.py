@@ -186,3 +186,18 @@ def test_checks():
     assert C.has_shape((2, 2))(np.eye(2)) and C.has_ndim(1)([1]) and C.is_array_shape((2, 3)) and not C.is_array_shape(())
     assert C.accept_any(C.is_real, C.is_complex)(1j) and not C.require_all(C.is_real, C.is_integer)(1.5) and C.is_instance(int)(1)
     assert C.has_booleans([True]) and C.has_complex([1j]) and C.has_integers([1]) and C.is_scalar(np.float64(1)) and C.is_odd(3)
+
+
+def test_quadrature_and_interpolation(spark):
+    from fringeworks.operators import interpolate as IP
+
+    n = 6
+    grid = IP.equal_angle_weights(GR.equal_angle(spark, n), n)
+    assert grid.agg(F.sum("weight")).first()[0] == pytest.approx(4 * math.pi)
+    x, y, z = SP.pol2cart(F.lit(1.0), F.col("colat"), F.col("lon"))
+    support = grid.select((F.col("q") * 100 + F.col("l")).alias("s_id"), "weight", x.alias("x"), y.alias("y"), z.alias("z")).withColumn("f", 2 + F.col("z") * F.col("x"))
+    target = GR.fibonacci(spark, 2).withColumnRenamed("pixel_id", "r_id")
+    got = IP.interpolate(support, target, n).join(target, "r_id").toPandas()
+    assert np.allclose(got.value, 2 + got.z * got.x)
+    mask = IP.sparsity_mask(support, target, n, lobes=2.0)
+    assert 0 < mask.count() < support.count() * target.count() and IP.interpolate(support, target, n, mask).count() == target.count()
