@@ -8,7 +8,8 @@ by themselves.  The other pieces are packed bulk-synchronously.  Each round
   its size that no larger piece took (as brackets match: gaps open, pieces
   close; gap and piece at the same depth belong together),
 * resolves pieces that want the same gap by rank (a class's k-th piece takes the
-  k-th gap from the top of the stack),
+  k-th gap from the top of the stack); a gap that holds several of the largest
+  waiting piece takes part with as many slots,
 * updates the gaps; pieces without a gap open new sequences, largest first, as
   many as their lengths sum up to,
 
@@ -61,31 +62,39 @@ def _placed(events: DataFrame) -> DataFrame:
     net = F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))
     pieces_ = F.when(F.col("kind") == 1, F.col("n")).otherwise(0)
     place = counts.select("size", "kind", F.coalesce(F.sum(net).over(order), F.lit(0)).alias("at"), F.coalesce(F.sum(pieces_).over(order), F.lit(0)).alias("above"))
-    rank = F.row_number().over(Window.partitionBy("size", "kind").orderBy("id"))
+    rank = F.row_number().over(Window.partitionBy("size", "kind").orderBy("id", "slot"))
     return events.withColumn("r", rank).join(F.broadcast(place), ["size", "kind"])  # at most 2 x capacity rows
 
 
-_ROW = "struct<kind:int,id:bigint,size:int,bin:bigint,off:int>"
+_ROW = "struct<kind:int,id:bigint,size:int,bin:bigint,seq:bigint>"
 
 
-def _row(kind, id_, size, bin_, off):
-    return F.struct(F.lit(kind).alias("kind"), id_.alias("id"), size.alias("size"), bin_.alias("bin"), off.alias("off")).cast(_ROW)
+def _row(kind, id_, size, bin_, seq):
+    return F.struct(F.lit(kind).alias("kind"), id_.alias("id"), size.alias("size"), bin_.alias("bin"), seq.alias("seq")).cast(_ROW)
 
 
 def _same():
-    return F.struct("kind", "id", "size", F.lit(None).alias("bin"), F.lit(None).alias("off")).cast(_ROW)
+    return F.struct("kind", "id", "size", F.lit(None).alias("bin"), F.lit(None).alias("seq")).cast(_ROW)
 
 
-def sweep(events: DataFrame, c: int) -> DataFrame:
-    """One round: placements (kind 2), gaps as they are left (0) and pieces that still wait (1)."""
+def slots(gaps: DataFrame, most: int) -> DataFrame:
+    """``size, kind, id, slot``: each gap (bin, space) as slots of the largest piece's size, the last with what is left over."""
+    n = F.greatest(F.floor(F.col("space") / max(most, 1)), F.lit(1)).cast("int")
+    each = gaps.select("bin", "space", n.alias("n")).select("bin", "space", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slot"))
+    size = F.when(F.col("slot") < F.col("n") - 1, F.lit(most)).otherwise(F.col("space") - F.col("slot") * most)
+    return each.select(size.cast("int").alias("size"), F.lit(0).alias("kind"), F.col("bin").alias("id"), "slot")
+
+
+def sweep(events: DataFrame, turn: int = 0) -> DataFrame:
+    """One round: placements (kind 2), what is left of the slots (0) and pieces that still wait (1)."""
     # a gap raises the depth to its level, a piece lowers it from its level: at a level they alternate
     level = F.when(F.col("kind") == 0, F.col("at") + F.col("r")).otherwise(F.col("at") - F.col("r") + 1)
     w = Window.partitionBy("level").orderBy(F.col("size").desc(), "kind")
-    seen = _placed(events).select("size", "kind", "id", level.alias("level"))
-    seen = seen.withColumn("before", F.lag(F.struct("kind", "id", "size")).over(w)).withColumn("after", F.lead("kind").over(w))
+    seen = _placed(events).select("size", "kind", "id", "slot", level.alias("level"))
+    seen = seen.withColumn("before", F.lag(F.struct("kind", "id", "size", "slot")).over(w)).withColumn("after", F.lead("kind").over(w))
     gap, piece, none = F.col("kind") == 0, F.col("kind") == 1, F.lit(None)
     got = F.array(
-        _row(2, F.col("id"), F.col("size"), F.col("before.id"), c - F.col("before.size")),
+        _row(2, F.col("id"), F.col("size"), F.col("before.id"), F.lit(turn).cast("bigint") * 1_000_000 + F.col("before.slot")),
         _row(0, F.col("before.id"), F.col("before.size") - F.col("size"), none, none),
     )
     rows = F.when(piece & (F.col("before.kind") == 0), got).when(gap & (F.col("after") == 1), F.array().cast(f"array<{_ROW}>")).otherwise(F.array(_same()))
@@ -96,7 +105,7 @@ def opening(events: DataFrame, want: int, c: int) -> DataFrame:
     """New sequences for all pieces over half the capacity, and for the ``want`` largest (by size, then id)."""
     first = (F.col("kind") == 1) & ((F.col("size") > c // 2) | (F.col("above") + F.col("r") <= want))
     none = F.lit(None)
-    got = F.array(_row(2, F.col("id"), F.col("size"), F.col("id"), F.lit(0)), _row(0, F.col("id"), c - F.col("size"), none, none))
+    got = F.array(_row(2, F.col("id"), F.col("size"), F.col("id"), F.lit(-1)), _row(0, F.col("id"), c - F.col("size"), none, none))
     return _placed(events).select(F.explode(F.when(first, got).otherwise(F.array(_same()))).alias("e")).select("e.*").where("size > 0")
 
 
@@ -116,42 +125,56 @@ def _joined(ws: Workspace, small: DataFrame, limit: int) -> DataFrame:
     return out.select("run", "id", "length", F.coalesce(F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
 
 
-def _state(ws: Workspace, df: DataFrame, name: str) -> tuple[DataFrame, tuple[int, int, int, int]]:
-    """Write a round's table; pieces waiting, their length, the least of them, and the gaps' room, from the same job."""
+@dataclass(frozen=True)
+class _Sums:
+    """Pieces waiting, their length, the least and the largest of them, and the gaps' room."""
+
+    count: int
+    length: int
+    least: int
+    most: int
+    room: int
+
+
+def _state(ws: Workspace, df: DataFrame, name: str) -> tuple[DataFrame, _Sums]:
+    """Write a round's table; its sums come from the same job."""
     seen = Observation()
-    piece = F.col("kind") == 1
-    zero = F.lit(0)
-    df = df.observe(
-        seen,
-        F.coalesce(F.sum(F.when(piece, 1).otherwise(0)), zero).alias("n"), F.coalesce(F.sum(F.when(piece, F.col("size"))), zero).alias("length"),
-        F.coalesce(F.min(F.when(piece, F.col("size"))), zero).alias("least"), F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("size"))), zero).alias("room"),
-    )
+    piece, zero = F.col("kind") == 1, F.lit(0)
+    of = lambda f, c: F.coalesce(f(F.when(c, F.col("size"))), zero)
+    df = df.observe(seen, F.coalesce(F.sum(piece.cast("int")), zero).alias("count"), of(F.sum, piece).alias("length"), of(F.min, piece).alias("least"), of(F.max, piece).alias("most"), of(F.sum, F.col("kind") == 0).alias("room"))
     table = ws.write(df, name)
-    got = seen.get
-    return table, (int(got["n"]), int(got["length"]), int(got["least"]), int(got["room"]))
+    return table, _Sums(**{k: int(v) for k, v in seen.get.items()})
+
+
+def _events(state: DataFrame, s: _Sums) -> DataFrame:
+    """Waiting pieces, and open gaps large enough for any of them, as slots."""
+    gaps = state.where("kind = 0").groupBy(F.col("id").alias("bin")).agg(F.sum("size").cast("int").alias("space")).where(F.col("space") >= s.least)
+    pieces_ = state.where("kind = 1").select("size", "kind", "id", F.lit(0).alias("slot"))
+    return pieces_.unionByName(slots(gaps, s.most))
 
 
 def assigned(ws: Workspace, items: DataFrame, p: Params) -> DataFrame:
     """``id, bin, off`` for ``id, length`` (id unique, 0 < length < capacity); one job a round."""
     c = p.capacity
-    none = F.lit(None)
-    state, (count, length, least, room) = _state(ws, items.select(F.lit(1).alias("kind"), "id", F.col("length").cast("int").alias("size"), none.cast("bigint").alias("bin"), none.cast("int").alias("off")), "start")
-    done: list[DataFrame] = []
-    while count:
-        before = count
-        events = state.where((F.col("kind") == 1) | (F.col("kind") == 0) & (F.col("size") >= least)).select("kind", "id", "size")
-        if room:
-            state, (count, length, least, room) = _state(ws, sweep(events, c), "round")
-            done.append(state.where("kind = 2").select("id", "bin", "off"))
-            events = state.where((F.col("kind") == 1) | (F.col("kind") == 0) & (F.col("size") >= least)).select("kind", "id", "size")
-        want = max(-(-(length - room) // c), 1 if count == before else 0)
-        if count and want > 0:
-            state, (count, length, least, room) = _state(ws, opening(events, want, c), "opened")
-            done.append(state.where("kind = 2").select("id", "bin", "off"))
-    out = done[0] if done else items.select("id", F.col("id").alias("bin"), F.lit(0).alias("off")).limit(0)
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    none = F.lit(None).cast("bigint")
+    state, s = _state(ws, items.select(F.lit(1).alias("kind"), "id", F.col("length").cast("int").alias("size"), none.alias("bin"), none.alias("seq")), "start")
+    done = []
+    turn = 0
+    while s.count:
+        before, turn = s.count, turn + 1
+        if s.room >= s.least:
+            state, s = _state(ws, sweep(_events(state, s), turn), "round")
+            done.append(state)
+        want = max(-(-(s.length - s.room) // c), 1 if s.count == before else 0)
+        if s.count and want > 0:
+            state, s = _state(ws, opening(_events(state, s), want, c), "opened")
+            done.append(state)
+    # pieces follow each other in their sequence in the order they came
+    out = items.select("id", F.col("id").alias("bin"), none.alias("seq"), F.col("length").cast("int").alias("size")).limit(0)
+    for d in done:
+        out = out.unionByName(d.where("kind = 2").select("id", "bin", "seq", "size"))
+    order = Window.partitionBy("bin").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return out.select("id", "bin", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("off"))
 
 
 def packed(docs: DataFrame, p: Params = Params()) -> DataFrame:

@@ -62,8 +62,8 @@ def test_sweep_matches_a_stack(spark, seed):
     r = np.random.default_rng(seed)
     gaps = [(int(i), int(s)) for i, s in enumerate(r.integers(1, 12, 40))]
     items = [(int(i), int(s)) for i, s in enumerate(r.integers(1, 12, 60))]
-    events = spark.createDataFrame([(s, 0, i) for i, s in gaps] + [(s, 1, i) for i, s in items], "size int, kind int, id long")
-    rows = K.sweep(events, 100).collect()
+    events = spark.createDataFrame([(s, 0, i, 0) for i, s in gaps] + [(s, 1, i, 0) for i, s in items], "size int, kind int, id long, slot int")
+    rows = K.sweep(events).collect()
     want = brute(gaps, items)
     assert {x.id: x.bin for x in rows if x.kind == 2} == want
     assert sorted(x.id for x in rows if x.kind == 1) == sorted(set(dict(items)) - set(want))
@@ -71,3 +71,11 @@ def test_sweep_matches_a_stack(spark, seed):
     for i, g in want.items():
         left[g] -= dict(items)[i]
     assert {x.id: x.size for x in rows if x.kind == 0} == {g: s for g, s in left.items() if s}
+
+
+def test_slots_share_out_a_gap(spark):
+    gaps = spark.createDataFrame([(1, 100), (2, 7), (3, 20)], "bin long, space int")
+    got = {}
+    for r in K.slots(gaps, 10).collect():
+        got.setdefault(r.id, []).append((r.slot, r.size))
+    assert sorted(got[1]) == [(k, 10) for k in range(10)] and got[2] == [(0, 7)] and sorted(got[3]) == [(0, 10), (1, 10)]
