@@ -36,7 +36,7 @@ from .workspace import documents
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 _KEY = r"(?:api|access|auth|secret|private|client|session)[ _-]?(?:key|token|secret|id)|token|secret|passw(?:or)?d|passwd|pwd|bearer|authorization|credential"
 GENERATORS = (
-    ("email", re.compile(r"[\w.%+\-']+@[\w\-]+(?:\.[\w\-]+)*")),
+    ("email", re.compile(r"[\w.%+\-']{1,64}@[\w\-]{1,63}(?:\.[\w\-]{1,63}){0,8}")),
     ("ip", re.compile(r"(?<![\d.])\d{1,4}(?:\.\d{1,4}){3}(?![\d])")),
     ("ip", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:])")),
     ("card", re.compile(r"(?<!\d)\d(?:[ \-]?\d){11,18}(?!\d)")),
@@ -429,8 +429,11 @@ def redactor(spark: SparkSession, p: Params = Params()):
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.struct([("text", pa.string()), ("spans", pa.list_(_SPAN))])
         for column in it:
-            texts, spans = redact(column, held.value)
-            yield pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(spans, pa.list_(_SPAN))], fields=list(kind))
+            parts = []
+            for b in X.slices([pa.RecordBatch.from_arrays([column], ["t"])], "t"):
+                texts, spans = redact(b.column(0), held.value)
+                parts.append(pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(spans, pa.list_(_SPAN))], fields=list(kind)))
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     run.__annotations__ = {"it": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, RESULT).asNondeterministic()

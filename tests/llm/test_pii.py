@@ -65,3 +65,13 @@ def test_messy(messy, nothing):
     assert len(rows) == len(before)
     assert all(r.text is None and r.n_spans == 0 for r in rows if r.doc_id == 3)
     assert P.redacted(nothing).count() == 0 and P.cleaned(nothing).count() == 0
+
+
+def test_time_is_linear_in_long_runs():
+    import time
+
+    blob = "aB3" * 100_000
+    began = time.time()
+    _, got = spans(f"{blob} and {blob}@ then jo.doe@example.org" + " 1" * 50_000 + "=" * 50_000)
+    assert time.time() - began < 30
+    assert "email" in {s["kind"] for s in got}
