@@ -340,7 +340,7 @@ def kept(docs: DataFrame, p: Params = Params()) -> DataFrame:
     ws = Workspace(docs.sparkSession, "simhash")
     table, links = groups(ws, docs, p)
     out = without(docs, links.select(F.col("u").alias("_gone")), p.broadcast_rows)
-    repeated = ws.write(docs.where("doc_id is not null and text is not null and text <> ''").groupBy(F.col("doc_id").alias("_rep")).count().where("count > 1").select("_rep"), "repeated")
+    repeated = ws.write(table.groupBy(F.col("doc_id").alias("_rep")).count().where("count > 1").select("_rep"), "repeated")
     if repeated.isEmpty():
         return out
     again = out.join(repeated, out["doc_id"] == repeated["_rep"], "left_semi")
