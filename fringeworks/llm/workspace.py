@@ -19,7 +19,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not path:
         path = "file://" + tempfile.mkdtemp(prefix="fringeworks-")
         spark.sparkContext.setCheckpointDir(path)
-    return path
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)  # with its file system, as tasks may open it without Spark
+    return target.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(target).toString()
 
 
 class Workspace:
