@@ -36,10 +36,10 @@ SYMBOLS, ORDER, WIDTH = 64, 4, 6
 
 @dataclass(frozen=True)
 class Params:
-    dim: int = 24
-    noise: int = 8
+    dim: int = 40
+    noise: int = 12
     rounds: int = 3
-    epochs: int = 2
+    epochs: int = 4
     batch: int = 2048
     rate: float = 0.02
     share: int = 250_000  # counted 5-grams per training task
