@@ -114,8 +114,11 @@ def direct_sum(vis: np.ndarray, uvw: np.ndarray, lmn: np.ndarray) -> np.ndarray:
 
 def factorised(v: np.ndarray, d: np.ndarray, pos: np.ndarray, lmn: np.ndarray) -> np.ndarray:
     """The same for uvw_ij = pos_i - pos_j and any number of filters: ``d`` is (images, E), the result (images, P)."""
-    a = np.exp(1j * (lmn @ pos.T)) @ v
-    return d @ (a.real**2 + a.imag**2).T
+    phase = lmn @ pos.T
+    e = np.empty(phase.shape, np.result_type(phase, 1j))
+    e.real, e.imag = np.cos(phase), np.sin(phase)  # vectorised in either precision, as a complex exponential isn't
+    a = e @ v.astype(e.dtype)
+    return d.astype(phase.dtype) @ (a.real**2 + a.imag**2).T
 
 
 def separable(uvw: np.ndarray, n: int, tol: float = 1e-4) -> np.ndarray | None:

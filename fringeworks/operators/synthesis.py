@@ -85,9 +85,9 @@ def _partial_images(tags: list[str], lmn: np.ndarray, n: int, o: Options):
                     else:
                         for t in range(len(tags)):
                             total[t, a : a + step] += L.direct_sum(L.virtual_vis(v, d[t]).ravel(order="F"), uvw.astype(kind), p)
-        for t, tag in enumerate(tags):
+        for t in range(len(tags)):
             if total[t].any():
-                yield pd.DataFrame({"tag": tag, "pixel_id": np.arange(len(lmn)), "value": total[t]})
+                yield pd.DataFrame({"t": np.full(len(lmn), t, np.int32), "pixel_id": np.arange(len(lmn)), "value": total[t]})
 
     return run
 
@@ -111,13 +111,13 @@ def image_synthesis(samples: DataFrame, selection: DataFrame, pixels: DataFrame,
     for a in range(lo, hi + 1, pixel_block):
         block = pixels.where(F.col("pixel_id").between(a, min(hi, a + pixel_block - 1))).orderBy("pixel_id").toPandas()
         ids = block.pixel_id.to_numpy()
-        part = rows.mapInPandas(_partial_images(tags, block[["l", "m", "n"]].to_numpy(float), n_antenna, options), "tag string, pixel_id bigint, value double")
+        part = rows.mapInPandas(_partial_images(tags, block[["l", "m", "n"]].to_numpy(float), n_antenna, options), "t int, pixel_id bigint, value double")
         first = int(ids[0])
-        part = part.withColumn("pixel_id", F.col("pixel_id") + first) if (np.diff(ids) == 1).all() else part.join(samples.sparkSession.createDataFrame([(i, int(p)) for i, p in enumerate(ids)], "pixel_id long, real long"), "pixel_id").select("tag", F.col("real").alias("pixel_id"), "value")
+        part = part.withColumn("pixel_id", F.col("pixel_id") + first) if (np.diff(ids) == 1).all() else part.join(samples.sparkSession.createDataFrame([(i, int(p)) for i, p in enumerate(ids)], "pixel_id long, real long"), "pixel_id").select("t", F.col("real").alias("pixel_id"), "value")
         out = part if out is None else out.unionByName(part)
-    tag_rows = samples.sparkSession.createDataFrame([(t,) for t in tags], "tag string")
-    full = pixels.select("pixel_id").crossJoin(F.broadcast(tag_rows)).select("tag", "pixel_id", F.lit(0.0).alias("value"))  # pixels without signal are 0
-    total = out.unionByName(full).groupBy("tag", "pixel_id").agg(F.sum("value").alias("value"))
+    full = pixels.select(F.explode(F.sequence(F.lit(0), F.lit(len(tags) - 1))).alias("t"), "pixel_id", F.lit(0.0).alias("value"))  # pixels without signal are 0
+    total = out.unionByName(full).groupBy("t", "pixel_id").agg(F.sum("value").alias("value"))
+    total = total.select(F.element_at(F.array(*map(F.lit, tags)), F.col("t") + 1).alias("tag"), "pixel_id", "value")
     if options.normalize:
         total = normalised(total, count)
     return total.select("tag", "pixel_id", F.col("value").cast("float" if options.precision == "single" else "double").alias("value"))
