@@ -6,11 +6,13 @@ from the context's symbols, each turned by the matrix of its place, and scores
 every symbol by a product with its own vector plus a bias.
 
 Training sees every position of every document: all 5-grams are counted over the
-corpus, and each task trains on its share of the counted 5-grams by
-noise-contrastive estimation (k samples of the corpus's own symbol frequencies
-per example, Adam); the tasks' parameters are averaged by their weight, round by
-round.  Scoring multiplies the vectors of all distinct contexts of a slice with
-all symbols at once, so log-probabilities are normalised exactly.
+corpus, and cut into examples that stand for at most ``chunk`` equal positions
+each, so examples and tasks grow with the positions.  A task visits all of its
+examples in every epoch, weighted by their positions, by noise-contrastive
+estimation (k samples of the corpus's own symbol frequencies per example, Adam);
+the tasks' parameters are averaged by their weight, round by round.  Scoring
+multiplies the vectors of all distinct contexts of a slice with all symbols at
+once, so log-probabilities are normalised exactly.
 
 Defined results: a null text has null scores; an empty one has no tokens, log-
 probability 0 and null mean and perplexity.  Every row is scored alone, so
@@ -42,7 +44,8 @@ class Params:
     epochs: int = 4
     batch: int = 2048
     rate: float = 0.02
-    share: int = 250_000  # counted 5-grams per training task
+    share: int = 250_000  # examples per training task
+    chunk: int = 64  # equal positions that an example stands for at most
     seed: int = 5
     slice_bytes: int = 4 << 20
 
@@ -155,39 +158,48 @@ class Model:
         return s - np.log(np.exp(s).sum(1, keepdims=True))
 
 
+def examples(table: DataFrame, p: Params) -> DataFrame:
+    """``g, part, n``: each counted 5-gram in even parts of at most ``chunk`` positions."""
+    parts = F.expr(f"cast((n + {p.chunk - 1}) div {p.chunk} as bigint)")
+    # in two steps, so that no row's array is long
+    rows = table.withColumn("m", parts).select("g", "n", "m", F.explode(F.expr("sequence(0L, (m - 1) div 4096)")).alias("o"))
+    rows = rows.select("g", "n", "m", F.explode(F.expr("sequence(o * 4096, least(m, (o + 1) * 4096) - 1)")).alias("part"))
+    return rows.select("g", "part", F.expr("n div m + if(part < n % m, 1, 0)").alias("n"))
+
+
+def visits(rng: np.random.Generator, n: int, p: Params) -> list[np.ndarray]:
+    """Batches of examples: all of them once an epoch, in a new order each; 20 batches at least."""
+    per = -(-n // p.batch)
+    return [order[i : i + p.batch] for _ in range(max(p.epochs, -(-20 // per))) for order in [rng.permutation(n)] for i in range(0, n, p.batch)]
+
+
 def _train(theta: np.ndarray, g: np.ndarray, n: np.ndarray, unigram: np.ndarray, p: Params, seed: int, rate: float) -> np.ndarray:
-    """A task's epochs of noise-contrastive estimation on its counted 5-grams, each weighted by its count."""
+    """A task's epochs of noise-contrastive estimation on its examples, each weighted by its positions."""
     rng = np.random.default_rng(seed)
     theta = theta.copy()
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     log_noise = np.log(p.noise * unigram)
     cum = np.cumsum(unigram)
     weight = n / n.mean()
-    prob = n / n.sum()
-    steps = max(20, p.epochs * len(g) // p.batch)
-    # counts are heavy-tailed: draw examples by the square root of their count and weight them by the rest
-    root = np.sqrt(prob)
-    root /= root.sum()
-    draw = np.cumsum(root)
-    weight = prob / root
-    weight /= (weight * root).sum()
+    batches = visits(rng, len(g), p)
+    steps = len(batches)
     d, eye = p.dim, np.eye(SYMBOLS)
-    for t in range(1, steps + 1):
+    for t, i in enumerate(batches, 1):
         model = Model(theta, d)
-        i = np.minimum(np.searchsorted(draw, rng.random(p.batch)), len(g) - 1)
+        size = len(i)
         code, w = g[i], weight[i]
         ctx, sym = code >> WIDTH, code & (SYMBOLS - 1)
-        noise = np.minimum(np.searchsorted(cum, rng.random((p.batch, p.noise))), SYMBOLS - 1)
+        noise = np.minimum(np.searchsorted(cum, rng.random((size, p.noise))), SYMBOLS - 1)
         words = np.concatenate([sym[:, None], noise], 1)
         qv = model.predicted(ctx)
-        s = (qv @ model.q.T + model.b)[np.arange(p.batch)[:, None], words]
+        s = (qv @ model.q.T + model.b)[np.arange(size)[:, None], words]
         z = 1 / (1 + np.exp(-np.clip(s - log_noise[words], -30, 30)))
         z[:, 0] -= 1
-        z *= (w / p.batch)[:, None]
+        z *= (w / size)[:, None]
         grad = np.zeros_like(theta)
         gm = Model(grad, d)
         # gradient of the scores, gathered as a dense matrix: the symbols are few
-        ds = np.bincount((np.arange(p.batch)[:, None] * SYMBOLS + words).ravel(), z.ravel(), p.batch * SYMBOLS).reshape(p.batch, SYMBOLS)
+        ds = np.bincount((np.arange(size)[:, None] * SYMBOLS + words).ravel(), z.ravel(), size * SYMBOLS).reshape(size, SYMBOLS)
         gm.b[:] = ds.sum(0)
         gm.q[:] = ds.T @ qv
         dq = ds @ model.q
@@ -208,7 +220,7 @@ def _trained_rows(theta: np.ndarray, unigram: np.ndarray, p: Params, rate: float
         cols = [(b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy()) for b in batches if b.num_rows]
         if cols:
             g, n = np.concatenate([c for c, _ in cols]), np.concatenate([c for _, c in cols])
-            order = np.argsort(g)  # the same whatever order the shuffle gave
+            order = np.lexsort((n, g))  # the same whatever order the shuffle gave
             task = TaskContext.get()
             got = _train(theta, g[order], n[order].astype(float), unigram, p, p.seed + (task.partitionId() if task else 0), rate)
             yield pa.RecordBatch.from_arrays([pa.array([float(n.sum())]), pa.array([got], pa.list_(pa.float64()))], ["w", "theta"])
@@ -219,7 +231,7 @@ def _trained_rows(theta: np.ndarray, unigram: np.ndarray, p: Params, rate: float
 def fit(ws: Workspace, docs: DataFrame, p: Params = Params()) -> tuple[Model, int]:
     """Count, then train in rounds of averaged tasks; also the number of counted positions."""
     table = ws.write(counts(docs, p), "grams")
-    rows = table.groupBy(F.expr(f"g & {SYMBOLS - 1}").alias("s")).agg(F.sum("n").alias("n"), F.count("*").alias("m")).collect()  # 64 rows at most
+    rows = table.groupBy(F.expr(f"g & {SYMBOLS - 1}").alias("s")).agg(F.sum("n").alias("n"), F.sum(F.expr(f"(n + {p.chunk - 1}) div {p.chunk}")).alias("m")).collect()  # 64 rows at most
     unigram = np.full(SYMBOLS, 0.5)
     for r in rows:
         unigram[r.s] += r.n
@@ -229,9 +241,9 @@ def fit(ws: Workspace, docs: DataFrame, p: Params = Params()) -> tuple[Model, in
     if not total:
         return Model(np.zeros_like(model.theta), p.dim), 0
     tasks = max(1, -(-sum(r.m for r in rows) // p.share))
-    spread = ws.write(table.repartition(tasks, F.xxhash64("g")), "spread") if tasks > 1 else table.coalesce(1)
+    every = examples(table, p)
+    part = (every.coalesce(1) if tasks == 1 else every.repartition(tasks, F.xxhash64("g", "part"))).select("g", "n")
     for k in range(p.rounds):
-        part = spread if tasks == 1 else spread.repartition(tasks, F.xxhash64("g"))
         got = part.mapInArrow(_trained_rows(model.theta, unigram, p, p.rate / (1 + k)), "w double, theta array<double>")
         # the weighted mean is taken by the cluster; one row comes back
         mean = got.select("w", F.posexplode("theta").alias("i", "x")).groupBy("i").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x")).orderBy("i").toArrow()

@@ -73,3 +73,21 @@ def test_messy(messy, nothing):
             assert r.n_tokens > 0 and r.logprob < 0 and r.perplexity > 1
     assert len({tuple(r) for r in rows if r.doc_id == 1}) == 1
     assert L.scored(nothing, P).count() == 0
+
+
+def test_every_example_is_visited_in_every_epoch():
+    p = L.Params(batch=64, epochs=3)
+    for n in (1, 50, 5000):
+        seen = np.bincount(np.concatenate(L.visits(np.random.default_rng(0), n, p)), minlength=n)
+        assert seen.min() == seen.max() >= 3
+
+
+def test_examples_grow_with_positions(spark):
+    table = spark.createDataFrame([(1, 1), (2, 64), (3, 65), (4, 6400)], "g int, n long")
+    p, sizes = L.Params(), {}
+    for k in (1, 10):
+        rows = L.examples(table.selectExpr("g", f"n * {k} as n"), p).collect()
+        assert max(r.n for r in rows) <= p.chunk
+        assert {g: sum(r.n for r in rows if r.g == g) for g in (1, 2, 3, 4)} == {1: k, 2: 64 * k, 3: 65 * k, 4: 6400 * k}
+        sizes[k] = len(rows)
+    assert sizes[10] > 9 * sizes[1]
