@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from fringeworks.llm import fingerprint as P
@@ -53,3 +55,16 @@ def test_messy(messy, nothing):
     one = sorted((r.pos, r.hash) for r in rows if r.doc_id == 2)
     assert sorted((r.pos, r.hash) for r in rows if r.doc_id == 1) == sorted(one * 2)
     assert P.fingerprints(nothing).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_every_benchmark_item_is_found_inside_a_document(sf):
+    items = pq.read_table(f"/root/testdata/{sf}/benchmark.parquet")["text"].to_pylist()
+    r = np.random.default_rng(3)
+    say = lambda n: " ".join("w" + str(x) for x in r.integers(0, 10**6, n))
+    texts = items + [f"{say(40 + i % 50)} {t}\n{say(60)}" for i, t in enumerate(items)]
+    found = [set() for _ in texts]
+    for b in P._rows(P.Params())(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])])):
+        for d, h in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+            found[d].add(h)
+    assert all(a & b for a, b in zip(found, found[len(items) :]))
