@@ -13,6 +13,12 @@ words are ordered by their frequency in all documents, rarest first; then
 and what remains is verified on the words themselves (not their hashes).
 Templates are few and fixed, so they go with the task; documents aren't shuffled.
 
+Lines miss sentences that are wrapped, as in source headers.  ``passages`` looks at
+windows of words over the whole text instead, whatever its line breaks and comment
+signs: a window has ``slack`` times the words of the template, and overlapping ones
+that meet the threshold are one passage, given by its best window.  Only windows
+near one of the template's prefix words are looked at.
+
 Defined results: null and empty texts and blocks without words match nothing; a
 template without words is ignored.  Words of equal frequency are ordered by
 hash.  Every row is treated alone, so repeated rows give repeated pairs, null
@@ -55,6 +61,7 @@ TEMPLATES = (
 class Params:
     containment: float = 0.9
     templates: tuple[tuple[str, str], ...] = TEMPLATES
+    slack: float = 1.5
 
 
 def words_of(text: str) -> list[bytes]:
@@ -70,15 +77,21 @@ def _hash(word: bytes) -> int:
     return int(X.hashes(f, np.array([0]), np.array([len(f)]))[0])
 
 
+def _length(text: str) -> int:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return len(X.spans(X.folded(raw), np.array([0, len(raw)]))[0])
+
+
 class Index:
     """Templates as sorted ordinals of their words, rarest first, and what each needs."""
 
     def __init__(self, p: Params, frequency: dict[int, int] | None = None):
-        self.names, sets = [], []
+        self.names, self.window, sets = [], [], []
         for name, text in p.templates:
             words = words_of(text)
             if words:
                 self.names.append(name)
+                self.window.append(math.ceil(p.slack * _length(text)))
                 sets.append(words)
         every = {w: _hash(w) for ws in sets for w in ws}
         order = sorted(every, key=lambda w: ((frequency or {}).get(every[w], 0), every[w]))
@@ -141,6 +154,57 @@ class Index:
                         out.append((int(doc[a]), int(block[a]), t, overlap))
         return out
 
+    def passages(self, column: pa.Array) -> list[tuple[int, int, int, int]]:
+        """(row, first word, template, overlap) of every passage of any lines that meets the threshold."""
+        data, offsets, _ = X.utf8(column)
+        f = X.folded(data)
+        starts, ends, first = X.spans(f, offsets)
+        at, ordinal = self.hits(X.hashes(f, starts, ends))
+        doc = np.searchsorted(first, at, side="right") - 1
+        out = []
+        for t, (s, need, width) in enumerate(zip(self.sets, self.need, self.window, strict=True)):
+            inside, rare = np.zeros(len(self.words), bool), np.zeros(len(self.words), bool)
+            inside[s] = True
+            rare[s[: len(s) - need + 1]] = True
+            mine = np.flatnonzero(inside[ordinal])
+            seed = at[mine][rare[ordinal[mine]]]
+            if not len(seed):
+                continue
+            k = np.searchsorted(seed, at[mine])
+            near = (seed[np.minimum(k, len(seed) - 1)] - at[mine] < width) & (k < len(seed)) | (at[mine] - seed[k - 1] < width) & (k > 0)
+            mine = mine[near]
+            cut = np.flatnonzero((np.diff(at[mine]) >= width) | (np.diff(doc[mine]) > 0)) + 1
+            for run in np.split(mine, cut):
+                if len(run) >= need:
+                    out += [(int(doc[run[0]]), int(a - first[doc[run[0]]]), t, n) for a, n in self._slide(f, starts, ends, at[run].tolist(), set(s), need, width)]
+        return sorted(out)
+
+    def _slide(self, f: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: list[int], inside: set[int], need: int, width: int) -> Iterator[tuple[int, int]]:
+        """First word and overlap of the best window of each stretch of overlapping windows that meet the threshold."""
+        names = {self.words[o] for o in inside}
+        words = [f[starts[a] : ends[a]].tobytes() for a in at]
+        held: dict[bytes, int] = {}
+        left, end, best = 0, -1, (0, 0)
+        for right, (a, w) in enumerate(zip(at, words, strict=True)):
+            if w in names:  # equal hashes of other words don't count
+                held[w] = held.get(w, 0) + 1
+            while a - at[left] >= width:
+                old = words[left]
+                if old in held:
+                    held[old] -= 1
+                    if not held[old]:
+                        del held[old]
+                left += 1
+            if len(held) >= need:
+                if best[1] and at[left] > end:
+                    yield best
+                    best = (0, 0)
+                if len(held) > best[1]:
+                    best = (at[left], len(held))
+                end = a
+        if best[1]:
+            yield best
+
 
 def _counts(p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,16 +228,16 @@ def frequencies(docs: DataFrame, p: Params) -> dict[int, int]:
     return {r.h & (2**64 - 1): r.n for r in rows.collect()}  # as many rows as templates have words
 
 
-def _search(index: Index):
+def _search(index: Index, whole: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in X.slices(batches, "text"):
-            found = index.search(b.column(1))
+            found = (index.passages if whole else index.search)(b.column(1))
             if found:
                 row, block, t, n = map(list, zip(*found, strict=True))
                 share = [x / len(index.sets[y]) for x, y in zip(n, t, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(row)), pa.array(block, pa.int32()), pa.array([index.names[y] for y in t]), pa.array(n, pa.int32()), pa.array(share, pa.float64())],
-                    ["doc_id", "block", "template", "overlap", "containment"],
+                    ["doc_id", "word" if whole else "block", "template", "overlap", "containment"],
                 )
 
     return run
@@ -190,6 +254,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def passages(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """``doc_id, word, template, overlap, containment`` for every passage, wrapped or not; ``word`` is the index of its first word."""
+    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    index = Index(p, frequencies(docs, p))
+    return src.mapInArrow(_search(index, True), "doc_id bigint, word int, template string, overlap int, containment double")
+
+
+def query_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def _oracle(p: Params = Params()) -> str:
     index = Index(p)
     rows = ", ".join("('{}', [{}], {})".format(n, ", ".join(f"'{index.words[o].decode()}'" for o in s), m) for n, s, m in zip(index.names, index.sets, index.need, strict=True))

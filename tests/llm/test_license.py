@@ -1,5 +1,6 @@
 import math
 import re
+import textwrap
 
 import pytest
 from hypothesis import given, settings
@@ -52,3 +53,35 @@ def test_messy(spark, messy, nothing):
     got = [tuple(r) for r in C.scanned(messy, p).collect()]
     assert got.count((1, 0, "fox", 3, 1.0)) == 2 and got.count((2, 0, "fox", 3, 1.0)) == 1 and len(got) == 3
     assert C.scanned(nothing).count() == 0
+
+
+@pytest.mark.parametrize("name,template", C.TEMPLATES)
+def test_wrapped_templates_are_found(name, template):
+    index = C.Index(C.Params())
+    for sign in ("", "# ", " * ", "// "):
+        for width in (40, 60, 72, 80):
+            wrapped = "\n".join(sign + x for x in textwrap.wrap("Some prose comes first. " + template + " And more.", width - len(sign)))
+            got = index.passages(pa.array([None, "none", wrapped]))
+            assert (2, name, len(index.sets[index.names.index(name)])) in {(d, index.names[t], n) for d, _, t, n in got}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="abcdefgh \n.", max_size=60)), max_size=5), st.sampled_from([0.5, 0.8, 1.0]))
+def test_passages_are_where_a_window_meets_the_threshold(texts, threshold):
+    p = C.Params(threshold, TEMPLATES)
+    index = C.Index(p, {C._hash(b"c"): 9})
+    want = set()
+    for i, t in enumerate(texts):
+        ws = re.findall("[a-z]+", t or "")
+        for k, (s, need, width) in enumerate(zip(index.sets, index.need, index.window)):
+            names = {index.words[o].decode() for o in s}
+            if any(len(names & set(ws[j : j + width])) >= need for j in range(len(ws))):
+                want.add((i, k))
+    got = index.passages(pa.array(texts, pa.string()))
+    assert {(i, k) for i, _, k, _ in got} == want
+
+
+def test_passages_messy(spark, messy, nothing):
+    assert C.passages(messy).count() == 0 and C.passages(nothing).count() == 0
+    got = [tuple(r) for r in C.passages(messy, C.Params(0.5, (("fox", "quick brown fox"),))).collect()]
+    assert got.count((1, 1, "fox", 3, 1.0)) == 2 and got.count((2, 1, "fox", 3, 1.0)) == 1 and len(got) == 3
