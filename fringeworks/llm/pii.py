@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +36,8 @@ from .workspace import documents
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 _KEY = r"(?:api|access|auth|secret|private|client|session)[ _-]?(?:key|token|secret|id)|token|secret|passw(?:or)?d|passwd|pwd|bearer|authorization|credential"
+_NAME = r"(?:key|token|secret|pass|pwd|pat|sig|auth|cred|bearer)[\w.\-]{0,24}"  # within any identifier
+_GIVEN = rf"(?:{_KEY})[\"']?\s*(?:=>|[:=]|is)\s*|{_NAME}[\"']?[ \t]{{0,4}}(?:=>|:=|[:=])[ \t]{{0,4}}"
 GENERATORS = (
     ("email", re.compile(r"[\w.%+\-']{1,64}@[\w\-]{1,63}(?:\.[\w\-]{1,63}){0,8}")),
     ("ip", re.compile(r"(?<![\d.])\d{1,4}(?:\.\d{1,4}){3}(?![\d])")),
@@ -46,7 +49,8 @@ GENERATORS = (
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{1,4}){3,8}(?!\w)")),
     ("ssn", re.compile(r"(?<![\d\-])\d{3}[ \-]\d{2}[ \-]\d{4}(?![\d\-])")),
     ("secret", re.compile(rf"(?i)(?<![a-z])(?:{_KEY})(?:[\"']?\s*(?:=>|[:=]|is)\s*|\s+)([\"']?)([^\s\"']{{6,}})(\1)")),
-    ("secret", re.compile(r"(?<![\w+/=\-])[A-Za-z0-9_+/\-]{16,}={0,2}(?![\w+/=])")),
+    ("secret", re.compile(rf"(?i){_NAME}[\"']?[ \t]{{0,4}}(?:=>|:=|[:=])[ \t]{{0,4}}([\"']?)([^\s\"']{{6,}})(\1)")),
+    ("secret", re.compile(r"(?<![\w+/\-])[A-Za-z0-9_+/\-]{16,}={0,2}(?![\w+/=])")),
 )
 _WORDS = {
     "phone": "phone tel telephone call mobile cell fax whatsapp sms contact dial".split(),
@@ -134,7 +138,7 @@ def describe(text: str, a: int, b: int, kind: int) -> list[float]:
         s[0] == "+" or lc == "+", kind == 4 and mod97(s), "." in domain, len(tld) if tld.isalpha() else 0, digits[:1] in "3456" and len(digits) in (15, 16),
         sum(c in "0123456789abcdefABCDEF" for c in s) / n, sum(c.isupper() for c in s) / max(letters, 1), runs / n,
         bool(re.match(r"(?:sk|pk|rk)[-_]|AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|eyJ|glpat-|SG\.|npm_|hf_", s)), bool(re.fullmatch(r"(?:19|20)\d\d[ ./-]?[01]\d[ ./-]?[0-3]\d(?:[ T]?\d*)|[0-3]?\d[./-][0-3]?\d[./-](?:19|20)?\d\d.*", s)),
-        lc.isalnum() or lc == "_", rc.isalnum() or rc == "_", lc in "\"'=:", lc in "$€£#" and lc != "", rc in "%€$£" and rc != "", bool(re.search(rf"(?i)(?:{_KEY})[\"']?\s*(?:=>|[:=]|is)\s*[\"']?$", left)),
+        lc.isalnum() or lc == "_", rc.isalnum() or rc == "_", lc in "\"'=:", lc in "$€£#" and lc != "", rc in "%€$£" and rc != "", bool(re.search(rf"(?i)(?:{_GIVEN})[\"']?$", left)),
         lc == "." or rc == "." and right[1:2].isdigit(), int(digits[:2] or 0),
         *seen,
     ]
@@ -190,7 +194,7 @@ class _Maker:
         d = self.digits
         return self.of([
             lambda: f"+1 ({d(3)}) 555-{d(4)}", lambda: f"+1 ({d(3)}) {d(3)}-{d(4)}", lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{self.n(2, 9)}{d(2)}-{d(3)}-{d(4)}", lambda: f"+{self.n(20, 99)} {d(3)} {d(3)} {d(4)}",
-            lambda: f"+{self.n(20, 99)}{d(10)}", lambda: f"+1-{d(3)}-{d(3)}-{d(4)}", lambda: f"{self.n(2, 9)}{d(2)}.{d(3)}.{d(4)}", lambda: f"0{d(3)} {d(6)}", lambda: f"00{self.n(20, 99)} {d(3)} {d(7)}", lambda: f"+{self.n(20, 99)} (0){d(2)} {d(8)}", lambda: f"+33 {self.n(1, 9)} {d(2)} {d(2)} {d(2)} {d(2)}", lambda: f"555-{d(4)}",
+            lambda: f"+{self.n(20, 99)}{d(10)}", lambda: f"+1-{d(3)}-{d(3)}-{d(4)}", lambda: f"{self.n(2, 9)}{d(2)}.{d(3)}.{d(4)}", lambda: f"0{d(3)} {d(self.n(6, 8))}", lambda: f"00{self.n(20, 99)} {d(3)} {d(7)}", lambda: f"+{self.n(20, 99)} (0){d(2)} {d(8)}", lambda: f"+33 {self.n(1, 9)} {d(2)} {d(2)} {d(2)} {d(2)}", lambda: f"555-{d(4)}",
         ])()
 
     def iban(self) -> str:
@@ -208,14 +212,24 @@ class _Maker:
         return self.of([
             lambda: self.chars("0123456789abcdef", self.of([32, 40, 64])), lambda: "sk-" + self.chars(alnum, 32), lambda: "AKIA" + self.chars("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: "ghp_" + self.chars(alnum, 36),
             lambda: self.chars(alnum, self.n(20, 44)), lambda: self.chars(alnum + "+/", 40) + "=", lambda: "xoxb-" + self.digits(11) + "-" + self.chars(alnum, 24), lambda: "AIza" + self.chars(alnum, 35),
+            lambda: self.of(["sk", "pk", "rk"]) + self.of(["_live_", "_test_"]) + self.chars(alnum, self.n(16, 32)),
         ])()
 
     def password(self) -> str:
+        if self.r.random() < 0.3:
+            return (self.word() + self.word())[: self.n(4, 9)] + self.digits(self.n(3, 5))
         return self.chars("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789!#%*", self.n(8, 14))
 
+    def name(self) -> str:
+        """An identifier that holds a secret."""
+        head = self.of(["", "", "db", "app", "aws_", "github_", "stripe_", "my-", "prod_", self.word() + "_"])
+        s = head + self.of(["key", "token", "secret", "password", "pass", "pat", "sig", "signature", "access_key", "access_key_id", "api_key", "auth_token", "pwd"])
+        return s.upper() if self.r.random() < 0.4 else s
+
     def lookalike(self) -> str:
         d, n = self.digits, self.n
         return self.of([
+            lambda: self.of(["sort_key", "primary_key", "keyboard", "key", "pattern", "path", "signal", "passage", "author", "monkey"]) + self.of(["=", ": ", " = "]) + self.of(["", "_"]).join(self.word() for _ in range(n(1, 3))),
             lambda: f"{n(1900, 2030)}-{n(1, 12):02d}-{n(1, 28):02d}", lambda: f"{n(1, 28):02d}.{n(1, 12):02d}.{n(1900, 2030)}", lambda: f"{n(1, 12)}/{n(1, 28)}/{n(1900, 2030)}", lambda: f"{n(1900, 2030)}-{n(1, 12):02d}-{n(1, 28):02d} {n(0, 23):02d}:{n(0, 59):02d}:{n(0, 59):02d}",
             lambda: f"version {n(0, 40)}.{n(0, 90)}.{n(0, 900)}.{n(256, 9999)}", lambda: f"${n(1, 999)},{d(3)},{d(3)}.{d(2)}", lambda: f"order {d(8)}", lambda: f"invoice no {d(9)}", lambda: f"{n(1900, 2030)} - {n(1900, 2030)}", lambda: f"{n(1, 99)}.{d(8)}", lambda: f"ISBN 978{d(10)}", lambda: f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}",
             lambda: f"part {d(4)}-{d(4)}-{d(3)}", lambda: f"{n(1, 999)} {d(3)} {d(3)}", lambda: f"{d(4)} {d(4)}", lambda: f"page {n(1, 999)}-{n(1, 999)}", lambda: self.word() + "@" + self.word(), lambda: "@" + self.word(), lambda: f"{n(0, 23)}:{n(0, 59):02d}:{n(0, 59):02d}", lambda: "".join(self.word() for _ in range(5)), lambda: "_".join(self.word() for _ in range(4)),
@@ -249,7 +263,9 @@ class _Maker:
                     span = self.password()
                 elif self.r.random() < 0.2:
                     key = ""
-                q = self.of(['"', "'", "", '"'])
+                elif self.r.random() < 0.45:
+                    key = self.of(["", "", "export ", "https://" + self.word() + ".com/" + self.word() + "?"]) + self.name()
+                q = self.of(['"', "'", "", '"', ""])
                 lead, tail = (f"{key}{self.of([' = ', '=', ': ', ':', ' = '])}{q}", q) if key else ("", "")
         glue = self.of([" ", " ", " ", "\n", " ("]) if before else ""
         end = self.of(["", "", "", ".", ",", "###", "***", "!!", ")"])
@@ -382,7 +398,9 @@ def select(text: str, spans: list[tuple[int, int, int]], prob: np.ndarray, cuts:
 _MAYBE = np.zeros(256, np.int8)
 for _b in b"0123456789@":
     _MAYBE[_b] = 1
-_ASSIGN = re.compile(rf"(?i)(?:{_KEY})|[A-Za-z0-9_+/\-]{{24,}}")
+# what a generator needs of a text without ASCII digits and '@', for RE2
+_ASSIGN = rf"{_KEY}|(?:key|token|secret|pass|pwd|pat|sig|auth|cred|bearer)[^\s:=]{{0,25}}[ \t]{{0,4}}[:=]|[A-Za-z0-9_+/\-]{{16,}}|:[0-9a-f]{{0,4}}:|\pN"
+
 
 
 def redact(column: pa.Array, model: Trees) -> tuple[list[str | None], list[list[dict] | None]]:
@@ -390,12 +408,11 @@ def redact(column: pa.Array, model: Trees) -> tuple[list[str | None], list[list[
     data, offsets, _ = X.utf8(column)
     n = len(column)
     likely = X.per_doc_sum(_MAYBE[data], offsets) > 0
-    low = X.per_doc_sum(((data == 61) | (data == 58)).astype(np.int8), offsets) > 0
     todo: list[tuple[int, str, list[tuple[int, int, int]]]] = []
-    for i in np.flatnonzero(likely | low):
+    rest = np.flatnonzero(~likely & (np.diff(offsets) > 0))
+    likely[rest] = pc.match_substring_regex(column.take(pa.array(rest)), _ASSIGN, ignore_case=True).to_numpy(zero_copy_only=False)
+    for i in np.flatnonzero(likely):
         t = column[int(i)].as_py()
-        if not likely[i] and not _ASSIGN.search(t):
-            continue
         c = candidates(t)
         if c:
             todo.append((int(i), t, c))
