@@ -483,9 +483,30 @@ class Encoder:
         size, where = self.size[at][inv].astype(np.int64), self.where[at][inv]
         end = np.cumsum(size)
         ids = self.pool[np.repeat(where - end + size, size) + np.arange(end[-1])]
+        if not np.array_equal(self.vocab.decode(ids), data):  # two pieces with one hash: merge each by itself
+            each = [self.vocab.merge(data[a:z].tobytes()) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
+            ids, end = np.array([i for x in each for i in x], np.int32), np.cumsum([len(x) for x in each])
         per = np.concatenate([[0], end])
         return ids, per[np.searchsorted(cut, offsets)]
 
+    def binary(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """Each document's number of ids, and its ids as little-endian bytes."""
+        ids, at = self.encode(data, offsets)
+        raw = ids.astype("<u2" if self.vocab.size <= 1 << 16 else "<u4")
+        ends = pa.py_buffer((at * raw.itemsize).astype(np.int32).tobytes())
+        return pa.array(np.diff(at).astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, ends, pa.py_buffer(raw.tobytes())])
+
+
+def kind(p: Params) -> str:
+    """The type of the numbers in ``Encoder.binary``."""
+    return "<u2" if vocabulary(p.vocabulary).size <= 1 << 16 else "<u4"
+
+
+@lru_cache(maxsize=1)
+def encoder(p: Params) -> Encoder:
+    """A worker's encoder without a lexicon; what it learns outlives the task, within ``memory``."""
+    return Encoder(vocabulary(p.vocabulary), None, p.memory)
+
 
 # ---- Spark -----------------------------------------------------------------------------------
 

@@ -1,7 +1,9 @@
-"""Best-fit packing of documents into sequences of fixed capacity.
+"""Best-fit packing of documents into token sequences of fixed capacity.
 
-A document longer than a sequence is cut into pieces; full pieces are sequences
-by themselves.  The other pieces are packed bulk-synchronously.  Each round
+Texts are encoded to the token ids of ``bpe`` once; a document longer than a
+sequence is cut into pieces at multiples of the capacity; full pieces are
+sequences by themselves.  The other pieces are packed bulk-synchronously.  Each
+round
 
 * ranks open gaps and waiting pieces within their size classes,
 * sweeps down the sizes, so that each piece meets the tightest gap at or above
@@ -15,51 +17,92 @@ by themselves.  The other pieces are packed bulk-synchronously.  Each round
 
 until no piece waits.  Only class counts (at most two per size, so bounded by
 the capacity) pass through one task; ranks and matches are partitioned by class
-and by depth.  Pieces much smaller than a sequence are first joined into runs of
-up to ``capacity / runs`` so that the rounds stay few.
-
-Length is counted in bytes of UTF-8 (byte-level tokens).  Defined results: null
-and empty texts have length 0 and aren't packed (no output row).  Rows are
-pieces in their own right, so repeated rows are packed once each.  Ties are
-broken by ``doc_id`` (nulls first), then by the text's hash.  Other columns
-aren't looked at.  Every packed byte appears exactly once; no sequence exceeds
-its capacity.
+and by depth.  Packing itself moves only numbers; the token ids are moved twice,
+to meet their places and to be put together.
+
+Defined results: null and empty texts have no tokens and aren't packed (no
+output).  Rows are documents in their own right, so repeated rows are packed once
+each.  A text of any length is cut into as many pieces as it fills.  A piece's
+number is its place in the order of falling length, ``doc_id`` (nulls first), the
+text's hash and the piece's place in its text; ties are broken by that number,
+which is the same however the rows are partitioned (pieces equal in all four are
+interchangeable), and a sequence has the number of its first piece.  An empty
+table gives no sequences.  ``doc_id`` must be castable to bigint; other columns
+aren't looked at.  Every token appears exactly once; no sequence exceeds its
+capacity.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import bpe
+from . import text as X
 from .workspace import Workspace, documents
 
 
 @dataclass(frozen=True)
 class Params:
-    capacity: int = 16384
-    runs: int = 8
+    capacity: int = 8192  # tokens of a sequence
+    bpe: bpe.Params = field(default_factory=bpe.Params)
 
 
-def pieces(docs: DataFrame, p: Params) -> DataFrame:
-    """``doc_id, h, piece, start, length``: the cuts of each text at multiples of the capacity."""
+def _token_rows(p: bpe.Params):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = bpe.encoder(p)
+        for b in X.slices(batches, "text", p.slice_bytes):
+            data, offsets, _ = X.utf8(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *enc.binary(data, offsets)], ["doc_id", "h", "n", "ids"])
+
+    return run
+
+
+def tokenised(ws: Workspace, docs: DataFrame, p: Params) -> DataFrame:
+    """``row, doc_id, h, n, ids``, written: ids as little-endian numbers, ``row`` unique."""
+    text = F.col("text").cast("string")
+    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).where("text <> ''").withColumn("h", F.xxhash64("text"))
+    out = src.mapInArrow(_token_rows(p.bpe), "doc_id bigint, h bigint, n int, ids binary")
+    return ws.write(out.withColumn("row", F.monotonically_increasing_id()), "tokens")
+
+
+def pieces(tokens: DataFrame, p: Params) -> DataFrame:
+    """``row, doc_id, h, piece, start, length``: the cuts of each row at multiples of the capacity."""
     c = p.capacity
-    size = F.octet_length(F.col("text").cast("string"))
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"), size.alias("n")).where("n > 0")
-    cut = base.select("doc_id", "h", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / c).cast("int"))).alias("piece"))
-    start = F.col("piece").cast("bigint") * c
-    return cut.select("doc_id", "h", "piece", start.alias("start"), F.least(F.lit(c).cast("bigint"), F.col("n") - start).cast("int").alias("length"))
+    cut = tokens.select("row", "doc_id", "h", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / c).cast("int"))).alias("piece"))
+    start = F.col("piece") * c
+    return cut.select("row", "doc_id", "h", "piece", start.alias("start"), F.least(F.lit(c), F.col("n") - start).alias("length"))
+
+
+def numbered(ws: Workspace, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``id``, their place by falling length, doc_id, hash and piece.
+
+    Rows are sorted by ranges; a row's place is its place in its range plus the rows of those before,
+    of which there is one number per range.
+    """
+    order = (F.col("length").desc(), F.col("doc_id").asc_nulls_first(), F.col("h").asc(), F.col("piece").asc())
+    table = ws.write(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()), "pieces")
+    part = F.shiftright("id", 33)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = table.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    known = table.withColumn("part", part).join(F.broadcast(first), "part")  # a row per range
+    return known.withColumn("id", F.col("first") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "first")
 
 
 def _placed(events: DataFrame) -> DataFrame:
     """Events with ``at``, their class's exclusive net depth above it, ``above``, the pieces larger, and ``r``, their rank in the class.
 
-    An event is a gap (kind 0) or a piece (kind 1) of a ``size``; the sweep goes down the sizes, gaps first.
+    An event is a gap (kind 0) or a piece (kind 1) of a ``size``, or a piece that has opened its sequence (kind 2); the
+    sweep goes down the sizes, gaps first.
     """
     counts = events.groupBy("size", "kind").agg(F.count("*").alias("n"))
     order = Window.orderBy(F.col("size").desc(), "kind").rowsBetween(Window.unboundedPreceding, -1)
-    net = F.when(F.col("kind") == 0, F.col("n")).otherwise(-F.col("n"))
+    net = F.when(F.col("kind") == 0, F.col("n")).when(F.col("kind") == 1, -F.col("n")).otherwise(0)
     pieces_ = F.when(F.col("kind") == 1, F.col("n")).otherwise(0)
     place = counts.select("size", "kind", F.coalesce(F.sum(net).over(order), F.lit(0)).alias("at"), F.coalesce(F.sum(pieces_).over(order), F.lit(0)).alias("above"))
     rank = F.row_number().over(Window.partitionBy("size", "kind").orderBy("id", "slot"))
@@ -88,8 +131,8 @@ def slots(gaps: DataFrame, most: int) -> DataFrame:
 def sweep(events: DataFrame, turn: int = 0) -> DataFrame:
     """One round: placements (kind 2), what is left of the slots (0) and pieces that still wait (1)."""
     # a gap raises the depth to its level, a piece lowers it from its level: at a level they alternate
-    level = F.when(F.col("kind") == 0, F.col("at") + F.col("r")).otherwise(F.col("at") - F.col("r") + 1)
-    w = Window.partitionBy("level").orderBy(F.col("size").desc(), "kind")
+    level = F.when(F.col("kind") == 0, F.col("at") + F.col("r")).when(F.col("kind") == 1, F.col("at") - F.col("r") + 1).otherwise(F.col("id"))
+    w = Window.partitionBy("level", F.col("kind") == 2).orderBy(F.col("size").desc(), "kind")
     seen = _placed(events).select("size", "kind", "id", "slot", level.alias("level"))
     seen = seen.withColumn("before", F.lag(F.struct("kind", "id", "size", "slot")).over(w)).withColumn("after", F.lead("kind").over(w))
     gap, piece, none = F.col("kind") == 0, F.col("kind") == 1, F.lit(None)
@@ -97,32 +140,21 @@ def sweep(events: DataFrame, turn: int = 0) -> DataFrame:
         _row(2, F.col("id"), F.col("size"), F.col("before.id"), F.lit(turn).cast("bigint") * 1_000_000 + F.col("before.slot")),
         _row(0, F.col("before.id"), F.col("before.size") - F.col("size"), none, none),
     )
-    rows = F.when(piece & (F.col("before.kind") == 0), got).when(gap & (F.col("after") == 1), F.array().cast(f"array<{_ROW}>")).otherwise(F.array(_same()))
+    opened = F.array(_row(2, F.col("id"), F.col("size"), F.col("id"), F.lit(-1)))
+    rows = F.when(F.col("kind") == 2, opened).when(piece & (F.col("before.kind") == 0), got).when(gap & (F.col("after") == 1), F.array().cast(f"array<{_ROW}>")).otherwise(F.array(_same()))
     return seen.select(F.explode(rows).alias("e")).select("e.*").where("size > 0")
 
 
 def opening(events: DataFrame, want: int, c: int) -> DataFrame:
-    """New sequences for all pieces over half the capacity, and for the ``want`` largest (by size, then id)."""
-    first = (F.col("kind") == 1) & ((F.col("size") > c // 2) | (F.col("above") + F.col("r") <= want))
-    none = F.lit(None)
-    got = F.array(_row(2, F.col("id"), F.col("size"), F.col("id"), F.lit(-1)), _row(0, F.col("id"), c - F.col("size"), none, none))
-    return _placed(events).select(F.explode(F.when(first, got).otherwise(F.array(_same()))).alias("e")).select("e.*").where("size > 0")
+    """``events`` with new sequences for all pieces over half the capacity, and for the ``want`` largest (by size, then id).
 
-
-def _joined(ws: Workspace, small: DataFrame, limit: int) -> DataFrame:
-    """Runs of small pieces: ``run, id, length, off``, cut where a size-ordered prefix sum passes multiples of ``limit``.
-
-    Runs are made within buckets of ids, so no task sees all pieces.
+    A piece that opens one is placed (kind 2) in the sequence of its own id, whose rest is a gap.
     """
-    bucket = F.shiftright("id", 15)
-    order = Window.partitionBy("b").orderBy(F.col("length").desc(), "id")
-    # a piece that would straddle a boundary starts the next run: runs hold at most ``limit``
-    before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    half = small.withColumn("b", bucket).withColumn("before", before)
-    run = F.struct("b", F.floor(F.col("before") / (limit // 2)).alias("k"))
-    inside = Window.partitionBy("run").orderBy(F.col("length").desc(), "id")
-    out = half.withColumn("run", run)
-    return out.select("run", "id", "length", F.coalesce(F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
+    first = (F.col("kind") == 1) & ((F.col("size") > c // 2) | (F.col("above") + F.col("r") <= want))
+    e = lambda kind, size: F.struct(F.lit(kind).alias("kind"), "id", size.cast("int").alias("size"), F.lit(0).alias("slot"))
+    same = F.struct("kind", "id", "size", "slot")
+    rows = F.when(first, F.array(e(2, F.col("size")), e(0, c - F.col("size")))).otherwise(F.array(same))
+    return _placed(events).select(F.explode(rows).alias("e")).select("e.*").where("size > 0")
 
 
 @dataclass(frozen=True)
@@ -159,16 +191,15 @@ def assigned(ws: Workspace, items: DataFrame, p: Params) -> DataFrame:
     none = F.lit(None).cast("bigint")
     state, s = _state(ws, items.select(F.lit(1).alias("kind"), "id", F.col("length").cast("int").alias("size"), none.alias("bin"), none.alias("seq")), "start")
     done = []
-    turn = 0
+    turn = before = 0
     while s.count:
-        before, turn = s.count, turn + 1
-        if s.room >= s.least:
-            state, s = _state(ws, sweep(_events(state, s), turn), "round")
-            done.append(state)
-        want = max(-(-(s.length - s.room) // c), 1 if s.count == before else 0)
-        if s.count and want > 0:
-            state, s = _state(ws, opening(_events(state, s), want, c), "opened")
-            done.append(state)
+        turn += 1
+        events = _events(state, s)
+        # as many sequences as the room lacks; one at least if the gaps took nothing
+        want = max(-(-(s.length - s.room) // c), int(s.count == before or s.room < s.least))
+        before = s.count
+        state, s = _state(ws, sweep(opening(events, want, c) if want > 0 else events, turn), "round")
+        done.append(state)
     # pieces follow each other in their sequence in the order they came
     out = items.select("id", F.col("id").alias("bin"), none.alias("seq"), F.col("length").cast("int").alias("size")).limit(0)
     for d in done:
@@ -177,25 +208,75 @@ def assigned(ws: Workspace, items: DataFrame, p: Params) -> DataFrame:
     return out.select("id", "bin", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("off"))
 
 
+def placed(ws: Workspace, table: DataFrame, p: Params) -> DataFrame:
+    """``id, bin, off`` of every numbered piece."""
+    full = table.where(F.col("length") == p.capacity).select("id", F.col("id").alias("bin"), F.lit(0).cast("bigint").alias("off"))
+    part = assigned(ws, table.where(F.col("length") < p.capacity).select("id", "length"), p)
+    return full.unionByName(part.select("id", "bin", F.col("off").cast("bigint").alias("off")))
+
+
+SEQUENCES = "bin_id bigint, n_tokens int, doc_ids array<bigint>, pieces array<int>, starts array<int>, offsets array<int>, tokens array<int>"
+_OUT = 64  # sequences of a batch
+
+
+def _sequence_rows(kind: type):
+    """Sequences of a stream of pieces sorted by sequence and place."""
+
+    def made(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        bins, size = t.column("bin").to_numpy(), t.column("length").to_numpy()
+        edge = np.concatenate([[0], np.flatnonzero(bins[1:] != bins[:-1]) + 1, [len(bins)]])
+        at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        for i in range(0, len(edge) - 1, _OUT):
+            e = edge[i : i + _OUT + 1]
+            some = t.slice(e[0], e[-1] - e[0])
+            ids = np.frombuffer(b"".join(some.column("part").to_pylist()), kind).astype(np.int32)
+            each, tok = pa.array((e - e[0]).astype(np.int32)), pa.array((at[e] - at[e[0]]).astype(np.int32))
+            of = lambda c, some=some, each=each: pa.ListArray.from_arrays(each, some.column(c).combine_chunks())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bins[e[:-1]]), pa.array(np.diff(at[e]).astype(np.int32)), of("doc_id"), of("piece"), of("start"), of("off"), pa.ListArray.from_arrays(tok, pa.array(ids))],
+                ["bin_id", "n_tokens", "doc_ids", "pieces", "starts", "offsets", "tokens"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for b in X.slices([batch], "part"):
+                bins = b.column(0).to_numpy()
+                if held and held[-1].column(0)[0].as_py() != bins[-1] or not held and bins[0] != bins[-1]:
+                    end = int(np.flatnonzero(bins != bins[-1])[-1]) + 1 if bins[0] != bins[-1] else 0
+                    yield from made(pa.Table.from_batches([*held, b.slice(0, end)]))
+                    held = [b.slice(end)]
+                else:
+                    held.append(b)
+        if held:
+            yield from made(pa.Table.from_batches(held))
+
+    return run
+
+
 def packed(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """``doc_id, piece, start, length, bin_id, bin_offset`` for every piece of every document."""
+    """Sequences: ``bin_id, n_tokens, tokens``, and which piece of which document begins at which offset.
+
+    ``doc_ids, pieces, starts, offsets`` have an entry per piece, in the sequence's order: the document,
+    the piece's number and first token in it, and its first token in the sequence.
+    """
     ws = Workspace(docs.sparkSession, "packing")
-    # ids are fixed by the written table: distinct, and dense enough for buckets
-    table = ws.write(pieces(docs, p).withColumn("id", F.monotonically_increasing_id()), "pieces")
-    full = table.where(F.col("length") == p.capacity).select("id", F.col("id").alias("bin"), F.lit(0).cast("bigint").alias("off"))
-    part = table.where(F.col("length") < p.capacity)
-    limit = p.capacity // p.runs
-    small = F.col("length") <= limit // 2
-    runs = ws.write(_joined(ws, part.where(small).select("id", "length"), limit), "runs")
-    heads = runs.groupBy("run").agg(F.min("id").alias("id"), F.sum("length").alias("length"))
-    items = part.where(~small).select("id", "length").unionByName(heads.select("id", "length"))
-    bins = ws.write(assigned(ws, items, p), "bins")
-    place_of = bins.select(F.col("id").alias("head"), "bin", "off")
-    member = runs.join(heads.select("run", F.col("id").alias("head")), "run").select("id", "head", F.col("off").alias("inner"))
-    spread = member.join(place_of, "head").select("id", "bin", (F.col("off") + F.col("inner")).cast("bigint").alias("off"))
-    single = bins.join(part.where(~small).select("id"), "id").select("id", "bin", F.col("off").cast("bigint").alias("off"))
-    place = full.unionByName(single).unionByName(spread)
-    return table.join(place, "id").select("doc_id", "piece", "start", "length", F.col("bin").alias("bin_id"), F.col("off").alias("bin_offset"))
+    tokens = tokenised(ws, docs, p)
+    table = numbered(ws, pieces(tokens.select("row", "doc_id", "h", "n"), p))
+    at = table.join(placed(ws, table, p), "id").select("row", "piece", "start", "length", "bin", F.col("off").cast("int").alias("off"))
+    kind = bpe.kind(p.bpe)
+    w = np.dtype(kind).itemsize
+    part = F.substring("ids", F.col("start") * w + 1, F.col("length") * w)
+    met = tokens.select("row", "doc_id", "ids").join(at, "row").select("bin", "off", "doc_id", "piece", "start", "length", part.alias("part"))
+    return met.repartition("bin").sortWithinPartitions("bin", "off").mapInArrow(_sequence_rows(kind), SEQUENCES)
+
+
+def unpacked(sequences: DataFrame) -> DataFrame:
+    """``doc_id, piece, start, length, bin_id, bin_offset, tokens`` for every piece of the sequences."""
+    places = F.arrays_zip("doc_ids", "pieces", "starts", "offsets", F.slice(F.concat("offsets", F.array("n_tokens")), F.lit(2), F.size("offsets")).alias("ends"))
+    each = sequences.select("bin_id", "tokens", F.explode(places).alias("p"))
+    size = F.col("p.ends") - F.col("p.offsets")
+    return each.select(F.col("p.doc_ids").alias("doc_id"), F.col("p.pieces").alias("piece"), F.col("p.starts").alias("start"), size.alias("length"), "bin_id", F.col("p.offsets").alias("bin_offset"), F.slice("tokens", F.col("p.offsets") + 1, size).alias("tokens"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,12 +34,12 @@ FOLD = _fold_table()
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, offsets (one more than rows, from 0) and validity of a string column."""
+    """Bytes, offsets (one more than rows, from 0) and validity of a string or binary column."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
         if isinstance(column, pa.ChunkedArray):
             column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
-    if not pa.types.is_string(column.type) and not pa.types.is_large_string(column.type):
+    if not any(is_(column.type) for is_ in (pa.types.is_string, pa.types.is_large_string, pa.types.is_binary, pa.types.is_large_binary)):
         column = column.cast(pa.string())
     n = len(column)
     if not n:
@@ -47,7 +47,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np
     valid = np.ones(n, bool) if not column.null_count else column.is_valid().to_numpy(zero_copy_only=False)
     if column.null_count:
         column = column.fill_null("")
-    kind = np.int32 if pa.types.is_string(column.type) else np.int64
+    kind = np.int32 if pa.types.is_string(column.type) or pa.types.is_binary(column.type) else np.int64
     _, off, data = column.buffers()
     offsets = np.frombuffer(off, kind)[column.offset : column.offset + n + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)

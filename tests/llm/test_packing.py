@@ -1,39 +1,46 @@
 import numpy as np
 import pytest
 
+from fringeworks.llm import bpe
 from fringeworks.llm import packing as K
-from fringeworks.llm.workspace import documents
+from fringeworks.llm.workspace import Workspace, documents
 
 from .conftest import SF
 
+VOCAB = bpe.vocabulary(bpe.Params().vocabulary)
 
-def check(docs, packed, p):
-    """Every byte once, in pieces within the capacity, sequences without holes or overlaps."""
-    want = sorted((i if i is not None else -1, len(t.encode())) for i, t in docs if t)
-    got = {}
-    for r in packed:
-        assert 0 < r.length <= p.capacity
-        got.setdefault((r.doc_id if r.doc_id is not None else -1), []).append((r.start, r.length))
-    total = {}
-    for i, n in want:
-        total[i] = total.get(i, 0) + n
-    assert {i: sum(n for _, n in v) for i, v in got.items()} == total
-    bins = {}
-    for r in packed:
-        bins.setdefault(r.bin_id, []).append((r.bin_offset, r.length))
-    for v in bins.values():
-        at = 0
-        for o, n in sorted(v):
-            assert o == at
-            at += n
-        assert at <= p.capacity
-    return len(bins), -(-sum(total.values()) // p.capacity)
+
+def check(docs, sequences, p):
+    """Texts come back from the sequences; no sequence is over-full; number of sequences, and the least there can be."""
+    parts, total = {}, 0
+    for r in sequences.collect():
+        assert len(r.tokens) == r.n_tokens <= p.capacity and r.offsets[0] == 0
+        assert len(r.doc_ids) == len(r.pieces) == len(r.starts) == len(r.offsets)
+        total += r.n_tokens
+    rows = K.unpacked(sequences).collect()
+    assert sum(r.length for r in rows) == total
+    for r in rows:
+        assert 0 < r.length == len(r.tokens) and r.start == r.piece * p.capacity
+        parts.setdefault((r.doc_id, r.piece), []).append(r)
+    got = []
+    for (i, piece), v in parts.items():
+        if piece == 0:
+            for k in range(len(v)):  # repeated rows have equal pieces
+                ids, n = [], 0
+                while (i, n) in parts:
+                    if k >= len(parts[i, n]):
+                        break
+                    ids += parts[i, n][k].tokens
+                    n += 1
+                got.append((i, VOCAB.decode(np.array(ids)).tobytes().decode()))
+    assert sorted(got, key=repr) == sorted([(i, t) for i, t in docs if t], key=repr)
+    return sequences.count(), -(-total // p.capacity)
 
 
 def test_messy(messy, nothing):
     p = K.Params(capacity=64)
     docs = [(r.doc_id, r.text) for r in messy.collect()]
-    n, least = check(docs, K.packed(messy, p).collect(), p)
+    n, least = check(docs, K.packed(messy, p).cache(), p)
     assert n <= least + 3
     assert K.packed(nothing, p).count() == 0
 
@@ -41,8 +48,66 @@ def test_messy(messy, nothing):
 def test_corpus_is_close_to_the_lower_bound(spark):
     p = K.Params()
     docs = documents(spark, SF)
-    n, least = check([(r.doc_id, r.text) for r in docs.collect()], K.packed(docs, p).collect(), p)
-    assert n <= 1.05 * least + 2
+    n, least = check([(r.doc_id, r.text) for r in docs.collect()], K.packed(docs, p).cache(), p)
+    assert n <= 1.02 * least + 1
+
+
+def test_the_same_whatever_the_partitions(spark):
+    docs = documents(spark, SF, "doc_id", "text")
+    docs = docs.union(docs.limit(40))
+    p = K.Params(capacity=512)
+    found = [sorted(map(repr, K.packed(d, p).collect())) for d in (docs.coalesce(1), docs.repartition(3), docs.repartition(7, "text").sortWithinPartitions("doc_id"))]
+    assert found[0] == found[1] == found[2]
+
+
+def rounds(sizes, c):
+    """The rounds of the packing one piece at a time: {id: (bin, place)}."""
+    waiting, room, bins, before = dict(sizes), {}, {}, 0
+    while waiting:
+        least, most = min(waiting.values()), max(waiting.values())
+        events = [(s, 1, i, 0) for i, s in waiting.items()]
+        for b, space in room.items():
+            if space >= least:
+                n = max(space // most, 1)
+                events += [(most if k < n - 1 else space - k * most, 0, b, k) for k in range(n)]
+        all_room = sum(room.values())
+        want = max(-(-(sum(waiting.values()) - all_room) // c), int(len(waiting) == before or all_room < least))
+        before = len(waiting)
+        order = sorted(waiting, key=lambda i: (-waiting[i], i))
+        for k, i in enumerate(order):
+            if want > 0 and (waiting[i] > c // 2 or k < want):
+                bins.setdefault(i, []).append(i)
+                room[i] = c - sizes[i]
+                events.remove((sizes[i], 1, i, 0))
+                events.append((c - sizes[i], 0, i, 0))
+                del waiting[i]
+        stack, got = [], []
+        for s, kind, i, slot in sorted(events, key=lambda e: (-e[0], e[1], e[2], e[3])):
+            if kind == 0:
+                stack.append((i, slot))
+            elif stack:
+                got.append((stack.pop(), i))
+        for (b, _), i in sorted(got):
+            bins.setdefault(b, []).append(i)
+            room[b] -= sizes[i]
+            del waiting[i]
+    out = {}
+    for b, ids in bins.items():
+        at = 0
+        for i in ids:
+            out[i] = (b, at)
+            at += sizes[i]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_all_rounds_equal_brute_force(spark, seed):
+    r = np.random.default_rng(seed)
+    c = 40
+    sizes = {i: int(s) for i, s in enumerate(sorted(np.minimum(r.geometric(0.12, 70), c - 1).tolist(), reverse=True))}
+    items = spark.createDataFrame(list(sizes.items()), "id long, length int")
+    got = {x.id: (x.bin, x.off) for x in K.assigned(Workspace(spark, "t"), items, K.Params(capacity=c)).collect()}
+    assert got == rounds(sizes, c)
 
 
 def brute(gaps, items):
