@@ -13,14 +13,19 @@ Defined results: a null text stays null with no spans, an empty one stays empty.
 Every row is treated alone, so repeated rows give repeated results; other columns pass
 through unchanged whatever their names, but ``n_chars`` follows a changed text
 (it is left as it was, null included, where the text didn't change).
-Positions count characters of the original text.
+Positions count characters of the original text.  A text of any length is searched whole;
+no part of a pattern is bounded but digits and signs of the formats themselves.  Ties go to
+the span that begins first.  An empty table gives no rows.
+
+A row is left out of a generator's search only if a condition that the pattern implies fails
+(``possible``): too few digits or signs, no name of a secret, no long enough run.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -35,22 +40,55 @@ from . import text as X
 from .workspace import documents
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
-_KEY = r"(?:api|access|auth|secret|private|client|session)[ _-]?(?:key|token|secret|id)|token|secret|passw(?:or)?d|passwd|pwd|bearer|authorization|credential"
-_NAME = r"(?:key|token|secret|pass|pwd|pat|sig|auth|cred|bearer)[\w.\-]{0,24}"  # within any identifier
-_GIVEN = rf"(?:{_KEY})[\"']?\s*(?:=>|[:=]|is)\s*|{_NAME}[\"']?[ \t]{{0,4}}(?:=>|:=|[:=])[ \t]{{0,4}}"
+_KEY = r"(?ai:(?:api|access|auth|secret|private|client|session)[ _-]?(?:key|token|secret|id)|token|secret|passw(?:or)?d|passwd|pwd|bearer|authorization|credential)"
+_HEAD = r"(?ai:key|token|secret|pass|pwd|pat|sig|auth|cred|bearer)"
+_ASSIGN = r"[\"']?[ \t]*+(?:=>|:=|[:=])[ \t]*+"
+_GIVEN = rf"{_KEY}[\"']?\s*(?:=>|[:=]|is)\s*|{_HEAD}[\w.\-]*{_ASSIGN}"
+_NAMED = re.compile(rf"(?<![\w.\-])([\w.\-]++){_ASSIGN}")
+_VALUE = re.compile(r"[\"']?([^\s\"']{6,})")
+_HEAD_IN = re.compile(_HEAD)
+
+
+def _given(text: str) -> Iterator[tuple[int, int]]:
+    """Values given to an identifier that holds a secret's name; other identifiers' values are looked into."""
+    at = 0
+    while (m := _NAMED.search(text, at)) is not None:
+        v = _VALUE.match(text, m.end()) if _HEAD_IN.search(m[1]) else None
+        if v is not None:
+            yield v.span(1)
+        at = m.end() if v is None else v.end()
+
+
+def _matches(pattern: str, group: int = 0) -> Callable[[str], Iterator[tuple[int, int]]]:
+    find = re.compile(pattern).finditer
+    return lambda text: (m.span(group) for m in find(text))
+
+
+@dataclass(frozen=True)
+class Generator:
+    """A kind's lax pattern, and what a text must have for it to match: digits, of any script, and signs at least, or a test."""
+
+    kind: str
+    spans: Callable[[str], Iterator[tuple[int, int]]]
+    digits: int = 0
+    signs: tuple[tuple[str, int], ...] = ()
+    needs: str = ""
+
+
 GENERATORS = (
-    ("email", re.compile(r"[\w.%+\-']{1,64}@[\w\-]{1,63}(?:\.[\w\-]{1,63}){0,8}")),
-    ("ip", re.compile(r"(?<![\d.])\d{1,4}(?:\.\d{1,4}){3}(?![\d])")),
-    ("ip", re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:])")),
-    ("card", re.compile(r"(?<!\d)\d(?:[ \-]?\d){11,18}(?!\d)")),
-    ("card", re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)")),
-    ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{4}(?!\d)")),
-    ("phone", re.compile(r"(?<![\w.])(?:\+|00)?\(?\d(?:[ .()/\-]{0,2}\d){6,14}(?!\d)")),
-    ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{1,4}){3,8}(?!\w)")),
-    ("ssn", re.compile(r"(?<![\d\-])\d{3}[ \-]\d{2}[ \-]\d{4}(?![\d\-])")),
-    ("secret", re.compile(rf"(?i)(?<![a-z])(?:{_KEY})(?:[\"']?\s*(?:=>|[:=]|is)\s*|\s+)([\"']?)([^\s\"']{{6,}})(\1)")),
-    ("secret", re.compile(rf"(?i){_NAME}[\"']?[ \t]{{0,4}}(?:=>|:=|[:=])[ \t]{{0,4}}([\"']?)([^\s\"']{{6,}})(\1)")),
-    ("secret", re.compile(r"(?<![\w+/\-])[A-Za-z0-9_+/\-]{16,}={0,2}(?![\w+/=])")),
+    # a local part is tried from its start only, and what follows may overlap the next one
+    Generator("email", _matches(r"(?<![\w.%+\-'])(?=([\w.%+\-']++@[\w\-]++(?:\.[\w\-]++)*+))", 1), signs=(("@", 1),)),
+    Generator("ip", _matches(r"(?<![\d.])\d{1,4}(?:\.\d{1,4}){3}(?![\d])"), 4, ((".", 3),)),
+    Generator("ip", _matches(r"(?<![\w:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:])"), 0, ((":", 2),)),
+    Generator("card", _matches(r"(?<!\d)\d(?:[ \-]?\d){11,18}(?!\d)"), 12),
+    Generator("card", _matches(r"(?<!\d)(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)"), 13),
+    Generator("phone", _matches(r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{4}(?!\d)"), 9),
+    Generator("phone", _matches(r"(?<![\w.])(?:\+|00)?\(?\d(?:[ .()/\-]{0,2}\d){6,14}(?!\d)"), 7),
+    Generator("iban", _matches(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{1,4}){3,8}(?!\w)"), 2),
+    Generator("ssn", _matches(r"(?<![\d\-])\d{3}[ \-]\d{2}[ \-]\d{4}(?![\d\-])"), 9),
+    Generator("secret", _matches(rf"(?<![A-Za-z]){_KEY}(?:[\"']?\s*(?:=>|[:=]|is)\s*|\s+)([\"']?)([^\s\"']{{6,}})(\1)", 2), needs="key"),
+    Generator("secret", _given, needs="name"),
+    Generator("secret", _matches(r"(?<![\w+/\-])[A-Za-z0-9_+/\-]{16,}={0,2}(?![\w+/=])"), needs="run"),
 )
 _WORDS = {
     "phone": "phone tel telephone call mobile cell fax whatsapp sms contact dial".split(),
@@ -95,11 +133,14 @@ def mod97(s: str) -> bool:
 
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) of every generator's spans; they may overlap."""
+    return _spans(text, GENERATORS)
+
+
+def _spans(text: str, generators: Iterable[Generator]) -> list[tuple[int, int, int]]:
     out = set()
-    for kind, pattern in GENERATORS:
-        k = KINDS.index(kind)
-        for m in pattern.finditer(text):
-            a, b = m.span(2) if kind == "secret" and m.re.groups else m.span()
+    for g in generators:
+        kind, k = g.kind, KINDS.index(g.kind)
+        for a, b in g.spans(text):
             while a < b and kind in ("email", "phone", "iban") and text[b - 1] in _TRIM + " (":
                 b -= 1
             while a < b and kind == "email" and text[a] in _TRIM:
@@ -109,7 +150,7 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-FORMAT = 34
+_GIVEN_BEFORE = re.compile(rf"(?:{_GIVEN})[\"']?$")
 
 
 def describe(text: str, a: int, b: int, kind: int) -> list[float]:
@@ -138,7 +179,7 @@ def describe(text: str, a: int, b: int, kind: int) -> list[float]:
         s[0] == "+" or lc == "+", kind == 4 and mod97(s), "." in domain, len(tld) if tld.isalpha() else 0, digits[:1] in "3456" and len(digits) in (15, 16),
         sum(c in "0123456789abcdefABCDEF" for c in s) / n, sum(c.isupper() for c in s) / max(letters, 1), runs / n,
         bool(re.match(r"(?:sk|pk|rk)[-_]|AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|eyJ|glpat-|SG\.|npm_|hf_", s)), bool(re.fullmatch(r"(?:19|20)\d\d[ ./-]?[01]\d[ ./-]?[0-3]\d(?:[ T]?\d*)|[0-3]?\d[./-][0-3]?\d[./-](?:19|20)?\d\d.*", s)),
-        lc.isalnum() or lc == "_", rc.isalnum() or rc == "_", lc in "\"'=:", lc in "$€£#" and lc != "", rc in "%€$£" and rc != "", bool(re.search(rf"(?i)(?:{_GIVEN})[\"']?$", left)),
+        lc.isalnum() or lc == "_", rc.isalnum() or rc == "_", lc in "\"'=:", lc in "$€£#" and lc != "", rc in "%€$£" and rc != "", bool(_GIVEN_BEFORE.search(left)),
         lc == "." or rc == "." and right[1:2].isdigit(), int(digits[:2] or 0),
         *seen,
     ]
@@ -212,7 +253,7 @@ class _Maker:
         return self.of([
             lambda: self.chars("0123456789abcdef", self.of([32, 40, 64])), lambda: "sk-" + self.chars(alnum, 32), lambda: "AKIA" + self.chars("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: "ghp_" + self.chars(alnum, 36),
             lambda: self.chars(alnum, self.n(20, 44)), lambda: self.chars(alnum + "+/", 40) + "=", lambda: "xoxb-" + self.digits(11) + "-" + self.chars(alnum, 24), lambda: "AIza" + self.chars(alnum, 35),
-            lambda: self.of(["sk", "pk", "rk"]) + self.of(["_live_", "_test_"]) + self.chars(alnum, self.n(16, 32)),
+            lambda: self.of(["sk", "pk", "rk"]) + self.of(["_live_", "_test_"]) + self.chars(alnum, self.n(16, 32)), lambda: self.chars(alnum[:52], self.n(16, 32)),
         ])()
 
     def password(self) -> str:
@@ -258,7 +299,7 @@ class _Maker:
             tail = ""
             span = getattr(self, kind)()
             if kind == "secret":
-                key = self.of(["token", "api_key", "secret", "password", "access_key", "Authorization", "client_secret", "auth_token"])
+                key = self.of(["token", "api_key", "secret", "password", "access_key", "Authorization", "client_secret", "auth_token", "bearer token", "Bearer"])
                 if self.r.random() < 0.25:
                     span = self.password()
                 elif self.r.random() < 0.2:
@@ -266,7 +307,7 @@ class _Maker:
                 elif self.r.random() < 0.45:
                     key = self.of(["", "", "export ", "https://" + self.word() + ".com/" + self.word() + "?"]) + self.name()
                 q = self.of(['"', "'", "", '"', ""])
-                lead, tail = (f"{key}{self.of([' = ', '=', ': ', ':', ' = '])}{q}", q) if key else ("", "")
+                lead, tail = (f"{key}{self.of([' = ', '=', ': ', ':', ' = ', ' ', ' is '])}{q}", q) if key else ("", "")
         glue = self.of([" ", " ", " ", "\n", " ("]) if before else ""
         end = self.of(["", "", "", ".", ",", "###", "***", "!!", ")"])
         text = before + glue + lead
@@ -395,25 +436,49 @@ def select(text: str, spans: list[tuple[int, int, int]], prob: np.ndarray, cuts:
     return sorted(out)
 
 
-_MAYBE = np.zeros(256, np.int8)
-for _b in b"0123456789@":
-    _MAYBE[_b] = 1
-# what a generator needs of a text without ASCII digits and '@', for RE2
-_ASSIGN = rf"{_KEY}|(?:key|token|secret|pass|pwd|pat|sig|auth|cred|bearer)[^\s:=]{{0,25}}[ \t]{{0,4}}[:=]|[A-Za-z0-9_+/\-]{{16,}}|:[0-9a-f]{{0,4}}:|\pN"
-
+def _table(chars: bytes) -> np.ndarray:
+    t = np.zeros(256, bool)
+    t[list(chars)] = True
+    return t
+
+
+# digits of other scripts begin at U+0660, whose first byte is 0xD9
+_DIGIT = _table(b"0123456789" + bytes(range(0xD9, 0x100)))
+_RUN = _table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/-")
+_PLAIN = {"key": _KEY.removeprefix("(?ai:")[:-1], "name": _HEAD.removeprefix("(?ai:")[:-1]}
+
+
+def possible(column: pa.Array) -> list[np.ndarray]:
+    """For each generator the rows in which it can match: a necessary condition, found for all rows at once."""
+    data, offsets, valid = X.utf8(column)
+    n = len(valid)
+    count = lambda m: X.per_doc_sum(m, offsets)
+    digits = count(_DIGIT[data])
+    signs = {c: count(data == ord(c)) for g in GENERATORS for c, _ in g.signs}
+    edge = np.concatenate([[-1], np.flatnonzero(~_RUN[data]), [len(data)]])
+    edge = np.union1d(edge, offsets - 0.5)  # a run ends with its text
+    long = edge[:-1][np.ceil(edge[1:]) - np.floor(edge[:-1] + 1) >= 16]
+    has = {"run": np.zeros(n, bool)}
+    has["run"][np.searchsorted(offsets, np.floor(long + 1), side="right") - 1] = True
+    for need, pattern in _PLAIN.items():
+        has[need] = pc.match_substring_regex(column, pattern, ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False)
+    out = []
+    for g in GENERATORS:
+        ok = valid & (digits >= g.digits)
+        for c, k in g.signs:
+            ok &= signs[c] >= k
+        out.append(ok & has[g.needs] if g.needs else ok)
+    return out
 
 
 def redact(column: pa.Array, model: Trees) -> tuple[list[str | None], list[list[dict] | None]]:
     """New text and spans per row; both None where nothing is found."""
-    data, offsets, _ = X.utf8(column)
     n = len(column)
-    likely = X.per_doc_sum(_MAYBE[data], offsets) > 0
     todo: list[tuple[int, str, list[tuple[int, int, int]]]] = []
-    rest = np.flatnonzero(~likely & (np.diff(offsets) > 0))
-    likely[rest] = pc.match_substring_regex(column.take(pa.array(rest)), _ASSIGN, ignore_case=True).to_numpy(zero_copy_only=False)
-    for i in np.flatnonzero(likely):
+    can = np.stack(possible(column))
+    for i in np.flatnonzero(can.any(0)):
         t = column[int(i)].as_py()
-        c = candidates(t)
+        c = _spans(t, (g for g, ok in zip(GENERATORS, can[:, i], strict=True) if ok))
         if c:
             todo.append((int(i), t, c))
     texts: list[str | None] = [None] * n
