@@ -48,6 +48,11 @@ def mjd(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / 86400e6 + 40587
 
 
+def sidereal_angle(mjd_: float) -> float:
+    """The earth's rotation angle in radians."""
+    return 2 * math.pi * ((0.7790572732640 + 1.00273781191135448 * (mjd_ - 51544.5)) % 1.0)
+
+
 def icrs_position(x: Column, y: Column, z: Column, mjd_: Column) -> tuple[Column, Column, Column]:
     """Earth-fixed positions turned by the sidereal angle; precession and polar motion are left out."""
     angle = F.lit(2 * math.pi) * F.pmod(F.lit(0.7790572732640) + 1.00273781191135448 * (mjd_ - 51544.5), F.lit(1.0))

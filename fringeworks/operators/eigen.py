@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .. import schema as S
 from ..functions import linalg as L
+from ..functions.frame import sidereal_angle, uvw_basis
 
 OUT = "time_id bigint, channel_id bigint, scale double, d array<double>, v_re array<double>, v_im array<double>"
 
@@ -34,6 +38,62 @@ def eigen_stage(vis: DataFrame, weights: np.ndarray, positions: np.ndarray | Non
     return vis.select("time_id", "channel_id", "beam_i", "beam_j", "re", "im").groupBy("time_id", "channel_id").applyInPandas(run, OUT)
 
 
+@dataclass(frozen=True)
+class Instrument:
+    """Antennas (``xyz``), the beam that each belongs to, and the field centre they look at (radians).
+
+    Earth-fixed positions are turned to the sky's frame at each time before anything is made of them;
+    the size of all this is the instrument's and doesn't grow with the observation.
+    """
+
+    xyz: np.ndarray
+    beam: np.ndarray
+    ra: float
+    dec: float
+    earth_fixed: bool = True
+
+    @property
+    def beams(self) -> int:
+        return int(self.beam.max()) + 1
+
+    def positions(self, mjd: float) -> np.ndarray:
+        if not self.earth_fixed:
+            return self.xyz
+        a = sidereal_angle(mjd)
+        c, s = np.cos(a), np.sin(a)
+        x, y, z = self.xyz.T
+        return np.stack([x * c - y * s, x * s + y * c, z], 1)
+
+    def weights(self, positions: np.ndarray, wl: float) -> np.ndarray:
+        """exp(-i 2 pi <x - mean, centre> / wl) where an antenna belongs to the beam."""
+        w = np.zeros((len(positions), self.beams), complex)
+        phase = (positions - positions.mean(0)) @ uvw_basis(self.ra, self.dec)[:, 2]
+        w[np.arange(len(positions)), self.beam] = np.exp(-2j * np.pi / wl * phase)
+        return w
+
+    def uvw(self, positions: np.ndarray) -> np.ndarray:
+        """Differences x_i - x_j in the local frame, in order k = j N + i, column-major."""
+        q = positions @ uvw_basis(self.ra, self.dec)
+        return (q[None, :, :] - q[:, None, :]).reshape(-1, 3).ravel(order="F")
+
+
+def solved_samples(vis: DataFrame, instrument: Instrument, channels: int, first: int = 0) -> DataFrame:
+    """A sample per (time, channel): eigenpairs with the positions, weights and wavelength of that time and channel.
+
+    ``vis``: time_id, time, channel_id, wl and the reduced visibilities; ``sample_id`` is dense over
+    times and ``channels`` channels from ``first`` on.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        t, wl = float(pdf.time.iloc[0]), float(pdf.wl.iloc[0])
+        p = instrument.positions(t)
+        v, d, scale = L.eigh_gram(wl, matrices(pdf, instrument.beams), instrument.weights(p, wl), p)
+        flat = v.ravel(order="F")
+        return pd.DataFrame({"sample_id": [int(key[0]) * channels + int(key[1]) - first], "time": [t], "wl": [wl], "scale": [scale], "d": [d], "v_re": [flat.real], "v_im": [flat.imag], "uvw": [instrument.uvw(p)]})
+
+    return vis.select("time_id", "channel_id", "time", "wl", "beam_i", "beam_j", "re", "im").groupBy("time_id", "channel_id").applyInPandas(run, S.SAMPLES)
+
+
 def simulate(spark, times: int, xyz: np.ndarray, w: np.ndarray, wl: float, src: np.ndarray, intensity: np.ndarray, snr_db: float, duration: float, rate: float, seed: int | None = 42) -> DataFrame:
     """Synthetic visibilities, one matrix per time id; without a seed the expectation."""
 

@@ -6,58 +6,50 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.frame import icrs_position, lmn_grid, uvw_basis
+from ..functions.frame import icrs_position, lmn_grid
 from ..operators import geometry as G
-from ..operators.eigen import eigen_stage
+from ..operators.eigen import Instrument, solved_samples
 from ..operators.selection import Spec, select
 from ..operators.synthesis import Options, image_synthesis
 from ..operators.visibility import visibilities
-from ..sources.observations import MeasurementSet
-from ..sources.stores import Dataset, Images, PixelSet, default_selection, read_selection, write_selection
+from ..sources.observations import MeasurementSet, first_stations
+from ..sources.stores import Dataset, Images, PixelSet, default_selection, store_selection, stored_selection
 
 
-def build_dataset(ms: MeasurementSet, antennas: DataFrame, path: str, telescope: str, description: str = "", times=(0, -1, 1), channel: int = 0, earth_fixed: bool = True) -> Dataset:
-    """One sample per kept integration of a channel."""
-    spark = ms.spark
+def instrument_of(antennas: DataFrame, ra: float, dec: float, earth_fixed: bool = True) -> tuple[Instrument, list[int]]:
+    """The instrument in dense order, and the station of each beam."""
+    a = G.ordinals(antennas, "station_id", "antenna_id").orderBy("ordinal").toPandas()  # thousands of rows at most
+    stations = sorted(set(a.station_id.tolist()))
+    return Instrument(a[["x", "y", "z"]].to_numpy(float), np.searchsorted(stations, a.station_id.to_numpy()), ra, dec, earth_fixed), stations
+
+
+def build_dataset(ms: MeasurementSet, antennas: DataFrame, path: str, telescope: str, description: str = "", times=(0, -1, 1), channels: tuple[int, int] = (0, -1), earth_fixed: bool = True, column: str = "data", n_station: int | None = None) -> Dataset:
+    """One sample per kept integration and channel of ``channels`` (start, exclusive end; -1 is the last).
+
+    Weights and baselines are those of each sample's own time and wavelength.  With ``n_station`` only the
+    first stations take part.
+    """
     ra, dec = ms.field_center()
-    freq = ms.channels().where(F.col("channel_id") == channel).first()
-    wl = freq.wl
-    a = G.ordinals(antennas, "station_id", "antenna_id").orderBy("ordinal").toPandas()  # the instrument: thousands of rows at most
-    xyz, n = a[["x", "y", "z"]].to_numpy(float), len(a)
-    stations = sorted(set(a.station_id))
-    focus = np.array([np.cos(dec) * np.cos(ra), np.cos(dec) * np.sin(ra), np.sin(dec)])
-    centre = xyz - xyz.mean(0)
-    w = np.zeros((n, len(stations)), complex)
-    w[np.arange(n), [stations.index(s) for s in a.station_id]] = np.exp(-2j * np.pi / wl * (centre @ focus))
-    vis = visibilities(ms.main(), "data", times, (channel, channel + 1), conjugate=telescope == "lofar")
-    solved = eigen_stage(vis, w, xyz, wl)
-    when = vis.select("time_id", "time").distinct()
-    basis = uvw_basis(ra, dec)
-
-    def uvw_of(it):
-        for pdf in it:
-            out = []
-            for t in pdf.time:
-                p = xyz
-                if earth_fixed:
-                    ang = 2 * np.pi * ((0.7790572732640 + 1.00273781191135448 * (t - 51544.5)) % 1.0)
-                    c, s = np.cos(ang), np.sin(ang)
-                    p = np.c_[xyz[:, 0] * c - xyz[:, 1] * s, xyz[:, 0] * s + xyz[:, 1] * c, xyz[:, 2]]
-                q = p @ basis
-                out.append((q[None, :, :] - q[:, None, :]).reshape(-1, 3).ravel(order="F"))
-            yield pdf.assign(uvw=out)
-
-    uvw = when.mapInPandas(uvw_of, "time_id bigint, time double, uvw array<double>")
-    rows = solved.join(uvw, "time_id").select(F.col("time_id").alias("sample_id"), "time", F.lit(float(wl)).alias("wl"), "scale", "d", "v_re", "v_im", "uvw")
-    ds = Dataset.create(spark, path, description, n, w.shape[1], float(np.degrees(ra)), float(np.degrees(dec)))
-    ds.append(rows)
+    every = ms.channels()
+    total = every.count()
+    lo, hi = channels[0], total if channels[1] == -1 else channels[1]
+    if not 0 <= lo < hi <= total:
+        raise ValueError(f"channels {channels} aren't within 0 and {total}")
+    instrument, stations = instrument_of(first_stations(antennas, n_station), ra, dec, earth_fixed)
+    place = F.broadcast(ms.spark.createDataFrame([(int(s), k) for k, s in enumerate(stations)], "beam bigint, at bigint"))  # a row per station
+    vis = visibilities(ms.main(), column, times, (lo, hi), conjugate=telescope == "lofar")
+    for c in ("beam_i", "beam_j"):
+        vis = vis.join(place, vis[c] == place["beam"]).withColumn(c, F.col("at")).drop("beam", "at")
+    vis = vis.join(F.broadcast(every.select(F.col("channel_id").cast("bigint").alias("channel_id"), "wl")), "channel_id")  # a row per channel
+    ds = Dataset.create(ms.spark, path, description or telescope, len(instrument.xyz), len(stations), float(np.degrees(ra)), float(np.degrees(dec)))
+    ds.append(solved_samples(vis, instrument, hi - lo, lo))
     return ds
 
 
 def build_selection(ds: Dataset, path: str, specs: list[str], sample_range=(0, -1, 1)) -> DataFrame:
     chosen = select(ds.samples, [Spec.parse(s) for s in specs], sample_range)
-    write_selection(chosen, path)
-    return read_selection(ds.spark, path)
+    store_selection(chosen, path)
+    return stored_selection(ds.spark, path)
 
 
 def build_pixels(spark: SparkSession, path: str, size: int, fov_deg: float) -> PixelSet:
@@ -65,7 +57,7 @@ def build_pixels(spark: SparkSession, path: str, size: int, fov_deg: float) -> P
 
 
 def build_images(ds: Dataset, pixels: PixelSet, path: str, selection: str | None = None, options: Options = Options()) -> Images:
-    chosen = read_selection(ds.spark, selection) if selection else default_selection(ds.samples)
+    chosen = stored_selection(ds.spark, selection) if selection else default_selection(ds.samples)
     img = image_synthesis(ds.samples, chosen, pixels.pixels, ds.header["n_antenna"], ds.header["n_beam"], options)
     h = pixels.header
     out = Images.create(ds.spark, path, h["height"], h["width"], h["fov_deg"], ds.header["ra_deg"], ds.header["dec_deg"])
@@ -73,4 +65,4 @@ def build_images(ds: Dataset, pixels: PixelSet, path: str, selection: str | None
     return out
 
 
-__all__ = ["build_dataset", "build_images", "build_pixels", "build_selection", "icrs_position"]
+__all__ = ["build_dataset", "build_images", "build_pixels", "build_selection", "icrs_position", "instrument_of"]

@@ -32,22 +32,28 @@ def check_tag(tag: str) -> str:
     return tag
 
 
-def check_selection(selection: DataFrame, samples: DataFrame, beams: int) -> None:
-    """Unique ids per tag, known ids, the same ids under all tags, vectors of one number per beam; one small action."""
-    s = selection.groupBy("tag", "sample_id").agg(F.count("*").alias("c"), F.max(F.size("d")).alias("hi"), F.min(F.size("d")).alias("lo"))
-    tags = s.select("tag").distinct().count()
-    known = samples.select("sample_id", F.lit(True).alias("known"))
-    per_id = s.groupBy("sample_id").agg(F.max("c").alias("c"), F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.count("*").alias("tags")).join(known, "sample_id", "left")
-    row = per_id.agg(F.max("c").alias("c"), F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.min("tags").alias("tags"), F.sum(F.when(F.col("known").isNull(), 1).otherwise(0)).alias("unknown")).first()
-    if row.c is None:
-        return
-    if row.c > 1:
+def check_selection(selection: DataFrame, samples: DataFrame, beams: int) -> tuple[list[str], int]:
+    """Unique ids per tag, known ids, the same ids under all tags, vectors of one number per beam; one action.
+
+    Returns the tags, of which there is one per image, and the number of samples selected.
+    """
+    n = F.coalesce(F.size("d"), F.lit(-1))
+    per_id = selection.groupBy("sample_id").agg(F.collect_list("tag").alias("tags"), F.max(n).alias("hi"), F.min(n).alias("lo"))
+    s = per_id.join(samples.select("sample_id", F.lit(True).alias("known")), "sample_id", "left")
+    each = F.size(F.array_distinct("tags"))
+    row = s.agg(
+        F.max(F.size("tags") - each).alias("twice"), F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.min(each).alias("least"), F.count("*").alias("count"),
+        F.sum(F.when(F.col("known").isNull(), 1).otherwise(0)).alias("unknown"), F.array_distinct(F.flatten(F.collect_set(F.array_sort("tags")))).alias("tags"),
+    ).first()
+    if not row["count"]:
+        return [], 0
+    tags = sorted(row.tags)
+    if row.twice:
         raise ValueError("a sample id occurs twice under a tag")
     if row.unknown:
         raise ValueError("a selected sample id isn't in the dataset")
-    if row.tags != tags:
+    if row.least != len(tags):
         raise ValueError("all tags must select the same samples")
     if row.hi != beams or row.lo != beams:
         raise ValueError(f"selected vectors must hold {beams} eigenvalues")
-    for r in selection.select("tag").distinct().collect():  # tags are few: one per image
-        check_tag(r.tag)
+    return [check_tag(t) for t in tags], row["count"]

@@ -170,6 +170,23 @@ def read_selection(spark: SparkSession, path: str) -> DataFrame:
     return selection_from_json(spark.read.text(path, wholetext=True).select(F.col("value").alias("json")))
 
 
+def store_selection(selection: DataFrame, path: str) -> None:
+    """As Parquet, a folder per tag: for stages that follow; JSON is for exchange."""
+    for r in selection.select("tag").distinct().collect():
+        S.check_tag(r.tag)
+    selection.select("sample_id", "d", "tag").write.mode("overwrite").partitionBy("tag").parquet(path)
+
+
+def stored_selection(spark: SparkSession, path: str) -> DataFrame:
+    """A selection in either form."""
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(sc._jvm.org.apache.hadoop.fs.Path(path, "tag=*"))
+    if files is None or not len(files):
+        return read_selection(spark, path)
+    return spark.read.schema("sample_id bigint, d array<double>, tag string").parquet(path).select("tag", "sample_id", "d")
+
+
 def default_selection(samples: DataFrame) -> DataFrame:
     """All samples, unfiltered."""
     return samples.select(F.lit("full_image").alias("tag"), "sample_id", "d")

@@ -54,7 +54,7 @@ def test_the_source_is_found_at_its_pixel(spark, observation, tmp_path):
     path, _ = observation
     ms = OB.MeasurementSet(spark, path)
     assert ms.channels().count() == 2 and ms.times().count() == 4 and ms.field_center() == (RA, DEC)
-    ds = D.build_dataset(ms, OB.plain_stations(ms.table("antenna")), f"{tmp_path}/ds", "mwa", earth_fixed=False)
+    ds = D.build_dataset(ms, OB.plain_stations(ms.table("antenna")), f"{tmp_path}/ds", "mwa", channels=(0, 1), earth_fixed=False)
     assert ds.num_samples() == 4 and len(ds.field("d", 0)) == N and ds.header["n_beam"] == N
     with pytest.raises(IndexError):
         ds.field("wl", 99)
@@ -74,6 +74,57 @@ def test_the_source_is_found_at_its_pixel(spark, observation, tmp_path):
     assert flagged.select("time_id").distinct().count() == 3  # the last integration of channel 1 is flagged
 
 
+@pytest.fixture(scope="module")
+def turning(spark, tmp_path_factory):
+    """Eight earth-fixed antennas, four integrations an hour apart, two channels, one source at (l, m) = (0.05, -0.03)."""
+    path = str(tmp_path_factory.mktemp("turning"))
+    r = np.random.default_rng(3)
+    xyz, basis = r.normal(0, 12, (8, 3)), FR.uvw_basis(RA, DEC)
+    freq = [OB.C / WL, OB.C / WL * 1.25]
+    rows = []
+    for t in range(4):
+        mjd = 56879.0 + t / 24
+        a = FR.sidereal_angle(mjd)
+        p = xyz @ np.array([[np.cos(a), np.sin(a), 0], [-np.sin(a), np.cos(a), 0], [0, 0, 1]])
+        s = []
+        for f in freq:
+            k = 2 * np.pi * f / OB.C
+            v = np.exp(1j * k * (p @ (basis @ _source(0.05, -0.03)))) * np.exp(-1j * k * ((p - p.mean(0)) @ basis[:, 2]))
+            s.append(np.outer(np.conj(v), v))
+        for i in range(8):
+            for j in range(i, 8):
+                v = [m[j, i] for m in s]
+                rows.append((mjd, i, j, [[float(x.real), 0.0, 0.0, float(x.real)] for x in v], [[float(x.imag), 0.0, 0.0, float(x.imag)] for x in v], [[False] * 4] * 2, [[1.0] * 4] * 2))
+    schema = "time double, antenna1 int, antenna2 int, {}_re array<array<double>>, {}_im array<array<double>>, flag array<array<boolean>>, weight_spectrum array<array<double>>"
+    df = spark.createDataFrame(rows, schema.format("data", "data"))
+    df.withColumns({f"corrected_data_{c}": F.col(f"data_{c}") for c in ("re", "im")}).write.parquet(f"{path}/main")
+    spark.createDataFrame([(RA, DEC)], "ra double, dec double").write.parquet(f"{path}/field")
+    spark.createDataFrame([(freq,)], "chan_freq array<double>").write.parquet(f"{path}/spectral_window")
+    spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(xyz)], "ordinal int, position array<double>").write.parquet(f"{path}/antenna")
+    return path, xyz, freq
+
+
+def test_a_turning_array_sees_the_source_at_its_pixel(spark, turning, tmp_path):
+    path, _, freq = turning
+    ms = OB.MeasurementSet(spark, path)
+    ds = D.build_dataset(ms, OB.plain_stations(ms.table("antenna")), f"{tmp_path}/ds", "skalow")
+    got = ds.samples.orderBy("sample_id").toPandas()
+    assert got.sample_id.tolist() == list(range(8)) and np.allclose(got.wl, [OB.C / f for f in freq] * 4)
+    assert len(set(map(tuple, got.uvw))) == 4  # a channel's baselines are its time's
+    px = D.build_pixels(spark, f"{tmp_path}/px", 41, math.degrees(2 * math.asin(0.2)))
+    lmn = px.pixels.orderBy("pixel_id").toPandas()
+    for channels, n in (((0, -1), 8), ((1, 2), 4)):
+        one = D.build_dataset(ms, OB.plain_stations(ms.table("antenna")), f"{tmp_path}/d{n}", "skalow", channels=channels, column="corrected_data")
+        assert one.num_samples() == n
+        img = D.build_images(one, px, f"{tmp_path}/i{n}").get("full_image").toPandas()
+        best = lmn[lmn.pixel_id == img.pixel_id[img.value.argmax()]].iloc[0]
+        assert abs(best.l - 0.05) < 0.011 and abs(best.m + 0.03) < 0.011
+    fewer = D.build_dataset(ms, OB.plain_stations(ms.table("antenna")), f"{tmp_path}/few", "skalow", times=(0, 1, 1), n_station=5)
+    assert fewer.header["n_antenna"] == 5 and fewer.num_samples() == 2
+    with pytest.raises(ValueError):
+        D.build_dataset(ms, OB.plain_stations(ms.table("antenna")), f"{tmp_path}/no", "skalow", channels=(1, 5))
+
+
 def test_levels_add_up_to_the_whole(spark):
     r = np.random.default_rng(1)
     n, b = 4, 3
@@ -236,8 +287,12 @@ def test_streams(spark, tmp_path):
 def test_command_line(spark, observation, tmp_path, monkeypatch, capsys):
     path, _ = observation
     cli.main(["dataset", "--ms", path, "--telescope", "mwa", "-o", f"{tmp_path}/ds"])
-    cli.main(["selection", "--dataset", f"{tmp_path}/ds", "-s", "sqrt,1,1,none,0.001,1e9", "-o", f"{tmp_path}/s"])
+    cli.main(["dataset", "--ms", path, "--telescope", "mwa", "-o", f"{tmp_path}/two", "--channel", "1", "2", "--data", "DATA", "--station", "4"])
+    two = ST.Dataset.open(spark, f"{tmp_path}/two")
+    assert two.header["n_antenna"] == 4 and two.num_samples() == 3
+    cli.main(["selection", "--json", "--dataset", f"{tmp_path}/ds", "-s", "sqrt,1,1,none,0.001,1e9", "-o", f"{tmp_path}/s"])
     cli.main(["image_prop", "--npixel", "5", "--fov", "4", "-o", f"{tmp_path}/p"])
     cli.main(["synthesis", "--dataset", f"{tmp_path}/ds", "--image_prop", f"{tmp_path}/p", "--selection", f"{tmp_path}/s", "-o", f"{tmp_path}/i"])
+    assert ST.stored_selection(spark, f"{tmp_path}/s.json").exceptAll(ST.stored_selection(spark, f"{tmp_path}/s")).isEmpty()
     cli.main(["plot", "--images", f"{tmp_path}/i"])
     assert "s0_sqrt" in capsys.readouterr().out
