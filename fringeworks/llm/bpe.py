@@ -29,6 +29,7 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -489,16 +490,18 @@ class Encoder:
         per = np.concatenate([[0], end])
         return ids, per[np.searchsorted(cut, offsets)]
 
-    def binary(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, pa.Array]:
-        """Each document's number of ids, and its ids as little-endian bytes."""
-        ids, at = self.encode(data, offsets)
-        raw = ids.astype("<u2" if self.vocab.size <= 1 << 16 else "<u4")
-        ends = pa.py_buffer((at * raw.itemsize).astype(np.int32).tobytes())
-        return pa.array(np.diff(at).astype(np.int32)), pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, ends, pa.py_buffer(raw.tobytes())])
+
+def blob(ids: np.ndarray) -> bytes:
+    """Ids, compressed: they are moved and stored in this form."""
+    return zstandard.ZstdCompressor(3).compress(ids.tobytes())
+
+
+def unblob(raw: bytes, kind: str = "<u2") -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
 
 
 def kind(p: Params) -> str:
-    """The type of the numbers in ``Encoder.binary``."""
+    """The least type that holds all ids."""
     return "<u2" if vocabulary(p.vocabulary).size <= 1 << 16 else "<u4"
 
 

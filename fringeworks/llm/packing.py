@@ -53,30 +53,35 @@ class Params:
     bpe: bpe.Params = field(default_factory=bpe.Params)
 
 
-def _token_rows(p: bpe.Params):
+def _piece_rows(p: Params):
+    c = p.capacity
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = bpe.encoder(p)
-        for b in X.slices(batches, "text", p.slice_bytes):
+        enc, kind = bpe.encoder(p.bpe), bpe.kind(p.bpe)
+        for b in X.slices(batches, "text", p.bpe.slice_bytes):
             data, offsets, _ = X.utf8(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *enc.binary(data, offsets)], ["doc_id", "h", "n", "ids"])
+            ids, at = enc.encode(data, offsets)
+            ids = ids.astype(kind)
+            n = np.diff(at)
+            count = -(-n // c)
+            row = np.repeat(np.arange(len(n)), count)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            start = piece * c
+            size = np.minimum(c, n[row] - start)
+            first = at[row] + start
+            parts = [bpe.blob(ids[i : i + k]) for i, k in zip(first.tolist(), size.tolist(), strict=True)]
+            numbers = (pa.array(x.astype(np.int32)) for x in (piece, start, size))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(2).take(pa.array(row)), *numbers, pa.array(parts, pa.binary())], ["doc_id", "h", "piece", "start", "length", "part"])
 
     return run
 
 
-def tokenised(ws: Workspace, docs: DataFrame, p: Params) -> DataFrame:
-    """``row, doc_id, h, n, ids``, written: ids as little-endian numbers, ``row`` unique."""
+def pieces(ws: Workspace, docs: DataFrame, p: Params) -> DataFrame:
+    """``row, doc_id, h, piece, start, length, part``, written: each text's ids cut at multiples of the capacity; ``row`` is unique."""
     text = F.col("text").cast("string")
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).where("text <> ''").withColumn("h", F.xxhash64("text"))
-    out = src.mapInArrow(_token_rows(p.bpe), "doc_id bigint, h bigint, n int, ids binary")
-    return ws.write(out.withColumn("row", F.monotonically_increasing_id()), "tokens")
-
-
-def pieces(tokens: DataFrame, p: Params) -> DataFrame:
-    """``row, doc_id, h, piece, start, length``: the cuts of each row at multiples of the capacity."""
-    c = p.capacity
-    cut = tokens.select("row", "doc_id", "h", "n", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / c).cast("int"))).alias("piece"))
-    start = F.col("piece") * c
-    return cut.select("row", "doc_id", "h", "piece", start.alias("start"), F.least(F.lit(c), F.col("n") - start).alias("length"))
+    out = src.mapInArrow(_piece_rows(p), "doc_id bigint, h bigint, piece int, start int, length int, part binary")
+    return ws.write(out.withColumn("row", F.monotonically_increasing_id()), "pieces")
 
 
 def numbered(ws: Workspace, rows: DataFrame) -> DataFrame:
@@ -86,7 +91,7 @@ def numbered(ws: Workspace, rows: DataFrame) -> DataFrame:
     of which there is one number per range.
     """
     order = (F.col("length").desc(), F.col("doc_id").asc_nulls_first(), F.col("h").asc(), F.col("piece").asc())
-    table = ws.write(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()), "pieces")
+    table = ws.write(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id()), "numbers")
     part = F.shiftright("id", 33)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = table.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
@@ -219,7 +224,7 @@ SEQUENCES = "bin_id bigint, n_tokens int, doc_ids array<bigint>, pieces array<in
 _OUT = 64  # sequences of a batch
 
 
-def _sequence_rows(kind: type):
+def _sequence_rows(kind: str):
     """Sequences of a stream of pieces sorted by sequence and place."""
 
     def made(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -229,7 +234,7 @@ def _sequence_rows(kind: type):
         for i in range(0, len(edge) - 1, _OUT):
             e = edge[i : i + _OUT + 1]
             some = t.slice(e[0], e[-1] - e[0])
-            ids = np.frombuffer(b"".join(some.column("part").to_pylist()), kind).astype(np.int32)
+            ids = np.concatenate([bpe.unblob(x, kind) for x in some.column("part").to_pylist()]).astype(np.int32)
             each, tok = pa.array((e - e[0]).astype(np.int32)), pa.array((at[e] - at[e[0]]).astype(np.int32))
             of = lambda c, some=some, each=each: pa.ListArray.from_arrays(each, some.column(c).combine_chunks())
             yield pa.RecordBatch.from_arrays(
@@ -261,14 +266,11 @@ def packed(docs: DataFrame, p: Params = Params()) -> DataFrame:
     the piece's number and first token in it, and its first token in the sequence.
     """
     ws = Workspace(docs.sparkSession, "packing")
-    tokens = tokenised(ws, docs, p)
-    table = numbered(ws, pieces(tokens.select("row", "doc_id", "h", "n"), p))
-    at = table.join(placed(ws, table, p), "id").select("row", "piece", "start", "length", "bin", F.col("off").cast("int").alias("off"))
-    kind = bpe.kind(p.bpe)
-    w = np.dtype(kind).itemsize
-    part = F.substring("ids", F.col("start") * w + 1, F.col("length") * w)
-    met = tokens.select("row", "doc_id", "ids").join(at, "row").select("bin", "off", "doc_id", "piece", "start", "length", part.alias("part"))
-    return met.repartition("bin").sortWithinPartitions("bin", "off").mapInArrow(_sequence_rows(kind), SEQUENCES)
+    every = pieces(ws, docs, p)
+    table = numbered(ws, every.select("row", "doc_id", "h", "piece", "length"))
+    at = table.join(placed(ws, table, p), "id").select("row", "bin", F.col("off").cast("int").alias("off"))
+    met = every.select("row", "doc_id", "piece", "start", "length", "part").join(at, "row").select("bin", "off", "doc_id", "piece", "start", "length", "part")
+    return met.repartition("bin").sortWithinPartitions("bin", "off").mapInArrow(_sequence_rows(bpe.kind(p.bpe)), SEQUENCES)
 
 
 def unpacked(sequences: DataFrame) -> DataFrame:
