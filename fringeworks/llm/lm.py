@@ -1,280 +1,434 @@
 """Language-model scores from a log-bilinear model trained with noise contrast.
 
-Tokens are 64 folded byte symbols (letters, digits, signs, classes of UTF-8
-bytes); the context is the four symbols before.  The model predicts a vector
-from the context's symbols, each turned by the matrix of its place, and scores
-every symbol by a product with its own vector plus a bias.
-
-Training sees every position of every document: all 5-grams are counted over the
-corpus, and cut into examples that stand for at most ``chunk`` equal positions
-each, so examples and tasks grow with the positions.  A task visits all of its
-examples in every epoch, weighted by their positions, by noise-contrastive
-estimation (k samples of the corpus's own symbol frequencies per example, Adam);
-the tasks' parameters are averaged by their weight, round by round.  Scoring
-multiplies the vectors of all distinct contexts of a slice with all symbols at
-once, so log-probabilities are normalised exactly.
+Tokens are the BPE ids of ``bpe``; the context is the three tokens before, within
+the text.  The model predicts a vector from the context's tokens, each turned by
+the matrix of its place.  A token's probability is that of its class times that of
+the token within the class, each from products of the predicted vector with the
+classes' or tokens' own vectors plus biases, so both are normalised exactly over a
+few hundred products in place of the whole vocabulary's.  Classes are ranges of
+the tokens ordered by their number in the corpus, cut so that the products expected
+for a token are few; every token of the vocabulary is in one, seen or not.
+
+Training sees every position of every text, once a round: a task goes through its
+texts in chunks, counts the chunk's 4-grams and visits each distinct one, weighted
+by its count, by noise-contrastive estimation at both levels (noise is drawn from
+the corpus's own frequencies of classes, and of tokens within the class; Adagrad).
+The tasks' parameters are averaged row by row, each weighted by the positions that
+touched it, round by round.  Texts are encoded once, to a written table.
+
+Scoring multiplies the vectors of all distinct contexts of a chunk with the classes
+at once, and with the tokens of each class in turn.
 
 Defined results: a null text has null scores; an empty one has no tokens, log-
 probability 0 and null mean and perplexity.  Every row is scored alone, so
-repeated rows score alike, though each counts in training.  Without any text the
-model is uniform.  Other columns aren't looked at.
+repeated rows score alike, though each counts in training; a text of any length is
+scored whole.  Tokens of equal number are ordered by id.  Without any text the
+tokens are equally likely within a class, and the result is empty for an empty
+table.  ``doc_id`` must be castable to bigint; other columns aren't looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from . import text as X
 from .workspace import Workspace, documents
 
-SYMBOLS, ORDER, WIDTH = 64, 4, 6
+ORDER, WIDTH = 3, 16
+MASK = np.uint64((1 << WIDTH) - 1)
 
 
 @dataclass(frozen=True)
 class Params:
-    dim: int = 40
-    noise: int = 12
-    rounds: int = 3
-    epochs: int = 4
-    batch: int = 2048
-    rate: float = 0.02
-    share: int = 250_000  # examples per training task
-    chunk: int = 64  # equal positions that an example stands for at most
+    dim: int = 32
+    noise: int = 16
+    rounds: int = 2
+    batch: int = 16384
+    rate: float = 0.1
+    chunk: int = 3_000_000  # tokens that a task holds at once
     seed: int = 5
-    slice_bytes: int = 4 << 20
-
-
-def _symbols() -> np.ndarray:
-    t = np.full(256, 51, np.uint8)
-    for b in range(256):
-        c = chr(b)
-        if b >= 0x80:
-            t[b] = 53 if b == 0xC3 else 54 if b >= 0xC0 else 55 + b % 9
-        elif c.isalpha():
-            t[b] = ord(c.lower()) - 96
-        elif c.isdigit():
-            t[b] = 27 + b - 48
-        elif b < 32 or b == 127:
-            t[b] = 52
-    for i, c in enumerate(' \n.,!?|-"#$%&*'):
-        t[ord(c)] = 37 + i
-    t[ord("'")] = 45
-    return t
-
-
-TABLE = _symbols()
-
-
-def contexts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols, and for each the packed four before it in its document (0 before the start)."""
-    s = TABLE[data]
-    w = s.astype(np.uint32)
-    c = np.zeros(len(s), np.uint32)
-    place = np.full(len(s), ORDER, np.uint8)
-    begin = offsets[:-1][np.diff(offsets) > 0]
-    for k in range(ORDER):
-        at = begin + k
-        # a document shorter than k must not reach into the next one: later starts overwrite
-        at = at[at < len(s)]
-        place[at] = np.minimum(place[at], k)
-    place[begin] = 0
-    for k in range(1, ORDER + 1):
-        prev = np.zeros(len(s), np.uint32)
-        prev[k:] = w[:-k] if k < len(w) else w[:0]
-        prev[place < k] = 0
-        c |= prev << np.uint32(WIDTH * (k - 1))
-    return s, c
+    bpe: bpe.Params = field(default_factory=bpe.Params)
+
+
+class Layout:
+    """Tokens by falling number (their rank), classes as ranges of ranks, and the frequencies of both."""
+
+    def __init__(self, counts: np.ndarray):
+        f = counts + 0.5
+        self.size = len(f)
+        if self.size >= 1 << WIDTH:
+            raise ValueError("ids must be below 65,535")
+        self.token = np.lexsort((np.arange(self.size), -f))
+        self.rank = np.empty(self.size, np.uint16)
+        self.rank[self.token] = np.arange(self.size)
+        p = f[self.token] / f.sum()
+        self.starts = self._cut(p)
+        n = np.diff(self.starts)
+        self.classes = len(n)
+        self.of = np.repeat(np.arange(self.classes, dtype=np.uint16), n)
+        self.class_p = np.add.reduceat(p, self.starts[:-1])
+        self.word_p = p / np.repeat(self.class_p, n)
+        self.class_cum = np.cumsum(self.class_p)
+        self.word_cum = np.cumsum(self.word_p)  # falls back to whole numbers at the classes' ends
+
+    @staticmethod
+    def _cut(p: np.ndarray) -> np.ndarray:
+        """First ranks of the classes, and the end: mass times size is at most a bound, the best of some."""
+        cum = np.concatenate([[0.0], np.cumsum(p)])
+
+        def cut(bound: float) -> np.ndarray:
+            at, out = 0, [0]
+            while at < len(p):
+                lo, hi = at + 1, len(p)
+                while lo < hi:  # mass times size grows with the end
+                    mid = (lo + hi + 1) // 2
+                    lo, hi = (mid, hi) if (cum[mid] - cum[at]) * (mid - at) <= bound else (lo, mid - 1)
+                at = lo
+                out.append(at)
+            return np.array(out)
+
+        def cost(s: np.ndarray) -> float:
+            return len(s) + float(((cum[s[1:]] - cum[s[:-1]]) * np.diff(s)).sum())
+
+        return min((cut(b) for b in np.geomspace(0.05, 50, 25)), key=cost)
 
 
-def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    codes = np.sort(codes)
-    edge = np.concatenate([[0], np.flatnonzero(codes[1:] != codes[:-1]) + 1, [len(codes)]])
-    return codes[edge[:-1]], np.diff(edge)
+class Model:
+    """One matrix: a row per context token (and one for the text's start), the places' matrices, a row per token and per class.
 
+    The last column holds the biases.
+    """
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    u, inv = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-    return u, np.bincount(inv, np.concatenate([n for _, n in parts])).astype(np.int64)
+    def __init__(self, m: np.ndarray, size: int, dim: int):
+        self.m, self.dim = m, dim
+        a, b, c = size + 1, size + 1 + ORDER * dim, 2 * size + 1 + ORDER * dim
+        self.at = (0, a, b, c)
+        self.r, self.q, self.s = m[:a, :dim], m[b:c], m[c:]
+        self.c = m[a:b, :dim].reshape(ORDER, dim, dim)
 
+    @classmethod
+    def start(cls, p: Params, lay: Layout) -> Model:
+        g, d, n = np.random.default_rng(p.seed), p.dim, lay.size
+        m = np.zeros((2 * n + 1 + ORDER * d + lay.classes, d + 1), np.float32)
+        out = cls(m, n, d)
+        out.r[:] = g.normal(0, 0.3, (n + 1, d))
+        out.c[:] = [np.eye(d) * 0.5 + g.normal(0, 0.02, (d, d)) for _ in range(ORDER)]
+        out.q[:, :d], out.q[:, d] = g.normal(0, 0.1, (n, d)), np.log(lay.word_p)
+        out.s[:, :d], out.s[:, d] = g.normal(0, 0.1, (lay.classes, d)), np.log(lay.class_p)
+        return out
 
-def _count_rows(p: Params):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in X.slices(batches, "text", p.slice_bytes):
-            data, offsets, _ = X.utf8(b.column(0))
-            if len(data):
-                s, c = contexts(data, offsets)
-                parts.append(_counted(c << np.uint32(WIDTH) | s))
-            if len(parts) > 8:
-                parts = [_merged(parts)]
-        if parts:
-            u, n = _merged(parts)
-            for i in range(0, len(u), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(u[i : i + 500_000].astype(np.int32)), pa.array(n[i : i + 500_000])], ["g", "n"])
+    def turned(self) -> np.ndarray:
+        """Every token's vector at each place of the context."""
+        return np.stack([self.r @ c for c in self.c])
 
-    return run
 
+def log_softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(1, keepdims=True)
+    x -= np.log(np.exp(x).sum(1, keepdims=True))
+    return x
 
-def counts(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """``g, n``: every 5-gram of symbols of all documents, and how often it occurs."""
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_rows(p), "g int, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
 
+def grams(ranks: np.ndarray, at: np.ndarray, start: int) -> np.ndarray:
+    """For each token the packed three before it (nearest lowest; ``start`` before the text) and, lowest, itself."""
+    n = len(ranks)
+    w = ranks.astype(np.uint64)
+    out = w.copy()
+    place = np.arange(n) - np.repeat(at[:-1], np.diff(at))
+    for k in range(1, ORDER + 1):
+        prev = np.full(n, start, np.uint64)
+        prev[k:] = w[: n - k]
+        prev[place < k] = start
+        out |= prev << np.uint64(WIDTH * k)
+    return out
+
+
+def context(g: np.ndarray, k: int) -> np.ndarray:
+    """The k-th token before."""
+    return (g >> np.uint64(WIDTH * k) & MASK).astype(np.int64)
+
+
+def scores(model: Model, turned: np.ndarray, lay: Layout, g: np.ndarray) -> np.ndarray:
+    """Log-probabilities of distinct sorted 4-grams, normalised over classes and within them."""
+    d = model.dim
+    target = (g & MASK).astype(np.int64)
+    ctx = g >> np.uint64(WIDTH)
+    first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(g) else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(g)]])))
+    cls = lay.of[target].astype(np.int64)
+    h = np.empty((len(first), d), np.float32)
+    out = np.empty(len(g), np.float32)
+    for a in range(0, len(first), 8192):
+        some = g[first[a : a + 8192]]
+        h[a : a + 8192] = sum(x.take(context(some, k), 0) for k, x in enumerate(turned, 1))
+        lp = log_softmax(h[a : a + 8192] @ model.s[:, :d].T + model.s[:, d])
+        lo, hi = first[a], first[a + 8192] if a + 8192 < len(first) else len(g)
+        out[lo:hi] = lp[owner[lo:hi] - a, cls[lo:hi]]
+    order = np.argsort(lay.of[target], kind="stable")
+    edge = np.searchsorted(cls[order], np.arange(lay.classes + 1))
+    for c in range(lay.classes):
+        lo, hi = lay.starts[c], lay.starts[c + 1]
+        if hi - lo == 1:
+            continue
+        step = max(1, 2_000_000 // (hi - lo))
+        for a in range(edge[c], edge[c + 1], step):
+            rows = order[a : min(a + step, edge[c + 1])]
+            lp = log_softmax(h.take(owner.take(rows), 0) @ model.q[lo:hi, :d].T + model.q[lo:hi, d])
+            out[rows] += lp[np.arange(len(rows)), target[rows] - lo]
+    return out
+
+
+# ---- training --------------------------------------------------------------------------------
+
+
+def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows, and the sums of their values: neighbours of a row are added in pairs until one is left."""
+    order = np.argsort(rows, kind="stable")
+    r = rows.take(order)
+    edge = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+    v = values.take(order, 0)
+    first, size = edge, np.diff(np.concatenate([edge, [len(r)]]))
+    while len(v) > len(edge):
+        half = (size + 1) // 2
+        at = np.cumsum(half) - half
+        take = np.repeat(first - 2 * at, half) + 2 * np.arange(at[-1] + half[-1])  # the first of each pair
+        out = v.take(take, 0)
+        last = at + half - 1  # without a partner where a row has an odd number
+        alone = last[size % 2 == 1]
+        mate = np.minimum(take + 1, len(v) - 1)
+        more = v.take(mate, 0)
+        more[alone] = 0
+        out += more
+        v, first, size = out, at, half
+    return r.take(edge).astype(np.int64), v
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+class Trainer:
+    """A task's parameters, their Adagrad sums, and the positions that touched each row."""
+
+    def __init__(self, m: np.ndarray, lay: Layout, p: Params, seed: int, rate: float):
+        self.model, self.lay, self.p, self.rate = Model(m.copy(), lay.size, p.dim), lay, p, rate
+        self.sum = Model(np.full_like(m, 1e-8), lay.size, p.dim)
+        self.touched = np.zeros(len(m))
+        self.rng = np.random.default_rng(seed)
+        self.class_noise, self.word_noise = np.log(p.noise * lay.class_p).astype(np.float32), np.log(p.noise * lay.word_p).astype(np.float32)
+
+    def _step(self, x: np.ndarray, s: np.ndarray, g: np.ndarray, rows=slice(None)) -> None:
+        new = s[rows] + g * g
+        s[rows] = new
+        x[rows] -= self.rate * g / np.sqrt(new)
+
+    def chunk(self, g: np.ndarray) -> None:
+        """Visit the distinct 4-grams of a chunk once, in a random order, by their counts."""
+        g, n = np.unique(g, return_counts=True)
+        used = np.unique(np.concatenate([context(g, k) for k in range(1, ORDER + 1)]))
+        local = np.zeros(self.lay.size + 1, np.uint16 if len(used) < 1 << 16 else np.int64)
+        local[used] = np.arange(len(used))
+        r, rs = self.model.r[used], self.sum.r[used]
+        for k in range(1, ORDER + 1):
+            self.touched[: self.lay.size + 1] += np.bincount(context(g, k), n, self.lay.size + 1)
+        _, a, b, c = self.model.at
+        self.touched[a:b] += n.sum()
+        target = (g & MASK).astype(np.int64)
+        self.touched[b:c] += np.bincount(target, n, self.lay.size)
+        self.touched[c:] += np.bincount(self.lay.of[target], n, self.lay.classes)
+        order = self.rng.permutation(len(g))
+        for i in range(0, len(g), self.p.batch):
+            at = order[i : i + self.p.batch]
+            self._batch(g.take(at), n.take(at), local, r, rs)
+        self.model.r[used], self.sum.r[used] = r, rs
+
+    def _batch(self, g: np.ndarray, n: np.ndarray, local: np.ndarray, r: np.ndarray, rs: np.ndarray) -> None:
+        m, lay, k, d = self.model, self.lay, self.p.noise, self.p.dim
+        target = (g & MASK).astype(np.int64)
+        cls = lay.of[target]
+        order = np.argsort(cls, kind="stable")
+        g, target, cls = g.take(order), target.take(order), cls.take(order).astype(np.int64)
+        w = (n.take(order) / n.sum()).astype(np.float32)
+        ctx = [local.take(context(g, j)) for j in range(1, ORDER + 1)]
+        h = np.ones((len(g), d + 1), np.float32)  # with a one for the bias
+        h[:, :d] = (r @ m.c[0]).take(ctx[0], 0)
+        for c, x in zip(m.c[1:], ctx[1:], strict=True):
+            h[:, :d] += (r @ c).take(x, 0)
+        # classes: noise shared by the batch
+        drawn = np.minimum(np.searchsorted(lay.class_cum, self.rng.random(k)), lay.classes - 1)
+        v = m.s[drawn]
+        zn = _sigmoid(h @ v.T - self.class_noise[drawn]) * w[:, None]
+        dh = zn @ v
+        ds = np.zeros_like(m.s)
+        np.add.at(ds, drawn, zn.T @ h)
+        # tokens within their class, noise shared by the class's examples; a small class's tokens are all looked at together
+        edge = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1], [True]]))
+        rows, grads = [], []
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            c, x, wx = cls[lo], h[lo:hi], w[lo:hi]
+            zt = (_sigmoid(x @ m.s[c] - self.class_noise[c]) - 1) * wx
+            ds[c] += zt @ x
+            dh[lo:hi] += np.outer(zt, m.s[c])
+            first, last = lay.starts[c], lay.starts[c + 1]
+            if last - first == 1:
+                continue
+            drawn = np.clip(np.searchsorted(lay.word_cum, c + self.rng.random(k)), first, last - 1)
+            t = target[lo:hi]
+            if last - first <= 4 * k:
+                q = m.q[first:last]
+                e = x @ q.T - self.word_noise[first:last]
+                hit = e[np.arange(hi - lo), t - first]
+                z = _sigmoid(e) * np.bincount(drawn - first, minlength=last - first).astype(np.float32)
+                z[np.arange(hi - lo), t - first] += _sigmoid(hit) - 1
+                z *= wx[:, None]
+                dh[lo:hi] += z @ q
+                self._step(m.q, self.sum.q, z.T @ x, slice(first, last))
+                continue
+            v, q = m.q.take(drawn, 0), m.q.take(t, 0)
+            z = _sigmoid(x @ v.T - self.word_noise[drawn]) * wx[:, None]
+            zq = (_sigmoid(np.einsum("ij,ij->i", x, q) - self.word_noise[t]) - 1) * wx
+            dh[lo:hi] += z @ v
+            dh[lo:hi] += zq[:, None] * q
+            rows += [t, drawn]
+            grads += [zq[:, None] * x, z.T @ x]
+        # contexts: through the matrix of each place
+        dr, dc = np.zeros_like(r), np.empty((ORDER, d, d), np.float32)
+        for j, x in enumerate(ctx):
+            at, s = _summed(x, dh[:, :d])
+            dc[j] = r[at].T @ s
+            dr[at] += s @ m.c[j].T
+        self._step(r, rs, dr)
+        self._step(m.c, self.sum.c, dc)
+        self._step(m.s, self.sum.s, ds)
+        if rows:
+            at, grad = _summed(np.concatenate(rows).astype(np.uint16), np.concatenate(grads))
+            self._step(m.q, self.sum.q, grad, at)
+
+
+# ---- Spark -----------------------------------------------------------------------------------
+
+
+def _token_rows(p: Params):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = bpe.encoder(p.bpe)
+        for b in X.slices(batches, "text", p.bpe.slice_bytes):
+            data, offsets, valid = X.utf8(b.column(1))
+            ids, at = enc.encode(data, offsets)
+            ids = ids.astype(np.uint16)
+            parts = [bpe.blob(ids[i:j]) if ok else None for i, j, ok in zip(at[:-1].tolist(), at[1:].tolist(), valid.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(parts, pa.binary())], ["doc_id", "ids"])
 
-class Model:
-    """Vectors of context symbols, a matrix per place, vectors and biases of predicted symbols."""
+    return run
 
-    def __init__(self, theta: np.ndarray, dim: int):
-        self.dim, self.theta = dim, theta
-        a, b = SYMBOLS * dim, SYMBOLS * dim + ORDER * dim * dim
-        self.r = theta[:a].reshape(SYMBOLS, dim)
-        self.c = theta[a:b].reshape(ORDER, dim, dim)
-        self.q = theta[b : b + SYMBOLS * dim].reshape(SYMBOLS, dim)
-        self.b = theta[b + SYMBOLS * dim :]
 
-    @classmethod
-    def start(cls, p: Params, unigram: np.ndarray) -> Model:
-        g = np.random.default_rng(p.seed)
-        d = p.dim
-        c = np.stack([np.eye(d) * 0.5 + g.normal(0, 0.02, (d, d)) for _ in range(ORDER)])
-        return cls(np.concatenate([g.normal(0, 0.3, SYMBOLS * d), c.ravel(), g.normal(0, 0.3, SYMBOLS * d), np.log(unigram)]), d)
-
-    def predicted(self, ctx: np.ndarray) -> np.ndarray:
-        """Predicted vectors of packed contexts."""
-        out = np.zeros((len(ctx), self.dim), self.theta.dtype)
-        for k in range(ORDER):
-            out += (self.r @ self.c[k])[ctx >> (WIDTH * k) & (SYMBOLS - 1)]
-        return out
+def tokenised(ws: Workspace, docs: DataFrame, p: Params) -> DataFrame:
+    """``doc_id, ids``, written: every row's ids; null for a null text."""
+    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return ws.write(src.mapInArrow(_token_rows(p), "doc_id bigint, ids binary"), "tokens")
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of about ``most`` tokens, at least one, their ids end to end, and each row's first."""
+    rows: list[pa.RecordBatch] = []
+    held: list[np.ndarray] = []
+    total = 0
+    for batch in batches:
+        begin = 0
+        for i, x in enumerate(batch.column(column)):
+            held.append(bpe.unblob(x.as_py()) if x.is_valid else np.zeros(0, np.uint16))
+            total += len(held[-1])
+            if total >= most:
+                rows.append(batch.slice(begin, i + 1 - begin))
+                yield _joined(rows, held)
+                rows, held, total, begin = [], [], 0, i + 1
+        if begin < batch.num_rows:
+            rows.append(batch.slice(begin))
+    if rows:
+        yield _joined(rows, held)
+
+
+def _joined(rows: list[pa.RecordBatch], held: list[np.ndarray]) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+    whole = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+    return whole, np.concatenate(held), np.concatenate([[0], np.cumsum([len(x) for x in held])])
+
+
+def _count_rows(size: int, p: Params):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for _, ids, _ in _chunks(batches, 0, p.chunk):
+            total += np.bincount(ids, minlength=size)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["token", "n"])
 
-    def log_probabilities(self, ctx: np.ndarray) -> np.ndarray:
-        """Normalised, one row per context, one column per symbol."""
-        s = self.predicted(ctx) @ self.q.T + self.b
-        s -= s.max(1, keepdims=True)
-        return s - np.log(np.exp(s).sum(1, keepdims=True))
-
-
-def examples(table: DataFrame, p: Params) -> DataFrame:
-    """``g, part, n``: each counted 5-gram in even parts of at most ``chunk`` positions."""
-    parts = F.expr(f"cast((n + {p.chunk - 1}) div {p.chunk} as bigint)")
-    # in two steps, so that no row's array is long
-    rows = table.withColumn("m", parts).select("g", "n", "m", F.explode(F.expr("sequence(0L, (m - 1) div 4096)")).alias("o"))
-    rows = rows.select("g", "n", "m", F.explode(F.expr("sequence(o * 4096, least(m, (o + 1) * 4096) - 1)")).alias("part"))
-    return rows.select("g", "part", F.expr("n div m + if(part < n % m, 1, 0)").alias("n"))
-
-
-def visits(rng: np.random.Generator, n: int, p: Params) -> list[np.ndarray]:
-    """Batches of examples: all of them once an epoch, in a new order each; 20 batches at least."""
-    per = -(-n // p.batch)
-    return [order[i : i + p.batch] for _ in range(max(p.epochs, -(-20 // per))) for order in [rng.permutation(n)] for i in range(0, n, p.batch)]
-
-
-def _train(theta: np.ndarray, g: np.ndarray, n: np.ndarray, unigram: np.ndarray, p: Params, seed: int, rate: float) -> np.ndarray:
-    """A task's epochs of noise-contrastive estimation on its examples, each weighted by its positions."""
-    rng = np.random.default_rng(seed)
-    theta = theta.copy()
-    m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    log_noise = np.log(p.noise * unigram)
-    cum = np.cumsum(unigram)
-    weight = n / n.mean()
-    batches = visits(rng, len(g), p)
-    steps = len(batches)
-    d, eye = p.dim, np.eye(SYMBOLS)
-    for t, i in enumerate(batches, 1):
-        model = Model(theta, d)
-        size = len(i)
-        code, w = g[i], weight[i]
-        ctx, sym = code >> WIDTH, code & (SYMBOLS - 1)
-        noise = np.minimum(np.searchsorted(cum, rng.random((size, p.noise))), SYMBOLS - 1)
-        words = np.concatenate([sym[:, None], noise], 1)
-        qv = model.predicted(ctx)
-        s = (qv @ model.q.T + model.b)[np.arange(size)[:, None], words]
-        z = 1 / (1 + np.exp(-np.clip(s - log_noise[words], -30, 30)))
-        z[:, 0] -= 1
-        z *= (w / size)[:, None]
-        grad = np.zeros_like(theta)
-        gm = Model(grad, d)
-        # gradient of the scores, gathered as a dense matrix: the symbols are few
-        ds = np.bincount((np.arange(size)[:, None] * SYMBOLS + words).ravel(), z.ravel(), size * SYMBOLS).reshape(size, SYMBOLS)
-        gm.b[:] = ds.sum(0)
-        gm.q[:] = ds.T @ qv
-        dq = ds @ model.q
-        for k in range(ORDER):
-            hot = eye[ctx >> (WIDTH * k) & (SYMBOLS - 1)].T @ dq
-            gm.c[k] = model.r.T @ hot
-            gm.r[:] += hot @ model.c[k].T
-        m1 = 0.9 * m1 + 0.1 * grad
-        m2 = 0.999 * m2 + 0.001 * grad * grad
-        theta -= rate * (1 - (t - 1) / steps * 0.9) * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
-    return theta
-
-
-def _trained_rows(theta: np.ndarray, unigram: np.ndarray, p: Params, rate: float):
+    return run
+
+
+def _trained_rows(m: np.ndarray, lay: Layout, p: Params, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cols = [(b.column(0).to_numpy().astype(np.int64), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if cols:
-            g, n = np.concatenate([c for c, _ in cols]), np.concatenate([c for _, c in cols])
-            order = np.lexsort((n, g))  # the same whatever order the shuffle gave
-            task = TaskContext.get()
-            got = _train(theta, g[order], n[order].astype(float), unigram, p, p.seed + (task.partitionId() if task else 0), rate)
-            yield pa.RecordBatch.from_arrays([pa.array([float(n.sum())]), pa.array([got], pa.list_(pa.float64()))], ["w", "theta"])
+        task = TaskContext.get()
+        t = Trainer(m, lay, p, p.seed + (task.partitionId() if task else 0), rate)
+        for _, ids, at in _chunks(batches, 0, p.chunk):
+            if len(ids):
+                t.chunk(grams(lay.rank[ids], at, lay.size))
+        rows = np.flatnonzero(t.touched)
+        for i in range(0, len(rows), 20_000):
+            some = rows[i : i + 20_000]
+            flat = pa.array(t.model.m[some].ravel())
+            x = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * (p.dim + 1)), flat)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(t.touched[some]), x], ["row", "w", "x"])
 
     return run
 
 
-def fit(ws: Workspace, docs: DataFrame, p: Params = Params()) -> tuple[Model, int]:
-    """Count, then train in rounds of averaged tasks; also the number of counted positions."""
-    table = ws.write(counts(docs, p), "grams")
-    rows = table.groupBy(F.expr(f"g & {SYMBOLS - 1}").alias("s")).agg(F.sum("n").alias("n"), F.sum(F.expr(f"(n + {p.chunk - 1}) div {p.chunk}")).alias("m")).collect()  # 64 rows at most
-    unigram = np.full(SYMBOLS, 0.5)
-    for r in rows:
-        unigram[r.s] += r.n
-    total = int(unigram.sum() - SYMBOLS / 2)
-    unigram /= unigram.sum()
-    model = Model.start(p, unigram)
-    if not total:
-        return Model(np.zeros_like(model.theta), p.dim), 0
-    tasks = max(1, -(-sum(r.m for r in rows) // p.share))
-    every = examples(table, p)
-    part = (every.coalesce(1) if tasks == 1 else every.repartition(tasks, F.xxhash64("g", "part"))).select("g", "n")
+def fit(ws: Workspace, docs: DataFrame, p: Params = Params()) -> tuple[Model, Layout, DataFrame, int]:
+    """The model, its layout, the written tokens, and how many there are."""
+    table = tokenised(ws, docs, p)
+    size = bpe.vocabulary(p.bpe.vocabulary).size
+    counted = table.select("ids").mapInArrow(_count_rows(size, p), "token int, n bigint").groupBy("token").agg(F.sum("n").alias("n")).toArrow()  # a row per token of the vocabulary
+    counts = np.zeros(size)
+    counts[counted.column("token").to_numpy()] = counted.column("n").to_numpy()
+    lay = Layout(counts)
+    model = Model.start(p, lay)
+    if not counts.any():
+        return Model(np.zeros_like(model.m), size, p.dim), lay, table, 0
     for k in range(p.rounds):
-        got = part.mapInArrow(_trained_rows(model.theta, unigram, p, p.rate / (1 + k)), "w double, theta array<double>")
-        # the weighted mean is taken by the cluster; one row comes back
-        mean = got.select("w", F.posexplode("theta").alias("i", "x")).groupBy("i").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x")).orderBy("i").toArrow()
-        model = Model(mean.column("x").to_numpy().copy(), p.dim)
-    return model, total
+        got = table.select("ids").mapInArrow(_trained_rows(model.m, lay, p, p.rate / (1 + k)), "row int, w double, x array<float>")
+        # each row's weighted mean is taken by the cluster; as many rows as the model has come back
+        mean = got.groupBy("row").agg(F.array(*(F.sum(F.col("w") * F.col("x")[i]) / F.sum("w") for i in range(p.dim + 1))).cast("array<float>").alias("x")).toArrow()
+        m = model.m.copy()
+        if mean.num_rows:
+            m[mean.column("row").to_numpy()] = mean.column("x").combine_chunks().values.to_numpy().reshape(-1, p.dim + 1)
+        model = Model(m, size, p.dim)
+    return model, lay, table, int(counts.sum())
 
 
-def _scores(theta: np.ndarray, p: Params):
+def _scores(m: np.ndarray, lay: Layout, p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(theta.astype(np.float32), p.dim)
-        index = np.zeros(1 << (WIDTH * ORDER), np.int32)
-        seen = np.zeros(1 << (WIDTH * ORDER), bool)
-        for b in X.slices(batches, "text", p.slice_bytes):
-            data, offsets, valid = X.utf8(b.column(1))
-            n = np.diff(offsets)
+        model = Model(m, lay.size, p.dim)
+        turned = model.turned()
+        for rows, ids, at in _chunks(batches, 1, p.chunk):
+            valid = rows.column(1).is_valid().to_numpy(zero_copy_only=False)
+            n = np.diff(at)
             total = np.zeros(len(n))
-            if len(data):
-                s, c = contexts(data, offsets)
-                seen[c] = True
-                u = np.flatnonzero(seen)
-                index[u] = np.arange(len(u))
-                logp = np.empty((len(u), SYMBOLS), np.float32)
-                for i in range(0, len(u), 65536):
-                    logp[i : i + 65536] = model.log_probabilities(u[i : i + 65536])
-                each = logp.ravel()[index[c].astype(np.int64) * SYMBOLS + s]
-                seen[u] = False
-                total = X.per_doc_sum(each.astype(np.float64), offsets)
+            if len(ids):
+                g, inverse = np.unique(grams(lay.rank[ids], at, lay.size), return_inverse=True)
+                total = X.per_doc_sum(scores(model, turned, lay, g)[inverse].astype(np.float64), at)
             none, empty = ~valid, ~valid | (n == 0)
             mean = total / np.maximum(n, 1)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, mask=none), pa.array(total, mask=none), pa.array(mean, mask=empty), pa.array(np.exp(-mean), mask=empty)],
+                [rows.column(0), pa.array(n, mask=none), pa.array(total, mask=none), pa.array(mean, mask=empty), pa.array(np.exp(-mean), mask=empty)],
                 ["doc_id", "n_tokens", "logprob", "mean_logprob", "perplexity"],
             )
 
@@ -283,9 +437,8 @@ def _scores(theta: np.ndarray, p: Params):
 
 def scored(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """``doc_id, n_tokens, logprob, mean_logprob, perplexity`` for every row."""
-    model, _ = fit(Workspace(docs.sparkSession, "lm"), docs, p)
-    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(_scores(model.theta, p), "doc_id bigint, n_tokens bigint, logprob double, mean_logprob double, perplexity double")
+    model, lay, table, _ = fit(Workspace(docs.sparkSession, "lm"), docs, p)
+    return table.mapInArrow(_scores(model.m, lay, p), "doc_id bigint, n_tokens bigint, logprob double, mean_logprob double, perplexity double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as X
-from .bpe import Encoder, vocabulary
+from .bpe import encoder, vocabulary
 from .bpe import Params as BpeParams
 from .workspace import documents
 
@@ -290,9 +290,7 @@ def _shards(p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        vocab = vocabulary(p.bpe.vocabulary)
-        kind = np.uint16 if vocab.size <= 1 << 16 else np.uint32
-        enc = Encoder(vocab, None, p.bpe.memory)
+        enc, kind = encoder(p.bpe), np.uint16 if vocabulary(p.bpe.vocabulary).size <= 1 << 16 else np.uint32
         task = TaskContext.get()
         base = (task.partitionId() if task else 0) << 24
         ids: list[np.ndarray] = []

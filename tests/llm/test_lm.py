@@ -2,27 +2,43 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from fringeworks.llm import bpe
 from fringeworks.llm import lm as L
-from fringeworks.llm import text as X
 from fringeworks.llm.workspace import Workspace, documents
 
 from .conftest import SF
 
-P = L.Params(rounds=1, epochs=1)
+P = L.Params(rounds=1)
+VOCAB = bpe.vocabulary(P.bpe.vocabulary)
 
 
-def brute_contexts(texts):
-    out = []
-    for t in texts:
-        s = [int(L.TABLE[b]) for b in t.encode()]
-        out += [sum(s[i - k] << (6 * (k - 1)) for k in range(1, 5) if i - k >= 0) for i in range(len(s))]
-    return out
+def ids_of(texts):
+    enc = bpe.Encoder(VOCAB)
+    return [enc.encode(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0].astype(np.uint16) for t in texts]
 
 
 def test_contexts_stay_within_documents():
-    texts = ["abcdef", "", "x", "yz", "", "The end.", "é"]
-    data, offsets, _ = X.utf8(pa.array(texts))
-    assert L.contexts(data, offsets)[1].tolist() == brute_contexts(texts)
+    docs = [[5, 6, 7, 8, 9], [], [1], [2, 3], [], [4, 4, 4, 4]]
+    at = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    got = L.grams(np.array(sum(docs, []), np.uint16), at, 99)
+    want = [sum((d[i - k] if i >= k else 99) << (16 * k) for k in range(4)) for d in docs for i in range(len(d))]
+    assert got.tolist() == want and L.grams(np.zeros(0, np.uint16), np.zeros(1, np.int64), 9).tolist() == []
+
+
+@pytest.mark.parametrize("counts", [np.zeros(500), np.arange(500) ** 3.0, np.concatenate([[1e9], np.zeros(499)])])
+def test_classes_hold_every_token_once(counts):
+    lay = L.Layout(counts)
+    assert sorted(lay.token.tolist()) == list(range(500)) and (lay.token[lay.rank] == np.arange(500)).all()
+    assert lay.starts[0] == 0 and lay.starts[-1] == 500 and (np.diff(lay.starts) > 0).all()
+    assert np.isclose(lay.class_p.sum(), 1) and np.allclose(np.add.reduceat(lay.word_p, lay.starts[:-1]), 1)
+
+
+def test_sums_by_row():
+    r = np.random.default_rng(0)
+    rows, x = r.integers(0, 30, 1000).astype(np.uint16), r.normal(size=(1000, 3))
+    at, s = L._summed(rows, x)
+    assert at.tolist() == sorted(set(rows.tolist())) and np.allclose(s, [x[rows == k].sum(0) for k in at])
+    assert L._summed(rows[:1], x[:1])[1].tolist() == x[:1].tolist()
 
 
 @pytest.fixture(scope="module")
@@ -30,35 +46,71 @@ def model(spark):
     return L.fit(Workspace(spark, "t"), documents(spark, SF, "doc_id", "text"), L.Params())
 
 
-def test_counts_cover_every_position(spark, model):
-    docs = documents(spark, SF, "text")
-    assert model[1] == docs.selectExpr("sum(octet_length(text))").first()[0]
+def test_every_token_is_counted(spark, model):
+    texts = [r.text for r in documents(spark, SF, "text").collect() if r.text]
+    assert model[3] == sum(len(x) for x in ids_of(texts))
+
+
+def test_every_position_is_visited_once_a_round():
+    lay = L.Layout(np.ones(50))
+    t = L.Trainer(L.Model.start(L.Params(dim=4), lay).m, lay, L.Params(dim=4, batch=64), 0, 0.1)
+    r = np.random.default_rng(1)
+    total = np.zeros(50)
+    for n in (1, 700, 3000):
+        x = r.integers(0, 50, n).astype(np.uint16)
+        t.chunk(L.grams(x, np.array([0, n]), 50))
+        total += np.bincount(x, minlength=50)
+    _, a, b, c = t.model.at
+    assert (t.touched[b:c] == total).all() and t.touched[c:].sum() == total.sum() == t.touched[a] and np.isfinite(t.model.m).all()
+
+
+def brute(model, lay, ids):
+    """Log-probabilities of all tokens of the vocabulary after each prefix, token by token in double precision."""
+    m, d = model.m.astype(float), model.dim
+    _, a, b, c = model.at
+    out = []
+    ranks = [lay.size] * 3 + [int(lay.rank[i]) for i in ids]
+    for i in range(3, len(ranks)):
+        h = sum(m[ranks[i - k], :d] @ m[a + (k - 1) * d : a + k * d, :d] for k in (1, 2, 3))
+        s = m[c:, :d] @ h + m[c:, d]
+        q = m[b:c, :d] @ h + m[b:c, d]
+        lp = np.empty(lay.size)
+        for k in range(lay.classes):
+            x, y = lay.starts[k], lay.starts[k + 1]
+            lp[x:y] = s[k] - np.logaddexp.reduce(s) + q[x:y] - np.logaddexp.reduce(q[x:y])
+        out.append(lp[lay.rank])
+    return out
+
+
+def test_scores_equal_brute_force_and_are_normalised(model):
+    m, lay, _, _ = model
+    texts = ["Thing and that with the.", "ß 中文 qzxj", "a", " \n\n 1234"]
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array([bpe.blob(x) for x in ids_of(texts)], pa.binary())], ["doc_id", "ids"])
+    got = next(L._scores(m.m, lay, L.Params())(iter([rows])))
+    for k, ids in enumerate(ids_of(texts)):
+        every = brute(m, lay, ids)
+        assert all(np.isclose(np.exp(lp).sum(), 1) for lp in every)
+        want = sum(lp[i] for lp, i in zip(every, ids))
+        assert got.column(1)[k].as_py() == len(ids) and abs(got.column(2)[k].as_py() - want) < 1e-3 * max(1, abs(want))
 
 
-def test_probabilities_are_normalised_and_better_than_symbol_frequencies(spark, model):
-    m, total = model
-    g = L.counts(documents(spark, SF, "text")).toArrow()
-    code, n = g.column("g").to_numpy().astype(np.int64), g.column("n").to_numpy()
-    lp = m.log_probabilities(code >> 6)
-    assert np.allclose(np.exp(lp).sum(1), 1)
-    each = lp[np.arange(len(code)), code & 63]
-    uni = np.bincount(code & 63, n, 64) / n.sum()
-    assert -(each * n).sum() / n.sum() < 0.85 * -(np.log(uni[code & 63]) * n).sum() / n.sum()
+def test_better_than_token_frequencies(spark, model):
+    m, lay, table, total = model
+    rows = table.toArrow()
+    ids = np.concatenate([bpe.unblob(x.as_py()) for x in rows.column("ids") if x.is_valid])
+    p = np.bincount(ids, minlength=lay.size) / len(ids)
+    lp = sum(r.logprob or 0 for r in spark.createDataFrame(next(L._scores(m.m, lay, L.Params())(iter(rows.combine_chunks().to_batches()))).to_pandas()).collect())
+    assert -lp / total < 0.9 * -np.log(p[ids]).mean()
 
 
-def test_scores_equal_brute_force(spark, model):
-    m, _ = model
-    texts = ["Thing and that.", "ß 中文", "a"]
-    rows = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], ["doc_id", "text"])
-    got = next(L._scores(m.theta, L.Params())(iter([rows])))
-    for k, t in enumerate(texts):
-        ctx, s = brute_contexts([t]), [int(L.TABLE[b]) for b in t.encode()]
-        want = 0.0
-        for c, x in zip(ctx, s):
-            v = sum(m.r[c >> (6 * j) & 63] @ m.c[j] for j in range(4))
-            e = m.q @ v + m.b
-            want += e[x] - np.log(np.exp(e - e.max()).sum()) - e.max()
-        assert abs(got.column(2)[k].as_py() - want) < 1e-3 * max(1, abs(want))
+def test_chunks_keep_rows_whole():
+    rows = [pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array([None if i % 4 == 3 else bpe.blob(np.arange(i, dtype=np.uint16)) for i in k], pa.binary())], ["doc_id", "ids"]) for k in ([0, 1, 2, 3], [], [7, 8], [9])]
+    for most in (1, 5, 1000):
+        seen = []
+        for b, ids, at in L._chunks(iter(rows), 1, most):
+            assert len(at) == b.num_rows + 1 and at[-1] == len(ids)
+            seen += [(i, len(range(x, y))) for i, x, y in zip(b.column(0).to_pylist(), at, at[1:])]
+        assert seen == [(0, 0), (1, 1), (2, 2), (3, 0), (7, 0), (8, 8), (9, 9)]
 
 
 def test_messy(messy, nothing):
@@ -73,21 +125,3 @@ def test_messy(messy, nothing):
             assert r.n_tokens > 0 and r.logprob < 0 and r.perplexity > 1
     assert len({tuple(r) for r in rows if r.doc_id == 1}) == 1
     assert L.scored(nothing, P).count() == 0
-
-
-def test_every_example_is_visited_in_every_epoch():
-    p = L.Params(batch=64, epochs=3)
-    for n in (1, 50, 5000):
-        seen = np.bincount(np.concatenate(L.visits(np.random.default_rng(0), n, p)), minlength=n)
-        assert seen.min() == seen.max() >= 3
-
-
-def test_examples_grow_with_positions(spark):
-    table = spark.createDataFrame([(1, 1), (2, 64), (3, 65), (4, 6400)], "g int, n long")
-    p, sizes = L.Params(), {}
-    for k in (1, 10):
-        rows = L.examples(table.selectExpr("g", f"n * {k} as n"), p).collect()
-        assert max(r.n for r in rows) <= p.chunk
-        assert {g: sum(r.n for r in rows if r.g == g) for g in (1, 2, 3, 4)} == {1: k, 2: 64 * k, 3: 65 * k, 4: 6400 * k}
-        sizes[k] = len(rows)
-    assert sizes[10] > 9 * sizes[1]
