@@ -80,6 +80,20 @@ def dense_weights(weights: DataFrame) -> DataFrame:
     return full.select("row", "col", F.coalesce("re", F.lit(0.0)).alias("re"), F.coalesce("im", F.lit(0.0)).alias("im"))
 
 
+def sorted_weights(weights: DataFrame) -> DataFrame:
+    """By station, antenna and beam."""
+    return weights.orderBy("station_id", "antenna_id", "beam_id")
+
+
+def steering(directions: DataFrame, antennas: DataFrame, wl: float) -> DataFrame:
+    """``src_id, ordinal, re, im``: exp(-i 2 pi / wl <direction, antenna>)."""
+    if wl <= 0:
+        raise ValueError("wavelength must be positive")
+    a = antennas.select("ordinal", *(F.col(c).alias(f"a{c}") for c in "xyz"))
+    re, im = Z.conj(Z.expi((2 * math.pi / wl) * sum(F.col(c) * F.col(f"a{c}") for c in "xyz")))
+    return directions.crossJoin(a).select("src_id", "ordinal", re.alias("re"), im.alias("im"))
+
+
 def same_index(a: DataFrame, b: DataFrame, *keys: str) -> bool:
     """Equal sets of index rows."""
     x, y = a.select(*keys), b.select(*keys)

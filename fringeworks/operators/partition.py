@@ -62,6 +62,21 @@ def offsets(cells: DataFrame) -> DataFrame:
     return c.withColumn("begin", F.coalesce(before, F.lit(0)).cast("bigint"))
 
 
+def largest(cells: DataFrame) -> int:
+    """Points of the fullest cell."""
+    return offsets(cells).agg(F.max("size")).first()[0] or 0
+
+
+def sample_blocks(samples: DataFrame, parts: int, key: str = "sample_id") -> DataFrame:
+    """Samples with ``part``: contiguous blocks of ceil(n / parts) in key order, the last ones shorter or empty."""
+    if parts < 1:
+        raise ValueError("at least one part")
+    size = max(1, -(-samples.count() // parts))
+    order = samples.select(key).distinct().orderBy(key)
+    rank = F.row_number().over(Window.orderBy(key)) - 1  # keys alone: one number per sample
+    return samples.join(order.select(key, F.floor(rank / size).cast("int").alias("part")), key)
+
+
 def permutation(cells: DataFrame, *order: str) -> DataFrame:
     """Points with ``target``: their place when cells follow each other; ranked within cells only."""
     rank = F.row_number().over(Window.partitionBy("cell").orderBy(*order))

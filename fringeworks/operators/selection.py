@@ -22,11 +22,11 @@ def in_range(values: DataFrame, d_min: float = 0.0, d_max: float = FLOAT_MAX) ->
     return values.where((F.col("d") != 0) & F.col("d").between(d_min, d_max))
 
 
-def trimmed(values: DataFrame, sigma: float) -> DataFrame:
+def trimmed(values: DataFrame, sigma: float, most: int = 1_000_000) -> DataFrame:
     """Without the top int((1 - sigma) n) values, ties broken by (sample, place); nothing goes if that is 0.
 
-    The cut value comes from counts per value range, so no task sorts all values: a bounded
-    histogram finds the range that holds the cut, and only that range is ranked.
+    The cut value comes from counts per value range, so no task sorts all values: bounded histograms
+    narrow the range that holds the cut down to ``most`` values, or to equal ones, and only those are ranked.
     """
     if not 0 <= sigma < 1:
         return values
@@ -34,18 +34,20 @@ def trimmed(values: DataFrame, sigma: float) -> DataFrame:
     keep = n - int((1 - sigma) * n) if n else 0
     if keep == n:
         return values
-    bins = 4096
-    width = (hi - lo) / bins
-    b = F.least(F.floor((F.col("d") - lo) / width), F.lit(bins - 1)) if width > 0 else F.lit(0)
-    counts = sorted((r.b, r["count"]) for r in values.groupBy(b.cast("int").alias("b")).count().collect())  # at most 4096 rows
-    below = 0
-    for edge, c in counts:
-        if below + c >= keep:
-            break
-        below += c
-    v = values.withColumn("_b", b.cast("int"))
-    last = v.where(F.col("_b") == edge).withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("d", "sample_id", "eig_idx"))).where(F.col("_r") <= keep - below).drop("_r")
-    return v.where(F.col("_b") < edge).unionByName(last).drop("_b")
+    d, below = F.col("d"), 0
+    inside = F.lit(True)  # the values among which the cut lies; ``below`` are less than all of them
+    while n > most and lo < hi:
+        b = F.least(F.floor((d - lo) / ((hi - lo) / 4096)), F.lit(4095)).cast("int").alias("b")
+        rows = values.where(inside).groupBy(b).agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).orderBy("b").collect()  # at most 4096 rows
+        for r in rows:
+            if below + r.n >= keep:
+                break
+            below += r.n
+        n, lo, hi = r.n, r.lo, r.hi
+        inside = d.between(lo, hi)
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("d", "sample_id", "eig_idx"))  # at most ``most`` values, or equal ones
+    last = values.where(inside).withColumn("_r", rank).where(F.col("_r") <= keep - below).drop("_r")
+    return values.where(d < lo).unionByName(last)
 
 
 def kmeans_1d(values: DataFrame, k: int, log: bool = False, rounds: int = 100, fixed: bool = False) -> list[float]:
@@ -118,12 +120,13 @@ def select(samples: DataFrame, specs: list[Spec], sample_range: tuple[int, int,
     from .visibility import in_slice
 
     s = samples.select("sample_id", "d").where(in_slice(F.col("sample_id"), *sample_range))
-    parts = []
-    for i, spec in enumerate(specs):
-        for lo, hi in infer_intervals(eigenvalues(s), spec.levels, spec.sigma, spec.cluster, spec.d_min, spec.d_max):
-            parts.append(F.struct(F.lit(level_tag(i, spec.filter, lo, hi)).alias("tag"), array_filter(spec.filter, F.col("d"), lo, hi).alias("d")))
-    # one pass over the samples for all tags
-    return s.select("sample_id", F.explode(F.array(*parts)).alias("p")).select("p.tag", "sample_id", "p.d")
+    return levels(s, [(spec.filter, infer_intervals(eigenvalues(s), spec.levels, spec.sigma, spec.cluster, spec.d_min, spec.d_max)) for spec in specs])
+
+
+def levels(samples: DataFrame, intervals: list[tuple[str, list[tuple[float, float]]]]) -> DataFrame:
+    """``tag, sample_id, d`` of every interval of every filter; one pass over the samples for all tags."""
+    parts = [F.struct(F.lit(level_tag(i, name, lo, hi)).alias("tag"), array_filter(name, F.col("d"), lo, hi).alias("d")) for i, (name, cuts) in enumerate(intervals) for lo, hi in cuts]
+    return samples.select("sample_id", F.explode(F.array(*parts)).alias("p")).select("p.tag", "sample_id", "p.d")
 
 
 def masked(values: DataFrame, name: str, lo: float, hi: float, right_open: bool = False) -> DataFrame:

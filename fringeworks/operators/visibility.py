@@ -16,15 +16,6 @@ def in_slice(i: Column, start: int = 0, stop: int = -1, step: int = 1) -> Column
     return ok if stop == -1 else ok & (i < stop)
 
 
-def contiguous(ids: list[int]) -> bool:
-    return sorted(ids) == list(range(min(ids), min(ids) + len(ids))) if ids else True
-
-
-def chunks(ids: list[int], size: int = 8) -> list[list[int]]:
-    """Channel blocks; Parquet reads need none, kept for callers that plan their own passes."""
-    return [ids[i : i + size] for i in range(0, len(ids), size)]
-
-
 def reduce_polarisations(main: DataFrame, column: str = "data", channels: tuple[int, int] | None = None) -> DataFrame:
     """``time, channel_id, beam_i, beam_j, re, im, weight`` from the first and last of four polarisations.
 
@@ -95,7 +86,21 @@ def mirrored(vis: DataFrame, hermitian: bool = True) -> DataFrame:
     return vis.unionByName(off.withColumns({"beam_i": F.col("beam_j"), "beam_j": F.col("beam_i"), "im": im}))
 
 
-def unsorted_times(main: DataFrame) -> DataFrame:
-    """Places where time runs backwards in row order (``ordinal``)."""
-    w = Window.orderBy("ordinal")
-    return main.select("ordinal", "time", F.lag("time").over(w).alias("before")).where("before > time")
+def matrix_stats(vis: DataFrame, *keys: str) -> DataFrame:
+    """Least, greatest and summed parts of each group's entries."""
+    return vis.groupBy(*keys).agg(F.count("*").alias("entries"), *(f(c).alias(f"{n}_{c}") for c in ("re", "im") for n, f in (("min", F.min), ("max", F.max), ("sum", F.sum))))
+
+
+def unsorted_times(main: DataFrame, block: int = 1_000_000) -> DataFrame:
+    """Places where time runs backwards in row order (``ordinal``, from 0 on without gaps as a row's number has it).
+
+    Rows are compared within blocks of ordinals; a block's first row is compared with the last of the
+    block before, of which there is one row each.
+    """
+    part = F.floor(F.col("ordinal") / block)
+    rows = main.select("ordinal", "time", part.alias("part"))
+    ends = rows.groupBy("part").agg(F.max_by("time", "ordinal").alias("last"))
+    ends = ends.select("part", F.lag("last").over(Window.orderBy("part")).alias("last"))  # a row per block
+    w = Window.partitionBy("part").orderBy("ordinal")
+    seen = rows.join(F.broadcast(ends), "part").select("ordinal", "time", F.coalesce(F.lag("time").over(w), "last").alias("before"))
+    return seen.where("before > time")

@@ -12,7 +12,7 @@ from ..operators.eigen import Instrument, solved_samples
 from ..operators.selection import Spec, select
 from ..operators.synthesis import Options, image_synthesis
 from ..operators.visibility import visibilities
-from ..sources.observations import MeasurementSet, first_stations
+from ..sources.observations import MeasurementSet, channel_range, first_stations
 from ..sources.stores import Dataset, Images, PixelSet, default_selection, store_selection, stored_selection
 
 
@@ -40,7 +40,7 @@ def build_dataset(ms: MeasurementSet, antennas: DataFrame, path: str, telescope:
     vis = visibilities(ms.main(), column, times, (lo, hi), conjugate=telescope == "lofar")
     for c in ("beam_i", "beam_j"):
         vis = vis.join(place, vis[c] == place["beam"]).withColumn(c, F.col("at")).drop("beam", "at")
-    vis = vis.join(F.broadcast(every.select(F.col("channel_id").cast("bigint").alias("channel_id"), "wl")), "channel_id")  # a row per channel
+    vis = vis.join(F.broadcast(channel_range(every, lo, hi).select(F.col("channel_id").cast("bigint").alias("channel_id"), "wl")), "channel_id")  # a row per channel
     ds = Dataset.create(ms.spark, path, description or telescope, len(instrument.xyz), len(stations), float(np.degrees(ra)), float(np.degrees(dec)))
     ds.append(solved_samples(vis, instrument, hi - lo, lo))
     return ds

@@ -116,9 +116,29 @@ def lloyd_k(spark, sf_dir):
     return spark.createDataFrame([(i, c) for i, c in enumerate(cent)], "level int, c double").select("level", _r("c").alias("centroid"))
 
 
-@query()
+_LEVELS = [("lsq", [(0.05, 1.0), (0.0, 0.05)]), ("std", [(-0.1, 0.1)]), ("inv_sqrt", [(0.1, 0.3)])]
+
+
+def _levels_sql() -> str:
+    """A row per tag: the sum, and the number, of the filtered values that aren't 0."""
+    parts = []
+    for i, (name, cuts) in enumerate(_LEVELS):
+        for lo, hi in cuts:
+            parts.append(f"SELECT '{SE.level_tag(i, name, lo, hi)}' AS tag, sample_id, {_FILTER_SQL[name]} AS v FROM (SELECT sample_id, CASE WHEN d >= {lo} AND d <= {hi} THEN d ELSE 0 END AS x FROM eigs WHERE sample_id < 200 AND sample_id % 2 = 0)")
+    return f"WITH {_EIGS}, v AS ({' UNION ALL '.join(parts)}) SELECT tag, sample_id, count(*) FILTER (v <> 0) AS n, round(sum(v), 5) + 0.0 AS total FROM v GROUP BY ALL"
+
+
+@query(_levels_sql())
 def level_selection(spark, sf_dir):
-    """Tags, samples and masked eigenvalues of two specs; k-means to convergence."""
+    """Tags, samples and masked eigenvalues of given intervals of three filters, every second sample."""
+    s = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("embedding").cast("array<double>").alias("d")).where(V.in_slice(F.col("vec_id"), 0, 200, 2))
+    total = F.aggregate("d", F.lit(0.0), lambda a, x: a + x)
+    return SE.levels(s, _LEVELS).select("tag", "sample_id", F.size(F.filter("d", lambda x: x != 0)).cast("bigint").alias("n"), _r(total, 5).alias("total"))
+
+
+@query()
+def fitted_levels(spark, sf_dir):
+    """The same with intervals from k-means to convergence, of two specs."""
     s = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("embedding").cast("array<double>").alias("d"))
     return SE.select(s, [SE.Spec.parse("lsq,3,0.95,none,0.0,1.0"), SE.Spec.parse("std,2,1,log,0.01,1")], (0, 200, 2))
 
@@ -167,11 +187,6 @@ def mjd_time(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.round(FR.mjd(F.col("ts")), 6).alias("mjd"))
 
 
-@query("SELECT channel_id::BIGINT AS channel_id, round(299792458.0 / (1e8 + channel_id * 1e6), 9) AS wl FROM range(64) t(channel_id) WHERE channel_id >= 5 AND channel_id < 21")
-def channel_range(spark, sf_dir):
-    w = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.lit(1e8) + k * 1e6).alias("chan_freq"))
-    return OB.channel_table(w).where("channel_id >= 5 and channel_id < 21").select(F.col("channel_id").cast("bigint").alias("channel_id"), F.round("wl", 9).alias("wl"))
-
 
 @query("""WITH m AS (SELECT event_id, user_id % 8 AS a1, event_id % 8 AS a2, value FROM events),
 p AS (SELECT event_id, a1, a2, c AS channel_id, value * (c + 1) AS p0, value + c AS p3, (event_id + c) % 7 = 0 AS f0, (event_id + c) % 11 = 0 AS f3 FROM m, range(3) t(c))
@@ -218,11 +233,6 @@ def vis_drop_empty(spark, sf_dir):
     return V.drop_empty(v).select(F.date_format("time", "yyyy-MM-dd").alias("day"), "channel_id", "beam_i", "beam_j", "re")
 
 
-@query("WITH d AS (SELECT event_id, ts, lag(ts) OVER (ORDER BY event_id) AS b FROM events) SELECT event_id FROM d WHERE b > ts")
-def unsorted_times(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").select(F.col("event_id").alias("ordinal"), F.col("ts").alias("time"))
-    return V.unsorted_times(e).select(F.col("ordinal").alias("event_id"))
-
 
 # ---- geometry from suppliers --------------------------------------------------------------------
 
@@ -334,7 +344,9 @@ def expected_visibility(spark, sf_dir):
     return v.select("i", "j", _r("re", 4).alias("re"), _r("im", 4).alias("im"))
 
 
-@query()
+@query(f"""WITH {_ant_sql(100000)}, s AS (SELECT station_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM ant GROUP BY station_id), g AS (SELECT *, sqrt(x * x + y * y + z * z) AS r, sqrt(x * x + y * y) AS f FROM s WHERE x <> 0 OR y <> 0),
+e AS (SELECT station_id, k::BIGINT AS antenna_id, x, y, z, -1.65 + 1.1 * (k % 4) AS gx, -1.65 + 1.1 * (k // 4) AS gy, z / r AS ct, f / r AS st, x / f AS cp, y / f AS sp FROM g, range(16) t(k))
+SELECT station_id, antenna_id, round(x + gx * ct * cp - gy * sp, 6) + 0.0 AS x, round(y + gx * ct * sp + gy * cp, 6) + 0.0 AS y, round(z - gx * st, 6) + 0.0 AS z FROM e""")
 def tile_elements(spark, sf_dir):
     a = OB.station_centroids(_antennas(spark, sf_dir, 100000)).where("x <> 0 or y <> 0")
     return OB.tile_elements(a).select("station_id", "antenna_id", *(_r(c).alias(c) for c in "xyz"))
@@ -393,7 +405,22 @@ def healpix_grid(spark, sf_dir):
     return GR.healpix(spark, 5).select("pixel_id", *(_r(c).alias(c) for c in "xyz"))
 
 
-@query()
+def _about_sql(lat: float, lon: float, turn: bool) -> list[str]:
+    """x, y, z turned from the pole to a direction: about z by -lon (unless ``turn``), about y by the colatitude, about z by lon."""
+    ct, st, cp, sp = (f"{v!r}::DOUBLE" for v in (math.sin(lat), math.cos(lat), math.cos(lon), math.sin(lon)))
+    px, py = ("x", "y") if turn else (f"({cp} * x + {sp} * y)", f"({cp} * y - {sp} * x)")
+    qx, qz = f"({ct} * {px} + {st} * z)", f"({ct} * z - {st} * {px})"
+    return [f"round({e}, 6) + 0.0 AS {c}" for e, c in ((f"{cp} * {qx} - {sp} * {py}", "x"), (f"{sp} * {qx} + {cp} * {py}", "y"), (qz, "z"))]
+
+
+_D = SP.unit(0.4, 1.0).tolist()
+
+
+@query(f"""WITH p AS (SELECT range AS pixel_id, range // 7 AS r, range % 7 AS c FROM range(42)), s AS (SELECT pixel_id, sin(r * 0.05) * cos(c * pi() / 3) AS x, sin(r * 0.05) * sin(c * pi() / 3) AS y, cos(r * 0.05) AS z FROM p),
+u AS (SELECT pixel_id, x, y, sqrt(1 - x * x - y * y) AS z FROM (SELECT pixel_id, -sin(0.25) + c * sin(0.25) / 3 AS x, -sin(0.25) + r * 2 * sin(0.25) / 5 AS y FROM p)),
+f AS (SELECT range AS pixel_id, sin(acos(1 - (2 * range + 1) / 676.0)) * cos(range * (4 * pi() / (1 + sqrt(5)))) AS x, sin(acos(1 - (2 * range + 1) / 676.0)) * sin(range * (4 * pi() / (1 + sqrt(5)))) AS y, 1 - (2 * range + 1) / 676.0 AS z FROM range(676))
+SELECT 'spherical' AS grid, pixel_id, {', '.join(_about_sql(0.4, 1.0, False))} FROM s UNION ALL SELECT 'uniform', pixel_id, {', '.join(_about_sql(0.4, 1.0, True))} FROM u
+UNION ALL SELECT 'fibonacci', pixel_id, round(x, 6) + 0.0, round(y, 6) + 0.0, round(z, 6) + 0.0 FROM f WHERE x * {_D[0]!r}::DOUBLE + y * {_D[1]!r}::DOUBLE + z * {_D[2]!r}::DOUBLE >= cos(0.4)""")
 def region_grids(spark, sf_dir):
     """Spherical, uniform and Fibonacci grids about one direction."""
     d = SP.unit(0.4, 1.0)
@@ -446,13 +473,22 @@ def dirichlet_spline(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id").mapInPandas(run, "event_id bigint, exact double, spline double")
 
 
-@query()
+def _kent_norm(k: float, beta: float) -> float:
+    """The density's integral over the sphere, by quadrature."""
+    t, w = np.polynomial.legendre.leggauss(200)
+    phi = np.arange(400) * (2 * math.pi / 400)
+    e = t[:, None] - 1 + 0.5 * beta * (1 - t[:, None] ** 2) * np.cos(2 * phi)
+    return float((w @ np.exp(k * e)).sum() * 2 * math.pi / 400)
+
+
+@query(f"""WITH f AS (SELECT range AS pixel_id, 1 - (2 * range + 1) / 1764.0 AS z, range * (4 * pi() / (1 + sqrt(5))) AS p FROM range(1764))
+SELECT pixel_id, round(exp(12.0 * (z - 1 + 0.2 * (1 - z * z) * (cos(p) ** 2 - sin(p) ** 2))) / {_kent_norm(12.0, 0.4)!r}::DOUBLE, 6) + 0.0 AS density FROM f""")
 def kent_density(spark, sf_dir):
     k = WN.Kent(12.0, 0.4, [0, 0, 1.0], [1.0, 0, 0.2])
     return GR.fibonacci(spark, 20).select("pixel_id", _r(k.column(F.col("x"), F.col("y"), F.col("z"))).alias("density"))
 
 
-_TABLE = [(float(x), TH.spherical_jn_series_threshold(float(x))) for x in (1, 2, 5, 10, 20, 40)]
+_TABLE = [(1.0, 3), (2.0, 4), (5.0, 8), (10.0, 13), (20.0, 24), (40.0, 45)]
 
 
 @query("WITH t(x, n) AS (VALUES " + ", ".join(f"({x}, {n})" for x, n in _TABLE) + f""") SELECT p_partkey, CASE WHEN p_size < 1 THEN {_TABLE[0][1]} ELSE ceil((SELECT arg_max(n / x, x) FROM t WHERE x <= p_size) * p_size) END::INTEGER AS n_threshold FROM part""")
@@ -566,11 +602,12 @@ def image_synthesis(spark, sf_dir):
     return img.select("tag", "pixel_id", _r("value").alias("value"))
 
 
-@query("SELECT label::VARCHAR AS tag, pos AS pixel_id, round(avg(d), 6) + 0.0 AS value FROM (SELECT label, generate_subscripts(embedding, 1)::BIGINT - 1 AS pos, unnest(embedding)::DOUBLE AS d FROM embeddings) GROUP BY ALL")
+@query("SELECT label::VARCHAR AS tag, pos AS pixel_id, round(sum(d) / 200, 6) + 0.0 AS value FROM (SELECT label, generate_subscripts(embedding, 1)::BIGINT - 1 AS pos, unnest(embedding)::DOUBLE AS d FROM embeddings WHERE vec_id < 200) GROUP BY ALL")
 def image_norm(spark, sf_dir):
-    """Sums over samples divided by their number, per tag."""
-    e = _t(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("tag"), F.posexplode("embedding").alias("pixel_id", "d"))
-    return e.groupBy("tag", F.col("pixel_id").cast("bigint").alias("pixel_id")).agg(_r(F.sum(F.col("d").cast("double")) / F.count("*")).alias("value"))
+    """Sums of images divided by the number of samples."""
+    e = _t(spark, sf_dir, "embeddings").where("vec_id < 200").select(F.col("label").cast("string").alias("tag"), F.posexplode("embedding").alias("pixel_id", "d"))
+    img = e.groupBy("tag", F.col("pixel_id").cast("bigint").alias("pixel_id")).agg(F.sum(F.col("d").cast("double")).alias("value"))
+    return SY.normalised(img, 200).select("tag", "pixel_id", _r("value").alias("value"))
 
 
 @query("SELECT pos AS pixel_id, round(sum(d), 6) + 0.0 AS value FROM (SELECT label, generate_subscripts(embedding, 1)::BIGINT - 1 AS pos, unnest(embedding)::DOUBLE AS d FROM embeddings WHERE label IN (1, 3)) GROUP BY pos")
@@ -611,10 +648,4 @@ def wishart_visibility(spark, sf_dir):
     return v.select("time_id", "beam_i", "beam_j", _r("re").alias("re"), _r("im").alias("im"))
 
 
-@query(f"""WITH {_VIS}, m AS (SELECT strftime(time, '%Y-%m-%d') AS day, channel_id, min(beam_i * 8 + beam_j) AS lo, max(beam_i * 8 + beam_j) AS hi, sum(re) AS total FROM vis GROUP BY ALL) SELECT day, channel_id, lo, hi, round(total, 2) AS total FROM m""")
-def matrix_stats(spark, sf_dir):
-    v = _vis(spark, sf_dir)
-    k = F.col("beam_i") * 8 + F.col("beam_j")
-    return v.groupBy(F.date_format("time", "yyyy-MM-dd").alias("day"), "channel_id").agg(F.min(k).alias("lo"), F.max(k).alias("hi"), F.round(F.sum("re"), 2).alias("total"))
-
 

@@ -54,6 +54,14 @@ def channel_table(windows: DataFrame) -> DataFrame:
     return windows.limit(1).select(F.posexplode("chan_freq").alias("channel_id", "frequency")).withColumn("wl", C / F.col("frequency"))
 
 
+def channel_range(channels: DataFrame, start: int = 0, stop: int = -1) -> DataFrame:
+    """Channels from ``start`` up to ``stop`` (exclusive; -1 is open)."""
+    if start < 0 or stop < -1 or -1 < stop <= start:
+        raise ValueError(f"no channels from {start} to {stop}")
+    c = F.col("channel_id")
+    return channels.where(c >= start) if stop == -1 else channels.where((c >= start) & (c < stop))
+
+
 def time_table(main: DataFrame, column: str = "time") -> DataFrame:
     """``time_id, time``: distinct times in order; they are few, one per integration."""
     d = main.select(F.col(column).alias("time")).distinct()

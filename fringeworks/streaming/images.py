@@ -23,11 +23,15 @@ def append_samples(stream: DataFrame, dataset: Dataset, checkpoint: str):
 
 
 def running_images(vis: DataFrame, pixels: DataFrame) -> DataFrame:
-    """Complete-mode sums of pixel contributions of streamed visibilities (tag, sample_id, u, v, w, re, im)."""
+    """Complete-mode sums of pixel contributions of streamed visibilities (tag, sample_id, i, j, u, v, w, re, im).
+
+    Samples are counted by their first autocorrelation (i = j = 0), which each has once, so the state is
+    two numbers per pixel.
+    """
     phase = F.col("l") * F.col("u") + F.col("m") * F.col("v") + F.col("n") * F.col("w")
     term = F.col("re") * F.cos(phase) - F.col("im") * F.sin(phase)
     # pixels are static; the visibilities of a batch are the stream's side
-    return vis.crossJoin(pixels).groupBy("tag", "pixel_id").agg(F.sum(term).alias("sum"), F.approx_count_distinct("sample_id").alias("samples"))
+    return vis.crossJoin(pixels).groupBy("tag", "pixel_id").agg(F.sum(term).alias("sum"), F.count_if((F.col("i") == 0) & (F.col("j") == 0)).alias("samples"))
 
 
 class Accumulator:

@@ -181,6 +181,10 @@ def test_intervals(spark):
     assert (one.lo, one.hi) == (0.5, 20.0)
     v = spark.createDataFrame([(0, i, float(x)) for i, x in enumerate([1, 1, 1, 5, 5, 90])], "sample_id long, eig_idx int, d double")
     assert SE.trimmed(v, 0.999).count() == 6 and SE.trimmed(v, 0.5).count() == 3 and SE.trimmed(v, 1.0).count() == 6
+    heavy = spark.createDataFrame([(0, i, float(x)) for i, x in enumerate([*(2.0**-k for k in range(40)), *[1e9] * 3])], "sample_id long, eig_idx int, d double")
+    whole = sorted(r.d for r in heavy.collect())
+    for most in (1, 4, 100):
+        assert sorted(r.d for r in SE.trimmed(heavy, 0.4, most).collect()) == whole[: 43 - 25]
     assert SE.kmeans_1d(v, 3) == pytest.approx([90, 5, 1])
     assert SE.trimmed(v.where("d = 1"), 0.5).count() == 2 and SE.trimmed(v.limit(0), 0.5).count() == 0
 
@@ -260,7 +264,14 @@ def test_slices(spark):
     for bad in ((0, -2, 1), (-1, 3, 1), (0, 3, 0)):
         with pytest.raises(ValueError):
             V.in_slice(F.col("id"), *bad)
-    assert V.contiguous([3, 4, 5]) and not V.contiguous([1, 3]) and V.chunks(list(range(10))) == [list(range(8)), [8, 9]]
+    for bad in ((-1, 3), (4, 4), (0, -2)):
+        with pytest.raises(ValueError):
+            OB.channel_range(spark.range(3).withColumnRenamed("id", "channel_id"), *bad)
+    steps = spark.createDataFrame([(i, float(t)) for i, t in enumerate([0, 1, 5, 4, 6, 2, 7, 8])], "ordinal long, time double")
+    for block in (1, 2, 3, 100):
+        assert sorted(r.ordinal for r in V.unsorted_times(steps.repartition(3), block).collect()) == [3, 5]
+    parts = {r.sample_id: r.part for r in PT.sample_blocks(spark.range(10).withColumnRenamed("id", "sample_id"), 4).collect()}
+    assert [parts[i] for i in range(10)] == [0, 0, 0, 1, 1, 1, 2, 2, 2, 3]
     with pytest.raises(ValueError):
         V.reduce_polarisations(spark.range(1))
 
@@ -278,10 +289,10 @@ def test_streams(spark, tmp_path):
     q = sample_stream(spark, ds, 1).writeStream.foreachBatch(acc).option("checkpointLocation", f"{tmp_path}/c2").start()
     q.processAllAvailable(), q.stop()
     assert [r.value for r in acc.images().collect()] == pytest.approx([2.0] * 4)
-    vis = sample_stream(spark, ds).select(F.lit("t").alias("tag"), "sample_id", *(F.lit(0.0).alias(c) for c in "uvw"), F.col("d")[0].alias("re"), F.lit(0.0).alias("im"))
+    vis = sample_stream(spark, ds).select(F.lit("t").alias("tag"), "sample_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("i"), F.lit(0).alias("j"), *(F.lit(0.0).alias(c) for c in "uvw"), F.col("d")[0].alias("re"), F.lit(0.0).alias("im"))
     q = running_images(vis, px).writeStream.outputMode("complete").format("memory").queryName("imgs").start()
     q.processAllAvailable(), q.stop()
-    assert [(r["sum"], r.samples) for r in spark.table("imgs").collect()] == [(6.0, 3)] * 4
+    assert [(r["sum"], r.samples) for r in spark.table("imgs").collect()] == [(12.0, 3)] * 4
 
 
 def test_command_line(spark, observation, tmp_path, monkeypatch, capsys):

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from fringeworks.plans.queries import ORACLES, QUERIES
+from fringeworks.plans.observation_queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
