@@ -12,8 +12,10 @@ memory or from merging.  Pieces are cut as by the vocabulary's pattern
 (contractions, letters, digits, other signs, white space).
 
 Defined results: a null text has null ids, an empty one has none; every row is
-treated alone and other columns aren't looked at.  ``n_tokens`` of a null text is
-null.  ``roundtrip`` says that decoding gave the text's bytes back.
+treated alone, a text of any length is encoded whole, and other columns aren't looked
+at.  ``n_tokens`` of a null text is null.  ``roundtrip`` says that decoding gave the
+text's bytes back.  An empty table gives no rows.  Ties can't arise: pieces of equal number
+are compiled all or none.  ``doc_id`` must be castable to bigint.
 """
 
 from __future__ import annotations
@@ -41,11 +43,10 @@ NONE = np.int32(2**31 - 1)
 
 @dataclass(frozen=True)
 class Params:
-    """``lexicon``: words compiled at most; ``frequent``: occurrences in a task's share that make a word a candidate; ``memory``: remembered pieces a task holds before it starts afresh."""
+    """``lexicon``: pieces compiled at most; ``memory``: remembered pieces a task holds before it starts afresh."""
 
     vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     lexicon: int = 65536
-    frequent: int = 12
     memory: int = 1_500_000
     slice_bytes: int = 4 << 20
 
@@ -515,36 +516,45 @@ def encoder(p: Params) -> Encoder:
 
 
 def _piece_counts(p: Params):
+    """Each slice's distinct pieces and their numbers; equal pieces of a task are added up by Spark before they are sent."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        words: dict[int, bytes] = {}
         for b in X.slices(batches, "text", p.slice_bytes):
             data, offsets, _ = X.utf8(b.column(0))
             cut = pieces(data, offsets)
-            h = X.hashes(data, cut[:-1], cut[1:])
-            u, first, n = np.unique(h, return_index=True, return_counts=True)
-            near = n > 1
-            for k, i in zip(u[near].tolist(), first[near].tolist(), strict=True):
-                if k not in words and cut[i + 1] - cut[i] <= 40:
-                    words[k] = data[cut[i] : cut[i + 1]].tobytes()
-            known, inv = np.unique(np.concatenate([known, u]), return_inverse=True)
-            count = np.bincount(inv, np.concatenate([count, n]), len(known)).astype(np.int64)
-            if len(known) > 4 * p.memory:  # halve: rare pieces go, frequent ones stay
-                keep = count > np.median(count)
-                known, count = known[keep], count[keep]
-                words = {k: w for k, w in words.items() if k in set(known.tolist())}
-        top = [(words[k], n) for k, n in zip(known.tolist(), count.tolist(), strict=True) if n >= p.frequent and k in words]
-        if top:
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], ["w", "n"])
+            if len(cut) < 2:
+                continue
+            _, first, n = np.unique(X.hashes(data, cut[:-1], cut[1:]), return_index=True, return_counts=True)
+            start, size = cut[first], cut[first + 1] - cut[first]
+            end = np.cumsum(size)
+            raw = data[np.repeat(start - end + size, size) + np.arange(end[-1])]
+            off = np.concatenate([[0], end]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(raw.tobytes())]), pa.array(n.astype(np.int64))], ["w", "n"])
 
     return run
 
 
+def frequent(ws: Workspace, docs: DataFrame, p: Params) -> list[bytes]:
+    """The pieces that occur oftenest in all documents, ``lexicon`` at most.
+
+    They are all those above a number of occurrences, found from the pieces per 64th of an octave of that
+    number, so that neither many rows nor candidates of each task reach the driver.
+    """
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_piece_counts(p), "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
+    table = ws.write(counts.withColumn("b", F.floor(F.log2("n") * 64).cast("int")), "pieces")
+    room, least = p.lexicon, None
+    for r in table.groupBy("b").agg(F.count("*").alias("k")).orderBy(F.desc("b")).collect():  # 64 rows an octave
+        if r.k > room:
+            break
+        room, least = room - r.k, r.b
+    found = [] if least is None else [w.as_py() for w in table.where(F.col("b") >= least).select("w").toArrow().column("w")]
+    ws.drop(table)
+    return found
+
+
 def lexicon(ws: Workspace, docs: DataFrame, p: Params) -> str:
     """Compile the frequent pieces of all documents; returns the shared file's path."""
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_piece_counts(p), "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    top = rows.orderBy(F.desc("n"), "w").limit(p.lexicon).select("w").toArrow()
-    words = [w.as_py() for w in top.column("w")]
+    words = frequent(ws, docs, p)
     ws.spark.createDataFrame([(len(words),)], "words int").write.parquet(ws.path("lexicon-size"))  # makes the folder
     return Lexicon.build(words, vocabulary(p.vocabulary)).save(f"{ws.root}/lexicon.bin")
 

@@ -64,7 +64,7 @@ def test_lexicon_finds_exactly_its_words(vocab, tmp_path):
 
 
 def test_messy(spark, messy, nothing, reference):
-    p = B.Params(frequent=1, slice_bytes=1 << 16)
+    p = B.Params(slice_bytes=1 << 16)
     rows = B.encoded(messy, p).collect()
     assert len(rows) == messy.count()
     text = {r.doc_id: r.text for r in messy.where("doc_id is not null").collect()}
@@ -72,16 +72,36 @@ def test_messy(spark, messy, nothing, reference):
         if r.doc_id == 3:
             assert r.ids is None and r.n_tokens is None and r.roundtrip is None
         elif r.doc_id is not None:
-            assert r.roundtrip and r.n_tokens == len(r.ids)
-            if r.doc_id != 6:
-                assert r.ids == reference.encode_ordinary(text[r.doc_id])
+            assert r.roundtrip and r.n_tokens == len(r.ids) and r.ids == reference.encode_ordinary(text[r.doc_id])
     back = B.decoded(spark.createDataFrame(rows, "doc_id long, n_tokens int, ids array<int>, roundtrip boolean")).collect()
     assert sorted((repr(r.doc_id), repr(r.text)) for r in back) == sorted((repr(r.doc_id), repr(r.text)) for r in messy.collect())
     assert B.encoded(nothing, p).count() == 0
 
 
 def test_lexicon_changes_nothing(spark, messy):
-    docs = messy.where("doc_id <> 6")
-    one = sorted(map(repr, B.encoded(docs, B.Params(frequent=1)).collect()))
-    path = B.lexicon(Workspace(spark, "t"), docs, B.Params(lexicon=0))
-    assert sorted(map(repr, B.encoded(docs, B.Params(), path).collect())) == one
+    one = sorted(map(repr, B.encoded(messy, B.Params()).collect()))
+    path = B.lexicon(Workspace(spark, "t"), messy, B.Params(lexicon=0))
+    assert sorted(map(repr, B.encoded(messy, B.Params(), path).collect())) == one
+
+
+def test_the_lexicon_holds_the_oftenest_pieces_of_all_documents(spark, reference):
+    """Pieces are counted over all tasks, whatever the partitions; those of equal number are in together."""
+    import collections
+
+    import regex
+
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(13)
+    count = collections.Counter(w for t in texts for w in regex.findall(PATTERN, t))
+    found = B.frequent(Workspace(spark, "t"), docs, B.Params(lexicon=50, slice_bytes=200))
+    assert 30 <= len(found) <= 50
+    least = min(count[w.decode()] for w in found)
+    assert {w.decode() for w in found} == {w for w, n in count.items() if n >= least}
+
+
+def test_equal_hashes_are_merged_apart(vocab, reference, monkeypatch):
+    """If all pieces had one hash the ids would still be those of each piece."""
+    monkeypatch.setattr(B.X, "hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    texts = ["the thing and then", "", "another, it's"]
+    assert encode(B.Encoder(vocab), texts) == [reference.encode_ordinary(t) for t in texts]
