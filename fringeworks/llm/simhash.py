@@ -1,13 +1,13 @@
 """Near-duplicate documents: SimHash fingerprints retrieved through the Golay code.
 
-A fingerprint has four segments of 23 bits, voted by the document's distinct
+A fingerprint has six segments of 23 bits, voted by the document's distinct
 words.  Each segment decodes to one or six codeword indices (``golay``), so two
 segments at distance 2 or less always share an index; the keys are the index
-pairs of all six pairs of segments.  (Rows are sent once for each index of a
+pairs of all fifteen pairs of segments.  (Rows are sent once for each index of a
 pair's first segment; the second's are decoded again where they meet.)  Thus, by the pigeonhole principle, every
 pair of fingerprints in which two segments differ by at most 2 bits meets, as do
-all pairs at distance 8 or less and most at up to ``hamming``.  Pairs that meet
-are compared on the whole fingerprint and on 36 one-bit minima of their word
+all pairs at distance 14 or less and most at up to ``hamming``.  Pairs that meet
+are compared on the whole fingerprint and on 54 one-bit minima of their word
 pairs, and then verified by the Jaccard index of their word pairs, from bottom-k
 sketches that are exact for short texts.  Groups
 are the connected components; each keeps its least ``doc_id``.
@@ -20,7 +20,9 @@ Defined results: rows with a null or empty text, or without ``doc_id``, are no
 copies of anything and stay.  Texts without any word are compared only for
 equality.  Of repeated rows of one ``doc_id``, one stays (the first by text and
 then by all other columns that can be ordered).  Ties can't arise, as ids are
-unique within a group.  Other columns pass through whatever their names.
+unique within a group.  Other columns pass through whatever their names.  Texts of any
+length are fingerprinted whole.  An empty table gives no rows.  ``doc_id`` must be castable
+to bigint.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -40,32 +43,35 @@ from . import text as X
 from .components import components
 from .workspace import Workspace, documents
 
-SEGMENTS = 4
+SEGMENTS = 6
 BITS = SEGMENTS * golay.BITS
 SKETCH = 96
-MINIMA = 36
+WORDS = SEGMENTS // 2  # of two segments and a share of the minima each
+MINIMA = WORDS * (64 - 2 * golay.BITS)
 HALF = 2 * golay.BITS
 LOW = (1 << HALF) - 1
+NAMES = [f"w{i}" for i in range(WORDS)]
+_LONGS = ", ".join(f"{n} bigint" for n in NAMES)
 
 
 @dataclass(frozen=True)
 class Params:
     """``broadcast_rows`` is the greatest number of dropped ids (8 bytes each) that is broadcast.
 
-    ``split`` bits of the second index go into the sent key: 0 sends about 32 rows a document in
-    24,576 groups; each bit doubles the groups, for corpora of which a group outgrows a task, and
-    adds rows (170 at 12).  The result is the same.
+    ``split`` bits of the second index go into the sent key.  0 sends about 80 rows a document in
+    61,440 groups; each bit doubles the groups, and adds rows.  If it is None, it is chosen so that a group
+    has some 26,000 distinct texts' rows at most, from their number.  The result is the same.
     """
 
-    hamming: int = 20
-    minima: int = 24
-    split: int = 0
+    hamming: int = 36
+    minima: int = 36
+    split: int | None = None
     jaccard: float = 0.5
     broadcast_rows: int = 2_000_000
 
 
 def fingerprints(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Four 23-bit segments per document from the votes of its distinct word hashes."""
+    """Six 23-bit segments per document from the votes of its distinct word hashes."""
     n = len(first) - 1
     out = np.zeros((n, SEGMENTS), np.int32)
     if not len(h):
@@ -85,7 +91,7 @@ def fingerprints(h: np.ndarray, first: np.ndarray) -> np.ndarray:
         lanes[(np.arange(256) >> bit & 1) == 1] += np.uint64(1) << np.uint64(8 * bit)
     blocks = np.unique(np.concatenate([np.arange(0, len(a), 240), at[:-1][full]]))
     owner = np.searchsorted(at, blocks, side="right") - 1
-    raw = np.stack([a, X.mixed(a)], 1).view(np.uint8)
+    raw = np.stack([a, b := X.mixed(a), X.mixed(b)], 1).view(np.uint8)
     for byte in range((BITS + 7) // 8):
         sums = np.add.reduceat(lanes[raw[:, byte]], blocks)
         part = sums.view(np.uint8).reshape(-1, 8)
@@ -115,11 +121,12 @@ def sketches(h: np.ndarray, first: np.ndarray) -> tuple[list[bytes], np.ndarray]
     return [low[at[i] : min(at[i + 1], at[i] + SKETCH)].tobytes() for i in range(n)], bits.reshape(n, MINIMA)
 
 
-def packed(fp: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two words per document: two segments and half of the minima each."""
-    w = 1 << np.arange(MINIMA // 2)
+def packed(fp: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
+    """Words per document: two segments and a share of the minima each."""
+    n = MINIMA // WORDS
+    w = 1 << np.arange(n)
     f = fp.astype(np.int64)
-    return f[:, 0] | f[:, 1] << 23 | (bits[:, : MINIMA // 2] @ w) << HALF, f[:, 2] | f[:, 3] << 23 | (bits[:, MINIMA // 2 :] @ w) << HALF
+    return [f[:, 2 * i] | f[:, 2 * i + 1] << golay.BITS | (bits[:, i * n : (i + 1) * n] @ w) << HALF for i in range(WORDS)]
 
 
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +136,10 @@ def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         starts, ends, first = X.spans(f, offsets)
         h = X.hashes(f, starts, ends)
         sketch, bits = sketches(h, first)
-        lo, hi = packed(fingerprints(h, first), bits)
+        words = packed(fingerprints(h, first), bits)
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(2), b.column(3), pa.array(np.diff(first).astype(np.int32)), pa.array(lo), pa.array(hi), pa.array(sketch, pa.binary())],
-            ["doc_id", "h1", "h2", "n_words", "lo", "hi", "sketch"],
+            [b.column(0), b.column(2), b.column(3), pa.array(np.diff(first).astype(np.int32)), *map(pa.array, words), pa.array(sketch, pa.binary())],
+            ["doc_id", "h1", "h2", "n_words", *NAMES, "sketch"],
         )
 
 
@@ -140,14 +147,14 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     """Exact hashes, fingerprint and sketch of each document that can be a copy."""
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null and text <> ''")
     src = src.select("doc_id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
-    return src.mapInArrow(_fingerprint_rows, "doc_id bigint, h1 bigint, h2 bigint, n_words int, lo bigint, hi bigint, sketch binary")
+    return src.mapInArrow(_fingerprint_rows, f"doc_id bigint, h1 bigint, h2 bigint, n_words int, {_LONGS}, sketch binary")
 
 
 _PAIRS = list(combinations(range(SEGMENTS), 2))
 
 
-def segment(lo: np.ndarray, hi: np.ndarray, s: int) -> np.ndarray:
-    return (lo if s < 2 else hi) >> (golay.BITS * (s % 2)) & ((1 << golay.BITS) - 1)
+def segment(words: list[np.ndarray], s: int) -> np.ndarray:
+    return words[s // 2] >> (golay.BITS * (s % 2)) & ((1 << golay.BITS) - 1)
 
 
 def _key_rows(split: int):
@@ -156,8 +163,8 @@ def _key_rows(split: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in (batch.slice(i, 4000) for i in range(0, batch.num_rows, 4000)):
-                ids, lo, hi = (b.column(i).to_numpy() for i in range(3))
-                lists = [golay.indices(segment(lo, hi, s)) for s in range(SEGMENTS)]
+                ids, *words = (b.column(i).to_numpy() for i in range(1 + WORDS))
+                lists = [golay.indices(segment(words, s)) for s in range(SEGMENTS)]
                 keys, rows = [], []
                 for c, (i, j) in enumerate(_PAIRS):
                     (first, n), (second, m) = lists[i], lists[j]
@@ -168,29 +175,30 @@ def _key_rows(split: int):
                     keys.append(((c << golay.MESSAGE | first[row, slot]) << split | head[row, at]).astype(np.int32))
                     rows.append(row)
                 row = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids[row]), pa.array(lo[row]), pa.array(hi[row])], ["k", "id", "lo", "hi"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids[row]), *(pa.array(w[row]) for w in words)], ["k", "id", *NAMES])
 
     return run
 
 
-def alike(lo: np.ndarray, hi: np.ndarray, a, b, p: Params) -> np.ndarray:
+def alike(words: list[np.ndarray], a, b, p: Params) -> np.ndarray:
     """Fingerprints within ``hamming`` of each other that agree in ``minima`` minima."""
-    x, y = lo[a] ^ lo[b], hi[a] ^ hi[b]
-    near = np.bitwise_count(x & LOW) + np.bitwise_count(y & LOW) <= p.hamming
-    return near & (np.bitwise_count((x >> HALF) & ((1 << MINIMA // 2) - 1)) + np.bitwise_count((y >> HALF) & ((1 << MINIMA // 2) - 1)) <= MINIMA - p.minima)
+    x = [w[a] ^ w[b] for w in words]
+    near = sum(np.bitwise_count(v & LOW) for v in x) <= p.hamming
+    return near & (sum(np.bitwise_count((v >> HALF) & ((1 << MINIMA // WORDS) - 1)) for v in x) <= MINIMA - p.minima)
 
 
-def bucket_edges(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, p: Params) -> list[tuple[np.ndarray, np.ndarray]]:
+def bucket_edges(ids: np.ndarray, words: list[np.ndarray], p: Params) -> list[tuple[np.ndarray, np.ndarray]]:
     """Breadth-first edges that connect all documents alike, directly or not; from the least id on."""
     order = np.argsort(ids, kind="stable")
-    ids, lo, hi = ids[order], lo[order], hi[order]
+    ids, words = ids[order], [w[order] for w in words]
     rest = np.arange(len(ids))
     out = []
     while len(rest) > 1:
-        queue, rest = [rest[0]], rest[1:]
-        while queue and len(rest):
-            at = queue.pop(0)
-            near = alike(lo, hi, rest, at, p)
+        queue, rest, done = [rest[0]], rest[1:], 0
+        while done < len(queue) and len(rest):
+            at = queue[done]
+            done += 1
+            near = alike(words, rest, at, p)
             if near.any():
                 got = rest[near]
                 out.append((np.full(len(got), ids[at]), ids[got]))
@@ -202,21 +210,21 @@ def bucket_edges(ids: np.ndarray, lo: np.ndarray, hi: np.ndarray, p: Params) ->
 SLICE_ROWS = 200_000
 
 
-def _edge_rows(p: Params):
+def _edge_rows(p: Params, split: int):
     """Edges of a stream of rows sorted by ``k``: decodes each second segment and compares within buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         found: list[np.ndarray] = []
 
-        def compare(key: np.ndarray, ids: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> None:
+        def compare(key: np.ndarray, ids: np.ndarray, words: list[np.ndarray]) -> None:
             order = np.argsort(key, kind="stable")
             key = key[order]
             cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
             size = np.diff(cut)
             two = cut[:-1][size == 2]
             a, b = order[two], order[two + 1]
-            near = alike(lo, hi, a, b, p)
+            near = alike(words, a, b, p)
             if near.any():
                 found.append(np.sort(np.stack([ids[a[near]], ids[b[near]]], 1), axis=1))
             for n in np.unique(size[size > 2]).tolist():
@@ -224,32 +232,32 @@ def _edge_rows(p: Params):
                 if n <= 48:  # most buckets are chance: look at all pairs of all buckets of a size at once
                     i, j = np.triu_indices(n, 1)
                     step = max(1, 500_000 // len(i))
-                    some = [begin[k : k + step][alike(lo, hi, order[begin[k : k + step, None] + i], order[begin[k : k + step, None] + j], p).any(1)] for k in range(0, len(begin), step)]
+                    some = [begin[k : k + step][alike(words, order[begin[k : k + step, None] + i], order[begin[k : k + step, None] + j], p).any(1)] for k in range(0, len(begin), step)]
                     begin = np.concatenate(some)
                 for c in begin:
                     at = order[c : c + n]
-                    for u, v in bucket_edges(ids[at], lo[at], hi[at], p):
+                    for u, v in bucket_edges(ids[at], [w[at] for w in words], p):
                         found.append(np.stack([u, v], 1))
 
         def flush(cols: list[np.ndarray]) -> None:
             """Whole groups of ``k``; wide ones are taken in several passes over the second index."""
-            k, ids, lo, hi = cols
+            k, ids, *words = cols
             if not len(k):
                 return
-            second = np.array([j for _, j in _PAIRS])[k >> (golay.MESSAGE + p.split)]
+            second = np.array([j for _, j in _PAIRS])[k >> (golay.MESSAGE + split)]
             word = np.zeros(len(k), np.int64)
             for j in range(1, SEGMENTS):
                 m = second == j
-                word[m] = segment(lo[m], hi[m], j)
+                word[m] = segment([w[m] for w in words], j)
             index, count = golay.indices(word)
-            head = index >> (golay.MESSAGE - p.split) == (k & ((1 << p.split) - 1))[:, None]
+            head = index >> (golay.MESSAGE - split) == (k & ((1 << split) - 1))[:, None]
             row, slot = np.nonzero((np.arange(6) < count[:, None]) & head)
             value = index[row, slot].astype(np.int64)
             passes = -(-len(k) // (4 * SLICE_ROWS))
             for n in range(passes):
                 m = slice(None) if passes == 1 else value % passes == n
                 r = row[m]
-                compare(k[r].astype(np.int64) << 12 | value[m], ids[r], lo[r], hi[r])
+                compare(k[r].astype(np.int64) << 12 | value[m], ids[r], [w[r] for w in words])
 
         def distinct() -> np.ndarray:
             e = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
@@ -258,14 +266,14 @@ def _edge_rows(p: Params):
 
         rows = 0
         for b in batches:
-            cols = [b.column(i).to_numpy() for i in range(4)]
+            cols = [b.column(i).to_numpy() for i in range(2 + WORDS)]
             if not len(cols[0]):
                 continue
             held.append(cols)
             rows += len(cols[0])
             if rows < SLICE_ROWS or held[0][0][0] == cols[0][-1]:
                 continue
-            cat = [np.concatenate([h[i] for h in held]) for i in range(4)]
+            cat = [np.concatenate([h[i] for h in held]) for i in range(2 + WORDS)]
             end = int(np.searchsorted(cat[0], cat[0][-1], side="left"))
             flush([c[:end] for c in cat])
             held = [[c[end:] for c in cat]]
@@ -273,7 +281,7 @@ def _edge_rows(p: Params):
             if len(found) > 20_000:
                 found = [distinct()]
         if held:
-            flush([np.concatenate([h[i] for h in held]) for i in range(4)])
+            flush([np.concatenate([h[i] for h in held]) for i in range(2 + WORDS)])
         e = distinct()
         for i in range(0, len(e), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(e[i : i + 100_000, 0]), pa.array(e[i : i + 100_000, 1])], ["u", "v"])
@@ -304,11 +312,12 @@ def _verified(least: float):
 def groups(ws: Workspace, docs: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
     """The fingerprint table, and ``u, v``: copy u of the group whose least doc_id is v (u > v)."""
     table = ws.write(fingerprinted(docs), "fingerprints")
-    slim = table.select("doc_id", "h1", "h2", "n_words", "lo", "hi")
-    reps = ws.write(slim.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_words", "lo", "hi")).alias("r"), F.count("*").alias("n")), "texts")
+    slim = table.select("doc_id", "h1", "h2", "n_words", *NAMES)
+    reps = ws.write(slim.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_words", *NAMES)).alias("r"), F.count("*").alias("n")), "texts")
     same = slim.select("doc_id", "h1", "h2").join(reps.where("n > 1").select("h1", "h2", F.col("r.doc_id").alias("v")), ["h1", "h2"]).select(F.col("doc_id").alias("u"), "v").where("u <> v")
-    keys = reps.where("r.n_words > 0").select("r.doc_id", "r.lo", "r.hi").mapInArrow(_key_rows(p.split), "k int, id bigint, lo bigint, hi bigint")
-    near = keys.repartition("k").sortWithinPartitions("k").mapInArrow(_edge_rows(p), "u bigint, v bigint")
+    split = max(0, ceil(log2(max(1, reps.count()) / 2e7))) if p.split is None else p.split
+    keys = reps.where("r.n_words > 0").select("r.doc_id", *(f"r.{n}" for n in NAMES)).mapInArrow(_key_rows(split), f"k int, id bigint, {_LONGS}")
+    near = keys.repartition("k").sortWithinPartitions("k").mapInArrow(_edge_rows(p, split), "u bigint, v bigint")
     near = ws.write(near.distinct(), "candidates")
     # most copies are alike their component's least document: verify that edge first, and all edges only of the others
     stars = ws.write(verified(table, components(ws, near), p), "stars")

@@ -2,9 +2,12 @@ import itertools
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from fringeworks.llm import golay as G
 from fringeworks.llm import simhash as S
+from fringeworks.llm import text as X
 from fringeworks.llm.workspace import documents
 
 BIG = "/root/testdata/sf0.01"
@@ -84,7 +87,7 @@ def test_bucket_components_equal_brute_force():
         for a, b in edges:
             up[find(a)] = find(b)
         return [find(x) for x in range(150)]
-    got = roots([(int(a), int(b)) for u, v in S.bucket_edges(ids, lo, hi, p) for a, b in zip(u, v)])
+    got = roots([(int(a), int(b)) for u, v in S.bucket_edges(ids, [lo, hi, hi], p) for a, b in zip(u, v)])
     want = roots([(int(ids[a]), int(ids[b])) for a, b in itertools.combinations(range(150), 2) if bin(int(lo[a] ^ lo[b])).count("1") <= 4])
     same = lambda x: {tuple(i for i in range(150) if x[i] == r) for r in set(x)}
     assert same(got) == same(want)
@@ -94,3 +97,60 @@ def test_split_keys_give_the_same_groups(spark):
     docs = documents(spark, BIG)
     want = sorted(map(tuple, S.grouped(docs).collect()))
     assert sorted(map(tuple, S.grouped(docs, S.Params(split=5)).collect())) == want
+
+
+def zipf_pairs(block, n=200, pairs=1500, vocabulary=20000):
+    """Texts and edited copies, by a block or by scattered words replaced, and the Jaccard index of their word pairs."""
+    r = np.random.default_rng(5)
+    chance = 1 / np.arange(1, vocabulary + 1)
+    chance /= chance.sum()
+    left, right, index = [], [], []
+    for _ in range(pairs):
+        x = r.choice(vocabulary, n, p=chance)
+        y, m = x.copy(), int(n * r.uniform(0.02, 0.35))
+        at = r.integers(0, n - m) + np.arange(m) if block else r.choice(n, m // 2, replace=False)
+        y[at] = r.choice(vocabulary, len(at), p=chance)
+        a, b = set(zip(x.tolist(), x[1:].tolist())), set(zip(y.tolist(), y[1:].tolist()))
+        left.append(" ".join(f"w{i}" for i in x)), right.append(" ".join(f"w{i}" for i in y)), index.append(len(a & b) / len(a | b))
+    return left, right, np.array(index)
+
+
+@pytest.mark.parametrize("block,least", [(True, {0.5: 0.5, 0.6: 0.75, 0.7: 0.9, 0.8: 0.95}), (False, {0.5: 0.85, 0.6: 0.9, 0.7: 0.95, 0.8: 0.95})])
+def test_retrieval_by_similarity(block, least):
+    """The share of pairs that meet in a bucket and pass the filters, by bands of the Jaccard index."""
+    left, right, index = zipf_pairs(block)
+    data, offsets, _ = X.utf8(pa.array(left + right))
+    f = X.folded(data)
+    starts, ends, first = X.spans(f, offsets)
+    h = X.hashes(f, starts, ends)
+    words = S.packed(S.fingerprints(h, first), S.sketches(h, first)[1])
+    a, b = np.arange(len(left)), len(left) + np.arange(len(left))
+    shared = 0
+    for s in range(S.SEGMENTS):
+        (i, n), (j, m) = (G.indices(S.segment([w[at] for w in words], s)) for at in (a, b))
+        i, j = np.where(np.arange(6) < n[:, None], i, -1), np.where(np.arange(6) < m[:, None], j, -2)
+        shared = shared + (i[:, :, None] == j[:, None, :]).any((1, 2))
+    found = (shared >= 2) & S.alike(words, a, b, S.Params())
+    for lo, share in least.items():
+        band = (index >= lo) & (index < lo + 0.1)
+        assert band.sum() > 30 and found[band].mean() >= share, (lo, found[band].mean())
+
+
+def test_pairs_that_meet_are_found_by_the_rows(spark):
+    """Direct edges equal all pairs of small tables that share two indices and are alike, connected as they are."""
+    left, right, _ = zipf_pairs(True, pairs=60)
+    texts = left + right
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    group = {r.doc_id: r.group_id for r in S.grouped(docs, S.Params(jaccard=0.0)).collect()}
+    data, offsets, _ = X.utf8(pa.array(texts))
+    f = X.folded(data)
+    starts, ends, first = X.spans(f, offsets)
+    h = X.hashes(f, starts, ends)
+    words = S.packed(S.fingerprints(h, first), S.sketches(h, first)[1])
+    keys = [[set(i[:n]) for i, n in zip(*(x.tolist() for x in G.indices(S.segment(words, s))))] for s in range(S.SEGMENTS)]
+    up = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if sum(bool(k[a] & k[b]) for k in keys) >= 2 and S.alike(words, np.array([a]), np.array([b]), S.Params())[0]:
+            x, y = sorted((up[a], up[b]))
+            up = [x if u == y else u for u in up]
+    assert group == dict(enumerate(up))
