@@ -49,6 +49,7 @@ class Params:
     lexicon_min_share: float = 0.01
     lexicon_min_odds: float = 8.0
     clean_loss: float = 0.002
+    bad_recall: float = 0.95
     seed: int = 7
 
 
@@ -155,6 +156,7 @@ class Additive:
     pairs: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
     offset: float = 0.0
     threshold: float = 0.0
+    held: tuple[float, float] = (0.0, 0.0)
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         s = np.full(len(x), self.offset)
@@ -259,7 +261,11 @@ def fit(x: np.ndarray, y: np.ndarray, p: Params) -> Additive:
 
 
 def fit_head(x: np.ndarray, good: np.ndarray, clean: np.ndarray, p: Params) -> Additive | None:
-    """A model of ``good`` whose threshold, set on held-out thirds, loses few ``clean`` rows."""
+    """A model of ``good`` whose threshold, set on held-out thirds, loses few ``clean`` rows.
+
+    Where that would let more than ``1 - bad_recall`` of the others pass, the threshold is raised until it
+    doesn't, or to even odds.  ``held`` of the model has the held-out share of others found and of clean rows lost.
+    """
     if len(x) < 20 or good.all() or not good.any():
         return None
     fold = np.random.default_rng(p.seed).permutation(len(x)) % 3
@@ -267,8 +273,10 @@ def fit_head(x: np.ndarray, good: np.ndarray, clean: np.ndarray, p: Params) -> A
     for k in range(3):
         held[fold == k] = fit(x[fold != k], good[fold != k].astype(float), p).logit(x[fold == k])
     final = fit(x, good.astype(float), p)
-    q = np.sort(held[clean])
-    final.threshold = max(-3.0, min(0.0, float(q[int(p.clean_loss * len(q))]) - 1e-9)) if len(q) else 0.0
+    q, bad = np.sort(held[clean]), np.sort(held[~good])
+    lost = float(q[int(p.clean_loss * len(q))]) - 1e-9 if len(q) else 0.0
+    final.threshold = min(0.0, max(lost, float(bad[min(len(bad) - 1, int(p.bad_recall * len(bad)))]) + 1e-9))
+    final.held = (float((bad < final.threshold).mean()), float((q < final.threshold).mean()) if len(q) else 0.0)
     return final
 
 
