@@ -19,5 +19,6 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op4_fingerprints": fingerprint.ORACLE,
+    "op6_embeddings": embeddings.ORACLE,
     "op10_license": license.ORACLE,
 }

@@ -1,7 +1,7 @@
 """Written tables in the folder that all executors share.
 
-``spark.checkpoint.dir`` names that folder; a private one is made only where the
-session has none, as in tests.  A table written here cuts lineage and outlives
+``spark.checkpoint.dir`` names that folder; a private one is made only where a
+local session has none, as in tests; a cluster without one is an error.  A table written here cuts lineage and outlives
 lost executors.
 """
 
@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="fringeworks-")
         spark.sparkContext.setCheckpointDir(path)
     sc = spark.sparkContext
