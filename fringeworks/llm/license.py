@@ -1,35 +1,34 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text; blocks and templates are sets of words.  A pair is
-found if the block holds at least ``containment`` of the template's words.  The
-words are ordered by their frequency in all documents, rarest first; then
+A block is a window of words anywhere in a text, whatever its line breaks and
+comment signs; it has ``slack`` times the words of the template it is held
+against.  Blocks and templates are sets of words.  A pair is found if the block
+holds at least ``containment`` of the template's words; overlapping blocks that do
+are one passage, given by its best block (the first of equal ones).  The words are
+ordered by their frequency in all documents, rarest first; then
 
 * prefix filter: a template of n words that needs m of them must share one of
-  its n - m + 1 rarest words,
-* length filter: the block must hold m template words at all,
-* positional filter: the first shared word's places in both orders must leave
-  room for m,
+  its n - m + 1 rarest words, so only blocks near one of these are looked at,
+* length filter: a stretch of blocks must hold m template words at all,
+* positional filter: words further than a block from the next can't be in one,
 
 and what remains is verified on the words themselves (not their hashes).
-Templates are few and fixed, so they go with the task; documents aren't shuffled.
+Templates are few (``Params.most`` at most), so they go with the task; documents aren't shuffled.
 
-Lines miss sentences that are wrapped, as in source headers.  ``passages`` looks at
-windows of words over the whole text instead, whatever its line breaks and comment
-signs: a window has ``slack`` times the words of the template, and overlapping ones
-that meet the threshold are one passage, given by its best window.  Only windows
-near one of the template's prefix words are looked at.
+``scanned`` takes lines as blocks: the form in which a notice stands alone.
 
 Defined results: null and empty texts and blocks without words match nothing; a
 template without words is ignored.  Words of equal frequency are ordered by
 hash.  Every row is treated alone, so repeated rows give repeated pairs, null
-``doc_id`` is carried along, and other columns aren't looked at.
+``doc_id`` is carried along, and other columns aren't looked at.  A text of any length is
+read whole.  An empty table gives no rows.  ``doc_id`` must be castable to bigint.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +52,21 @@ TEMPLATES = (
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
     ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
+    (
+        "mit-full",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    (
+        "zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone "
+        "to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions.",
+    ),
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
@@ -62,6 +76,16 @@ class Params:
     containment: float = 0.9
     templates: tuple[tuple[str, str], ...] = TEMPLATES
     slack: float = 1.5
+    most: int = 10_000
+
+    @classmethod
+    def of(cls, table: DataFrame, **more) -> Params:
+        """With the templates of a table (``name, text``), of which there may be ``most``."""
+        p = cls(**more)
+        rows = table.select("name", "text").where("name is not null and text is not null").limit(p.most + 1).collect()
+        if len(rows) > p.most:
+            raise ValueError(f"more than {p.most} templates")
+        return replace(p, templates=tuple(sorted((r.name, r.text) for r in rows)))
 
 
 def words_of(text: str) -> list[bytes]:
@@ -250,10 +274,6 @@ def scanned(docs: DataFrame, p: Params = Params()) -> DataFrame:
     return src.mapInArrow(_search(index), "doc_id bigint, block int, template string, overlap int, containment double")
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scanned(documents(spark, sf_dir, "doc_id", "text"))
-
-
 def passages(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """``doc_id, word, template, overlap, containment`` for every passage, wrapped or not; ``word`` is the index of its first word."""
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -261,21 +281,27 @@ def passages(docs: DataFrame, p: Params = Params()) -> DataFrame:
     return src.mapInArrow(_search(index, True), "doc_id bigint, word int, template string, overlap int, containment double")
 
 
-def query_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(documents(spark, sf_dir, "doc_id", "text"))
 
 
 def _oracle(p: Params = Params()) -> str:
+    """Of each template word's places, the block that ends there; runs of overlapping blocks over the threshold, and the best of each."""
     index = Index(p)
-    rows = ", ".join("('{}', [{}], {})".format(n, ", ".join(f"'{index.words[o].decode()}'" for o in s), m) for n, s, m in zip(index.names, index.sets, index.need, strict=True))
+    rows = ", ".join("('{}', [{}], {}, {})".format(n, ", ".join(f"'{index.words[o].decode()}'" for o in s), m, w) for n, s, m, w in zip(index.names, index.sets, index.need, index.window, strict=True))
     return f"""
-WITH lines AS (
-  SELECT doc_id, unnest(ls) AS text, generate_subscripts(ls, 1) - 1 AS block
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)
-), blocks AS (SELECT doc_id, block, list_distinct(regexp_extract_all({FOLDED}, '{WORD}')) AS ws FROM lines),
-templates(template, ts, need) AS (VALUES {rows})
-SELECT doc_id, block::INTEGER AS block, template, len(list_intersect(ws, ts))::INTEGER AS overlap, len(list_intersect(ws, ts))::DOUBLE / len(ts) AS containment
-FROM blocks, templates WHERE len(list_intersect(ws, ts)) >= need
+WITH templates(template, ts, need, width) AS (VALUES {rows}),
+names AS (SELECT template, unnest(ts) AS w FROM templates), every AS (SELECT DISTINCT w FROM names),
+docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({FOLDED}, '{WORD}') AS ws FROM documents),
+places AS (SELECT r, doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM docs),
+few AS MATERIALIZED (SELECT r, doc_id, w, pos FROM places JOIN every USING (w)),
+hits AS MATERIALIZED (SELECT r, doc_id, template, w, pos, need, width FROM few JOIN names USING (w) JOIN templates USING (template)),
+blocks AS (SELECT b.r, b.doc_id, b.template, b.pos AS right_, b.need, min(a.pos) AS left_, count(DISTINCT a.w) AS overlap FROM hits b JOIN hits a ON a.r = b.r AND a.template = b.template AND a.pos <= b.pos AND a.pos > b.pos - b.width GROUP BY ALL),
+good AS (SELECT * FROM blocks WHERE overlap >= need),
+runs AS (SELECT *, left_ > coalesce(lag(right_) OVER o, -1) AS fresh FROM good WINDOW o AS (PARTITION BY r, template ORDER BY right_)),
+passages AS (SELECT *, sum(fresh::INTEGER) OVER (PARTITION BY r, template ORDER BY right_) AS passage FROM runs),
+best AS (SELECT * FROM passages QUALIFY row_number() OVER (PARTITION BY r, template, passage ORDER BY overlap DESC, right_) = 1)
+SELECT doc_id, left_::INTEGER AS word, template, overlap::INTEGER AS overlap, overlap::DOUBLE / len(ts) AS containment FROM best JOIN templates USING (template)
 """
 
 

@@ -15,7 +15,6 @@ QUERIES = {
     "op8_bpe": bpe.query,
     "op9_lm": lm.query,
     "op10_license": license.query,
-    "op10_license_passages": license.query_passages,
 }
 ORACLES: dict[str, str] = {
     "op4_fingerprints": fingerprint.ORACLE,
