@@ -1,13 +1,13 @@
 """Near-duplicate documents: SimHash fingerprints retrieved through the Golay code.
 
-A fingerprint has six segments of 23 bits, voted by the document's distinct
+A fingerprint has eight segments of 23 bits, voted by the document's distinct
 words.  Each segment decodes to one or six codeword indices (``golay``), so two
 segments at distance 2 or less always share an index; the keys are the index
-pairs of all fifteen pairs of segments.  (Rows are sent once for each index of a
+pairs of all 28 pairs of segments.  (Rows are sent once for each index of a
 pair's first segment; the second's are decoded again where they meet.)  Thus, by the pigeonhole principle, every
 pair of fingerprints in which two segments differ by at most 2 bits meets, as do
-all pairs at distance 14 or less and most at up to ``hamming``.  Pairs that meet
-are compared on the whole fingerprint and on 54 one-bit minima of their word
+all pairs at distance 20 or less and most at up to ``hamming``.  Pairs that meet
+are compared on the whole fingerprint and on 72 one-bit minima of their word
 pairs, and then verified by the Jaccard index of their word pairs, from bottom-k
 sketches that are exact for short texts.  Groups
 are the connected components; each keeps its least ``doc_id``.
@@ -43,7 +43,7 @@ from . import text as X
 from .components import components
 from .workspace import Workspace, documents
 
-SEGMENTS = 6
+SEGMENTS = 8
 BITS = SEGMENTS * golay.BITS
 SKETCH = 96
 WORDS = SEGMENTS // 2  # of two segments and a share of the minima each
@@ -58,20 +58,20 @@ _LONGS = ", ".join(f"{n} bigint" for n in NAMES)
 class Params:
     """``broadcast_rows`` is the greatest number of dropped ids (8 bytes each) that is broadcast.
 
-    ``split`` bits of the second index go into the sent key.  0 sends about 80 rows a document in
-    61,440 groups; each bit doubles the groups, and adds rows.  If it is None, it is chosen so that a group
-    has some 26,000 distinct texts' rows at most, from their number.  The result is the same.
+    ``split`` bits of the second index go into the sent key.  0 sends about 150 rows a document in
+    114,688 groups; each bit doubles the groups, and adds rows.  If it is None, it is chosen so that a group
+    has some 26,000 rows, from the number of distinct texts.  The result is the same.
     """
 
-    hamming: int = 36
-    minima: int = 36
+    hamming: int = 52
+    minima: int = 48
     split: int | None = None
     jaccard: float = 0.5
     broadcast_rows: int = 2_000_000
 
 
 def fingerprints(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Six 23-bit segments per document from the votes of its distinct word hashes."""
+    """Eight 23-bit segments per document from the votes of its distinct word hashes."""
     n = len(first) - 1
     out = np.zeros((n, SEGMENTS), np.int32)
     if not len(h):
