@@ -15,7 +15,9 @@ key), so nothing has to be made distinct and no partner is cut off.
 Defined results: rows with a null id, or a vector that is null, of another than the
 commonest dimension, zero, or with null or infinite entries, have no partners.
 Of repeated rows of an id the likest counts; an id is no partner of itself.  Fewer than two
-vectors give no pairs.  Other columns aren't looked at.
+vectors give no pairs, as does an empty table.  Vectors of equal codes or cosines are
+all paired, so ties need no order.  Other columns, whatever their names, aren't looked at;
+``vec_id`` must be castable to bigint.
 """
 
 from __future__ import annotations

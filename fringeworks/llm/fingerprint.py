@@ -9,7 +9,9 @@ that share no passage of ``k`` words do (but for equal 64-bit hashes).
 Defined results: a document with at least k words but fewer than a window's has
 one window; one of fewer words, an empty and a null text have no fingerprints.
 Every row is treated alone, so repeated rows give repeated fingerprints; a null
-``doc_id`` is carried along.  Other columns aren't looked at.
+``doc_id`` is carried along.  Other columns aren't looked at.  A text of any length
+is read whole, a slice of rows at a time.  An empty table gives no rows.  ``doc_id`` must be
+castable to bigint.
 """
 
 from __future__ import annotations
@@ -42,9 +44,9 @@ def grams(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     at = np.concatenate([[0], np.cumsum(counts)])
     if not at[-1]:
         return np.zeros(0, np.uint64), at
-    acc = np.zeros(n - k + 1, np.uint64)
-    for j in range(k):
-        acc = acc * X.BASE + h[j : n - k + 1 + j]
+    power, inverse = X.powers(n)  # rolling: a gram is a difference of prefix sums, shifted to its own first power
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * inverse[:n])])
+    acc = (sums[k:] - sums[: n - k + 1]) * power[k - 1 : n]
     keep = np.repeat(first[:-1], counts) + np.arange(at[-1]) - np.repeat(at[:-1], counts)
     return X.mixed(acc[keep]) >> np.uint64(1), at
 

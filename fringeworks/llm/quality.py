@@ -13,8 +13,10 @@ a hash of ``doc_id``; the toxic lexicon comes from the same documents.
 Defined results: a null, empty or blank text has null scores and is not kept.
 Labels that are null are left out; of repeated labels of a document the worst
 counts.  If a head's labels hold fewer than two classes it rejects nothing.
-Every input row gives one output row, so repeated rows are scored alike.  Other
-columns, whatever their names, are not looked at.
+Every input row gives one output row, so repeated rows are scored alike; a text of
+any length is read whole, and an empty table gives no rows.  Scores at the threshold are
+kept; of equally good splits and pairs the first counts.  Other columns, whatever their
+names, are not looked at.
 """
 
 from __future__ import annotations

@@ -104,7 +104,7 @@ _POW = np.ones(1, np.uint64)
 _INV = np.ones(1, np.uint64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POW, _INV
     if len(_POW) < n:
         inverse = np.uint64(pow(int(BASE), -1, 2**64))
@@ -124,7 +124,7 @@ def hashes(f: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarra
     while at < len(starts):
         to = max(int(np.searchsorted(ends, starts[at] + BLOCK_BYTES, side="right")), at + 1)
         lo, hi = int(starts[at]), int(ends[to - 1])
-        pw, inv = _powers(hi - lo + 1)
+        pw, inv = powers(hi - lo + 1)
         s = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(table[f[lo:hi]] * pw[: hi - lo], out=s[1:])
         a, b = starts[at:to] - lo, ends[at:to] - lo

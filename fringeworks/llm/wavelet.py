@@ -22,7 +22,9 @@ Defined results: a null text is a document without tokens that is flagged null;
 an empty one has none and isn't flagged.  Repeated rows are stored repeatedly;
 a null ``doc_id`` is kept (the value is stored with a flag).  An empty table has
 no shards.  Shards follow the input's partitions: a shard ends when it holds
-``shard_tokens`` tokens or its partition ends, and every row lies in exactly one.
+``shard_tokens`` tokens or its partition ends, and every row lies in exactly one; a text
+of any length lies whole in one shard.  Tokens of equal frequency are numbered by id.  Other
+columns aren't looked at; ``doc_id`` must be castable to bigint.
 """
 
 from __future__ import annotations

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from fringeworks.llm import embeddings as E
 
@@ -26,6 +27,8 @@ def test_messy(spark):
     far = [float((-1) ** i) for i in range(8)]
     rows = [(1, a, 0, "x"), (1, a, 0, "x"), (2, b, None, "y"), (3, far, 1, None), (None, a, 1, "z"), (4, None, 1, "z"), (5, [], 1, "z"), (6, [0.0] * 8, 1, "z"), (7, [float("nan")] + a[1:], 1, "z"), (8, [None] + a[1:], 1, "z"), (9, [1.0] * 3, 1, "z"), (10, [float("inf")] + a[1:], 0, "z")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, code string")
+    for c in ("id", "k", "a", "b", "v", "va", "vb", "n", "cosine"):  # names used inside
+        df = df.withColumn(c, F.lit("z"))
     got = E.pairs(df).collect()
     assert [(x.vec_a, x.vec_b) for x in got] == [(1, 2)] and got[0].cosine > 0.99
     assert E.pairs(df.limit(0)).count() == 0
@@ -46,3 +49,17 @@ def test_pairs_are_made_once():
             meet = keys(x) & keys(y)
             made = [k for k in meet if E._here(k, np.array([x]), np.array([y]), parts)[0]]
             assert len(made) == 1
+
+
+def test_sql_equals_the_pairs(spark):
+    import duckdb
+
+    r = np.random.default_rng(4)
+    m = r.standard_normal((300, 64)).astype(np.float32)
+    m[200:] = m[:100] + 0.15 * r.standard_normal((100, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>")
+    c = duckdb.connect()
+    c.register("embeddings", df.toArrow())
+    want = {(a, b): x for a, b, x in c.sql(E.ORACLE).fetchall()}
+    got = {(x.vec_a, x.vec_b): round(x.cosine, 5) for x in E.pairs(df).collect()}
+    assert len(want) > 90 and len(got.keys() & want.keys()) >= 0.9 * len(want) and all(abs(want[k] - v) < 2e-5 for k, v in got.items())
