@@ -1,7 +1,16 @@
 """The corpus pipeline: quality filter, near-duplicate removal, redaction, packing.
 
 Each stage works on all that its predecessor kept; what it returns is written as
-Parquet to the folder that the cluster shares and read again by the next one.
+Parquet to the folder that the cluster shares and read again by the next one.  The
+last returns sequences that hold the token ids of the redacted texts, so nothing of
+the earlier tables is needed to use them.
+
+Defined results: the quality stage drops null, empty and blank texts, and with them
+nothing is left for later stages to define; rows without ``doc_id`` stay, as copies of
+nothing; of repeated rows of one ``doc_id`` one stays; texts of any length are worked on
+whole; of equal texts that with the least ``doc_id`` stays; an empty table gives no
+sequences, as do labels of one class no rejections.  Other columns pass through all stages but
+the last whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +37,7 @@ def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the packed sequences."""
+    """Sequences of token ids, and which piece of which document begins where in them."""
     return packing.stage(spark, docs, sf_dir)
 
 
