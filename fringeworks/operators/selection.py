@@ -50,22 +50,53 @@ def trimmed(values: DataFrame, sigma: float, most: int = 1_000_000) -> DataFrame
     return values.where(d < lo).unionByName(last)
 
 
+def quantiles(values: DataFrame, column: str, shares: list[float], most: int = 1_000_000) -> list[float]:
+    """Exact quantiles, interpolated between neighbours; [] without values.
+
+    Histograms of 4096 ranges narrow each wanted rank's range down to ``most`` values, or to equal ones, and
+    only those are ranked: no task sees all values.
+    """
+    v = values.select(F.col(column).cast("double").alias("x")).where("x is not null")
+    n, lo, hi = v.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return []
+    places = [(n - 1) * q for q in shares]
+    ranges = {(lo, hi): (n, 0)}  # its values, and those below it
+    at = dict.fromkeys(sorted({f(p) for p in places for f in (math.floor, math.ceil)}), (lo, hi))
+    while wide := sorted({r for r in at.values() if ranges[r][0] > most and r[0] < r[1]}):
+        for a, z in wide:
+            b = F.least(F.floor((F.col("x") - a) / ((z - a) / 4096)), F.lit(4095)).cast("int").alias("b")
+            rows = v.where(F.col("x").between(a, z)).groupBy(b).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("b").collect()  # at most 4096 rows
+            below = ranges[a, z][1]
+            for r in rows:
+                ranges[r.lo, r.hi] = (r.n, below)
+                at.update({k: (r.lo, r.hi) for k, old in at.items() if old == (a, z) and below <= k < below + r.n})
+                below += r.n
+    found: dict[int, float] = {}
+    for a, z in sorted(set(at.values())):
+        mine = [k for k, r in at.items() if r == (a, z)]
+        below = ranges[a, z][1]
+        rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("x")) - 1 + below
+        found |= {k: a for k in mine} if a == z else {r.k: r.x for r in v.where(F.col("x").between(a, z)).select("x", rank.alias("k")).where(F.col("k").isin(mine)).collect()}
+    return [found[math.floor(p)] + (found[math.ceil(p)] - found[math.floor(p)]) * (p - math.floor(p)) for p in places]
+
+
 def kmeans_1d(values: DataFrame, k: int, log: bool = False, rounds: int = 100, fixed: bool = False) -> list[float]:
     """Lloyd's rounds from quantile seeds; deterministic, and each round moves k sums only."""
-    v = values.select((F.log("d") if log else F.col("d").cast("double")).alias("x"))
     if k < 1:
         raise ValueError("at least one level")
-    seeds = v.agg(F.percentile("x", [(i + 0.5) / k for i in range(k)])).first()[0]
-    if seeds is None:
-        return []
-    cent = [float(c) for c in seeds]
-    for _ in range(rounds):
-        dist = F.array(*(F.abs(F.col("x") - c) for c in cent))
-        got = {r.c: r.m for r in v.groupBy((F.array_position(dist, F.array_min(dist)) - 1).alias("c")).agg(F.avg("x").alias("m")).collect()}
-        new = [got.get(i, cent[i]) for i in range(k)]
-        if not fixed and new == cent:
-            break
-        cent = new
+    v = values.select((F.log("d") if log else F.col("d").cast("double")).alias("x")).persist()  # read by every round
+    try:
+        cent = quantiles(v, "x", [(i + 0.5) / k for i in range(k)])
+        for _ in range(rounds if cent else 0):
+            dist = F.array(*(F.abs(F.col("x") - c) for c in cent))
+            got = {r.c: r.m for r in v.groupBy((F.array_position(dist, F.array_min(dist)) - 1).alias("c")).agg(F.avg("x").alias("m")).collect()}
+            new = [got.get(i, cent[i]) for i in range(k)]
+            if not fixed and new == cent:
+                break
+            cent = new
+    finally:
+        v.unpersist()
     return sorted((math.exp(c) if log else c for c in cent), reverse=True)
 
 

@@ -185,6 +185,9 @@ def test_intervals(spark):
     whole = sorted(r.d for r in heavy.collect())
     for most in (1, 4, 100):
         assert sorted(r.d for r in SE.trimmed(heavy, 0.4, most).collect()) == whole[: 43 - 25]
+    for most in (1, 5, 1000):
+        assert SE.quantiles(heavy, "d", [0.0, 0.25, 0.5, 0.77, 1.0], most) == pytest.approx(np.quantile(whole, [0.0, 0.25, 0.5, 0.77, 1.0]))
+    assert SE.quantiles(heavy.limit(0), "d", [0.5]) == [] and SE.quantiles(v.where("d = 1"), "d", [0.5], 1) == [1.0]
     assert SE.kmeans_1d(v, 3) == pytest.approx([90, 5, 1])
     assert SE.trimmed(v.where("d = 1"), 0.5).count() == 2 and SE.trimmed(v.limit(0), 0.5).count() == 0
 
