@@ -373,27 +373,26 @@ def boost(x: np.ndarray, y: np.ndarray, p: Params) -> Trees:
     s = np.full(n, math.log(mean / (1 - mean)))
     inner = 2**p.depth - 1
     fs, cs, vs = [], [], []
+    cell = (np.arange(d) * p.bins + bins).ravel()  # a row's place in every feature's histogram
+    closed = np.arange(p.bins - 1) >= np.array([len(e) for e in edges])[:, None]  # no cut there
     for _ in range(p.rounds):
         q = 1 / (1 + np.exp(-s))
         g, h = y - q, q * (1 - q)
+        gd, hd = np.repeat(g, d), np.repeat(h, d)
         f, c = np.zeros(inner, int), np.full(inner, np.inf)
         node = np.zeros(n, int)
         for level in range(p.depth):
             base, width = 2**level - 1, 2**level
-            local = node - base
-            best = np.full(width, 1e-6)
-            for j in range(d):
-                k = len(edges[j]) + 1
-                if k < 2:
-                    continue
-                flat = local * k + bins[:, j]
-                cg, ch = np.bincount(flat, g, width * k).reshape(width, k).cumsum(1), np.bincount(flat, h, width * k).reshape(width, k).cumsum(1)
-                tg, th = cg[:, -1:], ch[:, -1:]
-                gain = cg[:, :-1] ** 2 / (ch[:, :-1] + 1) + (tg - cg[:, :-1]) ** 2 / (th - ch[:, :-1] + 1) - tg**2 / (th + 1)
-                at = gain.argmax(1)
-                top = gain[np.arange(width), at]
-                for w in np.flatnonzero(top > best):
-                    best[w], f[base + w], c[base + w] = top[w], j, edges[j][at[w]]
+            flat = np.repeat((node - base) * (d * p.bins), d) + cell
+            cg, ch = (np.bincount(flat, w, width * d * p.bins).reshape(width, d, p.bins).cumsum(2) for w in (gd, hd))
+            tg, th = cg[:, :, -1:], ch[:, :, -1:]
+            gain = cg[:, :, :-1] ** 2 / (ch[:, :, :-1] + 1) + (tg - cg[:, :, :-1]) ** 2 / (th - ch[:, :, :-1] + 1) - tg**2 / (th + 1)
+            gain[:, closed] = -np.inf
+            at = gain.reshape(width, -1).argmax(1)
+            top = gain.reshape(width, -1)[np.arange(width), at]
+            for w in np.flatnonzero(top > 1e-6):
+                j, k = divmod(int(at[w]), p.bins - 1)
+                f[base + w], c[base + w] = j, edges[j][k]
             node = 2 * node + 1 + (x[np.arange(n), f[node]] > c[node])
         leaf = node - inner
         v = p.rate * np.bincount(leaf, g, 2**p.depth) / (np.bincount(leaf, h, 2**p.depth) + 1)
