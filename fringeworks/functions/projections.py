@@ -33,6 +33,12 @@ def project(kind: str, lon: Column, lat: Column, lon0: float = 0.0, lat0: float
         i = F.least(F.floor(deg), F.lit(17)).cast("int")
         at = lambda t: (lambda arr: F.get(arr, i) + (F.get(arr, i + 1) - F.get(arr, i)) * (deg - i))(F.array(*map(F.lit, t)))
         return 0.8487 * at(length) * (lon - lon0), 1.3523 * at(height) * F.signum(lat)
+    if kind == "HEALPIX":
+        d, z = F.pmod(lon - lon0 + math.pi, F.lit(2 * math.pi)) - math.pi, F.sin(lat)
+        pole = F.sqrt(F.greatest(3 * (1 - F.abs(z)), F.lit(0.0)))
+        centre = (2 * F.least(F.floor((d + math.pi) * (2 / math.pi)), F.lit(3)) + 1) * (math.pi / 4) - math.pi
+        flat = F.abs(z) <= 2 / 3
+        return F.when(flat, d).otherwise(centre + (d - centre) * pole), F.when(flat, z * (3 * math.pi / 8)).otherwise(F.signum(z) * (2 - pole) * (math.pi / 4))
     cos_c, east, north = _terms(lon, lat, lon0, lat0)
     if kind == "GNOM":
         return F.when(cos_c > 0, east / cos_c), F.when(cos_c > 0, north / cos_c)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from .. import schema as S
 from ..functions import linalg as L
 from ..functions.frame import sidereal_angle, uvw_basis
+from .geometry import rotation_plane
 
 OUT = "time_id bigint, channel_id bigint, scale double, d array<double>, v_re array<double>, v_im array<double>"
 
@@ -71,6 +72,12 @@ class Instrument:
         w[np.arange(len(positions)), self.beam] = np.exp(-2j * np.pi / wl * phase)
         return w
 
+    def rotation(self, start: float, end: float, samples: int = 20) -> np.ndarray:
+        """Rotation into the plane that the antennas turn in between two times, from evenly spaced ones."""
+        if start > end:
+            raise ValueError("start must not be after end")
+        return rotation_plane(np.stack([self.positions(t) for t in np.linspace(start, end, samples)], 1))
+
     def uvw(self, positions: np.ndarray) -> np.ndarray:
         """Differences x_i - x_j in the local frame, in order k = j N + i, column-major."""
         q = positions @ uvw_basis(self.ra, self.dec)

@@ -60,6 +60,8 @@ def rotation_plane(positions):
     abc = np.array([np.linalg.lstsq(np.c_[p[:, :2], np.ones(len(p))], p[:, 2], rcond=None)[0] for p in positions])
     a, b, _ = abc.mean(0)
     z, y = np.array([a, b, -1.0]), np.array([b, -a, 0.0])
+    if np.hypot(a, b) < 1e-12:  # the plane is level: any direction in it will do
+        z, y = np.array([0.0, 0.0, -1.0]), np.array([0.0, 1.0, 0.0])
     r = np.stack([np.cross(z, y), y, z])
     return r / np.linalg.norm(r, axis=1, keepdims=True)
 

@@ -365,3 +365,12 @@ def kent_support(spark, sf_dir):
     """Angular support and least scale of Kent densities."""
     rows = [(i, WN.Kent.angular_support(5.0 + i, 0.05 * i), WN.Kent.min_scale(0.1 * i, 0.05 * i)) for i in range(1, 15)]
     return spark.createDataFrame(rows, "id long, support double, scale double").select("id", F.round("support", 7).alias("support"), F.round("scale", 6).alias("scale"))
+
+
+@query("""WITH e AS (SELECT event_id, (user_id % 60) / 10.0 AS lon, (event_id % 300) / 100.0 - 1.5 AS lat FROM events), d AS (SELECT event_id, lat, lon - 0.1 + pi() - 2 * pi() * floor((lon - 0.1 + pi()) / (2 * pi())) - pi() AS d, sin(lat) AS z FROM e),
+c AS (SELECT *, sqrt(greatest(3 * (1 - abs(z)), 0)) AS s, (2 * least(floor((d + pi()) * 2 / pi()), 3) + 1) * pi() / 4 - pi() AS c FROM d)
+SELECT event_id, round(CASE WHEN abs(z) <= 2.0 / 3 THEN d ELSE c + (d - c) * s END, 6) + 0.0 AS x, round(CASE WHEN abs(z) <= 2.0 / 3 THEN 3 * pi() / 8 * z ELSE sign(z) * (2 - s) * pi() / 4 END, 6) + 0.0 AS y FROM c""")
+def healpix_projection(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 60 / 10.0).alias("lon"), (F.col("event_id") % 300 / 100.0 - 1.5).alias("lat"))
+    x, y = PJ.project("HEALPIX", F.col("lon"), F.col("lat"), 0.1)
+    return e.select("event_id", _r(x).alias("x"), _r(y).alias("y"))

@@ -11,6 +11,7 @@ from fringeworks.functions import frame as FR
 from fringeworks.functions import linalg as L
 from fringeworks.functions import sphere as SP
 from fringeworks.operators import geometry as G
+from fringeworks.operators.eigen import Instrument
 from fringeworks.operators import partition as PT
 from fringeworks.operators import selection as SE
 from fringeworks.operators import synthesis as SY
@@ -261,6 +262,17 @@ def test_instruments(spark, tmp_path):
     assert np.allclose(np.abs(G.rotation_plane(turning)[2]), [0, 0, 1], atol=1e-6)
 
 
+def test_the_plane_that_antennas_turn_in():
+    r = np.random.default_rng(0)
+    i = Instrument(r.normal(size=(5, 3)), np.arange(5), RA, DEC)
+    m = i.rotation(56879.0, 56879.4)
+    assert np.allclose(m @ m.T, np.eye(3)) and np.allclose(np.abs(m[2]), [0, 0, 1])
+    turned = np.stack([i.positions(t) for t in (56879.0, 56879.2)]) @ m.T
+    assert np.allclose(turned[0, :, 2], turned[1, :, 2])
+    with pytest.raises(ValueError):
+        i.rotation(2.0, 1.0)
+
+
 def test_slices(spark):
     ids = lambda *a: [r.id for r in spark.range(10).where(V.in_slice(F.col("id"), *a)).collect()]
     assert ids(2, -1, 3) == [2, 5, 8] and ids(0, 4, 1) == [0, 1, 2, 3]
