@@ -129,10 +129,14 @@ class Model:
         return np.stack([self.r @ c for c in self.c])
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
-    return x
+def log_probability(e: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each row, the log-probability of column ``at`` under the row's softmax; ``e`` is overwritten."""
+    n, k = e.shape
+    top = e.max(1)
+    out = e.ravel().take(at + np.arange(0, n * k, k)) - top
+    e -= top[:, None]
+    np.exp(e, out=e)
+    return out - np.log(e.sum(1))
 
 
 def grams(ranks: np.ndarray, at: np.ndarray, start: int) -> np.ndarray:
@@ -154,6 +158,9 @@ def context(g: np.ndarray, k: int) -> np.ndarray:
     return (g >> np.uint64(WIDTH * k) & MASK).astype(np.int64)
 
 
+_CELLS = 150_000  # of a block of products, so that it stays in a core's cache
+
+
 def scores(model: Model, turned: np.ndarray, lay: Layout, g: np.ndarray) -> np.ndarray:
     """Log-probabilities of distinct sorted 4-grams, normalised over classes and within them."""
     d = model.dim
@@ -161,58 +168,50 @@ def scores(model: Model, turned: np.ndarray, lay: Layout, g: np.ndarray) -> np.n
     ctx = g >> np.uint64(WIDTH)
     first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(g) else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(g)]])))
-    cls = lay.of[target].astype(np.int64)
-    h = np.empty((len(first), d), np.float32)
-    out = np.empty(len(g), np.float32)
+    cls = lay.of.take(target).astype(np.int64)
+    h = np.ones((len(first), d + 1), np.float32)  # with a one for the bias
+    some = g.take(first)
     for a in range(0, len(first), 8192):
-        some = g[first[a : a + 8192]]
-        h[a : a + 8192] = sum(x.take(context(some, k), 0) for k, x in enumerate(turned, 1))
-        lp = log_softmax(h[a : a + 8192] @ model.s[:, :d].T + model.s[:, d])
-        lo, hi = first[a], first[a + 8192] if a + 8192 < len(first) else len(g)
-        out[lo:hi] = lp[owner[lo:hi] - a, cls[lo:hi]]
-    order = np.argsort(lay.of[target], kind="stable")
-    edge = np.searchsorted(cls[order], np.arange(lay.classes + 1))
+        h[a : a + 8192, :d] = sum(x.take(context(some[a : a + 8192], k), 0) for k, x in enumerate(turned, 1))
+    out = np.empty(len(g), np.float32)
+    step = max(1, _CELLS // lay.classes)
+    for a in range(0, len(g), step):
+        # grams of a context follow each other: its products are made once a block
+        lo, hi = owner[a], owner[min(a + step, len(g)) - 1] + 1
+        e = h[lo:hi] @ model.s.T
+        top = e.max(1)
+        row = owner[a : a + step] - lo
+        hit = e.ravel().take(row * lay.classes + cls[a : a + step])
+        e -= top[:, None]
+        np.exp(e, out=e)
+        out[a : a + step] = hit - (top + np.log(e.sum(1))).take(row)
+    order = np.argsort(lay.of.take(target), kind="stable")
+    edge = np.searchsorted(cls.take(order), np.arange(lay.classes + 1))
     for c in range(lay.classes):
         lo, hi = lay.starts[c], lay.starts[c + 1]
         if hi - lo == 1:
             continue
-        step = max(1, 2_000_000 // (hi - lo))
+        step, q = max(1, _CELLS // int(hi - lo)), np.ascontiguousarray(model.q[lo:hi].T)
         for a in range(edge[c], edge[c + 1], step):
             rows = order[a : min(a + step, edge[c + 1])]
-            lp = log_softmax(h.take(owner.take(rows), 0) @ model.q[lo:hi, :d].T + model.q[lo:hi, d])
-            out[rows] += lp[np.arange(len(rows)), target[rows] - lo]
+            out[rows] += log_probability(h.take(owner.take(rows), 0) @ q, target.take(rows) - lo)
     return out
 
 
 # ---- training --------------------------------------------------------------------------------
 
 
-def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows, and the sums of their values: neighbours of a row are added in pairs until one is left."""
-    order = np.argsort(rows, kind="stable")
-    r = rows.take(order)
-    edge = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    v = values.take(order, 0)
-    first, size = edge, np.diff(np.concatenate([edge, [len(r)]]))
-    while len(v) > len(edge):
-        half = (size + 1) // 2
-        at = np.cumsum(half) - half
-        take = np.repeat(first - 2 * at, half) + 2 * np.arange(at[-1] + half[-1])  # the first of each pair
-        out = v.take(take, 0)
-        last = at + half - 1  # without a partner where a row has an odd number
-        alone = last[size % 2 == 1]
-        mate = np.minimum(take + 1, len(v) - 1)
-        more = v.take(mate, 0)
-        more[alone] = 0
-        out += more
-        v, first, size = out, at, half
-    return r.take(edge).astype(np.int64), v
+def _summed(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """The values' sums by row."""
+    d = values.shape[1]
+    out = np.zeros(size * d, np.float32)
+    np.add.at(out, (rows[:, None] * d + np.arange(d)).ravel(), values.ravel())  # flat, as that is fast
+    return out.reshape(size, d)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.clip(x, -30, 30, out=x)
     np.negative(x, out=x)
-    np.exp(x, out=x)
+    np.exp(x, out=x)  # beyond the range of floats this is 0 or 1
     x += 1
     return np.reciprocal(x, out=x)
 
@@ -236,7 +235,7 @@ class Trainer:
         """Visit the distinct 4-grams of a chunk once, in a random order, by their counts."""
         g, n = np.unique(g, return_counts=True)
         used = np.unique(np.concatenate([context(g, k) for k in range(1, ORDER + 1)]))
-        local = np.zeros(self.lay.size + 1, np.uint16 if len(used) < 1 << 16 else np.int64)
+        local = np.zeros(self.lay.size + 1, np.int64)
         local[used] = np.arange(len(used))
         r, rs = self.model.r[used], self.sum.r[used]
         for k in range(1, ORDER + 1):
@@ -247,51 +246,61 @@ class Trainer:
         self.touched[b:c] += np.bincount(target, n, self.lay.size)
         self.touched[c:] += np.bincount(self.lay.of[target], n, self.lay.classes)
         order = self.rng.permutation(len(g))
-        for i in range(0, len(g), self.p.batch):
-            at = order[i : i + self.p.batch]
-            self._batch(g.take(at), n.take(at), local, r, rs)
+        with np.errstate(over="ignore"):
+            for i in range(0, len(g), self.p.batch):
+                at = order[i : i + self.p.batch]
+                self._batch(g.take(at), n.take(at), local, r, rs)
         self.model.r[used], self.sum.r[used] = r, rs
 
     def _batch(self, g: np.ndarray, n: np.ndarray, local: np.ndarray, r: np.ndarray, rs: np.ndarray) -> None:
         m, lay, k, d = self.model, self.lay, self.p.noise, self.p.dim
         target = (g & MASK).astype(np.int64)
-        cls = lay.of[target]
-        order = np.argsort(cls, kind="stable")
-        g, target, cls = g.take(order), target.take(order), cls.take(order).astype(np.int64)
+        order = np.argsort(lay.of.take(target), kind="stable")
+        g, target = g.take(order), target.take(order)
+        cls = lay.of.take(target).astype(np.int64)
         w = (n.take(order) / n.sum()).astype(np.float32)
         ctx = [local.take(context(g, j)) for j in range(1, ORDER + 1)]
-        h = np.ones((len(g), d + 1), np.float32)  # with a one for the bias
-        h[:, :d] = (r @ m.c[0]).take(ctx[0], 0)
+        v = (r @ m.c[0]).take(ctx[0], 0)
         for c, x in zip(m.c[1:], ctx[1:], strict=True):
-            h[:, :d] += (r @ c).take(x, 0)
+            v += (r @ c).take(x, 0)
+        h = np.ones((len(g), d + 1), np.float32)  # with a one for the bias
+        h[:, :d] = v
         # classes: noise shared by the batch
         drawn = np.minimum(np.searchsorted(lay.class_cum, self.rng.random(k)), lay.classes - 1)
         v = m.s[drawn]
-        zn = _sigmoid(h @ v.T - self.class_noise[drawn]) * w[:, None]
-        dh = zn @ v
+        v[:, d] -= self.class_noise[drawn]
+        zn = _sigmoid(h @ v.T)
+        zn *= w[:, None]
+        dh = zn @ m.s[drawn]
         ds = np.zeros_like(m.s)
         np.add.at(ds, drawn, zn.T @ h)
+        t = m.s.take(cls, 0)
+        zt = (_sigmoid(np.einsum("ij,ij->i", h, t) - self.class_noise.take(cls)) - 1) * w
+        t *= zt[:, None]
+        dh += t
         # tokens within their class, noise shared by the class's examples; a small class's tokens are all looked at together
         edge = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1], [True]]))
+        first, last = lay.starts[:-1, None], lay.starts[1:, None]
+        noise = np.clip(np.searchsorted(lay.word_cum, np.arange(lay.classes)[:, None] + self.rng.random((lay.classes, k))), first, last - 1)
         rows, grads = [], []
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            c, x, wx = cls[lo], h[lo:hi], w[lo:hi]
-            zt = (_sigmoid(x @ m.s[c] - self.class_noise[c]) - 1) * wx
-            ds[c] += zt @ x
-            dh[lo:hi] += np.outer(zt, m.s[c])
-            first, last = lay.starts[c], lay.starts[c + 1]
+            c, x, wx = int(cls[lo]), h[lo:hi], w[lo:hi]
+            ds[c] += zt[lo:hi] @ x
+            first, last = int(lay.starts[c]), int(lay.starts[c + 1])
             if last - first == 1:
                 continue
-            drawn = np.clip(np.searchsorted(lay.word_cum, c + self.rng.random(k)), first, last - 1)
-            t = target[lo:hi]
+            drawn, t = noise[c], target[lo:hi]
             if last - first <= 4 * k:
-                q = m.q[first:last]
-                e = x @ q.T - self.word_noise[first:last]
-                hit = e[np.arange(hi - lo), t - first]
-                z = _sigmoid(e) * np.bincount(drawn - first, minlength=last - first).astype(np.float32)
-                z[np.arange(hi - lo), t - first] += _sigmoid(hit) - 1
+                q = m.q[first:last].copy()
+                q[:, d] -= self.word_noise[first:last]
+                e = x @ q.T
+                flat = t + np.arange(-first, (hi - lo) * (last - first) - first, last - first)
+                hit = _sigmoid(e.ravel().take(flat)) - 1
+                z = _sigmoid(e)
+                z *= np.bincount(drawn - first, minlength=last - first).astype(np.float32)
+                z.ravel()[flat] += hit
                 z *= wx[:, None]
-                dh[lo:hi] += z @ q
+                dh[lo:hi] += z @ m.q[first:last]
                 self._step(m.q, self.sum.q, z.T @ x, slice(first, last))
                 continue
             v, q = m.q.take(drawn, 0), m.q.take(t, 0)
@@ -303,16 +312,17 @@ class Trainer:
             grads += [zq[:, None] * x, z.T @ x]
         # contexts: through the matrix of each place
         dr, dc = np.zeros_like(r), np.empty((ORDER, d, d), np.float32)
+        columns = np.ascontiguousarray(dh[:, :d])
         for j, x in enumerate(ctx):
-            at, s = _summed(x, dh[:, :d])
-            dc[j] = r[at].T @ s
-            dr[at] += s @ m.c[j].T
+            s = _summed(x, columns, len(r))
+            dc[j] = r.T @ s
+            dr += s @ m.c[j].T
         self._step(r, rs, dr)
         self._step(m.c, self.sum.c, dc)
         self._step(m.s, self.sum.s, ds)
         if rows:
-            at, grad = _summed(np.concatenate(rows).astype(np.uint16), np.concatenate(grads))
-            self._step(m.q, self.sum.q, grad, at)
+            at, place = np.unique(np.concatenate(rows), return_inverse=True)
+            self._step(m.q, self.sum.q, _summed(place, np.concatenate(grads), len(at)), at)
 
 
 # ---- Spark -----------------------------------------------------------------------------------

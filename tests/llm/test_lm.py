@@ -35,10 +35,8 @@ def test_classes_hold_every_token_once(counts):
 
 def test_sums_by_row():
     r = np.random.default_rng(0)
-    rows, x = r.integers(0, 30, 1000).astype(np.uint16), r.normal(size=(1000, 3))
-    at, s = L._summed(rows, x)
-    assert at.tolist() == sorted(set(rows.tolist())) and np.allclose(s, [x[rows == k].sum(0) for k in at])
-    assert L._summed(rows[:1], x[:1])[1].tolist() == x[:1].tolist()
+    rows, x = r.integers(0, 30, 1000), r.normal(size=(1000, 3))
+    assert np.allclose(L._summed(rows, x, 31), [x[rows == k].sum(0) for k in range(31)], atol=1e-5)
 
 
 @pytest.fixture(scope="module")
