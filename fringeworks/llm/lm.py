@@ -52,7 +52,7 @@ class Params:
     rounds: int = 2
     batch: int = 16384
     rate: float = 0.1
-    chunk: int = 3_000_000  # tokens that a task holds at once
+    chunk: int = 2_000_000  # tokens that a task holds at once
     seed: int = 5
     bpe: bpe.Params = field(default_factory=bpe.Params)
 
@@ -202,10 +202,11 @@ def scores(model: Model, turned: np.ndarray, lay: Layout, g: np.ndarray) -> np.n
 
 
 def _summed(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """The values' sums by row."""
+    """The values' sums by row: flat, as that is fast, and a cacheful at a time."""
     d = values.shape[1]
-    out = np.zeros(size * d, np.float32)
-    np.add.at(out, (rows[:, None] * d + np.arange(d)).ravel(), values.ravel())  # flat, as that is fast
+    out, columns = np.zeros(size * d, np.float32), np.arange(d)
+    for a in range(0, len(rows), 1024):
+        np.add.at(out, (rows[a : a + 1024, None] * d + columns).ravel(), values[a : a + 1024].ravel())
     return out.reshape(size, d)
 
 
@@ -260,11 +261,13 @@ class Trainer:
         cls = lay.of.take(target).astype(np.int64)
         w = (n.take(order) / n.sum()).astype(np.float32)
         ctx = [local.take(context(g, j)) for j in range(1, ORDER + 1)]
-        v = (r @ m.c[0]).take(ctx[0], 0)
-        for c, x in zip(m.c[1:], ctx[1:], strict=True):
-            v += (r @ c).take(x, 0)
+        turned = [r @ c for c in m.c]
         h = np.ones((len(g), d + 1), np.float32)  # with a one for the bias
-        h[:, :d] = v
+        for a in range(0, len(g), 1024):
+            v = turned[0].take(ctx[0][a : a + 1024], 0)
+            for u, x in zip(turned[1:], ctx[1:], strict=True):
+                v += u.take(x[a : a + 1024], 0)
+            h[a : a + 1024, :d] = v
         # classes: noise shared by the batch
         drawn = np.minimum(np.searchsorted(lay.class_cum, self.rng.random(k)), lay.classes - 1)
         v = m.s[drawn]
@@ -274,10 +277,13 @@ class Trainer:
         dh = zn @ m.s[drawn]
         ds = np.zeros_like(m.s)
         np.add.at(ds, drawn, zn.T @ h)
-        t = m.s.take(cls, 0)
-        zt = (_sigmoid(np.einsum("ij,ij->i", h, t) - self.class_noise.take(cls)) - 1) * w
-        t *= zt[:, None]
-        dh += t
+        zt = np.empty(len(g), np.float32)
+        for a in range(0, len(g), 1024):
+            i = slice(a, a + 1024)
+            t = m.s.take(cls[i], 0)
+            zt[i] = (_sigmoid(np.einsum("ij,ij->i", h[i], t) - self.class_noise.take(cls[i])) - 1) * w[i]
+            t *= zt[i, None]
+            dh[i] += t
         # tokens within their class, noise shared by the class's examples; a small class's tokens are all looked at together
         edge = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1], [True]]))
         first, last = lay.starts[:-1, None], lay.starts[1:, None]
@@ -312,9 +318,8 @@ class Trainer:
             grads += [zq[:, None] * x, z.T @ x]
         # contexts: through the matrix of each place
         dr, dc = np.zeros_like(r), np.empty((ORDER, d, d), np.float32)
-        columns = np.ascontiguousarray(dh[:, :d])
         for j, x in enumerate(ctx):
-            s = _summed(x, columns, len(r))
+            s = _summed(x, dh[:, :d], len(r))
             dc[j] = r.T @ s
             dr += s @ m.c[j].T
         self._step(r, rs, dr)
