@@ -7,7 +7,7 @@ pairs of all 28 pairs of segments.  (Rows are sent once for each index of a
 pair's first segment; the second's are decoded again where they meet.)  Thus, by the pigeonhole principle, every
 pair of fingerprints in which two segments differ by at most 2 bits meets, as do
 all pairs at distance 20 or less and most at up to ``hamming``.  Pairs that meet
-are compared on the whole fingerprint and on 72 one-bit minima of their word
+are compared on the whole fingerprint and on 64 one-bit minima of their word
 pairs, and then verified by the Jaccard index of their word pairs, from bottom-k
 sketches that are exact for short texts.  Groups
 are the connected components; each keeps its least ``doc_id``.
@@ -46,10 +46,8 @@ from .workspace import Workspace, documents
 SEGMENTS = 8
 BITS = SEGMENTS * golay.BITS
 SKETCH = 96
-WORDS = SEGMENTS // 2  # of two segments and a share of the minima each
-MINIMA = WORDS * (64 - 2 * golay.BITS)
-HALF = 2 * golay.BITS
-LOW = (1 << HALF) - 1
+MINIMA = 64
+WORDS = 1 + -(-BITS // 64)  # the minima, then the segments' bits
 NAMES = [f"w{i}" for i in range(WORDS)]
 _LONGS = ", ".join(f"{n} bigint" for n in NAMES)
 
@@ -64,7 +62,7 @@ class Params:
     """
 
     hamming: int = 52
-    minima: int = 48
+    minima: int = 43
     split: int | None = None
     jaccard: float = 0.5
     broadcast_rows: int = 2_000_000
@@ -122,11 +120,14 @@ def sketches(h: np.ndarray, first: np.ndarray) -> tuple[list[bytes], np.ndarray]
 
 
 def packed(fp: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
-    """Words per document: two segments and a share of the minima each."""
-    n = MINIMA // WORDS
-    w = 1 << np.arange(n)
-    f = fp.astype(np.int64)
-    return [f[:, 2 * i] | f[:, 2 * i + 1] << golay.BITS | (bits[:, i * n : (i + 1) * n] @ w) << HALF for i in range(WORDS)]
+    """Words per document: the minima, then two segments each and a share of the last two."""
+    f = fp.astype(np.uint64)
+    at = lambda x, n: x << np.uint64(n)
+    two = [f[:, 2 * i] | at(f[:, 2 * i + 1], 23) for i in range(3)]
+    rest = f[:, 6] | at(f[:, 7], 23)  # 46 bits: 18, 18 and 10
+    cut = np.uint64((1 << 18) - 1)
+    words = [two[0] | at(rest & cut, 46), two[1] | at(rest >> np.uint64(18) & cut, 46), two[2] | at(rest >> np.uint64(36), 46)]
+    return [w.view(np.int64) for w in (np.packbits(bits, axis=1).view(np.uint64)[:, 0], *words)]
 
 
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +155,12 @@ _PAIRS = list(combinations(range(SEGMENTS), 2))
 
 
 def segment(words: list[np.ndarray], s: int) -> np.ndarray:
-    return words[s // 2] >> (golay.BITS * (s % 2)) & ((1 << golay.BITS) - 1)
+    """The s-th segment of packed words (as unsigned numbers)."""
+    one = np.uint64((1 << golay.BITS) - 1)
+    if s < 6:
+        return (words[1 + s // 2] >> np.uint64(golay.BITS * (s % 2)) & one).astype(np.int64)
+    rest = sum((w >> np.uint64(46)) << np.uint64(18 * i) for i, w in enumerate(words[1:]))
+    return (rest >> np.uint64(golay.BITS * (s - 6)) & one).astype(np.int64)
 
 
 def _key_rows(split: int):
@@ -163,7 +169,8 @@ def _key_rows(split: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in (batch.slice(i, 4000) for i in range(0, batch.num_rows, 4000)):
-                ids, *words = (b.column(i).to_numpy() for i in range(1 + WORDS))
+                ids, *signed = (b.column(i).to_numpy() for i in range(1 + WORDS))
+                words = [w.view(np.uint64) for w in signed]
                 lists = [golay.indices(segment(words, s)) for s in range(SEGMENTS)]
                 keys, rows = [], []
                 for c, (i, j) in enumerate(_PAIRS):
@@ -175,16 +182,21 @@ def _key_rows(split: int):
                     keys.append(((c << golay.MESSAGE | first[row, slot]) << split | head[row, at]).astype(np.int32))
                     rows.append(row)
                 row = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids[row]), *(pa.array(w[row]) for w in words)], ["k", "id", *NAMES])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids[row]), *(pa.array(w[row]) for w in signed)], ["k", "id", *NAMES])
 
     return run
 
 
 def alike(words: list[np.ndarray], a, b, p: Params) -> np.ndarray:
-    """Fingerprints within ``hamming`` of each other that agree in ``minima`` minima."""
-    x = [w[a] ^ w[b] for w in words]
-    near = sum(np.bitwise_count(v & LOW) for v in x) <= p.hamming
-    return near & (sum(np.bitwise_count((v >> HALF) & ((1 << MINIMA // WORDS) - 1)) for v in x) <= MINIMA - p.minima)
+    """Fingerprints that agree in ``minima`` minima and are within ``hamming`` of each other (unsigned words).
+
+    Few pairs that meet by chance pass the minima, which are one word, so the others are read for few.
+    """
+    near = np.bitwise_count(words[0][a] ^ words[0][b]) <= MINIMA - p.minima
+    if near.any():
+        a, b = (np.broadcast_to(i, near.shape)[near] for i in (a, b))
+        near[near] = sum(np.bitwise_count(w[a] ^ w[b]) for w in words[1:]) <= p.hamming
+    return near
 
 
 def bucket_edges(ids: np.ndarray, words: list[np.ndarray], p: Params) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -241,7 +253,8 @@ def _edge_rows(p: Params, split: int):
 
         def flush(cols: list[np.ndarray]) -> None:
             """Whole groups of ``k``; wide ones are taken in several passes over the second index."""
-            k, ids, *words = cols
+            k, ids, *signed = cols
+            words = [w.view(np.uint64) for w in signed]
             if not len(k):
                 return
             second = np.array([j for _, j in _PAIRS])[k >> (golay.MESSAGE + split)]

@@ -76,8 +76,8 @@ def test_bucket_components_equal_brute_force():
     r = np.random.default_rng(2)
     p = S.Params(hamming=4, minima=0)
     base = r.integers(0, 1 << 46, 12)
-    lo = base[r.integers(0, 12, 150)] ^ (1 << r.integers(0, 46, 150)) ^ (1 << r.integers(0, 46, 150))
-    hi, ids = np.zeros(150, np.int64), r.permutation(150)
+    lo = (base[r.integers(0, 12, 150)] ^ (1 << r.integers(0, 46, 150)) ^ (1 << r.integers(0, 46, 150))).astype(np.uint64)
+    hi, ids = np.zeros(150, np.uint64), r.permutation(150)
     def roots(edges):
         up = list(range(150))
         def find(x):
@@ -87,7 +87,7 @@ def test_bucket_components_equal_brute_force():
         for a, b in edges:
             up[find(a)] = find(b)
         return [find(x) for x in range(150)]
-    got = roots([(int(a), int(b)) for u, v in S.bucket_edges(ids, [lo, hi, hi], p) for a, b in zip(u, v)])
+    got = roots([(int(a), int(b)) for u, v in S.bucket_edges(ids, [hi, lo, hi], p) for a, b in zip(u, v)])
     want = roots([(int(ids[a]), int(ids[b])) for a, b in itertools.combinations(range(150), 2) if bin(int(lo[a] ^ lo[b])).count("1") <= 4])
     same = lambda x: {tuple(i for i in range(150) if x[i] == r) for r in set(x)}
     assert same(got) == same(want)
@@ -99,6 +99,22 @@ def test_split_keys_give_the_same_groups(spark):
     assert sorted(map(tuple, S.grouped(docs, S.Params(split=5)).collect())) == want
 
 
+def unsigned(words):
+    return [w.view(np.uint64) for w in words]
+
+
+def test_words_hold_the_segments():
+    r = np.random.default_rng(6)
+    fp, bits = r.integers(0, 1 << 23, (500, S.SEGMENTS)).astype(np.int32), r.random((500, S.MINIMA)) < 0.5
+    words = unsigned(S.packed(fp, bits))
+    assert all((S.segment(words, s) == fp[:, s]).all() for s in range(S.SEGMENTS))
+    a, b = r.integers(0, 500, (2, 2000))
+    apart = sum(np.bitwise_count((fp[a, s] ^ fp[b, s]).astype(np.uint32)).astype(int) for s in range(S.SEGMENTS))
+    same = (bits[a] == bits[b]).sum(1)
+    for p in (S.Params(hamming=92, minima=32), S.Params(hamming=85, minima=0), S.Params(hamming=184, minima=36)):
+        assert (S.alike(words, a, b, p) == ((apart <= p.hamming) & (same >= p.minima))).all()
+
+
 def zipf_pairs(block, n=200, pairs=1500, vocabulary=20000):
     """Texts and edited copies, by a block or by scattered words replaced, and the Jaccard index of their word pairs."""
     r = np.random.default_rng(5)
@@ -123,7 +139,7 @@ def test_retrieval_by_similarity(block, least):
     f = X.folded(data)
     starts, ends, first = X.spans(f, offsets)
     h = X.hashes(f, starts, ends)
-    words = S.packed(S.fingerprints(h, first), S.sketches(h, first)[1])
+    words = unsigned(S.packed(S.fingerprints(h, first), S.sketches(h, first)[1]))
     a, b = np.arange(len(left)), len(left) + np.arange(len(left))
     shared = 0
     for s in range(S.SEGMENTS):
@@ -146,7 +162,7 @@ def test_pairs_that_meet_are_found_by_the_rows(spark):
     f = X.folded(data)
     starts, ends, first = X.spans(f, offsets)
     h = X.hashes(f, starts, ends)
-    words = S.packed(S.fingerprints(h, first), S.sketches(h, first)[1])
+    words = unsigned(S.packed(S.fingerprints(h, first), S.sketches(h, first)[1]))
     keys = [[set(i[:n]) for i, n in zip(*(x.tolist() for x in G.indices(S.segment(words, s))))] for s in range(S.SEGMENTS)]
     up = list(range(len(texts)))
     for a, b in itertools.combinations(range(len(texts)), 2):
