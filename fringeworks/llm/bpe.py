@@ -47,8 +47,8 @@ class Params:
 
     vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
     lexicon: int = 65536
-    memory: int = 1_500_000
-    slice_bytes: int = 4 << 20
+    memory: int = 500_000
+    slice_bytes: int = 2 << 20
 
 
 # ---- vocabulary ------------------------------------------------------------------------------
