@@ -51,7 +51,7 @@ class Params:
     slice_bytes: int = 2 << 20
 
 
-# ---- vocabulary ------------------------------------------------------------------------------
+# -- vocabulary
 
 
 class Vocabulary:
@@ -216,7 +216,7 @@ def vocabulary(path: str) -> Vocabulary:
         return Vocabulary({base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())})
 
 
-# ---- pieces ----------------------------------------------------------------------------------
+# -- pieces
 
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 
@@ -295,7 +295,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-# ---- lexicon ---------------------------------------------------------------------------------
+# -- lexicon
 
 
 class Lexicon:
@@ -434,7 +434,7 @@ def _fs(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
 
 
-# ---- encoder ---------------------------------------------------------------------------------
+# -- encoder
 
 
 class Encoder:
@@ -512,7 +512,7 @@ def encoder(p: Params) -> Encoder:
     return Encoder(vocabulary(p.vocabulary), None, p.memory)
 
 
-# ---- Spark -----------------------------------------------------------------------------------
+# -- Spark
 
 
 def _piece_counts(p: Params):

@@ -198,7 +198,7 @@ def scores(model: Model, turned: np.ndarray, lay: Layout, g: np.ndarray) -> np.n
     return out
 
 
-# ---- training --------------------------------------------------------------------------------
+# -- training
 
 
 def _summed(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
@@ -330,7 +330,7 @@ class Trainer:
             self._step(m.q, self.sum.q, _summed(place, np.concatenate(grads), len(at)), at)
 
 
-# ---- Spark -----------------------------------------------------------------------------------
+# -- Spark
 
 
 def _token_rows(p: Params):

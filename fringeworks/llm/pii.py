@@ -185,7 +185,7 @@ def describe(text: str, a: int, b: int, kind: int) -> list[float]:
     ]
 
 
-# ---- generated candidates -------------------------------------------------------------------
+# -- generated candidates
 
 _SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ción que der sch ung ment eau é ü".split()
 
@@ -335,7 +335,7 @@ def generated(p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(x, float), np.array(kinds), np.array(y, float)
 
 
-# ---- boosted trees ---------------------------------------------------------------------------
+# -- boosted trees
 
 
 @dataclass
