@@ -40,7 +40,7 @@ def _folder(spark: SparkSession) -> str:
     return f"{root}/{uuid.uuid4().hex[:12]}"
 
 
-# ---- observations ---------------------------------------------------------------------------------
+# -- observations
 
 
 _MAIN = """m AS (SELECT event_id, event_id // 64 AS t, user_id % 6 AS a1, event_id % 6 AS a2, value FROM events WHERE event_id < 6400),
@@ -123,7 +123,7 @@ def observation_tables(spark, sf_dir):
     return ms.times().agg(F.lit(ra).alias("ra"), F.lit(dec).alias("dec"), F.lit(ms.channels().count()).cast("bigint").alias("channels"), F.count("*").alias("times"))
 
 
-# ---- instruments and catalogues -----------------------------------------------------------------------
+# -- instruments and catalogues
 
 
 _ELEMENTS = "e AS (SELECT s_suppkey::BIGINT AS station_id, k::BIGINT AS antenna_id, s_acctbal + k AS x, s_nationkey + k * 2.0 AS y, 1.0 - k AS z FROM supplier, range(5) r(k) WHERE (s_suppkey + k) % 4 <> 0)"
@@ -213,7 +213,7 @@ def four_pi_gram(spark, sf_dir):
     return spark.createDataFrame(pd.DataFrame({"beam_i": i.ravel(), "beam_j": j.ravel(), "re": g.real.ravel()})).select("beam_i", "beam_j", _r("re", 5).alias("re"))
 
 
-# ---- eigenproblems of two beams, as roots of a quadratic -------------------------------------------------
+# -- eigenproblems of two beams, as roots of a quadratic
 
 
 _TWO = """e AS (SELECT event_id // 20 AS g, greatest(user_id % 2, event_id % 2) AS i, least(user_id % 2, event_id % 2) AS j, value FROM events),
@@ -259,7 +259,7 @@ def eigen_positive(spark, sf_dir):
     return _two(spark, sf_dir).groupBy("time_id").applyInPandas(run, "g bigint, d0 double, d1 double").select("g", _r("d0", 5).alias("d0"), _r("d1", 5).alias("d1"))
 
 
-# ---- stores ---------------------------------------------------------------------------------------------
+# -- stores
 
 
 @query("SELECT vec_id AS sample_id, 0.5 AS wl, round(list_sum(embedding[1:4]::DOUBLE[]), 6) + 0.0 AS total, 2::BIGINT AS beams FROM embeddings WHERE vec_id < 60")
@@ -310,7 +310,7 @@ def stored_selection(spark, sf_dir):
     return ST.stored_selection(spark, path).select("tag", "sample_id", _r(F.aggregate("d", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
-# ---- partitions, frames, functions -----------------------------------------------------------------------
+# -- partitions, frames, functions
 
 
 @query("""WITH b AS (SELECT min(l_quantity)::DOUBLE x0, max(l_quantity)::DOUBLE x1, min(l_extendedprice)::DOUBLE y0, max(l_extendedprice)::DOUBLE y1, min(l_discount)::DOUBLE z0, max(l_discount)::DOUBLE z1 FROM lineitem),

@@ -56,7 +56,7 @@ def _r(c: Column | str, digits: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits) + F.lit(0.0)
 
 
-# ---- eigenvalue filters and levels ----------------------------------------------------------
+# -- eigenvalue filters and levels
 
 
 def _eigs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +163,7 @@ def selection_json(spark, sf_dir):
     return back.select("tag", "sample_id", _r(F.aggregate("d", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
-# ---- visibilities from events -----------------------------------------------------------------
+# -- visibilities from events
 
 
 def _vis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +234,7 @@ def vis_drop_empty(spark, sf_dir):
 
 
 
-# ---- geometry from suppliers --------------------------------------------------------------------
+# -- geometry from suppliers
 
 
 def _antennas(spark: SparkSession, sf_dir: str, n: int = 24) -> DataFrame:
@@ -352,7 +352,7 @@ def tile_elements(spark, sf_dir):
     return OB.tile_elements(a).select("station_id", "antenna_id", *(_r(c).alias(c) for c in "xyz"))
 
 
-# ---- frames, grids, functions ---------------------------------------------------------------------
+# -- frames, grids, functions
 
 
 @query("""WITH p AS (SELECT range AS pixel_id, range // 32 AS "row", range % 32 AS col FROM range(1024)), c AS (SELECT sin(0.1) AS lim),
@@ -517,7 +517,7 @@ def zonal_interpolation(spark, sf_dir):
     return IP.interpolate(s, r, 2).select("r_id", _r("value", 4).alias("value"))
 
 
-# ---- partitions -------------------------------------------------------------------------------------
+# -- partitions
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -552,7 +552,7 @@ def permutation_round_trip(spark, sf_dir):
     return PT.reverse_permutation(there, perm).select("i", F.round("value", 6).alias("value"))
 
 
-# ---- images -----------------------------------------------------------------------------------------
+# -- images
 
 
 def _small(spark: SparkSession, sf_dir: str, samples: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -616,7 +616,7 @@ def layer_sum(spark, sf_dir):
     return IP.layer_sum(e.select("tag", F.col("pixel_id").cast("bigint").alias("pixel_id"), F.col("value").cast("double").alias("value")), ["1", "3"]).select("pixel_id", _r("value").alias("value"))
 
 
-# ---- eigenproblems ------------------------------------------------------------------------------------
+# -- eigenproblems
 
 
 def _instrument(n: int = 6) -> tuple[np.ndarray, np.ndarray]:
