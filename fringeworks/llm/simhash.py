@@ -13,8 +13,10 @@ sketches that are exact for short texts.  Groups
 are the connected components; each keeps its least ``doc_id``.
 
 Texts that are byte for byte equal are collapsed first, so their keys are made
-once.  Inside a key's bucket components are explored breadth first, which costs
-no more than one pass for a group of any size.
+once.  Inside buckets all rows are compared with their bucket's first, many buckets
+at once, and then only those unlike it with all others; a bucket with another large
+group of copies is explored breadth first, which costs no more than one pass for a
+group of any size.
 
 Defined results: rows with a null or empty text, or without ``doc_id``, are no
 copies of anything and stay.  Texts without any word are compared only for
@@ -220,6 +222,74 @@ def bucket_edges(ids: np.ndarray, words: list[np.ndarray], p: Params) -> list[tu
 
 
 SLICE_ROWS = 200_000
+_SMALL = 48  # rows of a bucket that is compared together with the others of its size
+_CELLS = 30_000  # words of a block of buckets, so that it stays in a core's cache
+
+
+def _pairs_of_size(w0: np.ndarray, begin: np.ndarray, n: int, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places within all buckets of ``n`` rows that agree in the minima."""
+    left, right = [], []
+    step = max(1, _CELLS // n)
+    for k in range(0, len(begin), step):
+        at = begin[k : k + step, None] + np.arange(n)
+        m = w0[at]
+        for d in range(1, n):
+            row, i = np.nonzero(np.bitwise_count(m[:, d:] ^ m[:, :-d]) <= MINIMA - p.minima)
+            if len(row):
+                left.append(at[row, i])
+                right.append(at[row, i + d])
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
+
+
+def edges_within(cut: np.ndarray, at: np.ndarray, ids: np.ndarray, words: list[np.ndarray], p: Params) -> np.ndarray:
+    """Edges, as pairs of rows, that connect what is alike within each of many buckets.
+
+    Bucket b has the rows ``at[cut[b]:cut[b + 1]]``, by rising id.  All are compared with their bucket's
+    first; then those unlike it with all others of the bucket, many buckets at a time.
+    """
+    size = np.diff(cut)
+    w0 = words[0][at]
+    head = np.repeat(cut[:-1], size)
+    near = np.bitwise_count(w0 ^ np.repeat(w0[cut[:-1]], size)) <= MINIMA - p.minima
+    near[cut[:-1]] = False
+    x = np.flatnonzero(near)
+    x = x[alike(words, at[head[x]], at[x], p)]
+    out = [np.stack([at[head[x]], at[x]], 1)]
+    star = np.zeros(len(at), bool)
+    star[cut[:-1]] = star[x] = True
+    left_over = size - np.add.reduceat(star, cut[:-1], dtype=np.int64) if len(at) else size
+    open_ = (left_over > 0) & (size > 2)
+    for n in np.unique(size[open_ & (size <= _SMALL)]).tolist():
+        i, j = _pairs_of_size(w0, cut[:-1][open_ & (size == n)], n, p)
+        some = ~(star[i] & star[j])
+        i, j = at[i[some]], at[j[some]]
+        near = alike(words, i, j, p)
+        out.append(np.stack([i[near], j[near]], 1))
+    for b in np.flatnonzero(open_ & (size > _SMALL)).tolist():
+        rows = at[cut[b] : cut[b + 1]]
+        rest = np.flatnonzero(~star[cut[b] : cut[b + 1]])
+        found, most = [], 8 * len(rows)
+        for k in range(0, len(rest), 256):
+            i, j = np.nonzero(np.bitwise_count(words[0][rows[rest[k : k + 256]], None] ^ words[0][rows]) <= MINIMA - p.minima)
+            i = rest[k + i]
+            other = i != j
+            i, j = rows[np.minimum(i, j)[other]], rows[np.maximum(i, j)[other]]
+            near = alike(words, i, j, p)
+            found.append(np.stack([i[near], j[near]], 1))
+            most -= len(found[-1])
+            if most < 0:  # another large group of copies: breadth first takes as many edges as rows
+                found = [np.stack([rows[u], rows[v]], 1) for u, v in bucket_edges(np.arange(len(rows)), [w[rows] for w in words], p)]
+                break
+        out += found
+    return np.concatenate(out)
+
+
+def distinct_pairs(e: np.ndarray) -> np.ndarray:
+    """The distinct rows of pairs, sorted."""
+    e = e[np.lexsort((e[:, 1], e[:, 0]))]
+    fresh = np.ones(len(e), bool)
+    fresh[1:] = (e[1:] != e[:-1]).any(1)
+    return e[fresh]
 
 
 def _edge_rows(p: Params, split: int):
@@ -229,34 +299,13 @@ def _edge_rows(p: Params, split: int):
         held: list[list[np.ndarray]] = []
         found: list[np.ndarray] = []
 
-        def compare(key: np.ndarray, ids: np.ndarray, words: list[np.ndarray]) -> None:
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            size = np.diff(cut)
-            two = cut[:-1][size == 2]
-            a, b = order[two], order[two + 1]
-            near = alike(words, a, b, p)
-            if near.any():
-                found.append(np.sort(np.stack([ids[a[near]], ids[b[near]]], 1), axis=1))
-            for n in np.unique(size[size > 2]).tolist():
-                begin = cut[:-1][size == n]
-                if n <= 48:  # most buckets are chance: look at all pairs of all buckets of a size at once
-                    i, j = np.triu_indices(n, 1)
-                    step = max(1, 500_000 // len(i))
-                    some = [begin[k : k + step][alike(words, order[begin[k : k + step, None] + i], order[begin[k : k + step, None] + j], p).any(1)] for k in range(0, len(begin), step)]
-                    begin = np.concatenate(some)
-                for c in begin:
-                    at = order[c : c + n]
-                    for u, v in bucket_edges(ids[at], [w[at] for w in words], p):
-                        found.append(np.stack([u, v], 1))
-
         def flush(cols: list[np.ndarray]) -> None:
             """Whole groups of ``k``; wide ones are taken in several passes over the second index."""
-            k, ids, *signed = cols
-            words = [w.view(np.uint64) for w in signed]
-            if not len(k):
+            if not len(cols[0]):
                 return
+            by_id = np.lexsort((cols[1], cols[0]))
+            k, ids, *signed = (c[by_id] for c in cols)
+            words = [w.view(np.uint64) for w in signed]
             second = np.array([j for _, j in _PAIRS])[k >> (golay.MESSAGE + split)]
             word = np.zeros(len(k), np.int64)
             for j in range(1, SEGMENTS):
@@ -266,16 +315,26 @@ def _edge_rows(p: Params, split: int):
             head = index >> (golay.MESSAGE - split) == (k & ((1 << split) - 1))[:, None]
             row, slot = np.nonzero((np.arange(6) < count[:, None]) & head)
             value = index[row, slot].astype(np.int64)
+            group = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
             passes = -(-len(k) // (4 * SLICE_ROWS))
             for n in range(passes):
                 m = slice(None) if passes == 1 else value % passes == n
                 r = row[m]
-                compare(k[r].astype(np.int64) << 12 | value[m], ids[r], [w[r] for w in words])
+                # sorted with the place in the lowest bits, so ids rise within a bucket
+                bits = np.uint64(len(r).bit_length())
+                key = np.sort((group[r] << golay.MESSAGE | value[m]).astype(np.uint64) << bits | np.arange(len(r), dtype=np.uint64))
+                r, key = r[(key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)], key >> bits
+                edge = np.concatenate([[True], key[1:] != key[:-1], [True]]) if len(key) else np.ones(1, bool)
+                several = ~(edge[1:] & edge[:-1])
+                r, first = r[several], edge[:-1][several]
+                e = edges_within(np.concatenate([np.flatnonzero(first), [len(r)]]), r, ids, words, p)
+                if len(e):
+                    both = np.unique(e[:, 0] * len(ids) + e[:, 1])
+                    found.append(np.sort(np.stack([ids[both // len(ids)], ids[both % len(ids)]], 1), axis=1))
 
         def distinct() -> np.ndarray:
             e = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-            e = e[e[:, 0] != e[:, 1]]
-            return np.unique(e, axis=0) if len(e) else e
+            return distinct_pairs(e[e[:, 0] != e[:, 1]])
 
         rows = 0
         for b in batches:
@@ -291,7 +350,7 @@ def _edge_rows(p: Params, split: int):
             flush([c[:end] for c in cat])
             held = [[c[end:] for c in cat]]
             rows = len(held[0][0])
-            if len(found) > 20_000:
+            if sum(map(len, found[1:])) > max(1_000_000, len(found[0])):
                 found = [distinct()]
         if held:
             flush([np.concatenate([h[i] for h in held]) for i in range(2 + WORDS)])

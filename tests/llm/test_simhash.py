@@ -93,6 +93,54 @@ def test_bucket_components_equal_brute_force():
     assert same(got) == same(want)
 
 
+def bucket_table(r, sizes, copies):
+    """Rows of buckets of two equal segments: random ones, and ``copies`` in each that differ in few bits."""
+    fp, bits, ids = [], [], r.permutation(10 * sum(sizes))[: sum(sizes)]
+    for n in sizes:
+        f, b = r.integers(0, 1 << 23, (n, S.SEGMENTS)), r.random((n, S.MINIMA)) < 0.5
+        f[:, :2] = f[0, :2]
+        some = r.permutation(n)[: min(n, copies)]
+        f[some, 2:] = f[some[:1], 2:] ^ (1 << r.integers(0, 23, (len(some), S.SEGMENTS - 2)))
+        b[some] = b[some[:1]] ^ (r.random((len(some), S.MINIMA)) < 0.1)
+        fp.append(f), bits.append(b)
+    words = S.packed(np.concatenate(fp).astype(np.int32), np.concatenate(bits))
+    index, count = G.indices(S.segment(unsigned(words), 0))
+    row, slot = np.nonzero(np.arange(6) < count[:, None])
+    k = index[row, slot].astype(np.int32)
+    order = np.argsort(k, kind="stable")
+    row, k = row[order], k[order]
+    return words, ids, pa.RecordBatch.from_arrays([pa.array(k), pa.array(ids[row]), *(pa.array(w[row]) for w in words)], ["k", "id", *S.NAMES])
+
+
+def test_buckets_are_compared_many_at_once(monkeypatch):
+    """The number of comparisons in Python doesn't follow the number of buckets or of their rows that are alike by nothing but chance."""
+    calls, alike = [], S.alike
+    monkeypatch.setattr(S, "alike", lambda *x: calls.append(1) or alike(*x))
+    r = np.random.default_rng(8)
+    _, _, rows = bucket_table(r, [*[5] * 500, *[70] * 20], 3)
+    assert sum(x.num_rows for x in S._edge_rows(S.Params(), 0)(iter([rows]))) >= 1000
+    assert len(calls) < 1000  # some for each size, and one for each bucket of more than 48 rows
+
+
+@pytest.mark.parametrize("copies", [0, 3, 40])
+def test_edges_of_buckets_connect_all_that_is_alike(copies):
+    r = np.random.default_rng(9)
+    words, ids, rows = bucket_table(r, [1, 2, 3, 7, 48, 49, 120, 300], copies)
+    w, at = unsigned(words), dict(zip(ids.tolist(), range(len(ids))))
+    got = [(at[u], at[v]) for x in S._edge_rows(S.Params(), 0)(iter([rows])) for u, v in zip(x.column(0).to_pylist(), x.column(1).to_pylist())]
+    assert all(S.alike(w, np.array([a]), np.array([b]), S.Params())[0] for a, b in got)
+    up = list(range(len(ids)))
+    for a, b in got:
+        x, y = up[a], up[b]
+        up = [x if u == y else u for u in up]
+    keys = [set(i[:n]) for i, n in zip(*(x.tolist() for x in G.indices(S.segment(w, 0))))]
+    two = [set(i[:n]) for i, n in zip(*(x.tolist() for x in G.indices(S.segment(w, 1))))]
+    a, b = np.triu_indices(len(ids), 1)
+    near = S.alike(w, a, b, S.Params())
+    pairs = [(x, y) for x, y in zip(a[near].tolist(), b[near].tolist()) if keys[x] & keys[y] and two[x] & two[y]]
+    assert all(up[x] == up[y] for x, y in pairs) and len(pairs) >= copies
+
+
 def test_split_keys_give_the_same_groups(spark):
     docs = documents(spark, BIG)
     want = sorted(map(tuple, S.grouped(docs).collect()))
