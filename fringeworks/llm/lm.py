@@ -129,14 +129,18 @@ class Model:
         return np.stack([self.r @ c for c in self.c])
 
 
-def log_probability(e: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of each row, the log-probability of column ``at`` under the row's softmax; ``e`` is overwritten."""
+def log_probability(e: np.ndarray, at: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+    """Of each of ``rows`` (all), the log-probability of column ``at`` under the row's softmax; ``e`` is overwritten."""
     n, k = e.shape
-    top = e.max(1)
-    out = e.ravel().take(at + np.arange(0, n * k, k)) - top
-    e -= top[:, None]
+    hit = e.ravel().take(at + (np.arange(0, n * k, k) if rows is None else rows * k))
+    if n and (e.max() > _SAFE or e.min() < -_SAFE):  # exp would leave the range of floats
+        top = e.max(1)
+        e -= top[:, None]
+    else:
+        top = 0
     np.exp(e, out=e)
-    return out - np.log(e.sum(1))
+    norm = top + np.log(e @ np.ones(k, np.float32))
+    return hit - (norm if rows is None else norm.take(rows))
 
 
 def grams(ranks: np.ndarray, at: np.ndarray, start: int) -> np.ndarray:
@@ -159,42 +163,46 @@ def context(g: np.ndarray, k: int) -> np.ndarray:
 
 
 _CELLS = 150_000  # of a block of products, so that it stays in a core's cache
+_BLOCK = 65_536  # 4-grams whose contexts' vectors are made together
+_SAFE = 60.0  # logits whose exponentials, and sums of 65,535 of them, are normal floats
 
 
 def scores(model: Model, turned: np.ndarray, lay: Layout, g: np.ndarray) -> np.ndarray:
     """Log-probabilities of distinct sorted 4-grams, normalised over classes and within them."""
+    parts = [np.ascontiguousarray(model.q[a:b].T) if b - a > 1 else None for a, b in zip(lay.starts[:-1].tolist(), lay.starts[1:].tolist(), strict=True)]
+    out = [_block_scores(model, turned, lay, parts, g[a : a + _BLOCK]) for a in range(0, len(g), _BLOCK)]
+    return np.concatenate(out) if out else np.zeros(0, np.float32)
+
+
+def _block_scores(model: Model, turned: np.ndarray, lay: Layout, parts: list[np.ndarray | None], g: np.ndarray) -> np.ndarray:
     d = model.dim
     target = (g & MASK).astype(np.int64)
     ctx = g >> np.uint64(WIDTH)
-    first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(g) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
     owner = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(g)]])))
-    cls = lay.of.take(target).astype(np.int64)
+    cls = lay.of.take(target)
     h = np.ones((len(first), d + 1), np.float32)  # with a one for the bias
     some = g.take(first)
-    for a in range(0, len(first), 8192):
-        h[a : a + 8192, :d] = sum(x.take(context(some[a : a + 8192], k), 0) for k, x in enumerate(turned, 1))
+    for a in range(0, len(first), 4096):
+        v = turned[0].take(context(some[a : a + 4096], 1), 0)
+        for k in range(2, ORDER + 1):
+            v += turned[k - 1].take(context(some[a : a + 4096], k), 0)
+        h[a : a + 4096, :d] = v
     out = np.empty(len(g), np.float32)
     step = max(1, _CELLS // lay.classes)
     for a in range(0, len(g), step):
         # grams of a context follow each other: its products are made once a block
         lo, hi = owner[a], owner[min(a + step, len(g)) - 1] + 1
-        e = h[lo:hi] @ model.s.T
-        top = e.max(1)
-        row = owner[a : a + step] - lo
-        hit = e.ravel().take(row * lay.classes + cls[a : a + step])
-        e -= top[:, None]
-        np.exp(e, out=e)
-        out[a : a + step] = hit - (top + np.log(e.sum(1))).take(row)
-    order = np.argsort(lay.of.take(target), kind="stable")
-    edge = np.searchsorted(cls.take(order), np.arange(lay.classes + 1))
-    for c in range(lay.classes):
-        lo, hi = lay.starts[c], lay.starts[c + 1]
-        if hi - lo == 1:
+        out[a : a + step] = log_probability(h[lo:hi] @ model.s.T, cls[a : a + step].astype(np.int64), owner[a : a + step] - lo)
+    order = np.argsort(cls, kind="stable")
+    edge = np.searchsorted(cls.take(order), np.arange(lay.classes + 1)).tolist()
+    for c, q in enumerate(parts):
+        if q is None:
             continue
-        step, q = max(1, _CELLS // int(hi - lo)), np.ascontiguousarray(model.q[lo:hi].T)
+        step = max(1, _CELLS // q.shape[1])
         for a in range(edge[c], edge[c + 1], step):
             rows = order[a : min(a + step, edge[c + 1])]
-            out[rows] += log_probability(h.take(owner.take(rows), 0) @ q, target.take(rows) - lo)
+            out[rows] += log_probability(h.take(owner.take(rows), 0) @ q, target.take(rows) - lay.starts[c])
     return out
 
 
@@ -202,12 +210,17 @@ def scores(model: Model, turned: np.ndarray, lay: Layout, g: np.ndarray) -> np.n
 
 
 def _summed(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """The values' sums by row: flat, as that is fast, and a cacheful at a time."""
+    """The values' sums by row: flat, as that is fast, two columns at a time (as parts of complex numbers), and a cacheful at a time."""
     d = values.shape[1]
-    out, columns = np.zeros(size * d, np.float32), np.arange(d)
+    if d % 2 or values.dtype != np.float32:
+        wide = np.zeros((len(values), d + d % 2), np.float32)
+        wide[:, :d] = values
+        return _summed(rows, wide, size)[:, :d]
+    pairs = np.ascontiguousarray(values).view(np.complex64)
+    out, columns = np.zeros(size * (d // 2), np.complex64), np.arange(d // 2)
     for a in range(0, len(rows), 1024):
-        np.add.at(out, (rows[a : a + 1024, None] * d + columns).ravel(), values[a : a + 1024].ravel())
-    return out.reshape(size, d)
+        np.add.at(out, (rows[a : a + 1024, None] * (d // 2) + columns).ravel(), pairs[a : a + 1024].ravel())
+    return out.view(np.float32).reshape(size, d)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -235,17 +248,18 @@ class Trainer:
     def chunk(self, g: np.ndarray) -> None:
         """Visit the distinct 4-grams of a chunk once, in a random order, by their counts."""
         g, n = np.unique(g, return_counts=True)
-        used = np.unique(np.concatenate([context(g, k) for k in range(1, ORDER + 1)]))
+        times = sum(np.bincount(context(g, k), n, self.lay.size + 1) for k in range(1, ORDER + 1))
+        self.touched[: self.lay.size + 1] += times
+        used = np.flatnonzero(times)
         local = np.zeros(self.lay.size + 1, np.int64)
         local[used] = np.arange(len(used))
         r, rs = self.model.r[used], self.sum.r[used]
-        for k in range(1, ORDER + 1):
-            self.touched[: self.lay.size + 1] += np.bincount(context(g, k), n, self.lay.size + 1)
         _, a, b, c = self.model.at
         self.touched[a:b] += n.sum()
         target = (g & MASK).astype(np.int64)
-        self.touched[b:c] += np.bincount(target, n, self.lay.size)
-        self.touched[c:] += np.bincount(self.lay.of[target], n, self.lay.classes)
+        times = np.bincount(target, n, self.lay.size)
+        self.touched[b:c] += times
+        self.touched[c:] += np.add.reduceat(times, self.lay.starts[:-1])
         order = self.rng.permutation(len(g))
         with np.errstate(over="ignore"):
             for i in range(0, len(g), self.p.batch):
@@ -263,27 +277,29 @@ class Trainer:
         ctx = [local.take(context(g, j)) for j in range(1, ORDER + 1)]
         turned = [r @ c for c in m.c]
         h = np.ones((len(g), d + 1), np.float32)  # with a one for the bias
-        for a in range(0, len(g), 1024):
-            v = turned[0].take(ctx[0][a : a + 1024], 0)
-            for u, x in zip(turned[1:], ctx[1:], strict=True):
-                v += u.take(x[a : a + 1024], 0)
-            h[a : a + 1024, :d] = v
+        dh, zt = np.empty((len(g), d), np.float32), np.empty(len(g), np.float32)
         # classes: noise shared by the batch
         drawn = np.minimum(np.searchsorted(lay.class_cum, self.rng.random(k)), lay.classes - 1)
-        v = m.s[drawn]
-        v[:, d] -= self.class_noise[drawn]
-        zn = _sigmoid(h @ v.T)
-        zn *= w[:, None]
-        dh = zn @ m.s[drawn]
-        ds = np.zeros_like(m.s)
-        np.add.at(ds, drawn, zn.T @ h)
-        zt = np.empty(len(g), np.float32)
-        for a in range(0, len(g), 1024):
+        noise = m.s[drawn]
+        turn = np.ascontiguousarray(noise[:, :d])
+        noise[:, d] -= self.class_noise[drawn]
+        noise = np.ascontiguousarray(noise.T)
+        dn, ds = np.zeros((k, d + 1), np.float32), np.zeros_like(m.s)
+        for a in range(0, len(g), 1024):  # a cacheful at a time
             i = slice(a, a + 1024)
+            v = turned[0].take(ctx[0][i], 0)
+            for u, x in zip(turned[1:], ctx[1:], strict=True):
+                v += u.take(x[i], 0)
+            h[i, :d] = v
+            zn = _sigmoid(h[i] @ noise)
+            zn *= w[i, None]
+            dn += zn.T @ h[i]
             t = m.s.take(cls[i], 0)
             zt[i] = (_sigmoid(np.einsum("ij,ij->i", h[i], t) - self.class_noise.take(cls[i])) - 1) * w[i]
             t *= zt[i, None]
-            dh[i] += t
+            np.matmul(zn, turn, out=dh[i])
+            dh[i] += t[:, :d]
+        np.add.at(ds, drawn, dn)
         # tokens within their class, noise shared by the class's examples; a small class's tokens are all looked at together
         edge = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1], [True]]))
         first, last = lay.starts[:-1, None], lay.starts[1:, None]
@@ -301,25 +317,25 @@ class Trainer:
                 q[:, d] -= self.word_noise[first:last]
                 e = x @ q.T
                 flat = t + np.arange(-first, (hi - lo) * (last - first) - first, last - first)
-                hit = _sigmoid(e.ravel().take(flat)) - 1
                 z = _sigmoid(e)
+                hit = z.ravel().take(flat) - 1
                 z *= np.bincount(drawn - first, minlength=last - first).astype(np.float32)
                 z.ravel()[flat] += hit
                 z *= wx[:, None]
-                dh[lo:hi] += z @ m.q[first:last]
+                dh[lo:hi] += z @ m.q[first:last, :d]
                 self._step(m.q, self.sum.q, z.T @ x, slice(first, last))
                 continue
             v, q = m.q.take(drawn, 0), m.q.take(t, 0)
             z = _sigmoid(x @ v.T - self.word_noise[drawn]) * wx[:, None]
             zq = (_sigmoid(np.einsum("ij,ij->i", x, q) - self.word_noise[t]) - 1) * wx
-            dh[lo:hi] += z @ v
-            dh[lo:hi] += zq[:, None] * q
+            dh[lo:hi] += z @ v[:, :d]
+            dh[lo:hi] += zq[:, None] * q[:, :d]
             rows += [t, drawn]
             grads += [zq[:, None] * x, z.T @ x]
         # contexts: through the matrix of each place
         dr, dc = np.zeros_like(r), np.empty((ORDER, d, d), np.float32)
         for j, x in enumerate(ctx):
-            s = _summed(x, dh[:, :d], len(r))
+            s = _summed(x, dh, len(r))
             dc[j] = r.T @ s
             dr += s @ m.c[j].T
         self._step(r, rs, dr)

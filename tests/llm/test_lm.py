@@ -39,6 +39,27 @@ def test_sums_by_row():
     assert np.allclose(L._summed(rows, x, 31), [x[rows == k].sum(0) for k in range(31)], atol=1e-5)
 
 
+@pytest.mark.parametrize("scale", [0.0, 3.0, 59.0, 500.0])
+def test_log_probabilities_of_rows_that_repeat(scale):
+    r = np.random.default_rng(2)
+    e = np.clip(r.normal(size=(50, 300)), -1, 1) * scale
+    rows, at = np.sort(r.integers(0, 50, 400)), r.integers(0, 300, 400)
+    want = e[rows, at] - np.logaddexp.reduce(e, axis=1)[rows]
+    assert np.allclose(L.log_probability(e.astype(np.float32), at, rows), want, atol=2e-4)
+    at = at[:50]
+    assert np.allclose(L.log_probability(e.astype(np.float32), at), e[np.arange(50), at] - np.logaddexp.reduce(e, axis=1), atol=2e-4)
+
+
+def test_scores_are_the_same_in_blocks_of_any_size(monkeypatch):
+    lay = L.Layout(np.arange(500) ** 2.0)
+    m = L.Model.start(L.Params(dim=4), lay)
+    x = np.random.default_rng(3).integers(0, 500, 3000).astype(np.uint16)
+    g = np.unique(L.grams(x, np.array([0, 3000]), 500))
+    want = L.scores(m, m.turned(), lay, g)
+    monkeypatch.setattr(L, "_BLOCK", 700)
+    assert np.allclose(L.scores(m, m.turned(), lay, g), want, atol=1e-5) and len(L.scores(m, m.turned(), lay, g[:0])) == 0
+
+
 @pytest.fixture(scope="module")
 def model(spark):
     return L.fit(Workspace(spark, "t"), documents(spark, SF, "doc_id", "text"), L.Params())
