@@ -10,13 +10,16 @@ holds whenever the codes differ by at most ``3 * tables - 1`` bits.  Pairs withi
 ``hamming`` bits are ranked again with the original vectors.
 
 A pair is made at one of the places where it meets (the first table, the least
-key), so nothing has to be made distinct and no partner is cut off.
+key), so nothing has to be made distinct and no partner is cut off.  The query returns
+a row for each id: its class (the connected component of the pairs, by its least id)
+and its number of links, so its rows follow the input's however large the classes are.
 
 Defined results: rows with a null id, or a vector that is null, of another than the
 commonest dimension, zero, or with null or infinite entries, have no partners.
 Of repeated rows of an id the likest counts; an id is no partner of itself.  Fewer than two
 vectors give no pairs, as does an empty table.  Vectors of equal codes or cosines are
-all paired, so ties need no order.  Other columns, whatever their names, aren't looked at;
+all paired, so ties need no order.  An id without partners is its own class and has no
+links; rows without id are in none.  Other columns, whatever their names, aren't looked at;
 ``vec_id`` must be castable to bigint.
 """
 
@@ -30,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .components import components
 from .workspace import Workspace
 
 
@@ -215,30 +219,73 @@ def _reranked(dim: int, least: float):
     return run
 
 
+def _commonest(vec: DataFrame) -> int | None:
+    """The commonest dimension of column ``v``."""
+    size = vec.where("v is not null").groupBy(F.size("v").alias("n")).count().where("n > 0").orderBy(F.desc("count"), F.desc("n")).first()
+    return None if size is None else size.n
+
+
 def pairs(table: DataFrame, p: Params = Params()) -> DataFrame:
     """``vec_a, vec_b, cosine`` with vec_a < vec_b for all retrieved pairs at or above the threshold."""
     spark = table.sparkSession
     schema = "a bigint, b bigint, cosine double"
     vec = table.select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<float>").alias("v")).where("id is not null and v is not null")
-    sizes = vec.groupBy(F.size("v").alias("n")).count().where("n > 0").orderBy(F.desc("count"), F.desc("n")).first()
-    q = learn(vec.select("v"), sizes.n, p) if sizes is not None else None
+    dim = _commonest(vec)
+    q = learn(vec.select("v"), dim, p) if dim is not None else None
     if q is None:
         return spark.createDataFrame([], schema).select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"), "cosine")
-    dim = sizes.n
     ws = Workspace(spark, "embeddings")
     keys = vec.mapInArrow(_key_rows(q, dim, p), "k bigint, id bigint, code bigint")
     near = keys.repartition("k").sortWithinPartitions("k").mapInArrow(_pair_rows(q.axes.shape[1], p), "a bigint, b bigint")
     near = ws.write(near, "pairs")
-    valid = vec.where(F.size("v") == dim).where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
+    valid = _valid(vec, dim)
     va, vb = valid.select(F.col("id").alias("a"), F.col("v").alias("va")), valid.select(F.col("id").alias("b"), F.col("v").alias("vb"))
     ranked = near.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").mapInArrow(_reranked(dim, p.cosine), schema)
     return ranked.groupBy(F.col("a").alias("vec_a"), F.col("b").alias("vec_b")).agg(F.max("cosine").alias("cosine"))
 
 
+def _valid(vec: DataFrame, dim: int) -> DataFrame:
+    return vec.where(F.size("v") == dim).where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
+
+
+def classes(table: DataFrame, p: Params = Params()) -> DataFrame:
+    """``vec_id, class_id, links`` for each vec_id: the least id that links lead to, and the number of ids linked directly.
+
+    Ids of one and the same vector are searched as one, the least of them, which counts as many.
+    """
+    spark = table.sparkSession
+    ws = Workspace(spark, "embeddings")
+    vec = table.select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<float>").alias("v")).where("id is not null")
+    ids = vec.select("id").distinct()
+    sizes = _commonest(vec)
+    if sizes is None:
+        return ids.select(F.col("id").alias("vec_id"), F.col("id").alias("class_id"), F.lit(0).cast("bigint").alias("links"))
+    valid = _valid(vec, sizes).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")})
+    each = valid.groupBy("id").agg(F.min("h1").alias("h1"), F.min("h2").alias("h2"), ((F.min("h1") < F.max("h1")) | (F.min("h2") < F.max("h2"))).alias("several"))
+    each = ws.write(each, "ids")
+    same = each.where("not several").groupBy("h1", "h2").agg(F.min("id").alias("owner"), F.count("*").alias("n"))
+    member = each.where("not several").join(same, ["h1", "h2"]).select("id", "owner", "n")
+    # an id of several vectors is searched by each of them
+    member = ws.write(member.unionByName(each.where("several").select("id", F.col("id").alias("owner"), F.lit(1).cast("bigint").alias("n"))), "members")
+    owners = member.where("id = owner").select("id", "n")
+    searched = valid.join(owners.select("id"), "id", "left_semi").dropDuplicates(["id", "h1", "h2"])
+    found = ws.write(pairs(searched.select(F.col("id").alias("vec_id"), F.col("v").alias("embedding")), p).select(F.col("vec_a").alias("u"), F.col("vec_b").alias("v")), "links")
+    both = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    links = both.join(owners.select(F.col("id").alias("v"), "n"), "v").groupBy(F.col("u").alias("owner")).agg(F.sum("n").alias("others"))
+    top = components(ws, found).select(F.col("u").alias("owner"), F.col("v").alias("top"))
+    known = member.join(links, "owner", "left").join(top, "owner", "left").select("id", F.coalesce("top", "owner").alias("c"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("k"))
+    return ids.join(known, "id", "left").select(F.col("id").alias("vec_id"), F.coalesce("c", "id").alias("class_id"), F.coalesce("k", F.lit(0)).cast("bigint").alias("links"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs, with the cosine to five places."""
-    return pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")).withColumn("cosine", F.round("cosine", 5))
+    """Every vector's class and number of links."""
+    return classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
 
 
-ORACLE = f"""SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine
+PAIRS = f"""SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine
 FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {Params().cosine}"""
+ORACLE = f"""WITH RECURSIVE p AS ({PAIRS}),
+l AS (SELECT vec_a AS a, vec_b AS b FROM p UNION SELECT vec_b, vec_a FROM p),
+r AS (SELECT vec_id AS v, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON r.v = l.a),
+n AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+SELECT v AS vec_id, min(c) AS class_id, coalesce(any_value(links), 0) AS links FROM r LEFT JOIN n ON n.a = r.v GROUP BY v"""
