@@ -15,10 +15,12 @@ round
 * updates the gaps; pieces without a gap open new sequences, largest first, as
   many as their lengths sum up to,
 
-until no piece waits.  Only class counts (at most two per size, so bounded by
-the capacity) pass through one task; ranks and matches are partitioned by class
-and by depth.  Packing itself moves only numbers; the token ids are moved twice,
-to meet their places and to be put together.
+until no piece waits.  Pieces of a size are a run of ids, and gaps that were filled
+alike are runs of sequences, so the rounds run on counts per size in the driver
+(``arranged``): what they hold is bounded by the capacity, and one job counts sizes
+and one looks places up, whatever the number of rounds.  ``slots`` and ``sweep`` are
+the same steps on tables with a row per gap and piece.  Packing moves only numbers;
+the token ids are moved twice, to meet their places and to be put together.
 
 Defined results: null and empty texts have no tokens and aren't packed (no
 output).  Rows are documents in their own right, so repeated rows are packed once
@@ -39,7 +41,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe
@@ -150,74 +152,145 @@ def sweep(events: DataFrame, turn: int = 0) -> DataFrame:
     return seen.select(F.explode(rows).alias("e")).select("e.*").where("size > 0")
 
 
-def opening(events: DataFrame, want: int, c: int) -> DataFrame:
-    """``events`` with new sequences for all pieces over half the capacity, and for the ``want`` largest (by size, then id).
+# -- rounds on counts
 
-    A piece that opens one is placed (kind 2) in the sequence of its own id, whose rest is a gap.
-    """
-    first = (F.col("kind") == 1) & ((F.col("size") > c // 2) | (F.col("above") + F.col("r") <= want))
-    e = lambda kind, size: F.struct(F.lit(kind).alias("kind"), "id", size.cast("int").alias("size"), F.lit(0).alias("slot"))
-    same = F.struct("kind", "id", "size", "slot")
-    rows = F.when(first, F.array(e(2, F.col("size")), e(0, c - F.col("size")))).otherwise(F.array(same))
-    return _placed(events).select(F.explode(rows).alias("e")).select("e.*").where("size > 0")
-
-
-@dataclass(frozen=True)
-class _Sums:
-    """Pieces waiting, their length, the least and the largest of them, and the gaps' room."""
-
-    count: int
-    length: int
-    least: int
-    most: int
-    room: int
 
+class Places:
+    """Where pieces go: runs of consecutive ids that start at ``first``.
 
-def _state(ws: Workspace, df: DataFrame, name: str) -> tuple[DataFrame, _Sums]:
-    """Write a round's table; its sums come from the same job."""
-    seen = Observation()
-    piece, zero = F.col("kind") == 1, F.lit(0)
-    of = lambda f, c: F.coalesce(f(F.when(c, F.col("size"))), zero)
-    df = df.observe(seen, F.coalesce(F.sum(piece.cast("int")), zero).alias("count"), of(F.sum, piece).alias("length"), of(F.min, piece).alias("least"), of(F.max, piece).alias("most"), of(F.sum, F.col("kind") == 0).alias("room"))
-    table = ws.write(df, name)
-    return table, _Sums(**{k: int(v) for k, v in seen.get.items()})
+    A run's pieces go ``width`` to a sequence, to those from ``bin`` on upwards (step 1) or downwards (-1); the last of a
+    sequence's comes at ``off``, those before it by ``size`` further on each.
+    """
 
+    NAMES = ("first", "bin", "step", "width", "off", "size")
+
+    def __init__(self, runs: list[tuple[int, ...]]):
+        t = np.array(sorted(runs), np.int64).reshape(len(runs), len(self.NAMES)).T
+        self.first, self.bin, self.step, self.width, self.off, self.size = (np.ascontiguousarray(x) for x in t)
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each piece's sequence and place in it."""
+        run = np.searchsorted(self.first, ids, side="right") - 1
+        at, k = np.divmod(ids - self.first[run], self.width[run])
+        return self.bin[run] + self.step[run] * at, self.off[run] + (self.width[run] - 1 - k) * self.size[run]
+
+
+def _filled(gap: tuple[int, int, int], c: int, slots_: list[tuple[int, ...]], last: list[tuple[int, ...]], width: int, runs: list[tuple[int, ...]]) -> Iterator[tuple[int, int, int]]:
+    """What is left of the sequences of a gap, as gaps; ``slots_`` (``width`` to a sequence) and ``last`` (one) are what took
+    them: first and end of the slots, the piece that has the last of these, and the pieces' size."""
+    lo, n, space = gap
+    edge = {0, n, *(e for x, y, _, _ in last for e in (x, y))}
+    for x, y, _, _ in slots_:
+        edge |= {x // width, -(-x // width), y // width, -(-y // width)}
+    slots_, last, cut = sorted(slots_), sorted(last), sorted(edge)
+    i = j = 0
+    for u, v in zip(cut[:-1], cut[1:], strict=True):  # sequences that are filled alike, or one
+        used = 0
+        for kind, k, m in ((slots_, i, width), (last, j, 1)):
+            while k < len(kind) and kind[k][1] <= u * m:
+                k += 1
+            i, j = (k, j) if kind is slots_ else (i, k)
+            while k < len(kind) and kind[k][0] < v * m:
+                x, y, piece, size = kind[k]
+                begin, end = max(x, u * m), min(y, v * m)
+                each = (end - begin) // (v - u)
+                runs.append((piece + y - end, lo + v - 1, -1, each, c - space + used, size))
+                used += each * size
+                k += 1
+        if used < space:
+            yield lo + u, v - u, space - used
+
+
+def arranged(classes: list[tuple[int, int, int]], c: int) -> Places:
+    """All rounds, on runs of pieces and of gaps: ``classes`` has the size, first id and number of pieces of each size.
+
+    Pieces of a size that wait are a run of ids, and sequences of consecutive ids with as much room are a gap (first,
+    number, space), as what is filled alike stays together.  A round adds a few gaps for each size that waits, so their
+    number is bounded by the capacity, whatever the number of pieces.
+    """
+    runs = [(first, first, 1, 1, 0, c) for size, first, n in classes if size == c and n]
+    waiting = sorted(((s, first, n) for s, first, n in classes if s < c and n), reverse=True)
+    gaps: list[tuple[int, int, int]] = []
+    before = 0
+    while waiting:
+        count, length = sum(n for _, _, n in waiting), sum(s * n for s, _, n in waiting)
+        least, most, room = waiting[-1][0], waiting[0][0], sum(n * space for _, n, space in gaps)
+        # as many sequences as the room lacks; one at least if the gaps took nothing
+        want = max(-(-(length - room) // c), int(count == before or room < least))
+        before = count
+        gaps = [g for g in gaps if g[2] >= least]
+        entries = []  # size, first sequence, slots to a sequence, gap, whether each sequence's last slot
+        for g, (lo, n, space) in enumerate(gaps):
+            k = max(space // most, 1)
+            rest = space - (k - 1) * most
+            if k == 1 or rest == most:
+                entries.append((min(space, rest), lo, k, g, False))
+            else:
+                entries += [(most, lo, k - 1, g, False), (rest, lo, 1, g, True)]
+        if want > 0:
+            left, above = [], 0
+            for s, first, n in waiting:
+                k = n if s > c // 2 else min(max(want - above, 0), n)
+                above += n
+                if k:
+                    runs.append((first, first, 1, 1, 0, s))
+                    entries.append((c - s, first, 1, len(gaps), False))
+                    gaps.append((first, k, c - s))
+                if k < n:
+                    left.append((s, first + k, n - k))
+            waiting = left
+        entries.sort(key=lambda e: (-e[0], e[1]))
+        took: dict[tuple[int, bool], list[tuple[int, ...]]] = {}
+        stack: list[list] = []  # gap, last, slots left
+        left, e = [], 0
+        for s, first, n in waiting:
+            while e < len(entries) and entries[e][0] >= s:
+                _, _, width, g, end = entries[e]
+                stack.append([g, end, width * gaps[g][1]])
+                e += 1
+            while n and stack:
+                g, end, free = top = stack[-1]
+                k = min(n, free)
+                took.setdefault((g, end), []).append((free - k, free, first, s))
+                first, n, top[2] = first + k, n - k, free - k
+                if k == free:
+                    stack.pop()
+            if n:
+                left.append((s, first, n))
+        waiting = left
+        width = {g: w for _, _, w, g, end in entries if not end}
+        new = []
+        for g, gap in enumerate(gaps):
+            a, b = took.get((g, False), []), took.get((g, True), [])
+            new += _filled(gap, c, a, b, width[g], runs) if a or b else [gap]
+        gaps = []
+        for lo, n, space in sorted(new):
+            if gaps and gaps[-1][2] == space and gaps[-1][0] + gaps[-1][1] == lo:
+                gaps[-1] = (gaps[-1][0], gaps[-1][1] + n, space)
+            else:
+                gaps.append((lo, n, space))
+    return Places(runs)
+
+
+def _placed_rows(places):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bins, off = places.value.of(b.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bins), pa.array(off.astype(np.int32))], ["key", "bin", "off"])
 
-def _events(state: DataFrame, s: _Sums) -> DataFrame:
-    """Waiting pieces, and open gaps large enough for any of them, as slots."""
-    gaps = state.where("kind = 0").groupBy(F.col("id").alias("bin")).agg(F.sum("size").cast("int").alias("space")).where(F.col("space") >= s.least)
-    pieces_ = state.where("kind = 1").select("size", "kind", "id", F.lit(0).alias("slot"))
-    return pieces_.unionByName(slots(gaps, s.most))
+    return run
 
 
-def assigned(ws: Workspace, items: DataFrame, p: Params) -> DataFrame:
-    """``id, bin, off`` for ``id, length`` (id unique, 0 < length < capacity); one job a round."""
-    c = p.capacity
-    none = F.lit(None).cast("bigint")
-    state, s = _state(ws, items.select(F.lit(1).alias("kind"), "id", F.col("length").cast("int").alias("size"), none.alias("bin"), none.alias("seq")), "start")
-    done = []
-    turn = before = 0
-    while s.count:
-        turn += 1
-        events = _events(state, s)
-        # as many sequences as the room lacks; one at least if the gaps took nothing
-        want = max(-(-(s.length - s.room) // c), int(s.count == before or s.room < s.least))
-        before = s.count
-        state, s = _state(ws, sweep(opening(events, want, c) if want > 0 else events, turn), "round")
-        done.append(state)
-    # pieces follow each other in their sequence in the order they came
-    out = items.select("id", F.col("id").alias("bin"), none.alias("seq"), F.col("length").cast("int").alias("size")).limit(0)
-    for d in done:
-        out = out.unionByName(d.where("kind = 2").select("id", "bin", "seq", "size"))
-    order = Window.partitionBy("bin").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    return out.select("id", "bin", F.coalesce(F.sum("size").over(order), F.lit(0)).alias("off"))
+def assigned(ws: Workspace, items: DataFrame, p: Params, key: str = "id") -> DataFrame:
+    """``key, bin, off`` for items with ``id, length`` (0 < length <= capacity; ids number the items by falling length)."""
+    found = items.groupBy("length").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).collect()  # a row per size
+    if any(r.last - r.first + 1 != r.n for r in found):
+        raise ValueError("ids must number the items by falling length")
+    places = ws.spark.sparkContext.broadcast(arranged([(r.length, r.first, r.n) for r in found], p.capacity))
+    return items.select(F.col(key).alias("key"), "id").mapInArrow(_placed_rows(places), "key bigint, bin bigint, off int").withColumnRenamed("key", key)
 
 
-def placed(ws: Workspace, table: DataFrame, p: Params) -> DataFrame:
-    """``id, bin, off`` of every numbered piece."""
-    full = table.where(F.col("length") == p.capacity).select("id", F.col("id").alias("bin"), F.lit(0).cast("bigint").alias("off"))
-    part = assigned(ws, table.where(F.col("length") < p.capacity).select("id", "length"), p)
-    return full.unionByName(part.select("id", "bin", F.col("off").cast("bigint").alias("off")))
+# -- sequences
 
 
 SEQUENCES = "bin_id bigint, n_tokens int, doc_ids array<bigint>, pieces array<int>, starts array<int>, offsets array<int>, tokens array<int>"
@@ -268,7 +341,7 @@ def packed(docs: DataFrame, p: Params = Params()) -> DataFrame:
     ws = Workspace(docs.sparkSession, "packing")
     every = pieces(ws, docs, p)
     table = numbered(ws, every.select("row", "doc_id", "h", "piece", "length"))
-    at = table.join(placed(ws, table, p), "id").select("row", "bin", F.col("off").cast("int").alias("off"))
+    at = assigned(ws, table, p, "row")
     met = every.select("row", "doc_id", "piece", "start", "length", "part").join(at, "row").select("bin", "off", "doc_id", "piece", "start", "length", "part")
     return met.repartition("bin").sortWithinPartitions("bin", "off").mapInArrow(_sequence_rows(bpe.kind(p.bpe)), SEQUENCES)
 

@@ -144,3 +144,39 @@ def test_slots_share_out_a_gap(spark):
     for r in K.slots(gaps, 10).collect():
         got.setdefault(r.id, []).append((r.slot, r.size))
     assert sorted(got[1]) == [(k, 10) for k in range(10)] and got[2] == [(0, 7)] and sorted(got[3]) == [(0, 10), (1, 10)]
+
+
+def test_jobs_do_not_follow_the_rounds(spark):
+    r = np.random.default_rng(5)
+    sizes = sorted(np.minimum(r.geometric(0.02, 400), 199).tolist(), reverse=True)
+    items = spark.createDataFrame(list(enumerate(sizes)), "id long, length int")
+    spark.sparkContext.setJobGroup("packing-rounds", "")
+    try:
+        got = K.assigned(Workspace(spark, "t"), items, K.Params(capacity=200)).collect()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert {x.id: (x.bin, x.off) for x in got} == rounds(dict(enumerate(sizes)), 200)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("packing-rounds")) <= 3
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_places_are_whole_for_any_sizes(seed):
+    r = np.random.default_rng(seed)
+    c = int(r.integers(3, 60))
+    sizes = np.sort(np.maximum(np.minimum(r.geometric(r.uniform(0.03, 0.6), 300) if seed % 2 else r.integers(1, c + 1, 300), c), 1))[::-1]
+    each, first, n = np.unique(-sizes, return_index=True, return_counts=True)
+    bins, off = K.arranged(list(zip((-each).tolist(), first.tolist(), n.tolist(), strict=True)), c).of(np.arange(len(sizes)))
+    filled = {}
+    for b, at, size in sorted(zip(bins.tolist(), off.tolist(), sizes.tolist(), strict=True)):
+        assert at == filled.get(b, 0)  # pieces follow each other
+        filled[b] = at + size
+    assert max(filled.values()) <= c and all(bins[b] == b and off[b] == 0 for b in filled)
+
+
+def test_runs_do_not_grow_with_the_pieces():
+    sizes = list(range(199, 0, -1))
+    runs = []
+    for n in (10, 1000):
+        places = K.arranged([(s, i * n, n) for i, s in enumerate(sizes)], 200)
+        runs.append(len(places.first))
+    assert runs[1] <= 1.2 * runs[0]
