@@ -162,13 +162,30 @@ def context(g: np.ndarray, k: int) -> np.ndarray:
     return (g >> np.uint64(WIDTH * k) & MASK).astype(np.int64)
 
 
+def grouped(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that puts equal 4-grams, and those of a context, together; the 4-gram of each run, and how long it is.
+
+    Parts of hashes with the places behind them are sorted, which takes far less than sorting indirectly.
+    Where hashes meet by chance runs are cut, so that a 4-gram may have several.
+    """
+    n = len(g)
+    bits = max(n - 1, 1).bit_length()
+    half = np.uint64(0xFFFFFFFF)
+    key = X.mixed(g >> np.uint64(WIDTH)) & ~half | (g & MASK) << np.uint64(bits) & half | np.arange(n, dtype=np.uint64)
+    key.sort()
+    order = (key & np.uint64((1 << bits) - 1)).astype(np.int64)
+    some = g.take(order)
+    first = np.flatnonzero(np.concatenate([np.ones(min(n, 1), bool), some[1:] != some[:-1]]))
+    return order, some.take(first), np.diff(np.append(first, n))
+
+
 _CELLS = 150_000  # of a block of products, so that it stays in a core's cache
 _BLOCK = 65_536  # 4-grams whose contexts' vectors are made together
 _SAFE = 60.0  # logits whose exponentials, and sums of 65,535 of them, are normal floats
 
 
 def scores(model: Model, turned: np.ndarray, lay: Layout, g: np.ndarray) -> np.ndarray:
-    """Log-probabilities of distinct sorted 4-grams, normalised over classes and within them."""
+    """Log-probabilities of 4-grams, those of a context together, normalised over classes and within them."""
     parts = [np.ascontiguousarray(model.q[a:b].T) if b - a > 1 else None for a, b in zip(lay.starts[:-1].tolist(), lay.starts[1:].tolist(), strict=True)]
     out = [_block_scores(model, turned, lay, parts, g[a : a + _BLOCK]) for a in range(0, len(g), _BLOCK)]
     return np.concatenate(out) if out else np.zeros(0, np.float32)
@@ -210,17 +227,26 @@ def _block_scores(model: Model, turned: np.ndarray, lay: Layout, parts: list[np.
 
 
 def _summed(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    """The values' sums by row: flat, as that is fast, two columns at a time (as parts of complex numbers), and a cacheful at a time."""
+    """The values' sums by row."""
     d = values.shape[1]
     if d % 2 or values.dtype != np.float32:
         wide = np.zeros((len(values), d + d % 2), np.float32)
         wide[:, :d] = values
         return _summed(rows, wide, size)[:, :d]
+    return _summed_each([rows], values, size)[0]
+
+
+def _summed_each(rows: list[np.ndarray], values: np.ndarray, size: int) -> np.ndarray:
+    """The values' sums by each of some rows: flat, as that is fast, two columns at a time (as parts of complex numbers), and a cacheful at a time."""
+    k = values.shape[1] // 2
     pairs = np.ascontiguousarray(values).view(np.complex64)
-    out, columns = np.zeros(size * (d // 2), np.complex64), np.arange(d // 2)
-    for a in range(0, len(rows), 1024):
-        np.add.at(out, (rows[a : a + 1024, None] * (d // 2) + columns).ravel(), pairs[a : a + 1024].ravel())
-    return out.view(np.float32).reshape(size, d)
+    out = np.zeros((len(rows), size * k), np.complex64)
+    cells = np.arange(size * k).reshape(size, k)  # looked up, as that takes less than making them for each value
+    for a in range(0, len(pairs), 1024):
+        some = pairs[a : a + 1024].ravel()
+        for x, to in zip(rows, out, strict=True):
+            np.add.at(to, cells.take(x[a : a + 1024], 0).ravel(), some)
+    return out.view(np.float32).reshape(len(rows), size, 2 * k)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -272,70 +298,60 @@ class Trainer:
         target = (g & MASK).astype(np.int64)
         order = np.argsort(lay.of.take(target), kind="stable")
         g, target = g.take(order), target.take(order)
-        cls = lay.of.take(target).astype(np.int64)
+        cls = lay.of.take(target)
         w = (n.take(order) / n.sum()).astype(np.float32)
         ctx = [local.take(context(g, j)) for j in range(1, ORDER + 1)]
         turned = [r @ c for c in m.c]
         h = np.ones((len(g), d + 1), np.float32)  # with a one for the bias
-        dh, zt = np.empty((len(g), d), np.float32), np.empty(len(g), np.float32)
-        # classes: noise shared by the batch
-        drawn = np.minimum(np.searchsorted(lay.class_cum, self.rng.random(k)), lay.classes - 1)
-        noise = m.s[drawn]
-        turn = np.ascontiguousarray(noise[:, :d])
-        noise[:, d] -= self.class_noise[drawn]
-        noise = np.ascontiguousarray(noise.T)
-        dn, ds = np.zeros((k, d + 1), np.float32), np.zeros_like(m.s)
         for a in range(0, len(g), 1024):  # a cacheful at a time
             i = slice(a, a + 1024)
             v = turned[0].take(ctx[0][i], 0)
             for u, x in zip(turned[1:], ctx[1:], strict=True):
                 v += u.take(x[i], 0)
             h[i, :d] = v
-            zn = _sigmoid(h[i] @ noise)
-            zn *= w[i, None]
-            dn += zn.T @ h[i]
-            t = m.s.take(cls[i], 0)
-            zt[i] = (_sigmoid(np.einsum("ij,ij->i", h[i], t) - self.class_noise.take(cls[i])) - 1) * w[i]
-            t *= zt[i, None]
-            np.matmul(zn, turn, out=dh[i])
-            dh[i] += t[:, :d]
-        np.add.at(ds, drawn, dn)
-        # tokens within their class, noise shared by the class's examples; a small class's tokens are all looked at together
-        edge = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1], [True]]))
+        # noise of classes is shared by the batch, that of tokens by the class's examples
+        common = np.minimum(np.searchsorted(lay.class_cum, self.rng.random(k)), lay.classes - 1)
         first, last = lay.starts[:-1, None], lay.starts[1:, None]
         noise = np.clip(np.searchsorted(lay.word_cum, np.arange(lay.classes)[:, None] + self.rng.random((lay.classes, k))), first, last - 1)
+        shared = m.s.take(common, 0)
+        shared[:, d] -= self.class_noise.take(common)
+        dh, dn, ds = np.empty((len(g), d), np.float32), np.zeros((k, d + 1), np.float32), np.zeros_like(m.s)
         rows, grads = [], []
+        edge = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1], [True]]))
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            c, x, wx = int(cls[lo]), h[lo:hi], w[lo:hi]
-            ds[c] += zt[lo:hi] @ x
+            c, x, wx, t = int(cls[lo]), h[lo:hi], w[lo:hi], target[lo:hi]
             first, last = int(lay.starts[c]), int(lay.starts[c + 1])
-            if last - first == 1:
-                continue
-            drawn, t = noise[c], target[lo:hi]
-            if last - first <= 4 * k:
-                q = m.q[first:last].copy()
-                q[:, d] -= self.word_noise[first:last]
-                e = x @ q.T
-                flat = t + np.arange(-first, (hi - lo) * (last - first) - first, last - first)
-                z = _sigmoid(e)
+            # looked at by all examples: their class, the noise of classes, and tokens: a small class's together, else the noise
+            small = last - first <= 4 * k
+            drawn = noise[c] if not small else np.arange(first, last) if last - first > 1 else noise[c, :0]
+            v = np.concatenate([m.s[c : c + 1], shared, m.q.take(drawn, 0)])
+            v[0, d] -= self.class_noise[c]
+            v[k + 1 :, d] -= self.word_noise.take(drawn)
+            z = _sigmoid(v @ x.T)  # a row for each of what is looked at, so that rows are long
+            z[0] -= 1
+            if small and len(drawn):
+                flat = (t - (first - k - 1)) * (hi - lo) + np.arange(hi - lo)
                 hit = z.ravel().take(flat) - 1
-                z *= np.bincount(drawn - first, minlength=last - first).astype(np.float32)
+                z[k + 1 :] *= np.bincount(noise[c] - first, minlength=last - first).astype(np.float32)[:, None]
                 z.ravel()[flat] += hit
-                z *= wx[:, None]
-                dh[lo:hi] += z @ m.q[first:last, :d]
-                self._step(m.q, self.sum.q, z.T @ x, slice(first, last))
-                continue
-            v, q = m.q.take(drawn, 0), m.q.take(t, 0)
-            z = _sigmoid(x @ v.T - self.word_noise[drawn]) * wx[:, None]
-            zq = (_sigmoid(np.einsum("ij,ij->i", x, q) - self.word_noise[t]) - 1) * wx
-            dh[lo:hi] += z @ v[:, :d]
-            dh[lo:hi] += zq[:, None] * q[:, :d]
-            rows += [t, drawn]
-            grads += [zq[:, None] * x, z.T @ x]
+            z *= wx
+            np.matmul(z.T, v[:, :d], out=dh[lo:hi])
+            dv = z @ x
+            ds[c] += dv[0]
+            dn += dv[1 : k + 1]
+            if small and len(drawn):
+                self._step(m.q, self.sum.q, dv[k + 1 :], slice(first, last))
+            elif not small:
+                q = m.q.take(t, 0)
+                zq = ((_sigmoid(np.einsum("ij,ij->i", x, q) - self.word_noise.take(t)) - 1) * wx)[:, None]
+                q *= zq
+                dh[lo:hi] += q[:, :d]
+                rows += [t, drawn]
+                grads += [zq * x, dv[k + 1 :]]
+        np.add.at(ds, common, dn)
         # contexts: through the matrix of each place
         dr, dc = np.zeros_like(r), np.empty((ORDER, d, d), np.float32)
-        for j, x in enumerate(ctx):
-            s = _summed(x, dh, len(r))
+        for j, s in enumerate(_summed_each(ctx, dh, len(r))):
             dc[j] = r.T @ s
             dr += s @ m.c[j].T
         self._step(r, rs, dr)
@@ -454,8 +470,10 @@ def _scores(m: np.ndarray, lay: Layout, p: Params):
             n = np.diff(at)
             total = np.zeros(len(n))
             if len(ids):
-                g, inverse = np.unique(grams(lay.rank[ids], at, lay.size), return_inverse=True)
-                total = X.per_doc_sum(scores(model, turned, lay, g)[inverse].astype(np.float64), at)
+                order, g, times = grouped(grams(lay.rank[ids], at, lay.size))
+                each = np.empty(len(ids))
+                each[order] = scores(model, turned, lay, g).repeat(times)
+                total = X.per_doc_sum(each, at)
             none, empty = ~valid, ~valid | (n == 0)
             mean = total / np.maximum(n, 1)
             yield pa.RecordBatch.from_arrays(

@@ -39,6 +39,75 @@ def test_sums_by_row():
     assert np.allclose(L._summed(rows, x, 31), [x[rows == k].sum(0) for k in range(31)], atol=1e-5)
 
 
+def test_sums_by_several_rows_are_kept_apart():
+    r = np.random.default_rng(4)
+    rows, x = [r.integers(0, n, 2500) for n in (3, 40, 1)], r.normal(size=(2500, 6)).astype(np.float32)
+    got = L._summed_each(rows, x, 40)
+    assert got.shape == (3, 40, 6)
+    for k, sums in zip(rows, got, strict=True):
+        assert np.allclose(sums, [x[k == i].astype(float).sum(0) for i in range(40)], atol=1e-4)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 5000])
+def test_grouped_keeps_every_place_and_contexts_together(n):
+    x = np.random.default_rng(n).integers(0, 9, n).astype(np.uint16) * 7001  # ranks of up to 16 bits
+    g = L.grams(x, np.array([0, n]), 65_000)
+    order, some, times = L.grouped(g)
+    assert sorted(order.tolist()) == list(range(n)) and (some.repeat(times) == g[order]).all()
+    contexts = some >> np.uint64(16)
+    assert np.count_nonzero(contexts[1:] != contexts[:-1]) + (n > 0) == len(np.unique(g >> np.uint64(16)))
+
+
+def test_grouped_where_hashes_meet(monkeypatch):
+    monkeypatch.setattr(L.X, "mixed", lambda h: h * np.uint64(0))
+    lay = L.Layout(np.arange(500) ** 2.0)
+    m = L.Model.start(L.Params(dim=4), lay)
+    g = L.grams(np.random.default_rng(6).integers(0, 500, 3000).astype(np.uint16), np.array([0, 3000]), 500)
+    order, some, times = L.grouped(g)
+    got = np.empty(3000)
+    got[order] = L.scores(m, m.turned(), lay, some).repeat(times)
+    distinct, place = np.unique(g, return_inverse=True)
+    assert np.allclose(got, L.scores(m, m.turned(), lay, distinct)[place], atol=1e-5)
+
+
+def test_a_batch_steps_along_the_gradient_of_noise_contrast():
+    p = L.Params(dim=4, noise=2, batch=4096)
+    lay = L.Layout(np.concatenate([[4000.0, 900, 800], np.full(40, 9.0), np.zeros(200)]))
+    sizes = np.diff(lay.starts)
+    assert (sizes == 1).any() and ((sizes > 1) & (sizes <= 8)).any() and (sizes > 8).any()  # each of the ways
+    r = np.random.default_rng(7)
+    x = r.choice(lay.size, 3000, p=np.concatenate([[0.4, 0.2, 0.2], np.full(240, 0.2 / 240)])).astype(np.uint16)
+    g = L.grams(x, np.array([0, 1200, 3000]), lay.size)
+    start = L.Model.start(p, lay).m
+    t = L.Trainer(start, lay, p, 11, 0.1)
+    t.chunk(g)
+    # term by term in double precision, with the same noise
+    rng = np.random.default_rng(11)
+    g, n = np.unique(g, return_counts=True)
+    rng.permutation(len(g))
+    common = np.searchsorted(lay.class_cum, rng.random(2))
+    within = [np.clip(np.searchsorted(lay.word_cum, c + u), lay.starts[c], lay.starts[c + 1] - 1) for c, u in enumerate(rng.random((lay.classes, 2)))]
+    m = L.Model(start.astype(float), lay.size, 4)
+    want = L.Model(np.zeros(start.shape), lay.size, 4)
+    for i, w in zip(g.tolist(), n / n.sum(), strict=True):
+        token, ctx = i & 0xFFFF, [i >> 16 * k & 0xFFFF for k in (1, 2, 3)]
+        c = int(lay.of[token])
+        h = np.append(sum(m.r[u] @ a for u, a in zip(ctx, m.c)), 1)
+        seen = [(m.s, want.s, c, 1, lay.class_p)] + [(m.s, want.s, k, 0, lay.class_p) for k in common]
+        if sizes[c] > 1:
+            seen += [(m.q, want.q, token, 1, lay.word_p)] + [(m.q, want.q, k, 0, lay.word_p) for k in within[c]]
+        dh = np.zeros(4)
+        for a, to, k, real, q in seen:
+            z = w * (1 / (1 + np.exp(np.log(2 * q[k]) - a[k] @ h)) - real)
+            to[k] += z * h
+            dh += z * a[k, :4]
+        for j, u in enumerate(ctx):
+            want.r[u] += m.c[j] @ dh
+            want.c[j] += np.outer(m.r[u], dh)
+    assert np.allclose(t.sum.m, want.m**2 + 1e-8, rtol=1e-3, atol=1e-9)
+    assert np.allclose(t.model.m - start, -0.1 * want.m / np.sqrt(want.m**2 + 1e-8), atol=2e-3)
+
+
 @pytest.mark.parametrize("scale", [0.0, 3.0, 59.0, 500.0])
 def test_log_probabilities_of_rows_that_repeat(scale):
     r = np.random.default_rng(2)
