@@ -14,90 +14,132 @@ class EigensolverError(ArithmeticError):
     """The Gram matrix isn't positive definite (for example, antennas coincide)."""
 
 
-def gram(xyz: np.ndarray, w: np.ndarray, wl: float, four_pi: bool = False) -> np.ndarray:
-    """W^H sinc(2 d / wl) W; ``four_pi`` gives the variant that is 4 pi times as large."""
-    d = np.linalg.norm(xyz[:, None] - xyz[None], axis=-1)
-    g = w.conj().T @ np.sinc(2 * d / wl) @ w
+def gram(xyz: np.ndarray, w: np.ndarray, wl: float | np.ndarray, four_pi: bool = False) -> np.ndarray:
+    """W^H sinc(2 d / wl) W; ``four_pi`` gives the variant that is 4 pi times as large.  Stacks give a stack."""
+    d = np.linalg.norm(xyz[..., :, None, :] - xyz[..., None, :, :], axis=-1)
+    g = _h(w) @ np.sinc(2 * d / np.asarray(wl)[..., None, None]) @ w
     return 4 * math.pi * g if four_pi else g
 
 
+def _h(m: np.ndarray) -> np.ndarray:
+    """Conjugate transpose of each matrix."""
+    return m.conj().swapaxes(-1, -2)
+
+
 def _lower(s: np.ndarray) -> np.ndarray:
     """Hermitian matrix that the lower triangle stands for."""
-    low = np.tril(s, -1)
-    return low + low.conj().T + np.diag(np.diag(s).real)
+    low, at = np.tril(s, -1), np.arange(s.shape[-1])
+    full = low + _h(low)
+    full[..., at, at] = s[..., at, at].real
+    return full
 
 
 def _working(s: np.ndarray, squared: bool) -> np.ndarray:
+    """Whether each beam has any non-zero visibility, per matrix."""
     eps = np.finfo(float).eps
     on = np.abs(s) ** 2 > eps if squared else (np.abs(s.real) >= eps) | (np.abs(s.imag) >= eps)
     on = np.tril(on)
-    return np.flatnonzero(on.any(0) | on.any(1))
+    return on.any(-1) | on.any(-2)
+
 
+def _by_working(s: np.ndarray, squared: bool):
+    """Matrices that have as many working beams at a time: their places, their working beams, and what is left of them."""
+    on = _working(s, squared)
+    count = on.sum(1)
+    for k in np.unique(count[count > 0]):
+        at = np.flatnonzero(count == k)
+        beams = np.nonzero(on[at])[1].reshape(-1, k)
+        yield at, beams, _lower(s[at[:, None, None], beams[:, :, None], beams[:, None, :]])
 
-def visibility_scale(s: np.ndarray) -> float:
-    """1 / number of non-zero visibilities, those off the diagonal counting twice; 0 if none."""
+
+def visibility_scale(s: np.ndarray) -> np.ndarray:
+    """1 / number of non-zero visibilities, those off the diagonal counting twice; 0 if none.  One per matrix."""
     on = np.abs(s) ** 2 > np.finfo(float).eps
-    n = int(np.diag(on).sum() + 2 * np.tril(on, -1).sum())
-    return 1 / n if n else 0.0
+    n = np.diagonal(on, axis1=-2, axis2=-1).sum(-1) + 2 * np.tril(on, -1).sum((-1, -2))
+    return np.where(n > 0, 1 / np.maximum(n, 1), 0.0)
 
 
-def eigh_gram(wl: float, s: np.ndarray, w: np.ndarray, xyz: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def eigh_gram(wl: float | np.ndarray, s: np.ndarray, w: np.ndarray, xyz: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Generalised eigenpairs of S v = d G v on the working beams, back-projected by W.
 
-    Eigenvalues ascend and are padded with zeros, as are the vectors' columns.
+    Eigenvalues ascend and are padded with zeros, as are the vectors' columns.  A stack of matrices gives
+    stacks; wavelengths, weights and positions are then one for all or a stack too.
     """
-    beams = s.shape[0]
-    at = _working(s, True)
-    d, v = np.zeros(beams), np.zeros((w.shape[0], beams), complex)
-    scale = visibility_scale(s)
-    if not len(at):
-        return v, d, scale
-    sub, wk = _lower(s[np.ix_(at, at)]), w[:, at]
+    if s.ndim == 2:
+        return tuple(x[0] for x in eigh_gram(wl, s[None], w, xyz))
+    beams = s.shape[-1]
+    d, v = np.zeros(s.shape[:2]), np.zeros((len(s), w.shape[-2], beams), complex)
+    g = gram(xyz, w, wl)
+    for at, on, sub in _by_working(s, True):
+        inv = _whitening(g if g.ndim == 2 else g[at], on)
+        dk, y = np.linalg.eigh(inv @ sub @ _h(inv))
+        d[at, : on.shape[1]] = dk
+        v[at, :, : on.shape[1]] = _columns(w if w.ndim == 2 else w[at], on) @ (_h(inv) @ y)
+    return v, d, visibility_scale(s)
+
+
+def _columns(w: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """Columns ``on`` of one matrix, or of each of a stack."""
+    return np.moveaxis(w[:, on], 0, 1) if w.ndim == 2 else np.take_along_axis(w, on[:, None, :], 2)
+
+
+def _whitening(g: np.ndarray, on: np.ndarray) -> np.ndarray:
+    """Inverse Cholesky factors of the Gram matrix of each row's beams; of one for all once per set of beams."""
     try:
-        low = np.linalg.cholesky(_lower(gram(xyz, wk, wl)))
+        if g.ndim == 2:
+            sets, which = np.unique(on, axis=0, return_inverse=True)
+            low = np.linalg.cholesky(_lower(g[sets[:, :, None], sets[:, None, :]]))
+            return np.linalg.inv(low)[which.ravel()]
+        n = np.arange(len(g))[:, None, None]
+        return np.linalg.inv(np.linalg.cholesky(_lower(g[n, on[:, :, None], on[:, None, :]])))
     except np.linalg.LinAlgError as e:
         raise EigensolverError("the Gram matrix is not positive definite") from e
-    inv = np.linalg.inv(low)
-    dk, y = np.linalg.eigh(inv @ sub @ inv.conj().T)
-    d[: len(at)] = dk
-    v[:, : len(at)] = wk @ (inv.conj().T @ y)
-    return v, d, scale
 
 
-def eigh(wl: float, s: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def eigh(wl: float, s: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same without a Gram matrix; the wavelength has no part in it."""
-    beams = s.shape[0]
-    at = _working(s, False)
-    d, v = np.zeros(beams), np.zeros((w.shape[0], beams), complex)
-    if len(at):
-        dk, y = np.linalg.eigh(_lower(s[np.ix_(at, at)]))
-        d[: len(at)] = dk
-        v[:, : len(at)] = w[:, at] @ y
+    if s.ndim == 2:
+        return tuple(x[0] for x in eigh(wl, s[None], w))
+    beams = s.shape[-1]
+    d, v = np.zeros(s.shape[:2]), np.zeros((len(s), w.shape[-2], beams), complex)
+    for at, on, sub in _by_working(s, False):
+        dk, y = np.linalg.eigh(sub)
+        d[at, : on.shape[1]] = dk
+        v[at, :, : on.shape[1]] = _columns(w if w.ndim == 2 else w[at], on) @ y
     return v, d, visibility_scale(s)
 
 
 def eigh_psd(a: np.ndarray, b: np.ndarray | None = None, tau: float = 1.0, n: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Descending positive eigenpairs up to the energy ratio tau, cut or padded to n."""
+    """Descending positive eigenpairs up to the energy ratio tau, cut or padded to n.
+
+    A stack of matrices gives stacks, padded to n or else to the matrices' size.
+    """
     if not 0 < tau <= 1:
         raise ValueError("tau must be in (0, 1]")
     a = np.asarray(a, complex)
+    stack = a if a.ndim == 3 else a[None]
     if b is None:
-        d, v = np.linalg.eigh(a)
+        d, v = np.linalg.eigh(stack)
     else:
         inv = np.linalg.inv(np.linalg.cholesky(b))
-        d, y = np.linalg.eigh(inv @ a @ inv.conj().T)
-        v = inv.conj().T @ y
-    keep = d > max(1e-12, np.finfo(float).eps * len(d) * np.abs(d).max(initial=0))
-    d, v = d[keep][::-1], v[:, keep][:, ::-1]
-    if len(d):
-        k = int((np.cumsum(d) / d.sum() <= tau + 1e-12).sum())
-        d, v = d[:k], v[:, :k]
+        d, y = np.linalg.eigh(inv @ stack @ _h(inv))
+        v = _h(inv) @ y
+    size = d.shape[1]
+    d, v = d[:, ::-1], v[:, :, ::-1]
+    least = np.maximum(1e-12, np.finfo(float).eps * size * np.abs(d).max(1, initial=0))
+    d = np.where(d > least[:, None], d, 0.0)  # those kept come first, as they fall
+    total = d.sum(1, keepdims=True)
+    on = (d > 0) & (np.cumsum(d, 1) / np.where(total > 0, total, 1.0) <= tau + 1e-12)
+    d, v = np.where(on, d, 0.0), np.where(on[:, None, :], v, 0)
+    if a.ndim == 2 and n is None:
+        k = int(on.sum())
+        return d[0, :k], v[0, :, :k]
     if n is not None:
-        k = min(n, len(d))
-        dn, vn = np.zeros(n), np.zeros((a.shape[0], n), complex)
-        dn[:k], vn[:, :k] = d[:k], v[:, :k]
+        k = min(n, size)
+        dn, vn = np.zeros((len(d), n)), np.zeros((len(d), size, n), complex)
+        dn[:, :k], vn[:, :, :k] = d[:, :k], v[:, :, :k]
         d, v = dn, vn
-    return d, v
+    return (d, v) if a.ndim == 3 else (d[0], v[0])
 
 
 def virtual_vis(v: np.ndarray, d: np.ndarray, scale: float = 1.0) -> np.ndarray:

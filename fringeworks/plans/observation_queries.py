@@ -11,6 +11,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -251,12 +252,11 @@ def eigen_two_gram(spark, sf_dir):
 def eigen_positive(spark, sf_dir):
     """Positive eigenvalues in falling order, padded to two."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        s = EG.matrices(pdf, 2)
-        d, _ = L.eigh_psd(s + np.tril(s, -1).conj().T, n=2)
-        return pd.DataFrame({"g": [key[0]], "d0": [d[0]], "d1": [d[1]]})
+    def solve(first: pa.Table, s: np.ndarray) -> list:
+        d, _ = L.eigh_psd(s + np.tril(s, -1).conj().swapaxes(1, 2), n=2)
+        return [first["time_id"], d[:, 0], d[:, 1]]
 
-    return _two(spark, sf_dir).groupBy("time_id").applyInPandas(run, "g bigint, d0 double, d1 double").select("g", _r("d0", 5).alias("d0"), _r("d1", 5).alias("d1"))
+    return EG.solved(_two(spark, sf_dir), ["time_id"], 2, solve, "g bigint, d0 double, d1 double").select("g", _r("d0", 5).alias("d0"), _r("d1", 5).alias("d1"))
 
 
 # -- stores
